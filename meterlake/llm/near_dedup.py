@@ -140,46 +140,54 @@ def _stars(source, held, shared, marks, scratch, threshold, shingle) -> DataFram
     """(node, component_id) of the representatives that have a link."""
     least = threshold / 100 - SLACK
     known = scratch.keep(shared.select("rep").distinct().select(F.col("rep").alias("node"), F.col("rep").alias("component_id")), "alone")
-    texts = source.join(held.select(F.col("rep").alias("id")), "id", "left_semi").join(shared.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    edges = None
-    for leader in ("low", "high", None):
-        of = known.select(F.col("node").alias("rep"), "component_id")
-        if leader:
-            pairs = shared.select(F.col(leader).alias("a"), F.col("rep").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            open_rows = shared.select("key", "rep").join(of, "rep")
-            split = open_rows.groupBy("key").agg(F.min("component_id").alias("c"), F.max("component_id").alias("d")).where("c < d").select("key")
-            open_rows = open_rows.join(split, "key")
-            other = open_rows.select("key", F.col("rep").alias("b"), F.col("component_id").alias("of_b"))
-            pairs = open_rows.withColumnRenamed("rep", "a").join(other, "key").where("component_id < of_b").select("a", "b").distinct()
-        candidates = scratch.keep(_alike(pairs, marks, least), "alike")
-        known, edges = _confirm(candidates, known, edges, texts, scratch, threshold, shingle)
-        scratch.drop(candidates)
-    return known
-
-
-def _confirm(candidates, known, edges, texts, scratch, threshold, shingle):
-    """Confirms candidates between different components until none is left; most likely ones go first."""
-    tried = None
-    while True:
-        a = known.select(F.col("node").alias("a"), F.col("component_id").alias("of_a"))
-        b = known.select(F.col("node").alias("b"), F.col("component_id").alias("of_b"))
-        left = candidates.join(a, "a").join(b, "b").where("of_a != of_b").select("a", "b", "share")
-        if tried is not None:
-            left = left.join(tried, ["a", "b"], "left_anti")
-        left = scratch.keep(left, "open")
-        # one candidate for each larger id, the likeliest
-        best = left.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b")
-        best = scratch.keep(best, "tried")
-        if not best.limit(1).count():
-            return known, edges
-        ends = best.select(F.col("a").alias("id")).unionAll(best.select("b")).distinct()
-        sets = scratch.keep(W.with_columns(texts.join(ends, "id", "left_semi"), "body", "shingles array<bigint>", ["id"], lambda: _sets(shingle)), "sets")
-        both = best.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        sure = scratch.keep(both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y") - common).alias("m")).where(f"100L * n >= {threshold}L * m").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        edges = sure if edges is None else edges.unionAll(sure)
-        tried = best if tried is None else tried.unionAll(best)
-        joined = components(edges, scratch)
-        known = scratch.keep(known.select("node").join(joined, "node", "left").select("node", F.coalesce("component_id", "node").alias("component_id")), "known")
-        scratch.drop(sets, left)
+    texts = source.join(known.select(F.col("node").alias("id")), "id", "left_semi")
+    steps = _Confirmation(texts, scratch, threshold, shingle)
+    for leader in ("low", "high"):
+        pairs = shared.select(F.col(leader).alias("a"), F.col("rep").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        open_pairs = scratch.keep(_alike(_apart(pairs, known), marks, least), "alike")
+        known = steps.merge(known, _likeliest(open_pairs))
+    # buckets that still hold two components: every pair across them, and every candidate met before
+    of = shared.select("key", "rep").join(known.select(F.col("node").alias("rep"), "component_id"), "rep")
+    split = of.groupBy("key").agg(F.min("component_id").alias("c"), F.max("component_id").alias("d")).where("c < d").select("key")
+    of = scratch.keep(of.join(split, "key"), "split")
+    other = of.select("key", F.col("rep").alias("b"), F.col("component_id").alias("of_b"))
+    pairs = of.withColumnRenamed("rep", "a").join(other, "key").where("component_id < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = scratch.keep(_alike(pairs, marks, least), "left")
+    known = steps.merge(known, _likeliest(left))
+    return steps.merge(known, _apart(left, known))
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    a = known.select(F.col("node").alias("a"), F.col("component_id").alias("of_a"))
+    b = known.select(F.col("node").alias("b"), F.col("component_id").alias("of_b"))
+    return pairs.join(a, "a").join(b, "b").where("of_a != of_b").drop("of_a", "of_b")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """For each larger id the pair whose signatures agree most: enough to join most of a group."""
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b")
+
+
+class _Confirmation:
+    """Confirms pairs on full shingle sets and merges the components that they link."""
+
+    def __init__(self, texts: DataFrame, scratch: Scratch, threshold: int, shingle: int):
+        self.texts, self.scratch, self.threshold, self.shingle = texts, scratch, threshold, shingle
+
+    def merge(self, known: DataFrame, pairs: DataFrame) -> DataFrame:
+        keep = self.scratch.keep
+        pairs = keep(pairs.select("a", "b"), "pairs")
+        ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+        shingle = self.shingle
+        sets = keep(W.with_columns(self.texts.join(ends, "id", "left_semi"), "body", "shingles array<bigint>", ["id"], lambda: _sets(shingle)), "sets")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("n"), (F.size("x") + F.size("y")).cast("bigint").alias("m"))
+        sure = both.where(f"100 * n >= {self.threshold} * (m - n)")
+        a = known.select(F.col("node").alias("a"), F.col("component_id").alias("u"))
+        b = known.select(F.col("node").alias("b"), F.col("component_id").alias("v"))
+        joined = components(sure.join(a, "a").join(b, "b").select("u", "v"), self.scratch)
+        moved = joined.select(F.col("node").alias("component_id"), F.col("component_id").alias("to"))
+        after = keep(known.join(moved, "component_id", "left").select("node", F.coalesce("to", "component_id").alias("component_id")), "known")
+        self.scratch.drop(sets)
+        return after
