@@ -1,5 +1,80 @@
-"""placeholder"""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+No stage reads the result of another one except through ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from meterlake.llm import langid, mixing, near_dedup, packing, quality_rules
+from meterlake.llm.scratch import Scratch
+from meterlake.llm.words import held_out
+
+#: Score under which a language is a guess; the winner of four has 0.25 at least.
+LEAST_SCORE = 0.3
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a recognisable language: null, no letters, or no language ahead of the others."""
+    fits = langid.identify(docs, docs.where(~held_out("doc_id", 4, 2)))
+    return fits.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality rules reject."""
+    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that of the least id; of rows that repeat an id, one."""
+    kept = near_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows_of_id"))
+    kept = Scratch(spark, "kept").keep(kept, "ids")
+    if kept.where("rows_of_id > 1 and doc_id is not null").limit(1).count():
+        least = F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row")
+        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").groupBy("doc_id").agg(least).select("doc_id", "row.*"))
+    ids = kept.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source's words: whole documents, repeated for further epochs, and one cut at each source's budget."""
+    own = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.select("doc_id", F.col("text").alias("stage_text"), F.struct(*own).alias("stage_rest"), F.col("source"))
+    mixed = mixing.mix(named, text="stage_text", carry=("stage_text", "stage_rest")).where("taken > 0")
+    copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    # words with the space before them, up to the last one taken
+    cut = F.array_join(F.slice(F.split("stage_text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words), "")
+    text = F.when(words < F.col("size"), cut).otherwise(F.col("stage_text"))
+    whole = copies.select("doc_id", text.alias("text"), "stage_rest.*")
+    if "n_chars" in own:
+        whole = whole.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequences: bin_id, capacity, n_words, pieces, text."""
+    return packing.sequences(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("quality_rules", good_lines),
+    ("near_dedup", one_of_each),
+    ("mixing", mixture),
+    ("packing", packed),
+]
+
+#: Language identification and MinHash have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``, each written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterlake.llm import langid, lm_scoring, mixing, near_dedup, packing, quality_rules, url_filter, vector_dedup
+from meterlake.llm import langid, licenses, lm_scoring, mixing, near_dedup, packing, quality_model, quality_rules, url_filter, vector_dedup
 from meterlake.llm.words import held_out
 
 
@@ -20,6 +20,14 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_model(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_lm_scoring, op5_mixing, op6_quality_rules, op7_vector_dedup, op8_language_id, op9_url_filter, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_quality_model, op4_license_scan, op5_mixing, op6_quality_rules, op7_vector_dedup, op8_language_id, op9_url_filter, op10_near_dedup)}
 
 
 def oracle_sql() -> dict:
