@@ -12,6 +12,7 @@ are finished. What then still lies in one bucket but in two components is compar
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,6 +26,8 @@ BANDS, ROWS = 64, 5
 SLACK = 0.13
 #: Shingles hashed at a time, so that they stay in a core's cache.
 SLICE = 1 << 15
+#: Members up to which a bucket is expanded into pairs, and documents of a block where it is larger.
+SMALL, COMPARED = 24, 256
 SET_FIELDS = "n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, minima binary"
 
 
@@ -146,15 +149,56 @@ def _stars(source, held, shared, marks, scratch, threshold, shingle) -> DataFram
         pairs = shared.select(F.col(leader).alias("a"), F.col("rep").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         open_pairs = scratch.keep(_alike(_apart(pairs, known), marks, least), "alike")
         known = steps.merge(known, _likeliest(open_pairs))
-    # buckets that still hold two components: every pair across them, and every candidate met before
+    # buckets that still hold two components: small ones pair by pair, large ones in blocks
     of = shared.select("key", "rep").join(known.select(F.col("node").alias("rep"), "component_id"), "rep")
-    split = of.groupBy("key").agg(F.min("component_id").alias("c"), F.max("component_id").alias("d")).where("c < d").select("key")
+    split = of.groupBy("key").agg(F.min("component_id").alias("first_of"), F.max("component_id").alias("last_of"), F.count("*").alias("held")).where("first_of < last_of").select("key", "first_of", "held")
     of = scratch.keep(of.join(split, "key"), "split")
-    other = of.select("key", F.col("rep").alias("b"), F.col("component_id").alias("of_b"))
-    pairs = of.withColumnRenamed("rep", "a").join(other, "key").where("component_id < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    few = of.where(F.col("held") <= SMALL)
+    other = few.select("key", F.col("rep").alias("b"), F.col("component_id").alias("of_b"))
+    pairs = few.withColumnRenamed("rep", "a").join(other, "key").where("component_id < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = scratch.keep(_alike(pairs, marks, least), "left")
     known = steps.merge(known, _likeliest(left))
-    return steps.merge(known, _apart(left, known))
+    known = steps.merge(known, _apart(left, known))
+    return steps.link(known, _in_blocks(of.where(F.col("held") > SMALL), known, marks, steps, least))
+
+
+def _in_blocks(many: DataFrame, known: DataFrame, marks: DataFrame, steps: _Confirmation, least: float) -> DataFrame:
+    """(u, v): components linked by documents that share large buckets.
+
+    Components that meet in such buckets form a family. Documents outside its largest component are compared with all
+    of the family, block against block, so that no pair is a row unless it is a link.
+    """
+    keep = steps.scratch.keep
+    families = components(many.select(F.col("component_id").alias("u"), F.col("first_of").alias("v")), steps.scratch)
+    members = many.select("rep").distinct().join(known.select(F.col("node").alias("rep"), "component_id"), "rep")
+    met = many.select("component_id", "rep").distinct().join(families.select(F.col("node").alias("component_id"), F.col("component_id").alias("family")), "component_id").select("rep", "family")
+    members = keep(members.join(met, "rep"), "members")
+    sizes = members.groupBy("family", "component_id").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max_by("component_id", F.struct("n", "component_id")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    placed = members.join(sizes, "family").withColumns({"rights": F.ceil(F.col("all") / COMPARED).cast("int"), "lefts": F.ceil((F.col("all") - F.col("most")) / COMPARED).cast("int")})
+    placed = placed.join(steps.sets(placed.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep").join(marks, "rep")
+    placed = keep(placed, "placed")
+    mix = F.xxhash64("rep")
+    right = placed.withColumn("j", F.pmod(mix, F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
+    left = placed.where("component_id != main").withColumn("i", F.pmod(mix, F.col("lefts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
+    side = lambda df, of: df.select(F.col("family").alias(f"{of}_f"), F.col("i").cast("int").alias(f"{of}_i"), F.col("j").cast("int").alias(f"{of}_j"), F.col("component_id").alias("component"), F.col("minima").alias("minima"), F.col("shingles").alias("shingles")).groupBy(f"{of}_f", f"{of}_i", f"{of}_j")
+    threshold = steps.threshold
+
+    def compare(key, a, b):
+        links = set()
+        if len(a) and len(b):
+            y = np.frombuffer(b"".join(b["minima"]), np.uint8).reshape(len(b), -1)
+            of_b, sets_b = b["component"].to_numpy(), list(b["shingles"])
+            for own, x, shingles in zip(a["component"], a["minima"], a["shingles"], strict=True):
+                near = ((y == np.frombuffer(x, np.uint8)).mean(axis=1) >= least) & (of_b != own)
+                for k in np.flatnonzero(near):
+                    if (own, of_b[k]) not in links:
+                        common = np.isin(shingles, sets_b[k], assume_unique=True).sum()
+                        if 100 * common >= threshold * (len(shingles) + len(sets_b[k]) - common):
+                            links.add((own, of_b[k]))
+        return pd.DataFrame(sorted(links), columns=["u", "v"], dtype="int64")
+
+    return side(left, "a").cogroup(side(right, "b")).applyInPandas(compare, "u bigint, v bigint")
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -178,16 +222,23 @@ class _Confirmation:
     def merge(self, known: DataFrame, pairs: DataFrame) -> DataFrame:
         keep = self.scratch.keep
         pairs = keep(pairs.select("a", "b"), "pairs")
-        ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-        shingle = self.shingle
-        sets = keep(W.with_columns(self.texts.join(ends, "id", "left_semi"), "body", "shingles array<bigint>", ["id"], lambda: _sets(shingle)), "sets")
+        sets = keep(self.sets(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))), "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("n"), (F.size("x") + F.size("y")).cast("bigint").alias("m"))
         sure = both.where(f"100 * n >= {self.threshold} * (m - n)")
         a = known.select(F.col("node").alias("a"), F.col("component_id").alias("u"))
         b = known.select(F.col("node").alias("b"), F.col("component_id").alias("v"))
-        joined = components(sure.join(a, "a").join(b, "b").select("u", "v"), self.scratch)
-        moved = joined.select(F.col("node").alias("component_id"), F.col("component_id").alias("to"))
-        after = keep(known.join(moved, "component_id", "left").select("node", F.coalesce("to", "component_id").alias("component_id")), "known")
+        after = self.link(known, sure.join(a, "a").join(b, "b").select("u", "v"))
         self.scratch.drop(sets)
         return after
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles): the full sets of some representatives."""
+        shingle = self.shingle
+        return W.with_columns(self.texts.join(ids.distinct(), "id", "left_semi"), "body", "shingles array<bigint>", ["id"], lambda: _sets(shingle))
+
+    def link(self, known: DataFrame, links: DataFrame) -> DataFrame:
+        """``known`` after components u and v became one, for each link."""
+        joined = components(links, self.scratch)
+        moved = joined.select(F.col("node").alias("component_id"), F.col("component_id").alias("to"))
+        return self.scratch.keep(known.join(moved, "component_id", "left").select("node", F.coalesce("to", "component_id").alias("component_id")), "known")
