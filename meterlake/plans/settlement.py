@@ -31,7 +31,7 @@ def b2_next_resets(spark, sf_dir):
     return S.subscriptions(spark, sf_dir).select("id", B.next_reset(F.col("start_time"), F.col("reset_period"), F.lit(0), F.col("end_time")).alias("next_reset"))
 
 
-AT = f"make_timestamp({NOW} * 1000000)"
+AT = f"make_timestamp(CAST({NOW} AS BIGINT) * 1000000)"
 
 
 @query(SUB + f""", d AS (SELECT *, CAST(CASE reset_period WHEN 'daily' THEN epoch(date_trunc('day', {AT})) WHEN 'weekly' THEN epoch(date_trunc('week', {AT})) ELSE epoch(date_trunc('month', {AT})) END AS BIGINT) AS b FROM subscriptions WHERE status = 'active' AND next_reset_time BETWEEN 1 AND {NOW} AND end_time > {NOW}),

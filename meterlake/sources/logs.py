@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 #: The 20 columns in their fixed order.
-SCHEMA = T.StructType.fromDDL(
-    "id int, user_id int, created_at bigint, type int, content string, username string, token_name string, model_name string, quota bigint, "
-    "prompt_tokens int, completion_tokens int, use_time int, is_stream boolean, channel_id int, token_id int, `group` string, ip string, "
-    "request_id string, upstream_request_id string, other string"
-)
+_TEXT = ("content", "username", "token_name", "model_name", "group", "ip", "request_id", "upstream_request_id", "other")
+_WIDE = {"created_at": T.LongType(), "quota": T.LongType(), "is_stream": T.BooleanType()} | dict.fromkeys(_TEXT, T.StringType())
+_ORDER = (
+    "id", "user_id", "created_at", "type", "content", "username", "token_name", "model_name", "quota", "prompt_tokens", "completion_tokens",
+    "use_time", "is_stream", "channel_id", "token_id", "group", "ip", "request_id", "upstream_request_id", "other",
+)
+SCHEMA = T.StructType([T.StructField(name, _WIDE.get(name, T.IntegerType())) for name in _ORDER])
 #: JSON names that differ from the column names.
 JSON_NAMES = {"channel_id": "channel"}
 MONTH = "yyyymm"
