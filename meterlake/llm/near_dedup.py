@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = _stars(source, held, shared, marks, scratch, threshold, shingle)
     classes = reps.join(stars, reps["rep"] == stars["node"], "left").select(*equal, F.coalesce("component_id", "rep").alias("component_id"))
     found = signed.select("id", *equal).join(classes, equal, "left")
-    alone = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("id"))
+    alone = F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")), F.col("id"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", alone.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
