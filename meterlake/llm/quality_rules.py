@@ -63,11 +63,13 @@ def _lines(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     begin = np.sort(np.concatenate([bounds[filled], breaks + 1]))
     row = np.searchsorted(bounds, begin, side="right") - 1
+    if not len(begin):
+        return begin, begin, begin
     # a row that ends in \n has one more line, without bytes; it begins where the next row does and holds no word
     begin, keep = np.unique(begin, return_index=True)
     begin, row = begin[begin < len(data)], row[keep][begin < len(data)]
     end = np.append(begin[1:], len(data))
-    return begin, end - (data[end - 1] == 10) if len(end) else end, row
+    return begin, end - (data[end - 1] == 10), row
 
 
 def _counts(words: W.Words) -> list[np.ndarray]:
