@@ -242,3 +242,18 @@ class _Confirmation:
         joined = components(links, self.scratch)
         moved = joined.select(F.col("node").alias("component_id"), F.col("component_id").alias("to"))
         return self.scratch.keep(known.join(moved, "component_id", "left").select("node", F.coalesce("to", "component_id").alias("component_id")), "known")
+
+
+#: The same rows in DuckDB, over ``documents`` with the default parameters, by joining shingles.
+SQL = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)),
+linked AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM linked UNION SELECT r.a, e.b FROM reach r JOIN linked e ON r.b = e.a),
+least AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY 1)
+SELECT doc_id, COALESCE(n, 0) AS n_shingles, LEAST(doc_id, COALESCE(low, doc_id)) AS component_id, doc_id = LEAST(doc_id, COALESCE(low, doc_id)) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""

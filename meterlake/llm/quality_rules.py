@@ -16,7 +16,7 @@ from meterlake.llm import words as W
 #: Fixed lists of the rules.
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = b"|>"
-ENDINGS = ".!?:;,)\"'…»”。！？"
+ENDINGS = ".!?:;,)\"'…»”。！？"  # of a line's last word
 BOILERPLATE = (b"all rights reserved", b"cookie policy", b"use of cookies", b"terms of use", b"terms of service", b"privacy policy", b"click here", b"sign up", b"log in", b"subscribe to", b"share this", b"skip to content", b"lorem ipsum", b"enable javascript")
 FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines_removed bigint, n_words_kept bigint, base_failed boolean, kept boolean"
 
@@ -36,10 +36,21 @@ def _mask(of: bytes) -> np.ndarray:
     return found
 
 
-IS_SYMBOL, IS_SEPARATOR, IS_LAST = _mask(SYMBOLS), _mask(SEPARATORS), _mask(bytes({x.encode()[-1] for x in ENDINGS}))
+IS_SYMBOL, IS_SEPARATOR = _mask(SYMBOLS), _mask(SEPARATORS)
 IS_UPPER, IS_LETTER = _mask(bytes(range(65, 91))), _mask(bytes([*range(65, 91), *range(97, 123)]))
 
 
+def _ends(data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the character whose last byte is at ``last`` is an end mark."""
+    found = np.zeros(len(last), bool)
+    for mark in (x.encode() for x in ENDINGS):
+        fits = last >= len(mark) - 1
+        for k, byte in enumerate(reversed(mark)):
+            fits &= data[np.maximum(last - k, 0)] == byte
+        found |= fits
+    return found
+
+
 def _repeated(words: W.Words, size: int = 8) -> np.ndarray:
     """Words of each row in windows of ``size`` words that its text has twice or more."""
     first, value = W.windows(words, size)
@@ -95,7 +106,7 @@ def _counts(words: W.Words) -> list[np.ndarray]:
     n = np.maximum(in_line, 1)
     last = np.zeros(len(begin), np.int64)
     np.maximum.at(last, line, words.end - 1)
-    ended = IS_LAST[data[last]] if len(data) else np.zeros(0, bool)
+    ended = _ends(data, last)
     upper, letters = between(total(IS_UPPER[data]), begin, end), between(total(IS_LETTER[data]), begin, end)
     doubled = np.zeros(len(words.doc), np.int64)
     doubled[1:] = (words.hash[1:] == words.hash[:-1]) & (line[1:] == line[:-1])
@@ -132,3 +143,27 @@ def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None =
     and empty texts have no words and fail. An empty table gives an empty one.
     """
     return W.with_columns(docs, text, FIELDS, carry, lambda: _compute)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The same rows in DuckDB, over ``documents`` with doc_id carried.
+SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS text FROM documents),
+worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, list_slice(w, i, i + 7)) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM worded WHERE len(w) >= 8)),
+repeats AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM windows WHERE n > 1) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+split AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines),
+counted AS (SELECT r, line, len(w) AS n, right(w[-1], 1) AS last, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[|>]')) AS separators,
+    len(regexp_extract_all(line, '[A-Z]')) AS upper, len(regexp_extract_all(line, '[A-Za-z]')) AS letters, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS doubled,
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM split WHERE len(w) > 0),
+judged AS (SELECT r, line, n, (symbols > {MAX_SYMBOLS} * n AND n >= 3) OR (separators > {MAX_SEPARATORS} * n AND n >= 3) OR (upper > {MAX_UPPER} * letters AND n >= 5 AND letters >= 20) OR (doubled > {MAX_REPEATED} * n AND n >= 5)
+    OR (n <= {SHORT_LINE} AND last NOT IN ({", ".join(map(_quoted, ENDINGS))})) OR (n <= {BOILERPLATE_WORDS} AND ({" OR ".join(f"contains(low, {_quoted(x.decode())})" for x in BOILERPLATE)})) AS bad FROM counted),
+summed AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_lines_removed, CAST(COALESCE(sum(n) FILTER (NOT bad), 0) AS BIGINT) AS n_words_kept FROM judged GROUP BY r),
+based AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(n_repeat_words, 0) AS n_repeat_words,
+    COALESCE(n_lines_removed, 0) AS n_lines_removed, COALESCE(n_words_kept, 0) AS n_words_kept FROM worded LEFT JOIN repeats USING (r) LEFT JOIN summed USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_words_kept <= {MAX_LOST} * n_words AS kept FROM based
+"""

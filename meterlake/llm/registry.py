@@ -59,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_mixing": mixing.SQL}
+    return {"op5_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL, "op7_vector_dedup": vector_dedup.SQL, "op10_near_dedup": near_dedup.SQL}

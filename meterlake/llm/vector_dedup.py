@@ -145,3 +145,16 @@ def _links(groups: DataFrame, scratch: Scratch, threshold: float, cell: int, blo
     met = of(left, "a").cogroup(of(right, "b")).applyInPandas(join, "rep bigint, partners bigint, root bigint")
     met = scratch.keep(met, "met")
     return met.select("rep", "partners"), met.select(F.col("rep").alias("u"), F.col("root").alias("v")).where("u != v")
+
+
+#: The same rows in DuckDB, over ``embeddings``, by comparing all pairs.
+SQL = """
+WITH RECURSIVE valid AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, e.b FROM reach r JOIN links e ON r.b = e.a),
+least AS (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY 1),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, COALESCE(n, 0) AS n_links, LEAST(vec_id, COALESCE(low, vec_id)) AS component_id, vec_id = LEAST(vec_id, COALESCE(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
