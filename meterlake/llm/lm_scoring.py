@@ -125,7 +125,7 @@ def _requests(n_buckets: int):
     return run
 
 
-def _answers(key, chunks: pd.DataFrame) -> pd.DataFrame:
+def _answers(key, chunks):
     """The counts of all blocks for each block's keys, and how many words of the bucket occur in training texts."""
     out = []
     for kind, part in chunks.groupby("kind"):
@@ -191,7 +191,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
     answers = scratch.keep(asked.groupBy("bucket").applyInPandas(_answers, "bucket bigint, block string, kind int, totals binary, known bigint"), "answers")
     v = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
 
-    def scored(key, own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def scored(key, own, replies):
         found = []
         for row in own.to_dict("records"):
             block = Block(row)

@@ -13,6 +13,7 @@ from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm.mixing import n_words
@@ -21,6 +22,8 @@ from meterlake.llm.scratch import Scratch
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Words of a shard; a shard has at most SHARD_ROWS documents on average.
 SHARD_WORDS, SHARD_ROWS = 4_000_000, 8_192
+#: Bytes of text of a shard where the sequences themselves are built.
+SHARD_BYTES = 8_000_000
 FIELDS = "doc_id bigint, row bigint, piece int, start bigint, words bigint, bin_id bigint, bin_words bigint, capacity bigint, bin_offset bigint"
 
 
@@ -83,16 +86,11 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities
     scratch = Scratch(docs.sparkSession, "pack")
     sized = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), n_words(F.col(text)).alias("size")).where("size > 0")
     sized = scratch.keep(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
-    return place(sized, capacities, cost)
-
-
-def place(sized: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = sequence_cost) -> DataFrame:
-    """Packs a written table (doc_id, size, row) with distinct rows; see ``pack``."""
     rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     shards = max(1, -(-words // SHARD_WORDS), -(-rows // SHARD_ROWS))
     most = capacities[-1]
 
-    def packed(key, part: pd.DataFrame) -> pd.DataFrame:
+    def packed(key, part):
         # whole pieces of the largest capacity fill a bin each
         pieces = [(d, r, k, k * most, min(most, n - k * most)) for d, r, n in zip(part["doc_id"], part["row"], part["size"], strict=True) for k in range(-(-n // most))]
         pieces.sort(key=lambda p: (-p[4], p[1], p[2]))
@@ -114,15 +112,35 @@ def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
     """The packed sequences themselves: bin_id, capacity, n_words, pieces, text; one row per bin.
 
     ``pieces``: doc_id, start, words and offset of each piece in order; ``text``: their words, joined by one space.
-    A bin has at most its capacity in words, so no group is unbounded.
+    Texts go to their shard once and are packed there. ``docs`` should be a stored table, so that a repeated task
+    numbers its rows alike. Cases as in ``pack``.
     """
     capacities = tuple(sorted(capacities))
-    scratch = Scratch(docs.sparkSession, "sequences")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("body"), n_words(F.col(text)).alias("size")).where("size > 0")
-    rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    pieces = place(rows.select("doc_id", "size", "row"), capacities, cost).drop("doc_id")
-    words = F.split(F.regexp_replace(F.regexp_replace("body", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", " "), " ")
-    cut = rows.select("row", "doc_id", words.alias("all")).join(pieces, "row").select("bin_id", "capacity", "bin_words", F.struct("bin_offset", "doc_id", "start", "words", F.array_join(F.slice("all", (F.col("start") + 1).cast("int"), F.col("words").cast("int")), " ").alias("body")).alias("piece"))
-    bins = cut.groupBy("bin_id").agg(F.first("capacity").alias("capacity"), F.first("bin_words").alias("n_words"), F.array_sort(F.collect_list("piece")).alias("pieces"))
-    named = F.transform("pieces", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["words"].alias("words"), p["bin_offset"].alias("offset")))
-    return bins.select("bin_id", "capacity", "n_words", named.alias("pieces"), F.array_join(F.transform("pieces", lambda p: p["body"]), " ").alias("text"))
+    most = capacities[-1]
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("body")).where("body is not null")
+    (size,) = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
+    shards = max(1, -(-size // SHARD_BYTES))
+
+    def packed(key, part):
+        ids = part["doc_id"].to_pylist()
+        words = [body.encode().split() for body in part["body"].to_pylist()]
+        pieces = [(min(most, len(w) - at), row, at) for row, w in enumerate(words) for at in range(0, len(w), most)]
+        pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+        bins, sizes = pack_shard([p[0] for p in pieces], capacities, cost)
+        held: list[list] = [[] for _ in sizes]
+        for b, piece in zip(bins, pieces, strict=True):
+            held[b].append(piece)
+        listed, texts, counts = [], [], []
+        for own in held:
+            at, out, body = 0, [], []
+            for n, row, start in own:
+                out.append({"doc_id": ids[row], "start": start, "words": n, "offset": at})
+                body += words[row][start : start + n]
+                at += n
+            listed.append(out), counts.append(at), texts.append(b" ".join(body).decode())
+        names = [(key[0].as_py() << 32) + b for b in range(len(sizes))]
+        struct = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("offset", pa.int64())])
+        return pa.table({"bin_id": pa.array(names, pa.int64()), "capacity": pa.array(sizes, pa.int64()), "n_words": pa.array(counts, pa.int64()), "pieces": pa.array(listed, pa.list_(struct)), "text": pa.array(texts, pa.string())})
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(packed, "bin_id bigint, capacity bigint, n_words bigint, pieces array<struct<doc_id bigint, start bigint, words bigint, offset bigint>>, text string")

@@ -127,7 +127,7 @@ def _links(groups: DataFrame, scratch: Scratch, threshold: float, cell: int, blo
     right = placed.where("lefts > 0").withColumn("j", F.pmod(mix, F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
     of = lambda side, name: side.select(F.col("cell").alias(f"{name}_cell"), F.col("i").cast("int").alias(f"{name}_i"), F.col("j").cast("int").alias(f"{name}_j"), F.col("rep").alias("rep"), F.col("weight").alias("weight"), F.col("x").alias("x")).groupBy(f"{name}_cell", f"{name}_i", f"{name}_j")
 
-    def join(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def join(key, a, b):
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": np.zeros(0, np.int64), "partners": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         x, y = (np.frombuffer(b"".join(p["x"]), np.float64).reshape(len(p), -1) for p in (a, b))
