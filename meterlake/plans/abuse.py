@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from meterlake.operators import abuse as A
+from meterlake.operators.logs import with_owner
 from meterlake.plans import NOW, query
 from meterlake.sources import samples as S
 
@@ -39,10 +38,12 @@ def d3_d5_baselines(spark, sf_dir):
     return rows(spark, sf_dir).select("token_id", "median_requests", "median_quota", "gated", "requests", "quota", "base_consumes", "base_errors")
 
 
-@query(WITH + f""", {BASE}, f AS (SELECT token_id, 'consume_spike' AS rule, 'high' AS severity, CAST(quota AS DOUBLE) AS current, median_quota AS baseline FROM joined WHERE NOT gated AND quota >= 1.2 * median_quota AND quota >= 2500
+SPIKES = f"""f AS (SELECT token_id, 'consume_spike' AS rule, 'high' AS severity, CAST(quota AS DOUBLE) AS current, median_quota AS baseline FROM joined WHERE NOT gated AND quota >= 1.2 * median_quota AND quota >= 2500
   UNION ALL SELECT token_id, 'request_spike', 'medium', CAST(requests AS DOUBLE), median_requests FROM joined WHERE NOT gated AND requests >= CAST(1.1 AS DOUBLE) * median_requests AND requests >= 3
-  UNION ALL SELECT token_id, 'error_rate_spike', 'high', {RATE}, {THEN} FROM joined WHERE NOT gated AND base_errors > 0 AND {RATE} >= CAST(1.05 AS DOUBLE) * {THEN} AND errors >= 1)
-  SELECT *, COALESCE(current / NULLIF(baseline, 0), 0) AS ratio, 'up' AS direction, CAST(0 AS BIGINT) AS excluded_rows FROM f""")
+  UNION ALL SELECT token_id, 'error_rate_spike', 'high', {RATE}, {THEN} FROM joined WHERE NOT gated AND base_errors > 0 AND {RATE} >= CAST(1.05 AS DOUBLE) * {THEN} AND errors >= 1)"""
+
+
+@query(WITH + f", {BASE}, {SPIKES} SELECT *, COALESCE(current / NULLIF(baseline, 0), 0) AS ratio, 'up' AS direction, CAST(0 AS BIGINT) AS excluded_rows FROM f")
 def d6_d8_spikes(spark, sf_dir):
     return A.spike_findings(rows(spark, sf_dir), DAYS)
 
@@ -63,13 +64,14 @@ def d10_skips(spark, sf_dir):
     return A.detect(S.logs(spark, sf_dir), NOW - 2 * 86_400 + 5, DAYS)[1]
 
 
-@query(S.with_(S.LOGS, S.TOKENS) + f"SELECT name IS NULL AS unowned, count(*) AS rows, max({END}) AS until FROM logs LEFT JOIN tokens ON token_id = tokens.id WHERE type = 5 AND created_at >= {FIRST} AND created_at < {END} GROUP BY 1")
-def d11_owned_errors(spark, sf_dir):
-    from meterlake.operators.logs import with_owner
-
-    errors = S.logs(spark, sf_dir).where(f"type = 5 and created_at >= {FIRST} and created_at < {END}")
-    owned = with_owner(errors.select("token_id"), S.tokens(spark, sf_dir), S.users(spark, sf_dir))
-    return owned.groupBy(F.col("token_name").isNull().alias("unowned")).agg(F.count("*").alias("rows"), F.lit(END).cast("bigint").alias("until"))
+@query(WITH + f""", {FIRST_USE}, {BASE}, {SPIKES}, {S.TOKENS}, {S.USERS}, found AS (SELECT token_id, rule, severity, COALESCE(current / NULLIF(baseline, 0), 0) AS ratio, NULL AS model_name FROM f
+  UNION ALL SELECT token_id, 'new_model', 'medium', NULL, model_name FROM w WHERE first_at >= {CURRENT} AND requests >= 1)
+  SELECT token_id, rule, severity, ratio, model_name, tokens.name AS token_name, users.username AS owner_name FROM found LEFT JOIN tokens ON token_id = tokens.id LEFT JOIN users ON tokens.user_id = users.id""")
+def d11_findings(spark, sf_dir):
+    """All findings of one scan with the owners of their tokens; findings without an owner stay."""
+    found = A.detect(S.logs(spark, sf_dir), NOW - 2 * 86_400 + 5, DAYS)[0]
+    owned = with_owner(found, S.tokens(spark, sf_dir), S.users(spark, sf_dir))
+    return owned.select("token_id", "rule", "severity", "ratio", "model_name", "token_name", "owner_name")
 
 
 @query(S.with_(S.LOGS) + f"SELECT min(created_at) AS earliest, min(created_at) <= {NOW - 6 * 86400} AS ready, CASE WHEN min(created_at) > {NOW - 6 * 86400} THEN min(created_at) + {6 * 86400} END AS ready_at FROM logs")
