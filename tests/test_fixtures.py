@@ -317,3 +317,14 @@ def test_cube_keeps_late_rows(spark, tmp_path):
         jobs.upsert_cube(spark.createDataFrame(batch, schema), path)
     got = sorted((r["created_at"], r["count"], r["quota"]) for r in spark.read.parquet(path).collect())
     assert got == [(3_600, 2, 20), (90_000, 1, 10), (198_000, 1, 10)]
+
+
+def test_admission_on_a_stream(spark, tmp_path):
+    rows = [(u, i, (i * 7919) % 500) for u in (1, 2) for i in range(40)]
+    frame = spark.createDataFrame(rows, "user_id bigint, id bigint, created_at bigint")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    out = jobs.stream_admission(stream, 3, 60).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    order = lambda df: sorted((r["user_id"], r["id"], r["accepted"]) for r in df.collect())
+    assert order(spark.read.parquet(str(tmp_path / "out"))) == order(jobs.replay_admission(frame, 3, 60))
