@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
 
@@ -138,16 +138,15 @@ def train(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS, chars:
     """Reduced training text by language, at most ``chars`` letters of at most ``rows`` rows a language.
 
     A bounded sample: the driver gets ``rows`` * SAMPLE_CHARS characters a language. Rows go by the hash of their
-    text, so the choice depends on contents only; each task keeps its first ``rows`` before anything is shuffled.
+    text, so the choice depends on contents only, and copies of a text count once.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("of"), F.substring(text, 1, SAMPLE_CHARS).alias("body"), F.xxhash64(text).alias("place"))
-    first = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy("place", "body"))).where(F.col("rank") <= rows)
     found: dict[str, list] = {}
-    for r in first.collect():
+    for r in W.first_by_hash(labelled, "of", "place", rows).collect():
         found.setdefault(r["of"], []).append((r["place"], r["body"]))
     out = {}
     for of, bodies in found.items():
-        bounds, points = reduced(pa.array([b for _, b in sorted(set(bodies))]))
+        bounds, points = reduced(pa.array([b for _, b in sorted(bodies)]))
         out[of] = " ".join("".join(map(chr, points[a:b])) for a, b in zip(bounds, bounds[1:], strict=False) if b > a)[:chars]
     return {k: v for k, v in out.items() if v}
 

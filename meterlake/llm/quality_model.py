@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
 
@@ -120,10 +120,10 @@ def quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     their name. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    # the labels alone are ranked; at most 2 * sample of them meet the texts
-    usable = labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and id is not null").distinct()
-    picked = usable.where(~W.held_out("id", folds, fold)).withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "label")
+    # the labels alone are sampled; at most 2 * sample of them meet the texts
+    usable = labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and id is not null")
+    usable = usable.where(~W.held_out("id", folds, fold)).withColumn("place", F.xxhash64("id"))
+    picked = W.first_by_hash(usable, "label", "place", sample).select("id", "label")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("body")).join(F.broadcast(picked), "id")
 
     def features(batches):
