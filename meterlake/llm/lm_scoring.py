@@ -29,9 +29,9 @@ from meterlake.llm.scratch import Scratch
 
 PRIOR = 4.0
 #: Words after which a block is closed; it bounds the memory of a task.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: Distinct words and bigrams of a bucket, on average.
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 1_000_000
 END = np.uint64(0x5BD1E9955BD1E995)  # stands for the end of a text
 BLOCK_FIELDS = "block string, ids binary, nulls binary, held binary, lengths binary, vocabulary binary, tokens binary, n_keys bigint, train_tokens bigint"
 RESULT_FIELDS = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
