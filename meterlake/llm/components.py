@@ -39,7 +39,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     An empty graph gives an empty table.
     """
     now, before = scratch.keep(_linked(edges), "edges"), None
-    while (state := _fingerprint(now)) != before:
+    while (state := _fingerprint(now)) != before and state[0]:
         before, after = state, scratch.keep(_small_star(_large_star(now)), "stars")
         scratch.drop(now)
         now = after

@@ -111,23 +111,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Two documents are linked if 100 * intersection >= threshold * union of their sets of distinct ``shingle``-word
     shingles (A-Z lower-cased; fewer words make one shingle). component_id is the least id reachable by links.
     Null or wordless texts have the empty set and link with nothing, themselves excepted. Rows that repeat an id are
-    each compared; they share the component only if their texts link. A null id takes part in no link. An empty
-    table gives an empty one; columns other than the two named are not read.
+    each compared, and each has the component of its own text; an id that is the least of several sets links them. A
+    null id takes part in no link. An empty table gives an empty one; columns other than the two named are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("body"))
     signed = scratch.keep(W.with_columns(source, "body", SET_FIELDS, ["id"], lambda: _signatures(shingle, bands, rows)), "signed")
-    linkable = signed.where("n_shingles > 0 and id is not null")
     equal = ["set_a", "set_b", "n_shingles"]
-    # one representative for each distinct set: the least id
-    reps = linkable.groupBy(*equal).agg(F.min("id").alias("rep"))
-    held = scratch.keep(linkable.join(reps, equal).where("id = rep").dropDuplicates(["rep", *equal]).select("rep", *equal, "bands", "minima"), "reps")
+    ids = scratch.keep(signed.select("id", *equal), "ids")
+    linkable = "n_shingles > 0 and id is not null"
+    # one representative for each distinct set: the least id; wide tables go as soon as narrower ones replace them
+    reps = ids.where(linkable).groupBy(*equal).agg(F.min("id").alias("rep"))
+    held = scratch.keep(signed.where(linkable).join(reps, equal).where("id = rep").dropDuplicates(["rep", *equal]).select("rep", "bands", "minima"), "reps")
+    scratch.drop(signed)
     shared = scratch.keep(_buckets(held), "buckets")
-    marks = held.select("rep", "minima")
-    stars = _stars(source, held, shared, marks, scratch, threshold, shingle)
+    marks = scratch.keep(held.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "minima"), "marks")
+    scratch.drop(held)
+    stars = _stars(source, shared, marks, scratch, threshold, shingle)
     classes = reps.join(stars, reps["rep"] == stars["node"], "left").select(*equal, F.coalesce("component_id", "rep").alias("component_id"))
-    found = signed.select("id", *equal).join(classes, equal, "left")
+    found = ids.join(classes, equal, "left")
     alone = F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")), F.col("id"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", alone.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -139,27 +142,42 @@ def _buckets(held: DataFrame) -> DataFrame:
     return keys.join(full, "key")
 
 
-def _stars(source, held, shared, marks, scratch, threshold, shingle) -> DataFrame:
+def _stars(source, shared, marks, scratch, threshold, shingle) -> DataFrame:
     """(node, component_id) of the representatives that have a link."""
     least = threshold / 100 - SLACK
     known = scratch.keep(shared.select("rep").distinct().select(F.col("rep").alias("node"), F.col("rep").alias("component_id")), "alone")
     texts = source.join(known.select(F.col("node").alias("id")), "id", "left_semi")
     steps = _Confirmation(texts, scratch, threshold, shingle)
+    split = None
     for leader in ("low", "high"):
         pairs = shared.select(F.col(leader).alias("a"), F.col("rep").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         open_pairs = scratch.keep(_alike(_apart(pairs, known), marks, least), "alike")
         known = steps.merge(known, _likeliest(open_pairs))
-    # buckets that still hold two components: small ones pair by pair, large ones in blocks
-    of = shared.select("key", "rep").join(known.select(F.col("node").alias("rep"), "component_id"), "rep")
-    split = of.groupBy("key").agg(F.min("component_id").alias("first_of"), F.max("component_id").alias("last_of"), F.count("*").alias("held")).where("first_of < last_of").select("key", "first_of", "held")
-    of = scratch.keep(of.join(split, "key"), "split")
-    few = of.where(F.col("held") <= SMALL)
+        split = scratch.keep(_split(shared, known), "split")
+        if not _any(split.where(F.col("held") > SMALL)):  # a second leader is only worth it in large buckets
+            break
+    # small buckets that hold two components still, pair by pair
+    few = split.where(F.col("held") <= SMALL)
     other = few.select("key", F.col("rep").alias("b"), F.col("component_id").alias("of_b"))
     pairs = few.withColumnRenamed("rep", "a").join(other, "key").where("component_id < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = scratch.keep(_alike(pairs, marks, least), "left")
-    known = steps.merge(known, _likeliest(left))
-    known = steps.merge(known, _apart(left, known))
-    return steps.link(known, _in_blocks(of.where(F.col("held") > SMALL), known, marks, steps, least))
+    known = steps.merge(known, _alike(pairs, marks, least))
+    many = split.where(F.col("held") > SMALL)
+    if not _any(many):
+        return known
+    # large ones in blocks, by the components of now
+    many = _split(many.select("key", "rep"), known)
+    return steps.link(known, _in_blocks(many, known, marks, steps, least))
+
+
+def _any(rows: DataFrame) -> bool:
+    return bool(rows.limit(1).count())
+
+
+def _split(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, rep, component_id, first_of, held) of the buckets whose members are not all in one component."""
+    of = shared.select("key", "rep").join(known.select(F.col("node").alias("rep"), "component_id"), "rep")
+    split = of.groupBy("key").agg(F.min("component_id").alias("first_of"), F.max("component_id").alias("last_of"), F.count("*").alias("held")).where("first_of < last_of").select("key", "first_of", "held")
+    return of.join(split, "key")
 
 
 def _in_blocks(many: DataFrame, known: DataFrame, marks: DataFrame, steps: _Confirmation, least: float) -> DataFrame:
@@ -222,6 +240,8 @@ class _Confirmation:
     def merge(self, known: DataFrame, pairs: DataFrame) -> DataFrame:
         keep = self.scratch.keep
         pairs = keep(pairs.select("a", "b"), "pairs")
+        if not _any(pairs):
+            return known
         sets = keep(self.sets(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))), "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("n"), (F.size("x") + F.size("y")).cast("bigint").alias("m"))
