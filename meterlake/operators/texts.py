@@ -93,7 +93,10 @@ def sensitive_words(text: str, words: list[str], first_only: bool = False) -> Co
 
 
 def replace_words(text: str, words: list[str], mask: str = "**###**") -> Column:
-    """struct(text, hits): leftmost longest matches, not overlapping, replaced; null stays null."""
+    """struct(text, hits): leftmost longest matches in the lower-cased text, not overlapping, replaced; null stays null.
+
+    A character that lower-cases to two (U+0130) is replaced whole if a match holds a part of it.
+    """
 
     @F.pandas_udf("text string, hits array<string>")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -101,13 +104,15 @@ def replace_words(text: str, words: list[str], mask: str = "**###**") -> Column:
 
         def one(t):
             low = t.lower() if t else ""
-            if not pattern or len(low) != len(t or ""):
+            if not pattern:
                 return t, []
+            # the character of the text that each character of ``low`` comes from
+            place = range(len(low)) if len(low) == len(t or "") else [k for k, c in enumerate(t) for _ in c.lower()]
             out, hits, at = [], [], 0
             for m in pattern.finditer(low):
-                out += [t[at : m.start()], mask]
+                out += [t[at : place[m.start()]], mask]
                 hits.append(m.group())
-                at = m.end()
+                at = place[m.end() - 1] + 1
             return "".join([*out, t[at:]]) if t else t, list(dict.fromkeys(hits))
 
         return pd.DataFrame([one(t) for t in texts], columns=["text", "hits"])

@@ -289,6 +289,14 @@ def test_word_replacement(spark):
     assert rows[1]["r"]["text"] is None and rows[2]["r"]["text"] == ""
 
 
+def test_word_replacement_where_lower_case_is_longer(spark):
+    cases = {"İ bad": "İ **###**", "bad İ": "**###** İ", "İİ badger, İ Bad!": "İİ **###**, İ **###**!", "a KADİN b": "a **###** b", "xKADİ, BAD": "x**###**, **###**", "İn it": "İn it"}
+    frame = spark.createDataFrame([(t,) for t in cases], "text string")
+    words = ["bad", "badger", "kadİn", "kadi"]
+    for r in frame.select("text", texts.replace_words("text", words).alias("r"), texts.sensitive_words("text", words).alias("found")).collect():
+        assert r["r"]["text"] == cases[r["text"]] and bool(r["r"]["hits"]) == bool(r["found"])
+
+
 # streams
 def test_admission_against_a_loop(spark):
     rows = [(u, i, (i * 7919) % 500) for u in (1, 2) for i in range(200)]
