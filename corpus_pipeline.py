@@ -55,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences: bin_id, capacity, n_words, pieces, text."""
+    """The training sequences: bin_id, capacity, n_words, pieces (with their texts as they were), text."""
     return packing.sequences(docs)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,6 +25,8 @@ CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_WORDS, SHARD_ROWS = 4_000_000, 8_192
 #: Bytes of text of a shard where the sequences themselves are built.
 SHARD_BYTES = 8_000_000
+#: Between the pieces of a training sequence.
+SEPARATOR = "\n\n"
 FIELDS = "doc_id bigint, row bigint, piece int, start bigint, words bigint, bin_id bigint, bin_words bigint, capacity bigint, bin_offset bigint"
 
 
@@ -108,10 +111,23 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities
     return dealt.groupBy("shard").applyInPandas(packed, FIELDS)
 
 
+def _cuts(body: bytes, most: int) -> list[int]:
+    """Where each piece of ``most`` words begins in a text, and its end; white space goes with the word before it."""
+    if not body:
+        return [0, 0]
+    data = np.frombuffer(body, np.uint8)
+    word = (data != 32) & ((data < 9) | (data > 13))
+    starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    return [0, *starts[most::most].tolist(), len(body)]
+
+
 def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = sequence_cost) -> DataFrame:
     """The packed sequences themselves: bin_id, capacity, n_words, pieces, text; one row per bin.
 
-    ``pieces``: doc_id, start, words and offset of each piece in order; ``text``: their words, joined by one space.
+    ``pieces``: doc_id, row, start, words, offset and text of each piece in order; a piece's text is cut from the
+    original with all its white space, so that the texts of a row's pieces (``row`` counts within bin_id >> 32), in
+    order of start, give its text again. The training text of a bin is its pieces' texts, joined by ``SEPARATOR``.
+    ``text``: the words alone, joined by one space, for use with word offsets.
     Texts go to their shard once and are packed there. ``docs`` should be a stored table, so that a repeated task
     numbers its rows alike. Cases as in ``pack``.
     """
@@ -123,7 +139,9 @@ def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
 
     def packed(key, part):
         ids = part["doc_id"].to_pylist()
-        words = [body.encode().split() for body in part["body"].to_pylist()]
+        bodies = [body.encode() for body in part["body"].to_pylist()]
+        words = [body.split() for body in bodies]
+        cuts = [_cuts(body, most) for body in bodies]
         pieces = [(min(most, len(w) - at), row, at) for row, w in enumerate(words) for at in range(0, len(w), most)]
         pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
         bins, sizes = pack_shard([p[0] for p in pieces], capacities, cost)
@@ -134,13 +152,14 @@ def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
         for own in held:
             at, out, body = 0, [], []
             for n, row, start in own:
-                out.append({"doc_id": ids[row], "start": start, "words": n, "offset": at})
+                k = start // most
+                out.append({"doc_id": ids[row], "row": row, "start": start, "words": n, "offset": at, "text": bodies[row][cuts[row][k] : cuts[row][k + 1]].decode()})
                 body += words[row][start : start + n]
                 at += n
             listed.append(out), counts.append(at), texts.append(b" ".join(body).decode())
         names = [(key[0].as_py() << 32) + b for b in range(len(sizes))]
-        struct = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("offset", pa.int64())])
+        struct = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("offset", pa.int64()), ("text", pa.string())])
         return pa.table({"bin_id": pa.array(names, pa.int64()), "capacity": pa.array(sizes, pa.int64()), "n_words": pa.array(counts, pa.int64()), "pieces": pa.array(listed, pa.list_(struct)), "text": pa.array(texts, pa.string())})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(packed, "bin_id bigint, capacity bigint, n_words bigint, pieces array<struct<doc_id bigint, start bigint, words bigint, offset bigint>>, text string")
+    return dealt.groupBy("shard").applyInArrow(packed, "bin_id bigint, capacity bigint, n_words bigint, pieces array<struct<doc_id bigint, row bigint, start bigint, words bigint, offset bigint, text string>>, text string")

@@ -341,6 +341,16 @@ def test_sequences_hold_the_words(docs):
                 assert held[p["offset"] : p["offset"] + p["words"]] == text[p["doc_id"]][p["start"] : p["start"] + p["words"]]
 
 
+def test_sequences_keep_white_space(docs):
+    pieces = collections.defaultdict(list)
+    for r in packing.sequences(docs, capacities=(16, 64)).collect():
+        assert sum(len(tokens(p["text"])) for p in r["pieces"]) == r["n_words"]
+        for p in r["pieces"]:
+            pieces[r["bin_id"] >> 32, p["row"], p["doc_id"]].append((p["start"], p["text"]))
+    got = [(d or -1, "".join(t for _, t in sorted(own))) for (_, _, d), own in pieces.items()]
+    assert sorted(got) == sorted((r["doc_id"] or -1, r["text"]) for r in docs.collect() if tokens(r["text"]))
+
+
 # 9: URLs
 def test_url_rules(spark):
     urls = ["https://A.Example.org/en/1x?q", "http://x.org", "http://x.org/", "ftp://b.com/fr/1#t", "no scheme/com/fr/", None, "http://notcom/fr/", "http://b.com/de/", "http://example.org/es/1", "a://b://c/", "http://org/x"]
