@@ -27,15 +27,32 @@ def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
 
 
+def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with stage_key, a long of its own for each row: its file's place among the files and its place in the file.
+
+    Both stay the same however often and in whatever splits the table is read. Frames that are not a stored table are
+    stored first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = Scratch(spark, "keyed").keep(docs, "docs")
+    path = F.col("_metadata.file_path")
+    files = sorted(r[0] for r in docs.select(path).distinct().collect())
+    if not files:
+        return docs.withColumn("stage_key", F.lit(None).cast("bigint"))
+    places = F.broadcast(spark.createDataFrame(list(enumerate(files)), "file_place bigint, stage_file string"))  # a row a file
+    rows = docs.select(*docs.columns, path.alias("stage_path"), F.col("_metadata.row_index").alias("stage_row"))
+    key = F.shiftleft("file_place", 40) + F.col("stage_row")
+    return rows.join(places, F.col("stage_path") == F.col("stage_file")).select(*docs.columns, key.alias("stage_key"))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that of the least id; of rows that repeat an id, one."""
-    kept = near_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows_of_id"))
-    kept = Scratch(spark, "kept").keep(kept, "ids")
-    if kept.where("rows_of_id > 1 and doc_id is not null").limit(1).count():
-        least = F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row")
-        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").groupBy("doc_id").agg(least).select("doc_id", "row.*"))
-    ids = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    """Keeps one row of each group of near-duplicates, that of the least id; rows that share an id are compared by their
+    texts like any others, and rows without an id stay."""
+    rows = keyed(spark, docs)
+    found = near_dedup.near_duplicates(rows.where("doc_id is not null"), doc_id="stage_key").select(F.col("doc_id").alias("stage_key"), "component_id")
+    least = found.join(rows.select("doc_id", "stage_key"), "stage_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "stage_key")).alias("row"))
+    kept = Scratch(spark, "kept").keep(least.select("row.stage_key"), "keys")
+    return rows.where("doc_id is not null").join(kept, "stage_key", "left_semi").unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,17 @@ def test_odd_rows_pass(spark, docs_schema):
                 assert sorted(after.columns) == sorted(frame.columns)
 
 
+def test_unlike_texts_of_one_id_stay(spark, docs_schema, tmp_path):
+    make = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = make(1) + " tail"
+    rows = [(7, make(k), "en", "s", k) for k in range(1, 5)] + [(7, make(2), "en", "s", 5), (3, near, "en", "s", 6), (9, near, "en", "s", 7), (8, make(9), "en", "s", 8), (None, make(3), "en", "s", 9)]
+    frame = spark.createDataFrame(rows, docs_schema)
+    frame.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for docs in (frame, spark.read.parquet(str(tmp_path / "docs"))):
+        got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, DATA).collect())
+        assert got == sorted([(3, near), (7, make(2)), (7, make(3)), (7, make(4)), (8, make(9)), (0, make(3))])
+
+
 def test_every_operator_has_a_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries())
     assert numbers == list(range(1, 11)) and set(registry.oracle_sql()) <= set(registry.queries())
