@@ -84,7 +84,8 @@ def vector_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = table.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     ok = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = scratch.keep(rows.withColumn("ok", F.coalesce(ok, F.lit(False))), "rows")
-    groups = scratch.keep(rows.where("ok").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "groups")
+    # ``rep`` numbers the distinct vectors, since unlike ones may share their least id
+    groups = scratch.keep(rows.where("ok").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "groups")
     found = []
     for (width,) in groups.select(F.size("v")).distinct().collect():
         found.append(_links(groups.where(F.size("v") == width), scratch, threshold, cell, block))
@@ -95,7 +96,9 @@ def vector_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str =
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     stars = components(edges, scratch).withColumnRenamed("node", "rep")
     per = partners.groupBy("rep").agg(F.sum("partners").alias("partners"))
-    classes = scratch.keep(groups.join(per, "rep").join(stars, "rep", "left").select("v", "partners", F.coalesce("component_id", "rep").alias("component_id")), "classes")
+    joined = scratch.keep(groups.join(per, "rep").join(stars, "rep", "left").select("v", "id", "partners", F.coalesce("component_id", "rep").alias("node")), "joined")
+    least = joined.groupBy("node").agg(F.min("id").alias("component_id"))
+    classes = scratch.keep(joined.join(least, "node").select("v", "partners", "component_id"), "classes")
     out = rows.join(classes, rows["ok"] & (rows["v"] == classes["v"]), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce(F.col("partners") - 1, F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -141,6 +141,13 @@ def test_vectors_against_all_pairs(spark):
     assert vector_dedup.vector_duplicates(frame.limit(0)).count() == 0
 
 
+def test_unlike_vectors_of_one_id_stay_apart(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (6, [0.0, 0.0, 1.0]), (6, [0.0, -1.0, 0.0])]
+    got = vector_dedup.vector_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    want = [(5, 1, 5, True), (7, 1, 5, False), (5, 1, 3, False), (3, 1, 3, True), (6, 0, 6, True), (6, 0, 6, True)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 # 2: language model
 def test_scores_against_a_plain_model(docs, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 300)
