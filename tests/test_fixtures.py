@@ -336,3 +336,24 @@ def test_admission_on_a_stream(spark, tmp_path):
     out.awaitTermination()
     order = lambda df: sorted((r["user_id"], r["id"], r["accepted"]) for r in df.collect())
     assert order(spark.read.parquet(str(tmp_path / "out"))) == order(jobs.replay_admission(frame, 3, 60))
+
+
+def test_late_rows_are_not_repeats(spark, tmp_path):
+    batches = [[("a", 100_000), ("b", 100_001), ("a", 100_000)], [("c", 90_000), ("a", 100_000), ("d", 200_000)], [("e", 1), ("c", 90_000)]]
+    schema = "request_id string, created_at bigint"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        writer = jobs.without_repeats(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [("a", 100_000), ("b", 100_001), ("c", 90_000), ("d", 200_000), ("e", 1)]
+
+
+def test_vendors_are_read_whole(spark, tmp_path):
+    from meterlake.plans import rankings
+
+    suppliers = [(61, "S61"), (81, "S81"), (1002, "S1002"), (79, "none")]
+    spark.createDataFrame(suppliers, "s_suppkey bigint, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    meta, vendors = rankings.vendors(spark, str(tmp_path))
+    assert sorted((r["model_name"], r["vendor_id"]) for r in meta.collect()) == [("model-1", 61), ("model-2", 1002)] and vendors.count() == 4
