@@ -17,7 +17,10 @@ from meterlake.llm import words as W
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = b"|>"
 ENDINGS = ".!?:;,)\"'…»”。！？"  # of a line's last word
-BOILERPLATE = (b"all rights reserved", b"cookie policy", b"use of cookies", b"terms of use", b"terms of service", b"privacy policy", b"click here", b"sign up", b"log in", b"subscribe to", b"share this", b"skip to content", b"lorem ipsum", b"enable javascript")
+BOILERPLATE = (
+    b"all rights reserved", b"cookie policy", b"use of cookies", b"terms of use", b"terms of service", b"privacy policy", b"click here",
+    b"sign up", b"log in", b"subscribe to", b"share this", b"skip to content", b"lorem ipsum", b"enable javascript",
+)
 FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines_removed bigint, n_words_kept bigint, base_failed boolean, kept boolean"
 
 #: Limits of the line rules and of the document rule.
@@ -38,6 +41,7 @@ def _mask(of: bytes) -> np.ndarray:
 
 IS_SYMBOL, IS_SEPARATOR = _mask(SYMBOLS), _mask(SEPARATORS)
 IS_UPPER, IS_LETTER = _mask(bytes(range(65, 91))), _mask(bytes([*range(65, 91), *range(97, 123)]))
+IS_ALNUM = IS_LETTER | _mask(b"0123456789")
 
 
 def _ends(data: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -83,6 +87,24 @@ def _lines(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end - (data[end - 1] == 10), row
 
 
+def _phrase_lines(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Lines that hold a stock phrase whole, with no ASCII letter or digit right before or after it in the line."""
+    text, found = low.tobytes(), [np.zeros(0, np.int64)]
+    for phrase in BOILERPLATE:
+        hits, at = [], text.find(phrase)
+        while at >= 0:
+            hits.append(at)
+            at = text.find(phrase, at + 1)
+        first = np.array(hits, np.int64)
+        last, line = first + len(phrase), np.searchsorted(begin, first, side="right") - 1
+        # rows and lines lie side by side in the bytes: what is outside the hit's own line is no neighbour
+        inside = last <= end[line]
+        free = (first == begin[line]) | ~IS_ALNUM[low[np.maximum(first - 1, 0)]]
+        free &= (last >= end[line]) | ~IS_ALNUM[low[np.minimum(last, len(low) - 1)]]
+        found.append(line[inside & free])
+    return np.unique(np.concatenate(found))
+
+
 def _counts(words: W.Words) -> list[np.ndarray]:
     data, row_words = words.data, words.per_row()
     total = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
@@ -115,13 +137,8 @@ def _counts(words: W.Words) -> list[np.ndarray]:
     bad |= (upper > MAX_UPPER * letters) & (in_line >= 5) & (letters >= 20)
     bad |= (np.bincount(line, doubled, minlength=len(begin)) > MAX_REPEATED * n) & (in_line >= 5)
     bad |= ~ended & (in_line <= SHORT_LINE)
-    low = W.LOWER[data].tobytes()
-    for phrase in BOILERPLATE:
-        at = low.find(phrase)
-        while at >= 0:
-            k = int(np.searchsorted(begin, at, side="right")) - 1
-            bad[k] |= in_line[k] <= BOILERPLATE_WORDS
-            at = low.find(phrase, at + 1)
+    stock = _phrase_lines(W.LOWER[data], begin, end)
+    bad[stock] |= in_line[stock] <= BOILERPLATE_WORDS
     bad &= in_line > 0
     removed = np.bincount(row[bad], minlength=words.rows)
     left = row_words - np.bincount(row[bad], in_line[bad], minlength=words.rows).astype(np.int64)
@@ -139,7 +156,8 @@ def _compute(column):
 def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_removed, n_words_kept, base_failed, kept.
 
-    One row per input row, with the columns of ``carry`` (None: all); one that has a result's name gives way. Null
+    A line with a stock phrase counts as boilerplate only if the phrase stands in it as words of its own. One row per
+    input row, whatever rows share its batch, with the columns of ``carry`` (None: all); one that has a result's name gives way. Null
     and empty texts have no words and fail. An empty table gives an empty one.
     """
     return W.with_columns(docs, text, FIELDS, carry, lambda: _compute)
@@ -161,7 +179,7 @@ counted AS (SELECT r, line, len(w) AS n, right(w[-1], 1) AS last, len(regexp_ext
     len(regexp_extract_all(line, '[A-Z]')) AS upper, len(regexp_extract_all(line, '[A-Za-z]')) AS letters, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS doubled,
     translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM split WHERE len(w) > 0),
 judged AS (SELECT r, line, n, (symbols > {MAX_SYMBOLS} * n AND n >= 3) OR (separators > {MAX_SEPARATORS} * n AND n >= 3) OR (upper > {MAX_UPPER} * letters AND n >= 5 AND letters >= 20) OR (doubled > {MAX_REPEATED} * n AND n >= 5)
-    OR (n <= {SHORT_LINE} AND last NOT IN ({", ".join(map(_quoted, ENDINGS))})) OR (n <= {BOILERPLATE_WORDS} AND ({" OR ".join(f"contains(low, {_quoted(x.decode())})" for x in BOILERPLATE)})) AS bad FROM counted),
+    OR (n <= {SHORT_LINE} AND last NOT IN ({", ".join(map(_quoted, ENDINGS))})) OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(low, '(^|[^a-z0-9])({"|".join(x.decode() for x in BOILERPLATE)})($|[^a-z0-9])')) AS bad FROM counted),
 summed AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_lines_removed, CAST(COALESCE(sum(n) FILTER (NOT bad), 0) AS BIGINT) AS n_words_kept FROM judged GROUP BY r),
 based AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(n_repeat_words, 0) AS n_repeat_words,
     COALESCE(n_lines_removed, 0) AS n_lines_removed, COALESCE(n_words_kept, 0) AS n_words_kept FROM worded LEFT JOIN repeats USING (r) LEFT JOIN summed USING (r))

@@ -212,6 +212,30 @@ def test_quality_rules_keep_good_and_drop_bad(spark, real):
     assert kept[2] is False and kept[3] is False
 
 
+def test_quality_verdicts_do_not_depend_on_neighbours(spark):
+    prose = "The keepers count the boats that pass below the bridge and write each name down in a long grey book."
+    rows = [(1, f"{prose}\n{prose[:-1]} and one more blog"), (2, f" in the evening they close it again.\n{prose}"), (3, "You keep the catalog in the drawer by the window, where the light is good and the paper stays dry all year."), (4, f"{prose}\nPlease click"), (5, f" here they stand.\n{prose}"), (6, f"{prose} a"), (7, f"log in now to read on, and then some words follow.\nlog in")]
+    rows += [(10 + i, prose * 2) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [sorted(map(tuple, quality_rules.quality_rules(frame.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id"), carry=["doc_id"]).collect())) for n in (1, 2, len(rows))]
+    assert found[0] == found[1] == found[2]
+    removed = {r[0]: r[6] for r in found[0]}
+    assert [removed[i] for i in (1, 2, 3, 5, 6, 7)] == [0, 0, 0, 0, 0, 2] and {r[0]: r[-1] for r in found[0]}[3]
+
+
+def test_quality_rules_match_their_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["Log in", "analog in", "Please LOG IN.", "x\nlog in\n", "blog in", "click here»", "1click here.", "a | b | c", None, "", "We use of cookies and all terms of use apply."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    cursor = con.execute(quality_rules.SQL)
+    names = [d[0] for d in cursor.description]
+    got = quality_rules.quality_rules(spark.read.parquet(str(tmp_path / "d")), carry=["doc_id"])
+    assert sorted(cursor.fetchall()) == sorted(tuple(r[c] for c in names) for r in got.collect())
+
+
 # 8: language
 def test_cross_parsing_against_a_scan():
     texts = {"a": "abracadabra abrac", "b": "mississippi sip"}
