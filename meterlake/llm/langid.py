@@ -4,22 +4,30 @@ For each language a suffix automaton of labelled text recognises exactly that te
 greedily against each automaton into the longest phrases that occur in the language's text; a phrase of a foreign
 language breaks off early. The language that needs the fewest phrases a character wins.
 
-Text is reduced to lower-case letters, with one space for each run of anything else, and parsed in blocks of BLOCK
-characters (phrases end at block ends), so that the blocks of many documents walk through all automata in step.
+Text is reduced to lower-case letters, with one space for each run of anything else. The parse is that of the whole
+text. To run in step it is tried in every block of BLOCK characters at once, from a short run before the block; where
+a block was not entered in the state that the block before ends in, the true state is carried on until both meet.
+
+An automaton's arcs lie packed in one array: a state's base plus the symbol is an arc's slot, and the slot names the
+state that owns it. Its size follows the number of arcs, not states times symbols.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
 
-#: Letters of labelled text a language that an automaton is built of, taken from at most SAMPLE_ROWS rows a language
-#: of SAMPLE_CHARS characters each: the bounds of the sample that the driver collects.
-TRAIN_CHARS, SAMPLE_ROWS, SAMPLE_CHARS = 30_000, 200, 4_000
-BLOCK = 512
+#: The labelled sample of a language: passages, and characters of a passage. All labelled texts are dealt into such
+#: passages from end to end, and the hash of text and place draws among all of them. Languages are the commonest ones.
+PASSAGES, PASSAGE, LANGUAGES = 16, 2_048, 100
+#: Characters that are parsed in step, and those before them that lead a parse into the state of the whole text's one.
+BLOCK, WARM = 512, 64
+LOW = 2**32 - 1
 UNKNOWN = "und"
 #: Letters for which the score compares languages' phrase rates.
 SHARPNESS = 64
@@ -49,10 +57,8 @@ def reduced(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(np.bincount(row[~drop], minlength=len(texts)))]).astype(np.int64), points[~drop]
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions (state, symbol) to state, -1 if none, of the least automaton of all substrings; state 0 is empty."""
-    size = 2 * len(symbols) + 1
-    goes = np.full((max(size, 1), alphabet), -1, np.int32)
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Arcs by state of the least automaton of all substrings; state 0 is empty."""
     arcs: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -78,91 +84,173 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    for state, of in enumerate(arcs):
-        for c, to in of.items():
-            goes[state, c] = to
-    return goes[: len(arcs)]
+    return arcs
+
+
+def packed(arcs: list[dict[int, int]], alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base of each state, owner of each slot or -1, where its arc leads), for symbols 0 to ``alphabet``.
+
+    States with many arcs are placed first; each round, the states that are left try random bases, and those keep
+    theirs whose slots are all free and wanted by no state before them.
+    """
+    count = np.array([len(a) for a in arcs])
+    owner_of = np.repeat(np.arange(len(arcs)), count)
+    symbol = np.fromiter((c for a in arcs for c in a), np.int64, int(count.sum()))
+    target = np.fromiter((t for a in arcs for t in a.values()), np.int32, int(count.sum()))
+    first = np.cumsum(count) - count
+    room = 3 * len(symbol) + 1
+    base, owner, leads = np.zeros(len(arcs), np.int32), np.full(room + alphabet + 1, -1, np.int32), np.full(room + alphabet + 1, -1, np.int32)
+    random = np.random.default_rng(1)
+    left = np.argsort(-count, kind="stable")
+    left = left[count[left] > 0]
+    while len(left):
+        # a batch of states whose arcs fill a small part of the room
+        batch = left[: max(1, int(np.searchsorted(np.cumsum(count[left]), room // 16)))]
+        n = count[batch]
+        arc = np.repeat(first[batch] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        state = np.repeat(np.arange(len(batch)), n)
+        tried = random.integers(0, room, len(batch))
+        slot = tried[state] + symbol[arc]
+        taken = owner[slot] >= 0
+        again = np.ones(len(slot), bool)
+        again[np.unique(slot, return_index=True)[1]] = False
+        lost = np.zeros(len(batch), bool)
+        lost[state[taken | again]] = True
+        fits = ~lost[state]
+        owner[slot[fits]], leads[slot[fits]] = owner_of[arc[fits]], target[arc[fits]]
+        base[batch[~lost]] = tried[~lost]
+        left = np.concatenate([batch[lost], left[len(batch) :]])
+    return base, owner, leads
 
 
 class Model:
-    """The languages, the symbols of the alphabet and one automaton a language, stacked into one table."""
+    """The languages, the symbols of the alphabet, and a packed automaton for each language."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
-        points = sorted({ord(c) for t in texts.values() for c in t})
-        self.points = np.array(points, np.uint32)
-        symbol = {chr(c): k for k, c in enumerate(points)}
-        tables = [suffix_automaton([symbol[c] for c in texts[x]], len(points)) for x in self.languages]
-        starts = np.cumsum([0] + [len(t) for t in tables])[:-1]
-        #: the last symbol stands for letters that no language has; it leads nowhere
-        self.goes = np.concatenate([np.where(t >= 0, t + s, -1) for t, s in zip(tables, starts, strict=True)]) if tables else np.zeros((0, 0), np.int32)
-        self.goes = np.concatenate([self.goes, np.full((len(self.goes), 1), -1, np.int32)], axis=1).astype(np.int32)
-        self.starts = starts.astype(np.int32)
+        self.points = np.array(sorted({ord(c) for t in texts.values() for c in t}), np.uint32)
+        #: the symbol after the last one stands for letters that no language has; no state has an arc for it
+        width = len(self.points)
+        symbol = {chr(c): k for k, c in enumerate(self.points)}
+        #: of each language: base of a state; owner and target of a slot, in one number; where the root goes by symbol
+        self.automata = []
+        for x in self.languages:
+            arcs = suffix_automaton([symbol[c] for c in texts[x]])
+            base, owner, leads = packed(arcs, width)
+            root = np.zeros(width + 1, np.int64)
+            root[list(arcs[0])] = list(arcs[0].values())
+            self.automata.append((base.astype(np.int64), owner.astype(np.int64) << 32 | np.maximum(leads, 0), root))
 
-    def phrases(self, bounds: np.ndarray, points: np.ndarray) -> np.ndarray:
-        """(row, language): phrases of the greedy parse."""
-        rows, width = len(bounds) - 1, self.goes.shape[1]
-        symbol_of = np.full(max(int(points.max(initial=0)), int(self.points[-1])) + 1, width - 1, np.int32)
+    def blocks(self, bounds: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, size, place in its row, symbols) of each block, symbols as (character, block)."""
+        symbol_of = np.full(max(int(points.max(initial=0)), int(self.points[-1])) + 1, len(self.points), np.int32)
         symbol_of[self.points] = np.arange(len(self.points))
-        symbols = symbol_of[points]
-        counts = -(-np.diff(bounds) // BLOCK)
-        row = np.repeat(np.arange(rows), counts)
-        begin = bounds[row] + BLOCK * (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
-        size = np.minimum(bounds[row + 1] - begin, BLOCK)
-        order = np.argsort(-size, kind="stable")
-        begin, size, row = begin[order], size[order], row[order]
-        table, n = self.goes.ravel(), len(self.languages)
-        root = np.repeat(self.starts, len(begin)).reshape(n, -1)
-        state, found = root.copy(), np.zeros((n, len(begin)), np.int32)
-        alive = len(begin)
-        for t in range(int(size[0]) if len(size) else 0):
-            while size[alive - 1] <= t:
-                alive -= 1
-            c = symbols[begin[:alive] + t]
-            now = state[:, :alive]
-            to = table[now * width + c]
-            ended = to < 0
-            # a phrase begins at the root, and where the last one can't go on
-            found[:, :alive] += ended | (now == root[:, :alive])
-            # a character that the language lacks is a phrase of its own, and leaves the parse at the root
-            again = table[root[:, :alive][ended] * width + np.broadcast_to(c, ended.shape)[ended]]
-            to[ended] = np.where(again >= 0, again, root[:, :alive][ended])
-            state[:, :alive] = to
-        total = np.zeros((rows, n))
-        for k in range(n):
-            total[:, k] = np.bincount(row, found[k], minlength=rows)
+        sizes = np.diff(bounds)
+        counts = -(-sizes // BLOCK)
+        first = np.cumsum(counts) - counts
+        row = np.repeat(np.arange(len(sizes)), counts)
+        place = np.arange(len(row)) - first[row]
+        symbols = np.zeros(len(row) * BLOCK, np.int64)
+        symbols[np.arange(len(points)) + np.repeat(first * BLOCK - bounds[:-1], sizes)] = symbol_of[points]
+        return row, np.minimum(sizes[row] - place * BLOCK, BLOCK), place, np.ascontiguousarray(symbols.reshape(-1, BLOCK).T)
+
+    def phrases(self, bounds: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """(row, language): phrases of the greedy parse of each row."""
+        row, size, place, symbols = self.blocks(bounds, points)
+        total = np.zeros((len(bounds) - 1, len(self.languages)))
+        if len(row):
+            for k, automaton in enumerate(self.automata):
+                total[:, k] = np.bincount(row, _parse(automaton, size, place, symbols), minlength=len(total))
         return total
 
 
-def train(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS, chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """Reduced training text by language, at most ``chars`` letters of at most ``rows`` rows a language.
+def _step(automaton, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(next state, whether a phrase began): at the root, and where the last phrase can't go on, one does.
 
-    A bounded sample: the driver gets ``rows`` * SAMPLE_CHARS characters a language. Rows go by the hash of their
-    text, so the choice depends on contents only, and copies of a text count once.
+    A character that the language lacks is a phrase of its own, and leaves the parse at the root.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("of"), F.substring(text, 1, SAMPLE_CHARS).alias("body"), F.xxhash64(text).alias("place"))
+    base, slots, root = automaton
+    slot = slots.take(base.take(state) + symbol)
+    ends = slot >> 32 != state
+    return np.where(ends, root.take(symbol), slot & LOW), ends | (state == 0)
+
+
+def _parse(automaton, size: np.ndarray, place: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Phrases that the parse of its row begins in each block."""
+    # every block but a row's first is entered in the state of a parse that began WARM characters before
+    entry = np.zeros(len(size), np.int64)
+    later = np.flatnonzero(place > 0)
+    state = entry[later]
+    for t in range(BLOCK - WARM, BLOCK):
+        state, _ = _step(automaton, state, symbols[t, later - 1])
+    entry[later] = state
+    # all blocks in step: state after each character, and whether a phrase began with it
+    order = np.argsort(-size, kind="stable")
+    sizes, ordered = size[order], np.ascontiguousarray(symbols[:, order])
+    states, began = np.zeros(symbols.shape, np.int64), np.zeros(symbols.shape, bool)
+    state, alive = entry[order], len(size)
+    for t in range(int(sizes[0])):
+        while sizes[alive - 1] <= t:
+            alive -= 1
+        state, began[t, :alive] = _step(automaton, state[:alive], ordered[t, :alive])
+        states[t, :alive] = state
+    lane = np.empty(len(order), np.int64)
+    lane[order] = np.arange(len(order))
+    # blocks that were not entered in the state that the block before ends in are parsed again, up to where both meet;
+    # the first such block of a row is right then, and so in the end are all
+    while True:
+        before = states[BLOCK - 1, lane[later - 1]]
+        wrong = later[entry[later] != before]
+        if not len(wrong):
+            return began.sum(axis=0)[lane]
+        state = entry[wrong] = before[entry[later] != before]
+        for t in range(BLOCK):
+            own = lane[wrong]
+            state, began[t, own] = _step(automaton, state, symbols[t, wrong])
+            go = (state != states[t, own]) & (t + 1 < size[wrong])
+            states[t, own] = state
+            wrong, state = wrong[go], state[go]
+            if not len(wrong):
+                break
+
+
+def train(docs: DataFrame, text: str, lang: str, passages: int = PASSAGES, passage: int = PASSAGE, languages: int = LANGUAGES) -> dict[str, str]:
+    """Reduced training text by language: at most ``passages`` of ``passage`` characters, drawn from all labelled texts.
+
+    A bounded sample: the driver gets at most ``passages`` * ``passage`` characters of each of the ``languages`` that
+    have most passages. Passages go by the hash of their text and their place in it, so the choice depends on contents
+    only, and copies of a text count once.
+    """
+    labelled = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).cast("string").alias("of"), F.col(text).cast("string").alias("whole"), F.xxhash64(text).alias("hash"))
+    dealt = labelled.withColumn("at", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(whole) - 1) div {passage} as int)"))))
+    dealt = dealt.select("of", F.xxhash64("hash", "at").alias("place"), F.substring("whole", F.col("at") * passage + 1, F.lit(passage)).alias("body"))
     found: dict[str, list] = {}
-    for r in W.first_by_hash(labelled, "of", "place", rows).collect():
+    for r in W.first_by_hash(dealt, "of", "place", passages, languages).collect():
         found.setdefault(r["of"], []).append((r["place"], r["body"]))
     out = {}
     for of, bodies in found.items():
         bounds, points = reduced(pa.array([b for _, b in sorted(bodies)]))
-        out[of] = " ".join("".join(map(chr, points[a:b])) for a, b in zip(bounds, bounds[1:], strict=False) if b > a)[:chars]
+        out[of] = " ".join("".join(map(chr, points[a:b])) for a, b in zip(bounds, bounds[1:], strict=False) if b > a)
     return {k: v for k, v in out.items() if v}
 
 
+def _parts(column: pa.Array) -> Iterator[pa.Array]:
+    bounds, _ = W.text_bytes(column)
+    for low, high in W.chunks(bounds):
+        yield column.slice(low, high - low)
+
+
 def _predict(model: Model):
     names = np.array([*model.languages, UNKNOWN])
 
     def compute(column):
         best, scores = [], []
-        byte_bounds, _ = W.text_bytes(column)
-        for low, high in W.chunks(byte_bounds):
-            bounds, points = reduced(column.slice(low, high - low))
-            size = np.diff(bounds)
+        for part in _parts(column):
             if not len(model.languages):
-                best.append(np.zeros(high - low, np.int64)), scores.append(np.zeros(high - low))
+                best.append(np.zeros(len(part), np.int64)), scores.append(np.zeros(len(part)))
                 continue
+            bounds, points = reduced(part)
+            size = np.diff(bounds)
             rate = model.phrases(bounds, points) / np.maximum(size, 1)[:, None]
             likely = np.exp(-SHARPNESS * (rate - rate.min(axis=1, keepdims=True)))
             none = size == 0
@@ -173,14 +261,16 @@ def _predict(model: Model):
     return compute
 
 
-def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None, passages: int = PASSAGES, passage: int = PASSAGE, languages: int = LANGUAGES) -> DataFrame:
     """Adds lang_pred and score to ``docs``; one row per input row.
 
-    ``training``: labelled rows with columns ``text`` and ``lang``; nulls in either teach nothing. lang_pred is one of
-    their values, `und` for null texts, texts without a letter, and where nothing was learned; ties go to the first
-    name. ``score``: share of the winner among exp(-SHARPNESS * phrases a letter), 0 for `und`. Columns of ``carry``
-    (None: all) stay unless a result has their name. An empty table gives an empty one.
+    ``training``: labelled rows with columns ``text`` and ``lang``; nulls in either teach nothing. The automata learn
+    from a bounded sample of it: at most ``passages`` passages of ``passage`` characters for each of the ``languages``
+    commonest labels. lang_pred is one of their values, `und` for null texts, texts without a letter, and where
+    nothing was learned; ties go to the first name. ``score``: share of the winner among exp(-SHARPNESS * phrases a
+    letter), 0 for `und`. Texts are parsed whole. Columns of ``carry`` (None: all) stay unless a result has their
+    name; repeated rows are judged each. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(Model(train(training, text, lang)))
+    model = spark.sparkContext.broadcast(Model(train(training, text, lang, passages, passage, languages)))
     return W.with_columns(docs, text, FIELDS, carry, lambda: _predict(model.value))

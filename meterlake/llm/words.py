@@ -134,13 +134,15 @@ def held_out(doc_id: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def first_by_hash(rows: DataFrame, group: str, place: str, count: int) -> DataFrame:
+def first_by_hash(rows: DataFrame, group: str, place: str, count: int, groups: int = 100) -> DataFrame:
     """Of each group the ``count`` rows that come first by ``place``, a 64-bit hash; equal hashes count once.
 
     A threshold from the number of distinct hashes leaves some four times as many rows before anything is shuffled,
-    so no group meets in one task as a whole. Null groups are left out. The driver gets one number a group.
+    so no group meets in one task as a whole. Null groups are left out, and so are groups beyond the ``groups`` that
+    have most hashes: the driver gets one number for each of those.
     """
-    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.approx_count_distinct(place).alias("n")).collect()
+    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.approx_count_distinct(place).alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), group).limit(groups).collect()
     keep = F.lit(False)
     for r in sizes:
         keep = keep | ((F.col(group) == r[group]) & (F.col(place) / 2.0**64 + 0.5 <= min(1.0, 4.0 * (count + 25) / max(1, r["n"]))))

@@ -237,22 +237,57 @@ def test_quality_rules_match_their_sql(spark, tmp_path):
 
 
 # 8: language
+def greedy(plain, trained):
+    """Phrases of the plain greedy parse of a whole text."""
+    n = at = 0
+    while at < len(plain):
+        size = 1
+        while at + size < len(plain) and plain[at : at + size + 1] in trained:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
 def test_cross_parsing_against_a_scan():
-    texts = {"a": "abracadabra abrac", "b": "mississippi sip"}
+    rng = np.random.default_rng(4)
+    noise = "".join(rng.choice(list("abrcdmisp "), 3000))
+    texts = {"a": "abracadabra abrac " + noise[:1500], "b": "mississippi sip " + noise[700:2200]}
     model = langid.Model(texts)
-    column = pa.array(["Abra miss!", None, "", "123", "zzz abra", "mississippi " * 80])
+    column = pa.array(["Abra miss!", None, "", "123", "zzz abra", "mississippi " * 80, noise * 2, noise[100:1400], "mississippi " * 200 + noise, "q" * 1500, noise[:512], noise[:513], noise[:1025]])
     bounds, points = langid.reduced(column)
     got = model.phrases(bounds, points)
     for i in range(len(column)):
         plain = "".join(map(chr, points[bounds[i] : bounds[i + 1]]))
-        for k, of in enumerate(model.languages):
-            n = 0
-            for start in range(0, len(plain), langid.BLOCK):
-                rest = plain[start : start + langid.BLOCK]
-                while rest:
-                    size = next((s for s in range(len(rest), 0, -1) if rest[:s] in texts[of]), 1)
-                    rest, n = rest[size:], n + 1
-            assert got[i, k] == n
+        assert [got[i, k] for k in range(2)] == [greedy(plain, texts[of]) for of in model.languages]
+
+
+def test_automata_of_large_alphabets_stay_small():
+    rng = np.random.default_rng(6)
+    text = "".join(map(chr, 0x4E00 + rng.integers(0, 5000, 60_000)))
+    model = langid.Model({"zh": text})
+    assert sum(x.nbytes for x in model.automata[0]) < 10e6
+    bounds, points = langid.reduced(pa.array([text[100:2000], text[5:900] + text[7000:7700]]))
+    assert model.phrases(bounds, points).ravel().tolist() == [1, 2]
+
+
+def test_prediction_against_a_scan(real):
+    """Every score and prediction of the sample table from plain greedy parses of whole texts."""
+    training = real.where("doc_id % 2 = 0")
+    texts = langid.train(training, "text", "lang", 2, 400)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(real.limit(60), training, passages=2, passage=400).collect()}
+    for r in real.limit(60).collect():
+        bounds, points = langid.reduced(pa.array([r["text"]]))
+        plain = "".join(map(chr, points))
+        rate = [greedy(plain, texts[of]) / max(len(plain), 1) for of in sorted(texts)]
+        likely = [math.exp(-langid.SHARPNESS * (x - min(rate))) for x in rate]
+        want = (sorted(texts)[rate.index(min(rate))], max(likely) / sum(likely)) if plain else ("und", 0)
+        assert got[r["doc_id"]][0] == want[0] and got[r["doc_id"]][1] == pytest.approx(want[1])
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, f"text number {i}", f"l{i % 30}") for i in range(300)] + [(900, "only once here", "rare")]
+    found = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "text", "lang", languages=30)
+    assert len(found) == 30 and "rare" not in found
 
 
 def test_language_of_sample(docs, real):
