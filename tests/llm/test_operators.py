@@ -155,10 +155,10 @@ def test_scores_against_a_plain_model(docs, monkeypatch):
     low = lambda t: [w.translate(LOW) for w in tokens(t)] + [None]
     rows = [(r["doc_id"], low(r["text"])) for r in docs.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c, b = collections.Counter(), collections.Counter()
+    c, b, d = (collections.Counter() for _ in range(3))
     for i, w in rows:
         if not held(i):
-            c.update(w), b.update(zip(w, w[1:], strict=False))
+            c.update(w), b.update(zip(w, w[1:], strict=False)), d.update(zip(w, w[1:], w[2:], strict=False))
     n, v = sum(c.values()), len(c)
     want = []
     for i, w in rows:
@@ -167,13 +167,26 @@ def test_scores_against_a_plain_model(docs, monkeypatch):
             p = (c[x] + 1) / (n + v + 1)
             base += math.log10(p)
             if k and c[w[k - 1]]:
-                p = (b[w[k - 1], x] + lm_scoring.PRIOR * p) / (c[w[k - 1]] + lm_scoring.PRIOR)
+                p = (b[w[k - 1], x] + lm_scoring.PRIOR[0] * p) / (c[w[k - 1]] + lm_scoring.PRIOR[0])
+            if k > 1 and b[w[k - 2], w[k - 1]]:
+                p = (d[w[k - 2], w[k - 1], x] + lm_scoring.PRIOR[1] * p) / (b[w[k - 2], w[k - 1]] + lm_scoring.PRIOR[1])
             score += math.log10(p)
         want.append((str(i), held(i), len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == sorted(want)
     assert lm_scoring.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_model_tells_repeats_apart(spark):
+    """Each text that the corpus holds twice scores higher than where it holds it once; the other texts don't."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 120) % 3000) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    more = [(1000 + i, t) for i, t in rows[:40] if zlib.crc32(str(1000 + i).encode()) % 7 != 2]
+    once, twice = ({r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(spark.createDataFrame(x, "doc_id bigint, text string")).collect()} for x in (rows, rows + more))
+    risen = {i for i, _ in rows if twice[i] > once[i] + 10}
+    assert risen == {i - 1000 for i, _ in more}
+
+
 def test_model_beats_its_base(real):
     r = lm_scoring.lm_scores(real).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r["s"] > r["b"]
