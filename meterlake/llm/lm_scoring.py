@@ -14,8 +14,8 @@ machine, so blocks of documents fetch the part they walk through: each block sen
 hashes in order, with its own counts, to hash buckets; the buckets add the counts of all blocks and answer each. Then
 a block's texts are walked left to right. No training count is cut off or sampled.
 
-Words go by 64-bit hashes. Hashes of n-grams have 24 bits more than it takes to number the corpus' tokens, so that a
-given n-gram has another one's hash, and its count with it, with a chance of 2**-24 at most.
+Words go by 64-bit hashes. Hashes of n-grams have 20 bits more than it takes to number the corpus' tokens, so that a
+given n-gram has another one's hash, and its count with it, with a chance of 2**-20 at most.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ PRIOR = (50.0, 50.0)
 BLOCK_WORDS = 500_000
 #: Distinct words and n-grams of a bucket, on average.
 BUCKET_KEYS = 1_000_000
-SPARE_BITS = 24
+SPARE_BITS = 20
 END = np.uint64(0x5BD1E9955BD1E995)  # stands for the end of a text
 PARTS = ("ids", "nulls", "held", "lengths", "vocabulary", "tokens")
 BLOCK_FIELDS = "block bigint, " + ", ".join(f"{x} binary" for x in PARTS) + ", n_keys bigint, train_tokens bigint, n_tokens bigint"
