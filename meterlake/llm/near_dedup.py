@@ -26,8 +26,8 @@ BANDS, ROWS = 64, 5
 SLACK = 0.13
 #: Shingles hashed at a time, so that they stay in a core's cache.
 SLICE = 1 << 15
-#: Members up to which a bucket is expanded into pairs, and documents of a block where it is larger.
-SMALL, COMPARED = 24, 256
+#: Members up to which a bucket is expanded into pairs, and signatures of a block where it is larger.
+SMALL, COMPARED = 24, 2_048
 SET_FIELDS = "n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, minima binary"
 
 
@@ -153,7 +153,7 @@ def _stars(source, shared, marks, scratch, threshold, shingle) -> DataFrame:
         pairs = shared.select(F.col(leader).alias("a"), F.col("rep").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         open_pairs = scratch.keep(_alike(_apart(pairs, known), marks, least), "alike")
         known = steps.merge(known, _likeliest(open_pairs))
-        split = scratch.keep(_split(shared, known), "split")
+        split = scratch.keep(_split(shared, known).repartition("key", "rep"), "split")
         if not _any(split.where(F.col("held") > SMALL)):  # a second leader is only worth it in large buckets
             break
     # small buckets that hold two components still, pair by pair
@@ -165,7 +165,7 @@ def _stars(source, shared, marks, scratch, threshold, shingle) -> DataFrame:
     if not _any(many):
         return known
     # large ones in blocks, by the components of now
-    many = _split(many.select("key", "rep"), known)
+    many = scratch.keep(_split(many.select("key", "rep"), known).repartition("key", "rep"), "many")
     return steps.link(known, _in_blocks(many, known, marks, steps, least))
 
 
@@ -184,39 +184,70 @@ def _in_blocks(many: DataFrame, known: DataFrame, marks: DataFrame, steps: _Conf
     """(u, v): components linked by documents that share large buckets.
 
     Components that meet in such buckets form a family. Documents outside its largest component are compared with all
-    of the family, block against block, so that no pair is a row unless it is a link.
+    of the family, block against block: by signatures first, and then by the shingle sets of those documents alone
+    that have a likely partner in the pair of blocks. No pair is a row unless it is a link.
     """
     keep = steps.scratch.keep
     families = components(many.select(F.col("component_id").alias("u"), F.col("first_of").alias("v")), steps.scratch)
     members = many.select("rep").distinct().join(known.select(F.col("node").alias("rep"), "component_id"), "rep")
     met = many.select("component_id", "rep").distinct().join(families.select(F.col("node").alias("component_id"), F.col("component_id").alias("family")), "component_id").select("rep", "family")
     members = keep(members.join(met, "rep"), "members")
-    sizes = members.groupBy("family", "component_id").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("family").agg(F.max_by("component_id", F.struct("n", "component_id")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
-    placed = members.join(sizes, "family").withColumns({"rights": F.ceil(F.col("all") / COMPARED).cast("int"), "lefts": F.ceil((F.col("all") - F.col("most")) / COMPARED).cast("int")})
-    placed = placed.join(steps.sets(placed.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep").join(marks, "rep")
-    placed = keep(placed, "placed")
-    mix = F.xxhash64("rep")
-    right = placed.withColumn("j", F.pmod(mix, F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
-    left = placed.where("component_id != main").withColumn("i", F.pmod(mix, F.col("lefts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
-    side = lambda df, of: df.select(F.col("family").alias(f"{of}_f"), F.col("i").cast("int").alias(f"{of}_i"), F.col("j").cast("int").alias(f"{of}_j"), F.col("component_id").alias("component"), F.col("minima").alias("minima"), F.col("shingles").alias("shingles")).groupBy(f"{of}_f", f"{of}_i", f"{of}_j")
+    left, right = _dealt(members, marks)
+    of = ["family", "i", "j"]
+    fields = "family bigint, i int, j int, rep bigint, component bigint, minima binary, first boolean"
+
+    def likely(key, a, b):
+        """Documents of either block that may have a partner of another component in the other one."""
+        near = _near(a, b, least)
+        some = [(side[near.any(axis=axis)], first) for side, axis, first in ((a, 1, True), (b, 0, False))] if len(a) and len(b) else []
+        return pd.concat([x.assign(first=first) for x, first in some]) if some else pd.DataFrame(columns=[*of, "rep", "component", "minima", "first"])
+
+    found = keep(left.groupBy(*of).cogroup(right.groupBy(*of)).applyInPandas(likely, fields), "likely")
+    if not _any(found):
+        return found.select(F.col("rep").alias("u"), F.col("rep").alias("v"))
+    sets = keep(steps.sets(found.select(F.col("rep").alias("id"))), "likely-sets")
+    full = found.join(sets.withColumnRenamed("id", "rep"), "rep").select(*of, "component", "minima", "first", "shingles")
     threshold = steps.threshold
 
     def compare(key, a, b):
         links = set()
-        if len(a) and len(b):
-            y = np.frombuffer(b"".join(b["minima"]), np.uint8).reshape(len(b), -1)
-            of_b, sets_b = b["component"].to_numpy(), list(b["shingles"])
-            for own, x, shingles in zip(a["component"], a["minima"], a["shingles"], strict=True):
-                near = ((y == np.frombuffer(x, np.uint8)).mean(axis=1) >= least) & (of_b != own)
-                for k in np.flatnonzero(near):
-                    if (own, of_b[k]) not in links:
-                        common = np.isin(shingles, sets_b[k], assume_unique=True).sum()
-                        if 100 * common >= threshold * (len(shingles) + len(sets_b[k]) - common):
-                            links.add((own, of_b[k]))
+        near = _near(a, b, least)
+        of_a, of_b, sets_a, sets_b = list(a["component"]), list(b["component"]), list(a["shingles"]), list(b["shingles"])
+        for i, k in zip(*np.nonzero(near), strict=True) if len(a) and len(b) else ():
+            if (of_a[i], of_b[k]) not in links:
+                common = np.isin(sets_a[i], sets_b[k], assume_unique=True).sum()
+                if 100 * common >= threshold * (len(sets_a[i]) + len(sets_b[k]) - common):
+                    links.add((of_a[i], of_b[k]))
         return pd.DataFrame(sorted(links), columns=["u", "v"], dtype="int64")
 
-    return side(left, "a").cogroup(side(right, "b")).applyInPandas(compare, "u bigint, v bigint")
+    return full.where("first").groupBy(*of).cogroup(full.where("not first").groupBy(*of)).applyInPandas(compare, "u bigint, v bigint")
+
+
+def _dealt(members: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(family, i, j, rep, component, minima) of the documents outside a family's largest component, and of all.
+
+    Block i of the former meets block j of the latter. A signature has a copy for each COMPARED documents that it
+    meets, so what is sent grows with the family while one side fits a block.
+    """
+    sizes = members.groupBy("family", "component_id").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max_by("component_id", F.struct("n", "component_id")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    blocks = {"rights": F.ceil(F.col("all") / COMPARED).cast("int"), "lefts": F.ceil((F.col("all") - F.col("most")) / COMPARED).cast("int")}
+    placed = members.join(sizes, "family").withColumns(blocks).join(marks, "rep")
+    mix = F.xxhash64("rep")
+    right = placed.withColumns({"j": F.pmod(mix, F.col("rights")), "i": F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))})
+    left = placed.where("component_id != main").withColumns({"i": F.pmod(mix, F.col("lefts")), "j": F.explode(F.sequence(F.lit(0), F.col("rights") - 1))})
+    left, right = (df.select("family", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "rep", F.col("component_id").alias("component"), "minima") for df in (left, right))
+    return left, right
+
+
+def _near(a: pd.DataFrame, b: pd.DataFrame, least: float) -> np.ndarray:
+    """(row of a, row of b): whether signatures agree in ``least`` of their minima and components differ."""
+    near = np.zeros((len(a), len(b)), bool)
+    if len(a) and len(b):
+        y, of_b = np.frombuffer(b"".join(b["minima"]), np.uint8).reshape(len(b), -1), b["component"].to_numpy()
+        for k, (own, x) in enumerate(zip(a["component"], a["minima"], strict=True)):
+            near[k] = ((y == np.frombuffer(x, np.uint8)).mean(axis=1) >= least) & (of_b != own)
+    return near
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:

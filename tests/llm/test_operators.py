@@ -116,6 +116,15 @@ def test_near_duplicates_in_large_families(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_near(rows)
 
 
+def test_copies_sent_grow_less_than_the_square_of_a_family(spark):
+    sent = []
+    for n in (500, 1000, 2000):
+        members = spark.range(n).selectExpr("id as rep", "0L as family", "if(id % 3 = 0, id, 1L) as component_id")
+        left, right = near_dedup._dealt(members, members.selectExpr("rep", "binary('x') as minima"))
+        sent.append(left.count() + right.count())
+    assert sent[1] <= 2.1 * sent[0] and sent[2] <= 2.1 * sent[1]
+
+
 def test_near_duplicates_of_sample(real):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(real).collect()), key=str)
     assert got == brute_near([(r["doc_id"], r["text"]) for r in real.collect()])
