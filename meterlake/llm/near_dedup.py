@@ -194,15 +194,17 @@ def _in_blocks(many: DataFrame, known: DataFrame, marks: DataFrame, steps: _Conf
     members = keep(members.join(met, "rep"), "members")
     left, right = _dealt(members, marks)
     of = ["family", "i", "j"]
+    # both sides come from one table: columns of their own keep them apart
+    side = lambda df, name: df.select(*(F.col(c).alias(f"{name}_{c}" if c in of else c) for c in df.columns)).groupBy(*(f"{name}_{c}" for c in of))
     fields = "family bigint, i int, j int, rep bigint, component bigint, minima binary, first boolean"
 
     def likely(key, a, b):
         """Documents of either block that may have a partner of another component in the other one."""
         near = _near(a, b, least)
-        some = [(side[near.any(axis=axis)], first) for side, axis, first in ((a, 1, True), (b, 0, False))] if len(a) and len(b) else []
-        return pd.concat([x.assign(first=first) for x, first in some]) if some else pd.DataFrame(columns=[*of, "rep", "component", "minima", "first"])
+        some = [x[near.any(axis=axis)].set_axis([*of, "rep", "component", "minima"], axis=1).assign(first=axis == 1) for x, axis in ((a, 1), (b, 0))]
+        return pd.concat(some)
 
-    found = keep(left.groupBy(*of).cogroup(right.groupBy(*of)).applyInPandas(likely, fields), "likely")
+    found = keep(side(left, "a").cogroup(side(right, "b")).applyInPandas(likely, fields), "likely")
     if not _any(found):
         return found.select(F.col("rep").alias("u"), F.col("rep").alias("v"))
     sets = keep(steps.sets(found.select(F.col("rep").alias("id"))), "likely-sets")
@@ -220,7 +222,7 @@ def _in_blocks(many: DataFrame, known: DataFrame, marks: DataFrame, steps: _Conf
                     links.add((of_a[i], of_b[k]))
         return pd.DataFrame(sorted(links), columns=["u", "v"], dtype="int64")
 
-    return full.where("first").groupBy(*of).cogroup(full.where("not first").groupBy(*of)).applyInPandas(compare, "u bigint, v bigint")
+    return side(full.where("first"), "a").cogroup(side(full.where("not first"), "b")).applyInPandas(compare, "u bigint, v bigint")
 
 
 def _dealt(members: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,8 +238,8 @@ def _dealt(members: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     mix = F.xxhash64("rep")
     right = placed.withColumns({"j": F.pmod(mix, F.col("rights")), "i": F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))})
     left = placed.where("component_id != main").withColumns({"i": F.pmod(mix, F.col("lefts")), "j": F.explode(F.sequence(F.lit(0), F.col("rights") - 1))})
-    left, right = (df.select("family", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "rep", F.col("component_id").alias("component"), "minima") for df in (left, right))
-    return left, right
+    new = lambda df: df.select(F.col("family").alias("family"), *(F.col(c).cast("int").alias(c) for c in "ij"), F.col("rep").alias("rep"), F.col("component_id").alias("component"), F.col("minima").alias("minima"))
+    return new(left), new(right)
 
 
 def _near(a: pd.DataFrame, b: pd.DataFrame, least: float) -> np.ndarray:
