@@ -449,12 +449,57 @@ def test_url_rules(spark):
     assert got[7]["verdict"] == "block" and got[8]["rule"] == "example.org/es/" and got[9]["host"] == "b:" and got[10]["rule"] == "org/"
 
 
-def test_markov_sums_to_one_and_separates():
-    model = url_filter.Markov(["abc", "abd"], order=2, alphabet=4)
-    letters = sorted({c for own in model.counts.values() for c in own})
-    total = sum(math.exp(model.log_likelihood("ab" + c)[0] if isinstance(model.log_likelihood("ab" + c), tuple) else model.log_likelihood("ab" + c)) for c in letters)
-    assert 0 < total < 1
+def witten_bell(texts, order):
+    """p(byte | bytes before it in the text), by plain recursion over counts of substrings."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in texts:
+        t = b"\x02" + t.encode() + b"\x03"
+        for i in range(1, len(t)):
+            for k in range(min(order, i) + 1):
+                counts[t[i - k : i]][t[i]] += 1
+
+    def p(context, c):
+        lower = p(context[1:], c) if context else 1 / 256
+        own = counts.get(context)
+        return lower if not own else (own[c] + len(own) * lower) / (sum(own.values()) + len(own))
+
+    return lambda text, i: p(text[max(0, i - order) : i], text[i])
+
+
+def test_markov_against_a_plain_recursion():
+    texts, order = ["http://a.net/x", "http://b.net/é?q", "", "http://a.net/x"], 3
+    plain, model = witten_bell(texts, order), url_filter.Markov(texts, order)
+    for text in [*texts, "ftp://zzz", "http://a.net/y", "ü"]:
+        data, _, place = url_filter._padded(pa.array([text]))
+        at = np.flatnonzero(place > 0)
+        assert np.exp(model.log_probabilities(data, at, place[at])) == pytest.approx([plain(bytes(data), i) for i in at])
+    # over all bytes that can follow a context, probabilities sum to one
+    for context in (b"\x02", b"\x02http", b"\x02a.ne", b"\x02\xff\xfe"):
+        data = np.frombuffer(b"".join(context + bytes([c]) for c in range(256)), np.uint8)
+        at = np.arange(1, 257) * (len(context) + 1) - 1
+        assert np.exp(model.log_probabilities(data, at, np.full(256, len(context)))).sum() == pytest.approx(1)
+
+
+def test_url_verdicts_against_plain_models(spark):
+    """Ruled URLs teach both models; every score of the rest is the difference of plain recursions' logs a byte."""
+    rng = np.random.default_rng(9)
+    words_of = {"org": ["river", "stone", "field"], "com/de": ["casino", "bonus", "spin"]}
+    urls = [f"http://{rng.choice(words_of['org'])}.org/{k % 9}" for k in range(30)] + [f"http://{rng.choice(words_of['com/de'])}.com/de/{k % 7}" for k in range(30)]
+    urls += ["http://river.net/3", "http://bonus.net/de/1", "http://spin-casino.net", "", None, "x" * 3000, "http://river.net/3"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("verdict", F.lit("clash")).repartition(3)
+    got = {r["page_id"]: r for r in url_filter.url_filter(frame, order=3).collect()}
+    good, bad = sorted(set(urls[:30])), sorted(set(urls[30:60]))
+    a, b = witten_bell(good, 3), witten_bell(bad, 3)
+    for i, u in enumerate(urls):
+        t = b"\x02" + (u or "").encode() + b"\x03"
+        want = sum(math.log(a(t, k)) - math.log(b(t, k)) for k in range(1, len(t))) / (len(t) - 1) if u else 0
+        assert got[i]["lm_score"] == pytest.approx(want)
+    assert [got[i]["verdict"] for i in (60, 61, 62, 63, 64, 66)] == ["allow", "block", "block", "allow", "allow", "allow"]
+    assert url_filter.url_filter(frame.limit(0)).count() == 0
+
+
+def test_calibration_separates():
     good, bad = [f"http://good.net/page/{i}" for i in range(200)], [f"http://casino.net/win/{i}" for i in range(200)]
     ratio, cut = url_filter.Ratio(good, bad), url_filter.calibrated(good, bad)
-    assert ratio("http://good.net/page/999") > cut > ratio("http://casino.net/win/999")
+    assert ratio(pa.array(["http://good.net/page/999"]))[0] > cut > ratio(pa.array(["http://casino.net/win/999"]))[0]
     assert url_filter.calibrated([], bad) == 0
