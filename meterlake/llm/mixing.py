@@ -8,10 +8,14 @@ shuffling texts. A target over the source's size repeats whole epochs first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlake.llm.scratch import Scratch
 
+#: Rows of one bucket, on average: that of a source in which its budget ends is sorted in one task.
+BUCKET_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,14 +43,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     return rows.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("final.level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = (), seed: str = "", digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = (), seed: str = "", digits: int | None = None) -> DataFrame:
     """(``carry``, doc_id, size, source_size, target, taken): one row per input row.
 
     ``size``: words of the text (null: 0). ``taken``: words that the mix takes, repeats counted, at most ``most``
     times the size; a source's taken words sum to its rounded target. The order within a source is that of
     md5(seed + id), id, size; rows alike in all of them share the words at the cut evenly, rounded down. Null is a
     source and an id of its own. Carried columns keep their names unless one of the five results has it. An empty
-    table gives an empty one. ``digits``: hexadecimal digits of the key that name a bucket.
+    table gives an empty one. ``digits``: hexadecimal digits of the key that name a bucket; None: as many as give
+    buckets of some BUCKET_ROWS rows, three at least.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -55,6 +60,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     carried = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(carry) if c not in results]
     sized = docs.select(*carried, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.md5(F.concat(F.lit(seed), name)).alias("key"), name.alias("name"))
     slim = scratch.keep(sized.select("source", "size", "key", "name", "doc_id"), "sized")
+    if digits is None:
+        digits = max(3, math.ceil(math.log(max(1, slim.count() / BUCKET_ROWS), 16)))
     buckets = slim.groupBy("source", F.substring("key", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"))
     buckets = scratch.keep(buckets, "buckets")
     goals = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)

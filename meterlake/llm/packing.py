@@ -35,8 +35,11 @@ def sequence_cost(capacity: int) -> float:
     return capacity * (1 + capacity / 8192)
 
 
-def _best_fit(sizes: list[int], capacities: tuple[int, ...], cost: Callable[[int], float]) -> tuple[list[int], list[int], float]:
-    """(bin of each piece, contents of each bin, total cost after downsizing) for pieces in decreasing order."""
+def _best_fit(sizes: list[int], capacities: tuple[int, ...], cost: Callable[[int], float], limit: int) -> tuple[list[int], list[int], float]:
+    """(bin of each piece, contents of each bin, total cost after downsizing) for pieces in decreasing order.
+
+    Sizes over ``limit`` are opened only for pieces that need them.
+    """
     rooms: list[tuple[int, int]] = []  # (room, bin), sorted
     held: list[int] = []
     bins, left = [], sum(sizes)
@@ -45,7 +48,8 @@ def _best_fit(sizes: list[int], capacities: tuple[int, ...], cost: Callable[[int
         if k < len(rooms):
             room, at = rooms.pop(k)
         else:
-            room = min((c for c in capacities if c >= size), key=lambda c: (cost(c) / min(c, left), -c))
+            fit = [c for c in capacities if c >= size]
+            room = min([c for c in fit if c <= limit] or fit, key=lambda c: (cost(c) / min(c, left), -c))
             at = len(held)
             held.append(0)
         bins.append(at)
@@ -62,17 +66,8 @@ def _downsized(contents: int, capacities: tuple[int, ...], cost: Callable[[int],
 
 def pack_shard(sizes: list[int], capacities: tuple[int, ...], cost: Callable[[int], float] = sequence_cost) -> tuple[list[int], list[int]]:
     """(bin of each piece, capacity of each bin); ``sizes`` in decreasing order, none above the largest capacity."""
-    ways = []
-    for limit in capacities:
-        # larger sizes are opened only for pieces that need them
-        need = tuple(c for c in capacities if c <= limit)
-        over = [s for s in sizes if s > limit]
-        bins, held, total = _best_fit(sizes[len(over) :], need, cost)
-        if over:
-            more, full, extra = _best_fit(over, capacities, cost)
-            bins, held, total = more + [b + len(full) for b in bins], full + held, total + extra
-        ways.append((total, -limit, bins, held))
-    _, _, bins, held = min(ways, key=lambda w: w[:2])
+    ways = [(*_best_fit(sizes, capacities, cost, limit), -limit) for limit in capacities]
+    bins, held, *_ = min(ways, key=lambda w: w[2:])
     return bins, [_downsized(x, capacities, cost) for x in held]
 
 

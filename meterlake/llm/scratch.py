@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 class Scratch:
     """Parquet tables under ``spark.checkpoint.dir``.
 
-    A written table survives the loss of any executor and of its shuffle files. Where the session names no
-    checkpoint folder (tests, one machine), one is made and set.
+    A written table survives the loss of any executor and of its shuffle files. Where a session on one machine names
+    no checkpoint folder (tests), one is made and set; on a cluster such a folder would be out of executors' reach.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:
+            if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             top = tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("spark.checkpoint.dir", top)
         self.spark, self.top = spark, f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

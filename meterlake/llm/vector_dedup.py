@@ -19,15 +19,22 @@ from meterlake.llm.scratch import Scratch
 
 #: Vectors of a cell to aim at, the most pivots (a bound of what the driver holds), and vectors of a block.
 CELL, MOST_PIVOTS, BLOCK = 4_096, 512, 4_096
-#: Slack of a replication bound and of single precision, both far over their rounding.
-NEAR = 1e-5
+#: Slack of a replication bound, far over the rounding of double precision.
+NEAR = 1e-9
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled by their largest component first, so that no square over- or underflows."""
     vectors = vectors.astype(np.float64)
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def single_slack(width: int) -> float:
+    """Most that a product of two unit vectors errs in single precision: a rounding for each component and for each sum."""
+    return (width + 8) * 2.0**-23
+
+
 def pivots(sample: np.ndarray, count: int, apart: float) -> np.ndarray:
     """Up to ``count`` unit vectors of the sample, in its order, no two within ``apart``: groups give one each."""
     chosen: list[np.ndarray] = []
@@ -63,9 +70,9 @@ def _roots(n: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
 
 def range_join(left: np.ndarray, right: np.ndarray, threshold: float, step: int = 256):
     """Slices of (row of left, row of right) with cosine >= threshold in double precision, for unit vectors."""
-    a, b = left.astype(np.float32), right.astype(np.float32)
+    a, b, slack = left.astype(np.float32), right.astype(np.float32), single_slack(left.shape[1])
     for k in range(0, len(a), step):
-        i, j = np.nonzero(a[k : k + step] @ b.T >= threshold - NEAR)
+        i, j = np.nonzero(a[k : k + step] @ b.T >= threshold - slack)
         i += k
         sure = np.einsum("ij,ij->i", left[i], right[j]) >= threshold
         yield i[sure], j[sure]

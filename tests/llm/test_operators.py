@@ -150,6 +150,19 @@ def test_vectors_against_all_pairs(spark):
     assert vector_dedup.vector_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_scale_and_width(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [1e200, 2e200]), (4, [-1e300, 1e-300])]
+    got = vector_dedup.vector_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(tuple(r)[:3] for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+    rng = np.random.default_rng(3)
+    x, y = (vector_dedup.units(rng.normal(size=(40, 4000)) + 2.98) for _ in range(2))
+    exact = np.einsum("ik,jk->ij", x, y)
+    assert np.abs(x.astype(np.float32) @ y.astype(np.float32).T - exact).max() < vector_dedup.single_slack(4000)
+    threshold = float(np.median(exact))
+    found = {(i, j) for a, b in vector_dedup.range_join(x, y, threshold) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert len(found ^ set(zip(*(k.tolist() for k in np.nonzero(exact >= threshold)), strict=True))) <= 1
+
+
 def test_unlike_vectors_of_one_id_stay_apart(spark):
     rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (6, [0.0, 0.0, 1.0]), (6, [0.0, -1.0, 0.0])]
     got = vector_dedup.vector_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
@@ -376,6 +389,7 @@ def test_mixing_targets_and_cuts(docs):
     assert sum(t for _, t in by) == pytest.approx(1.5 * total)
     for (size, target), rows in by.items():
         assert sum(r["size"] for r in rows) == size and abs(sum(r["taken"] for r in rows) - target) <= len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs, digits=1).collect())) == sorted(map(str, mixing.mix(docs, digits=6).collect()))
     again = mixing.mix(docs.repartition(5)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(docs.limit(0)).count() == 0
@@ -411,6 +425,38 @@ def test_packing_places_every_word_once(docs, real):
             assert own[0]["bin_words"] == filled and own[0]["capacity"] == min(c for c in (16, 64, 256) if c >= filled)
 
 
+def partitions(sizes):
+    """All ways to put pieces into bins, as lists of contents."""
+    if not sizes:
+        yield []
+        return
+    for rest in partitions(sizes[1:]):
+        for k in range(len(rest)):
+            yield [*rest[:k], rest[k] + sizes[0], *rest[k + 1 :]]
+        yield [*rest, sizes[0]]
+
+
+def test_packing_against_the_best_of_all_packings():
+    rng = np.random.default_rng(5)
+    capacities, worst, best = (16, 32, 64), [], 0
+    for _ in range(60):
+        sizes = sorted((int(x) for x in rng.integers(1, 65, rng.integers(1, 8))), reverse=True)
+        least = min(sum(packing.sequence_cost(packing._downsized(x, capacities, packing.sequence_cost)) for x in way) for way in partitions(sizes) if max(way) <= 64)
+        bins, opened = packing.pack_shard(sizes, capacities)
+        held = collections.Counter()
+        for b, s in zip(bins, sizes, strict=True):
+            held[b] += s
+        assert all(held[b] <= c for b, c in enumerate(opened)) and sum(held.values()) == sum(sizes)
+        worst.append(sum(map(packing.sequence_cost, opened)) / least)
+        best += worst[-1] < 1 + 1e-9
+    assert max(worst) < 1.4 and np.mean(worst) < 1.03 and best >= 45
+
+
+def test_packing_offers_open_rooms_to_all_pieces():
+    bins, opened = packing.pack_shard([40, 20, 4], (32, 64), cost=lambda c: c)
+    assert len(set(bins)) == 1 and opened == [64]
+
+
 def test_packing_is_best_fit():
     # least costly size for 60 words is 64; 30 then goes where it leaves least room
     bins, sizes = packing.pack_shard([60, 50, 30, 14, 4], (64, 128), cost=lambda c: c)
