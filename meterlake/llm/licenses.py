@@ -58,73 +58,64 @@ def plain(column: pa.Array) -> pa.Array:
 
 
 class Templates:
-    """Templates by window size, with their minima and shingles."""
+    """Templates by shingle size and window size, with their minima and shingles.
+
+    A template of fewer words than SHINGLE is one shingle of all its words, and windows of that shingle size are looked
+    up for it.
+    """
 
     def __init__(self, templates, bands: int):
         self.names = [name for name, _ in templates]
         self.odd = np.random.default_rng(11).integers(0, 2**63, (bands, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.shingles: list[np.ndarray] = []
-        self.short: dict[int, dict[int, int]] = {}  # words of a template under SHINGLE words: its one shingle
-        self.levels: dict[int, list[int]] = {}
+        #: shingle size: level (windows are two blocks of 2**level shingles; at level 0 one shingle): templates
+        self.levels: dict[int, dict[int, list[int]]] = {}
         for k, (_, text) in enumerate(templates):
             (words,) = W.split(plain(pa.array([text])))
-            n = len(words.doc)
-            _, value = W.windows(words, min(n, SHINGLE))
-            self.shingles.append(np.unique(value))
-            if n < SHINGLE:
-                self.short.setdefault(n, {})[int(value[0])] = k
-            else:
-                self.levels.setdefault(max(0, int(np.ceil(np.log2(len(value))))), []).append(k)
-        self.minima = {level: np.array([[int((self.shingles[k] * a + b).min()) for a, b in self.odd] for k in own], dtype=np.uint64) for level, own in self.levels.items()}
-
-    def candidates(self, value: np.ndarray, doc: np.ndarray):
-        """Slices (template, begin, end): shingle ranges of windows that share a minimum with a template."""
-        found = {level: set() for level in self.levels}
-        top = max(self.levels, default=-1)
-        n = len(value)
-        if not n:
-            return []
+            size = min(len(words.doc), SHINGLE)
+            self.shingles.append(np.unique(W.windows(words, size)[1]))
+            level = int(np.ceil(np.log2(len(self.shingles[k]))))
+            self.levels.setdefault(size, {}).setdefault(level, []).append(k)
+        #: (band, template) of each shingle size and level
+        self.minima = {(size, level): np.array([[(self.shingles[k] * a + b).min() for k in own] for a, b in self.odd]) for size, of in self.levels.items() for level, own in of.items()}
+
+    def candidates(self, size: int, value: np.ndarray) -> list[tuple[int, int, int]]:
+        """(template, begin, end): shingle ranges of windows that share a minimum with a template."""
+        levels = self.levels[size]
+        found: set[tuple[int, int, int]] = set()
         for band, (a, b) in enumerate(self.odd):
             least = value * a + b
-            for level in range(top + 1):
+            for level in range(max(levels) + 1):
                 if level:
-                    if len(least) % 2:
-                        least = np.append(least, np.uint64(2**64 - 1))
+                    least = np.append(least, np.uint64(2**64 - 1)) if len(least) % 2 else least
                     least = np.minimum(least[::2], least[1::2])
-                if level in self.levels and (level or not band):
-                    own = self.minima[level][:, band]
-                    hit = np.flatnonzero(np.isin(least, own) if level else np.isin(value, np.concatenate([self.shingles[k] for k in self.levels[0]])))
-                    for h in hit:
-                        for t, m in zip(self.levels[level], own, strict=True):
-                            # a block's minimum is that of the windows with either neighbour, if it is the lesser one
-                            if not level or m == least[h]:
-                                found[level].add((t, int(h)))
-        size = {level: 1 << level for level in found}
-        return sorted({(t, max(0, (h - 1) * size[level]), min(n, (h + 2) * size[level])) for level, own in found.items() for t, h in own})
+                # windows of one shingle agree in all bands or none
+                if level in levels and (level or not band):
+                    own = self.minima[size, level][band]
+                    hit = np.flatnonzero(np.isin(least, own))
+                    # a block's minimum is that of the windows with either neighbour, if it is the lesser one
+                    at, which = np.nonzero(least[hit][:, None] == own[None, :])
+                    begin, end = np.maximum(0, (hit - (level > 0)) << level), np.minimum(len(value), (hit + 1 + (level > 0)) << level)
+                    found |= {(levels[level][t], int(begin[h]), int(end[h])) for h, t in zip(at, which, strict=True)}
+        return sorted(found)
 
 
 def _scan(templates: Templates, least: float):
     def compute(column):
         out = []
         for part in W.split(plain(column)):
-            first, value = W.windows(part, SHINGLE)
-            doc = part.doc[first]
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            for t, low, high in templates.candidates(value, doc):
-                own, shingles = value[low:high], templates.shingles[t]
-                at = np.flatnonzero(np.isin(own, shingles))
-                for d in np.unique(doc[low + at]):
-                    mine = at[doc[low + at] == d]
-                    share = len(np.unique(own[mine])) / len(shingles)
-                    where = int(first[low + mine[0]])
-                    if share >= least:
-                        key = (int(d), t)
-                        best[key] = min(best.get(key, (0.0, 0)), (-share, where))
-            for n, known in templates.short.items():
-                first, value = W.windows(part, n)
-                for h in np.flatnonzero(np.isin(value, np.array(list(known), dtype=np.uint64))):
-                    key = (int(part.doc[first[h]]), known[int(value[h])])
-                    best[key] = min(best.get(key, (0.0, 0)), (-1.0, int(first[h])))
+            for size in templates.levels:
+                first, value = W.windows(part, size)
+                doc = part.doc[first]
+                for t, low, high in templates.candidates(size, value) if len(value) else ():
+                    own, shingles = value[low:high], templates.shingles[t]
+                    at = np.flatnonzero(np.isin(own, shingles))
+                    for d in np.unique(doc[low + at]):
+                        mine = at[doc[low + at] == d]
+                        share = len(np.unique(own[mine])) / len(shingles)
+                        if share >= least:
+                            best[int(d), t] = min(best.get((int(d), t), (0.0, 0)), (-share, int(first[low + mine[0]])))
             begins = np.concatenate([[0], np.cumsum(part.per_row())])
             out += [(part.row + d, templates.names[t], -share, at - int(begins[d])) for (d, t), (share, at) in sorted(best.items())]
         return out
@@ -137,7 +128,8 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
 
     ``containment``: the largest share, ``least`` at least, of the template's distinct five-word shingles in one
     window; ``first_word``: index of the first shared word there, over words of letters, digits, inner dots and
-    hyphens. A template of fewer words is one shingle. A-Z and other marks don't count. Null, empty and unlicensed
+    hyphens. A template of fewer words is one shingle. A notice that other words are spread over, so that no window
+    of twice its length holds that share, is not found. A-Z and other marks don't count. Null, empty and unlicensed
     texts give no row; rows that repeat an id give theirs each; an empty table gives an empty one. Templates are a
     parameter of fixed size and travel with the task.
     """

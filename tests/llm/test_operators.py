@@ -361,6 +361,29 @@ def test_license_scan(spark):
     assert {d for d, _ in got} == {1, 4, 6, 7}
 
 
+def test_license_recall_of_edited_notices(spark):
+    """Notices with words changed, of containment 0.75 and over in one run, amid other words: all found, none below."""
+    rng = np.random.default_rng(7)
+    split = lambda t: [w for part in words.split(licenses.plain(pa.array([t]))) for w in [bytes(part.data[s:e]).decode() for s, e in zip(part.start, part.end, strict=True)]]
+    rows, want = [], {}
+    for name, text in licenses.TEMPLATES:
+        w = split(text)
+        n = min(5, len(w))
+        own = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+        for _ in range(12):
+            edited = list(w)
+            for at in rng.choice(len(w), int(rng.integers(0, 1 + len(w) // 12)), replace=False):
+                edited[at] = f"changed{at}"
+            share = len(own & {tuple(edited[i : i + n]) for i in range(len(w) - n + 1)}) / len(own)
+            noise = [f"n{k}" for k in rng.integers(0, 500, 400)]
+            cut = int(rng.integers(0, 300))
+            want[len(rows)] = (name, share)
+            rows.append((len(rows), " ".join(noise[:cut] + edited + noise[cut:])))
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (name, share) in want.items():
+        assert ((i, name) in got) == (share >= 0.75) and got.get((i, name), share) == pytest.approx(share)
+
+
 def test_license_scan_against_containment(real):
     """Brute force: the best containment of each template over all word windows of twice its size."""
     split = lambda t: [w for part in words.split(licenses.plain(pa.array([t]))) for w in [bytes(part.data[s:e]).decode() for s, e in zip(part.start, part.end, strict=True)]]
