@@ -2,7 +2,7 @@
 
 A document is a bag of passages. Each passage is encoded, gated attention (tanh gate times sigmoid gate) weighs the
 passages, and the weighted sum is classified. Only documents have labels; the attention learns which passages carry
-them. Inputs are surface features of the text alone.
+them. Inputs are the words of the text alone: their hashes, dealt into WORDS buckets, and their shapes.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
 
-#: Words of a passage, labelled documents of each label that the model learns from (a bounded sample), and its sizes.
-PASSAGE, SAMPLE = 48, 1_000
+#: Words of a passage; the bounded sample that the model learns from: labelled documents of each label, and passages of
+#: each, evenly spaced over its text. Scores come from all passages.
+PASSAGE, SAMPLE, SAMPLED = 48, 1_000, 64
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 24, 12, 120, 0.03, 1e-4
 #: score from which a document counts as good
 CUT = 0.3
@@ -22,8 +23,9 @@ CUT = 0.3
 KIND = np.full(256, 4, np.int64)
 KIND[97:123], KIND[65:91], KIND[48:58], KIND[128:] = 0, 1, 2, 5
 KIND[list(b".,!?;:")] = 3
-KINDS, SIZES = 6, 4
-FEATURES = KINDS * SIZES + KINDS + 4
+KINDS, SIZES, WORDS = 6, 4, 64
+SHAPES = KINDS * SIZES
+FEATURES = SHAPES + WORDS + KINDS + 4
 
 
 def passages(column: pa.Array, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
@@ -40,12 +42,14 @@ def passages(column: pa.Array, size: int = PASSAGE) -> tuple[np.ndarray, np.ndar
         length = part.end - part.start
         shape = KIND[part.data[part.end - 1]] * SIZES + np.minimum((length - 1) // 3, SIZES - 1)
         x = np.zeros((total, FEATURES))
-        x[:, : KINDS * SIZES] = np.bincount(place * KINDS * SIZES + shape, minlength=total * KINDS * SIZES).reshape(total, -1) / n
+        x[:, :SHAPES] = np.bincount(place * SHAPES + shape, minlength=total * SHAPES).reshape(total, -1) / n
+        bucket = (part.hash % np.uint64(WORDS)).astype(np.int64)
+        x[:, SHAPES : SHAPES + WORDS] = np.bincount(place * WORDS + bucket, minlength=total * WORDS).reshape(total, -1) / n
         kinds = KIND[part.data]
         for k in range(KINDS):
             sums = np.concatenate([[0], np.cumsum(kinds == k)])
             own = (sums[part.end] - sums[part.start]) / np.maximum(length, 1)
-            x[:, KINDS * SIZES + k] = np.bincount(place, own, minlength=total) / n[:, 0]
+            x[:, SHAPES + WORDS + k] = np.bincount(place, own, minlength=total) / n[:, 0]
         again = np.zeros(len(part.doc))
         again[1:] = (part.hash[1:] == part.hash[:-1]) & (place[1:] == place[:-1])
         order = np.lexsort((part.hash, place))
@@ -70,9 +74,9 @@ class AttentionModel:
         shapes = {"W": (FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": (1,)}
         self.p = {k: r.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 or k in "wc" else np.zeros(s) for k, s in shapes.items()}
 
-    def _forward(self, x: np.ndarray, starts: np.ndarray, bag: np.ndarray) -> dict:
+    def _forward(self, xs: np.ndarray, starts: np.ndarray, bag: np.ndarray) -> dict:
         p = self.p
-        h = np.tanh((x - self.mean) / self.scale @ p["W"] + p["b"])
+        h = np.tanh(xs @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (t * s) @ p["w"]
         a = np.exp(e - np.maximum.reduceat(e, starts)[bag])
@@ -80,6 +84,18 @@ class AttentionModel:
         z = np.add.reduceat(a[:, None] * h, starts)
         return {"h": h, "t": t, "s": s, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))}
 
+    def gradients(self, xs: np.ndarray, starts: np.ndarray, bag: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+        """Derivatives of the mean log loss, for scaled inputs."""
+        p, f = self.p, self._forward(xs, starts, bag)
+        g = (f["y"] - label) / len(label)
+        dz = g[:, None] * p["c"]
+        dh = f["a"][:, None] * dz[bag]
+        da = (f["h"] * dz[bag]).sum(axis=1)
+        de = f["a"] * (da - np.add.reduceat(f["a"] * da, starts)[bag])
+        dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
+        dh = (dh + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"c": f["z"].T @ g, "d": g.sum(keepdims=True), "w": (f["t"] * f["s"]).T @ de, "V": f["h"].T @ dt, "U": f["h"].T @ ds, "W": xs.T @ dh, "b": dh.sum(axis=0)}
+
     def fit(self, row: np.ndarray, x: np.ndarray, label: np.ndarray) -> AttentionModel:
         """``row``: sorted bag of each passage, from 0; ``label``: 0 or 1 of each bag."""
         starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
@@ -88,15 +104,7 @@ class AttentionModel:
         p, m, v = self.p, {}, {}
         xs = (x - self.mean) / self.scale
         for step in range(1, EPOCHS + 1):
-            f = self._forward(x, starts, bag)
-            g = (f["y"] - label) / len(label)
-            dz = g[:, None] * p["c"]
-            dh = f["a"][:, None] * dz[bag]
-            da = (f["h"] * dz[bag]).sum(axis=1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, starts)[bag])
-            dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-            dh = (dh + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
-            grads = {"c": f["z"].T @ g, "d": g.sum(keepdims=True), "w": (f["t"] * f["s"]).T @ de, "V": f["h"].T @ dt, "U": f["h"].T @ ds, "W": xs.T @ dh, "b": dh.sum(axis=0)}
+            grads = self.gradients(xs, starts, bag, label)
             for k, d in grads.items():
                 d = d + DECAY * p[k]
                 m[k] = 0.9 * m.get(k, 0) + 0.1 * d
@@ -107,15 +115,15 @@ class AttentionModel:
     def scores(self, row: np.ndarray, x: np.ndarray) -> np.ndarray:
         if not len(row):
             return np.zeros(0)
-        return self._forward(x, np.flatnonzero(np.append(True, row[1:] != row[:-1])), row)["y"]
+        return self._forward((x - self.mean) / self.scale, np.flatnonzero(np.append(True, row[1:] != row[:-1])), row)["y"]
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, fold: int = 0, sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:
     """Adds held_out, score and predicted to ``docs``; one row per input row.
 
     Learns from the labelled rows whose crc32(id as text) mod ``folds`` is not ``fold``: the ``sample`` ids of each
-    label that come first by hash (a bounded sample). Null labels and ids teach nothing; an id with several labels
-    teaches each. score: near 1 if label 1 is likelier, 0.5 for all if nothing was learned; null and empty texts are
+    label that come first by hash, and SAMPLED passages of each (a bounded sample). Null labels and ids teach nothing; an
+    id with several labels teaches each; of rows that repeat an id, the text of the least hash teaches. score: near 1 if label 1 is likelier, 0.5 for all if nothing was learned; null and empty texts are
     one passage of zeros. predicted: 1 if score >= 0.3. Columns of ``carry`` (None: all) stay unless a result has
     their name. An empty table gives an empty one.
     """
@@ -125,10 +133,17 @@ def quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     usable = usable.where(~W.held_out("id", folds, fold)).withColumn("place", F.xxhash64("id"))
     picked = W.first_by_hash(usable, "label", "place", sample).select("id", "label")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("body")).join(F.broadcast(picked), "id")
+    # one text for each id and label: two long hashes first, then the texts that have them
+    least = texts.where("body is not null").groupBy("id", "label").agg(F.min(F.xxhash64("body")).alias("hash"))
+    texts = texts.join(F.broadcast(least), ["id", "label"]).where(F.xxhash64("body") == F.col("hash")).dropDuplicates(["id", "label"])
 
     def features(batches):
         for batch in batches:
             row, x = passages(batch.column(1))
+            counts = np.bincount(row, minlength=batch.num_rows)
+            first = np.cumsum(counts) - counts
+            some = np.concatenate([f + np.unique(np.linspace(0, n - 1, min(n, SAMPLED)).astype(np.int64)) for f, n in zip(first, counts, strict=True)] or [np.zeros(0, np.int64)])
+            row, x = row[some], x[some]
             ids, label = batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([ids, label, pa.array(row), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["id", "label", "row", "x"])
 

@@ -344,6 +344,44 @@ def test_classifier_on_held_out_documents(spark):
     assert auc > 0.95 and np.mean([s >= 0.3 for s in good]) > 0.95
 
 
+def test_attention_model_against_loops_and_differences():
+    """The forward pass against plain loops, and the first training step against numeric derivatives of the loss."""
+    rng = np.random.default_rng(2)
+    row, label = np.array([0, 0, 0, 1, 2, 2]), np.array([1.0, 0.0, 1.0])
+    x = rng.normal(size=(6, quality_model.FEATURES))
+    model = quality_model.AttentionModel()
+    p = model.p
+
+    def plain(b):
+        h = [np.tanh(v @ p["W"] + p["b"]) for v in x[row == b]]
+        e = [sum(w * math.tanh(a) / (1 + math.exp(-g)) for w, a, g in zip(p["w"], v @ p["V"], v @ p["U"], strict=True)) for v in h]
+        z = sum(math.exp(a) * v for a, v in zip(e, h, strict=True)) / sum(map(math.exp, e))
+        return 1 / (1 + math.exp(-(z @ p["c"] + p["d"][0])))
+
+    assert model.scores(row, x) == pytest.approx([plain(b) for b in range(3)])
+    loss = lambda: -np.mean([math.log(y if t else 1 - y) for y, t in zip(map(plain, range(3)), label, strict=True)])
+    gradients = model.gradients((x - model.mean) / model.scale, np.array([0, 3, 4]), row, label)
+    for name in p:
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in p[name].shape)
+            old, sides = p[name][at], []
+            for step in (1e-5, -1e-5):
+                p[name][at] = old + step
+                sides.append(loss())
+            p[name][at] = old
+            assert gradients[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_classifier_sees_words(spark):
+    """Good and bad texts of words of one shape and length are told apart on other texts."""
+    rng = np.random.default_rng(1)
+    good, bad = ([f"{c}{k:03d}x" for k in range(40)] for c in "gb")
+    texts = [" ".join(rng.choice(good if i % 2 else bad, 90)).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = quality_model.quality_model(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")).where("held_out").collect()
+    assert np.mean([(r["score"] > 0.5) == r["doc_id"] % 2 for r in got]) > 0.9
+
+
 def test_classifier_without_labels(docs, spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, quality int")
     got = quality_model.quality_model(docs, labels).collect()
