@@ -31,6 +31,46 @@ def filter_logs(logs: DataFrame, type: int = 0, start: int = 0, end: int = 0, mo
     return logs
 
 
+def _members(text: str) -> dict[str, str] | None:
+    """Top-level members with the raw text of their values."""
+    decoder, out, at = json.JSONDecoder(), {}, 0
+    space = " \t\n\r"
+    try:
+        if not isinstance(json.loads(text), dict):
+            return None
+    except ValueError:
+        return None
+    at = text.index("{") + 1
+    while True:
+        while text[at] in space + ",":
+            at += 1
+        if text[at] == "}":
+            return out
+        key, at = decoder.raw_decode(text, at)
+        while text[at] in space + ":":
+            at += 1
+        _, end = decoder.raw_decode(text, at)
+        out[key] = text[at:end]
+        at = end
+
+
+def _compact(raw: str) -> str:
+    """Raw JSON without white space between tokens."""
+    out, quoted, escaped = [], False, False
+    for c in raw:
+        if quoted:
+            out.append(c)
+            quoted, escaped = escaped or c != '"', not escaped and c == "\\"
+        elif c not in " \t\n\r":
+            out.append(c)
+            quoted = c == '"'
+    return "".join(out)
+
+
+def _object(fields: dict[str, str]) -> str:
+    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_compact(v)}" for k, v in sorted(fields.items())) + "}"
+
+
 def project_other(role: str) -> Column:
     """``other`` as a role sees it. Text that does not change is returned byte for byte; invalid JSON gives {}.
 
@@ -39,58 +79,21 @@ def project_other(role: str) -> Column:
     JSON text, so large integers stay exact.
     """
 
-    def split(text: str) -> dict[str, str] | None:
-        """Top-level members with the raw text of their values."""
-        decoder, out, at = json.JSONDecoder(), {}, 0
-        space = " \t\n\r"
-        try:
-            if not isinstance(json.loads(text), dict):
-                return None
-        except ValueError:
-            return None
-        at = text.index("{") + 1
-        while True:
-            while text[at] in space + ",":
-                at += 1
-            if text[at] == "}":
-                return out
-            key, at = decoder.raw_decode(text, at)
-            while text[at] in space + ":":
-                at += 1
-            _, end = decoder.raw_decode(text, at)
-            out[key] = text[at:end]
-            at = end
-
-    def compact(raw: str) -> str:
-        """Raw JSON without white space between tokens."""
-        out, quoted, escaped = [], False, False
-        for c in raw:
-            if quoted:
-                out.append(c)
-                quoted, escaped = escaped or c != '"', not escaped and c == "\\"
-            elif c not in " \t\n\r":
-                out.append(c)
-                quoted = c == '"'
-        return "".join(out)
-
-    def member(fields: dict[str, str]) -> str:
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{compact(v)}" for k, v in sorted(fields.items())) + "}"
-
     def seen(text: str | None) -> str | None:
         if text is None or text == "":
             return text
-        fields = split(text)
+        fields = _members(text)
         if fields is None:
             return text if role == "root" else "{}"
         before = dict(fields)
         for name in {"user": USER_HIDDEN, "admin": ADMIN_HIDDEN}.get(role, ()):
             fields.pop(name, None)
         if role in ("admin", "root") and "reject_reason" in fields:
-            inner = split(fields.get("admin_info", "{}"))
+            inner = _members(fields.get("admin_info", "{}"))
             if inner is not None:
                 reason = fields.pop("reject_reason")
-                fields["admin_info"] = member({"reject_reason": reason} | inner)
-        return text if fields == before else member(fields)
+                fields["admin_info"] = _object({"reject_reason": reason} | inner)
+        return text if fields == before else _object(fields)
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
@@ -160,17 +163,55 @@ def search_tasks(tasks: DataFrame, platform: str = "", channel_id: int = 0, user
     return tasks.where(F.col("submit_time") <= end) if end else tasks
 
 
-def search_audits(audits: DataFrame, viewer: str, category: str = "", not_token: str = "", start: int = 0, end: int = 0) -> DataFrame:
-    """Audit rows that a viewer may see: below root only those of common users and admins, without ``other``."""
+#: Scopes of an audit row's ``other`` that a viewer may not see.
+AUDIT_HIDDEN = {"user": ("admin_info", "root_info", "audit_info"), "admin": ("root_info",)}
+
+
+def search_audits(
+    audits: DataFrame, viewer: str, self_view: bool = False, user_id: int = 0, username: str = "", category: str = "", token: str = "", not_token: str = "",
+    request_id: str = "", start: int = 0, end: int = 0, success: bool | None = None,
+) -> DataFrame:
+    """Audit rows that a viewer (root, admin or user) may see, newest first when paged; ends are inclusive.
+
+    Below root only rows of common users and admins. Admins see ``other`` without root_info, users and everyone in
+    their own view without admin_info and audit_info too; text that does not change stays byte for byte.
+    """
     if viewer != "root":
-        audits = audits.where(F.col("actor_role").isin("common", "admin")).withColumn("other", F.lit(None).cast("string"))
-    if category:
-        audits = audits.where(F.col("category") == category)
+        audits = audits.where(F.col("actor_role").isin("common", "admin"))
+    for column, value in (("user_id", user_id), ("username", username), ("category", category), ("token_ref", token), ("request_id", request_id)):
+        if value:
+            audits = audits.where(F.col(column) == value)
     if not_token:
         audits = audits.where(F.col("token_ref") != not_token)
     if start:
         audits = audits.where(F.col("created_at") >= start)
-    return audits.where(F.col("created_at") <= end) if end else audits
+    if end:
+        audits = audits.where(F.col("created_at") <= end)
+    if success is not None:
+        audits = audits.where(F.col("success") == success)
+    hidden = AUDIT_HIDDEN.get("user" if self_view or viewer not in ("root", "admin") else viewer, ())
+    return audits.withColumn("other", without_members(hidden)) if hidden else audits
+
+
+def without_members(names: tuple[str, ...]) -> Column:
+    """``other`` without some top-level members; other text, and text without them, stays as it is."""
+
+    def seen(text: str) -> str:
+        fields = _members(text) if any(n in text for n in names) else None
+        left = {k: v for k, v in (fields or {}).items() if k not in names}
+        return text if fields is None or len(left) == len(fields) else _object(left)
+
+    @F.pandas_udf("string")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(seen, na_action="ignore")
+
+    return run("other")
+
+
+def page_with_total(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """Rows offset + 1 to offset + limit in order, a top-k, with ``total``, the number of all rows."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total), F.lit(True))  # one row
 
 
 def expired(rows: DataFrame, cutoff: int, column: str = "created_at") -> DataFrame:
@@ -214,12 +255,16 @@ def with_owner(findings: DataFrame, tokens: DataFrame, users: DataFrame) -> Data
     return findings.join(t, "token_id", "left").join(u, "owner_id", "left")
 
 
-def search_models(models: DataFrame, vendors: DataFrame, keyword: str = "", vendor: str = "", status: int | None = None) -> DataFrame:
-    """Models whose name, description or tags hold the keyword; vendor by id or by part of its name."""
+def search_models(models: DataFrame, vendors: DataFrame, keyword: str = "", vendor: str = "", status: int | None = None, sync_official: int | None = None) -> DataFrame:
+    """Models whose name, description or tags hold the keyword; vendor by id or by part of its name. Pages go by id,
+    newest first."""
     if keyword:
         models = models.where(F.col("model_name").contains(keyword) | F.col("description").contains(keyword) | F.col("tags").contains(keyword))
     if vendor.isdigit():
         models = models.where(F.col("vendor_id") == int(vendor))
     elif vendor:
         models = models.join(vendors.where(F.col("name").contains(vendor)).select(F.col("id").alias("vendor_id")), "vendor_id", "left_semi")
-    return models if status is None else models.where(F.col("status") == status)
+    for column, value in (("status", status), ("sync_official", sync_official)):
+        if value is not None:
+            models = models.where(F.col(column) == value)
+    return models

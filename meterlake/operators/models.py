@@ -16,18 +16,30 @@ TOLERANCE = 1e-9
 FIELDS = ("model_ratio", "completion_ratio", "cache_ratio", "model_price")
 
 
-def matches(name: Column, rule: Column, pattern: Column) -> Column:
-    return F.when(rule == EXACT, name == pattern).when(rule == PREFIX, name.startswith(pattern)).when(rule == SUFFIX, name.endswith(pattern)).otherwise(name.contains(pattern))
+def rule_hits(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(model, rule columns) for each distinct name and rule that fits it.
+
+    Exact, prefix and suffix rules join by equality, the latter two on every beginning and end of a name; only
+    ``contains`` rules meet names in a loop.
+    """
+    distinct = names.select("model").distinct()
+    of = lambda rule: rules.where(F.col("name_rule") == rule)
+    size = F.explode(F.sequence(F.lit(1), F.length("model")))
+    begins = distinct.where("model != ''").withColumn("size", size).withColumn("pattern", F.expr("left(model, size)")).drop("size")
+    ends = distinct.where("model != ''").withColumn("size", size).withColumn("pattern", F.expr("right(model, size)")).drop("size")
+    found = distinct.withColumn("pattern", F.col("model")).join(of(EXACT), "pattern")
+    for pieces, rule in ((begins, PREFIX), (ends, SUFFIX)):
+        found = found.unionByName(pieces.join(of(rule), "pattern"))
+    # an empty pattern fits every name
+    loose = rules.where((F.col("name_rule") == CONTAINS) | ((F.col("name_rule") != EXACT) & (F.col("pattern") == "")))
+    return found.unionByName(distinct.join(loose, F.contains("model", "pattern")))
 
 
 def resolve_metadata(names: DataFrame, rules: DataFrame) -> DataFrame:
     """(model, rule_id, ...) of the rule row that describes each distinct name: exact, prefix, suffix, contains; then
-    the lowest id. Exact rules join by equality, patterns by a nested loop over the rule table."""
-    distinct = names.select("model").distinct()
+    the lowest id."""
     order = F.element_at(F.create_map(*(F.lit(x) for p in PRECEDENCE.items() for x in p)), F.col("name_rule"))
-    exact = distinct.join(rules.where(F.col("name_rule") == EXACT), distinct["model"] == F.col("pattern"))
-    loose = distinct.join(rules.where(F.col("name_rule") != EXACT), matches(distinct["model"], F.col("name_rule"), F.col("pattern")))
-    hit = exact.unionByName(loose).withColumn("place", F.struct(order.alias("o"), F.col("id").alias("i")))
+    hit = rule_hits(names, rules).withColumn("place", F.struct(order.alias("o"), F.col("id").alias("i")))
     return hit.groupBy("model").agg(F.min_by(F.struct(*rules.columns), "place").alias("rule")).select("model", F.col("rule.id").alias("rule_id"), "rule.*").drop("id")
 
 
@@ -145,7 +157,7 @@ def price_differences(local: DataFrame, upstream: DataFrame) -> DataFrame:
     names = upstream.select("upstream").distinct()
     l, u = long_prices(local, "model"), long_prices(upstream, "upstream", "model")
     fields = l.select("model", "field").unionAll(u.select("model", "field")).distinct()
-    grid = fields.join(F.broadcast(names), F.lit(True))  # upstreams are few
+    grid = fields.join(names, F.lit(True))  # every upstream answers for every field: the result's own size
     rows = grid.join(u, ["upstream", "model", "field"], "left").join(l.withColumnRenamed("value", "current"), ["model", "field"], "left")
     same = (F.col("value").isNull() & F.col("current").isNull()) | (F.abs(F.col("value") - F.col("current")) < TOLERANCE)
     rows = rows.withColumn("shown", F.when(F.coalesce(same, F.lit(False)), "same").when(F.col("value").isNotNull(), F.col("value").cast("string")))
@@ -194,46 +206,92 @@ def name_states(names: DataFrame, resolved: DataFrame, reachable: DataFrame) ->
 
 def rule_states(rules: DataFrame, states: DataFrame) -> DataFrame:
     """(id, matched, state) of each rule: hidden or visible if all its names are, partial if some are visible."""
-    hit = rules.join(states, matches(F.col("model"), F.col("name_rule"), F.col("pattern")), "left")
+    hit = rule_hits(states, rules).select("id", "model").join(states, "model")
+    hit = rules.select("id", "status").join(hit, "id", "left")
     counts = hit.groupBy("id", "status").agg(F.count("model").alias("matched"), F.count_if(F.col("state") == "visible").alias("visible"), F.count_if(F.col("state") == "hidden").alias("hidden"))
     empty = F.when(F.col("status") != 1, "hidden").otherwise("unavailable")
     state = F.when(F.col("matched") == 0, empty).when(F.col("hidden") == F.col("matched"), "hidden").when(F.col("visible") == F.col("matched"), "visible").when(F.col("visible") > 0, "partial").otherwise("unavailable")
     return counts.select("id", "matched", state.alias("state"))
 
 
-def price_list(abilities: DataFrame, prices: DataFrame, meta: DataFrame) -> DataFrame:
-    """(model, groups, vendor, price, ratio, by_price) of enabled models whose metadata does not hide them."""
+#: Ratios that a price list shows beside the model ratio.
+RATIOS = ("cache_ratio", "creation_ratio", "image_ratio", "audio_ratio", "audio_completion_ratio")
+
+
+def price_list(abilities: DataFrame, prices: DataFrame, meta: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(model, groups, endpoints, vendor, description, tags, price, ratio, completion_ratio, RATIOS, by_price) of enabled
+    models whose metadata does not hide them.
+
+    A model with a fixed price has no ratio and completion_ratio. ``prices``: model, model_price, model_ratio,
+    completion_ratio and RATIOS; ``endpoints``: model, endpoints.
+    """
+    from meterlake.operators.pricing import DEFAULT_RATIO, with_completion_ratio
     from meterlake.operators.usage import groups_of_models
 
-    rows = groups_of_models(abilities).join(prices.select("model", "model_price", "model_ratio"), "model", "left").join(meta.select("model", "vendor", "status"), "model", "left")
-    rows = rows.where(F.coalesce(F.col("status"), F.lit(1)) == 1)
-    return rows.select("model", "groups", "vendor", F.col("model_price").alias("price"), F.when(F.col("model_price").isNull(), F.coalesce("model_ratio", F.lit(37.5))).alias("ratio"), F.col("model_price").isNotNull().alias("by_price"))
+    rows = groups_of_models(abilities).join(prices.select("model", "model_price", "model_ratio", "completion_ratio", *RATIOS), "model", "left")
+    rows = rows.join(meta.select("model", "vendor", "status", "description", "tags"), "model", "left").join(endpoints, "model", "left")
+    rows = with_completion_ratio(rows.where(F.coalesce(F.col("status"), F.lit(1)) == 1), "model", F.col("completion_ratio"))
+    free = F.col("model_price").isNull()
+    return rows.select(
+        "model", "groups", F.coalesce("endpoints", F.array().cast("array<string>")).alias("endpoints"), "vendor", "description", "tags", F.col("model_price").alias("price"),
+        F.when(free, F.coalesce("model_ratio", F.lit(DEFAULT_RATIO))).alias("ratio"), F.when(free, F.col("ratio")).alias("completion_ratio"), *RATIOS, (~free).alias("by_price"),
+    )
 
 
-def search_catalog(catalog: DataFrame, keyword: str = "", vendor: str = "", group: str = "", by_price: bool | None = None, sort: str = "name") -> DataFrame:
+def search_catalog(catalog: DataFrame, keyword: str = "", vendor: str = "", group: str = "", by_price: bool | None = None, endpoint: str = "", tag: str = "", sort: str = "name") -> DataFrame:
+    """Models of a price list: keyword (any case) in name, description, tags or vendor; the other filters are exact, a tag
+    in any case. ``sort``: name, price or -price (fixed price or ratio), then name."""
     if keyword:
         found = F.lit(False)
-        for c in ("model", "vendor"):
+        for c in ("model", "description", "tags", "vendor"):
             found = found | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(keyword.lower()))
         catalog = catalog.where(found)
     if vendor:
         catalog = catalog.where(F.col("vendor") == vendor)
-    if group:
-        catalog = catalog.where(F.array_contains("groups", group))
+    for column, value in (("groups", group), ("endpoints", endpoint)):
+        if value:
+            catalog = catalog.where(F.array_contains(column, value))
+    if tag:
+        catalog = catalog.where(F.array_contains(F.transform(F.split(F.lower("tags"), TAG_BREAK), lambda t: F.trim(t)), tag.lower()))
     if by_price is not None:
         catalog = catalog.where(F.col("by_price") == by_price)
-    return catalog.orderBy(*([F.coalesce("price", "ratio")] if sort == "price" else []), "model")
+    price = F.when(F.col("by_price"), F.coalesce("price", F.lit(0.0))).otherwise(F.col("ratio"))
+    return catalog.orderBy(*{"price": [price.asc()], "-price": [price.desc()]}.get(sort, []), "model")
+
+
+#: Fixed value: what separates tags.
+TAG_BREAK = r"[,;|\s]+"
 
 
 def distinct_tags(rows: DataFrame, column: str) -> DataFrame:
     """All tags of texts like `a, b;c|d e`, lower-cased, once each."""
-    tags = rows.select(F.explode(F.split(F.lower(column), r"[,;|\s]+")).alias("tag"))
+    tags = rows.select(F.explode(F.split(F.lower(column), TAG_BREAK)).alias("tag"))
     return tags.select(F.trim("tag").alias("tag")).where("tag != ''").distinct()
 
 
-def enriched_rules(rules: DataFrame, abilities: DataFrame) -> DataFrame:
-    """(id, names, matched, groups, channels) of each rule, from distinct names first."""
-    names = abilities.where("enabled").groupBy("model").agg(F.collect_set("group").alias("of_groups"), F.collect_set("channel_id").alias("of_channels"))
-    hit = rules.join(names, matches(F.col("model"), F.col("name_rule"), F.col("pattern")), "left")
+def enriched_rules(rules: DataFrame, abilities: DataFrame, channels: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(id, names, matched, groups, bound_channels, endpoints, quota_types, configured_channels) of each rule.
+
+    Matched are names that enabled channels serve; exact rules list none. bound_channels: (name, type) of those
+    channels; quota_types: 1 for a fixed price, 0 for ratios. configured_channels counts all channels, disabled ones
+    included, that list a matching name. ``catalog``: model, endpoints, by_price. Sets are gathered a distinct name
+    first, and sorted.
+    """
+    live = channels.where("status = 1").select(F.col("id").alias("channel_id"), F.col("name").alias("channel_name"), F.col("type").alias("channel_type"))
+    served = abilities.where("enabled").join(live, "channel_id").groupBy("model").agg(
+        F.collect_set("group").alias("groups"), F.collect_set(F.struct("channel_id", F.col("channel_name").alias("name"), F.col("channel_type").alias("type"))).alias("channels"))
+    quota = F.when(F.col("by_price"), 1).when(F.col("by_price").isNotNull(), 0)
+    served = served.join(catalog.select("model", "endpoints", quota.alias("quota_type")), "model", "left")
+    hit = rules.select("id", "name_rule").join(rule_hits(served, rules).select("id", "model").join(served, "model"), "id", "left")
     merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    return hit.groupBy("id").agg(F.array_sort(F.collect_set("model")).alias("names"), F.count("model").alias("matched"), F.array_sort(merged("of_groups")).alias("groups"), F.size(merged("of_channels")).cast("bigint").alias("channels"))
+    listed = F.col("name_rule") != EXACT
+    found = hit.groupBy("id", "name_rule").agg(
+        F.collect_set("model").alias("all_names"), merged("groups").alias("groups"), merged("channels").alias("channels"), merged("endpoints").alias("endpoints"), F.collect_set("quota_type").alias("quota_types"))
+    configured = channels.select(F.explode(split_list("models")).alias("model"), F.col("id").alias("channel_id"))
+    counts = rule_hits(configured, rules).select("id", "model").join(configured, "model").groupBy("id").agg(F.count_distinct("channel_id").alias("configured_channels"))
+    names = F.when(listed, F.array_sort("all_names")).otherwise(F.array().cast("array<string>"))
+    bound = F.array_sort(F.transform("channels", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"))))
+    return found.join(counts, "id", "left").select(
+        "id", names.alias("names"), F.size(names).cast("bigint").alias("matched"), F.array_sort("groups").alias("groups"), bound.alias("bound_channels"),
+        F.array_sort("endpoints").alias("endpoints"), F.array_sort("quota_types").alias("quota_types"), F.coalesce("configured_channels", F.lit(0)).alias("configured_channels"),
+    )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meterlake.functions.scalars import QUOTA_PER_UNIT, quota_rounded, rounded
+from meterlake.functions.scalars import INT32_MAX, INT32_MIN, QUOTA_PER_UNIT, clamped, quota_rounded, rounded
 
 #: Fixed values.
 DEFAULT_RATIO, DEFAULT_CACHE, DEFAULT_CREATION = 37.5, 1.0, 1.25
@@ -56,20 +56,19 @@ def lookup_name(name: Column) -> Column:
     return out.otherwise(name)
 
 
-def completion_ratio(name: Column, configured: Column) -> Column:
-    """struct(ratio, locked): a configured name with `/`, else a locked rule, else configured, else the rule, else 1."""
-    rule, locked = F.lit(1.0), F.lit(False)
-    for pattern, value, fixed in reversed(COMPLETION_RULES):
-        rule, locked = F.when(name.rlike(pattern), F.lit(value)).otherwise(rule), F.when(name.rlike(pattern), F.lit(fixed)).otherwise(locked)
-    own = name.contains("/") & configured.isNotNull()
-    return F.struct(F.when(own, configured).when(locked, rule).otherwise(F.coalesce(configured, rule)).alias("ratio"), F.when(own, F.lit(False)).otherwise(locked).alias("locked"))
+def with_completion_ratio(names: DataFrame, name: str, configured: Column) -> DataFrame:
+    """Adds ratio and locked: a configured name with `/`, else a locked rule, else configured, else the rule, else 1.
 
-
-def with_prices(logs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Logs with model_ratio and model_price of the looked-up name; an unknown model has the default ratio, no price."""
-    known = prices.select(F.col("model").alias("price_name"), "model_ratio", "model_price")
-    rows = logs.withColumn("price_name", lookup_name(F.col("model_name"))).join(known, "price_name", "left")
-    return rows.withColumn("model_ratio", F.coalesce("model_ratio", F.lit(DEFAULT_RATIO)))
+    Rules are tried in order, once a row: call it on distinct names.
+    """
+    of = lambda value, locked: F.struct(F.lit(value).alias("value"), F.lit(locked).alias("locked"))
+    rule = F.when(F.lit(False), of(1.0, False))
+    for pattern, value, locked in COMPLETION_RULES:
+        rule = rule.when(F.col(name).rlike(pattern), of(float(value), locked))
+    own = F.col(name).contains("/") & F.col("x_configured").isNotNull()
+    ratio = F.when(own, F.col("x_configured")).when(F.col("x_rule.locked"), F.col("x_rule.value")).otherwise(F.coalesce("x_configured", "x_rule.value"))
+    rows = names.withColumns({"x_rule": rule.otherwise(of(1.0, False)), "x_configured": configured})
+    return rows.withColumns({"ratio": ratio, "locked": ~own & F.col("x_rule.locked")}).drop("x_rule", "x_configured")
 
 
 def with_group_ratio(rows: DataFrame, groups: DataFrame, special: DataFrame) -> DataFrame:
@@ -100,12 +99,13 @@ def creation_total() -> Column:
     return F.when(parts > 0, F.greatest("cache_creation", parts)).otherwise(F.col("cache_creation"))
 
 
-def text_quota(use_price: Column, surcharge: Column, multiplier: Column) -> Column:
-    """struct(value, kind): quota of a text request.
+def with_text_quota(rows: DataFrame, use_price: Column, surcharge: Column, multiplier: Column) -> DataFrame:
+    """Adds priced_quota and priced_kind: quota of a text request, and how it was clamped.
 
     Columns: prompt, completion, cache, cache_creation, creation_5m, creation_1h, image, audio (tokens), anthropic
     (input excludes cache tokens), model_price and the ratios model_ratio, completion_ratio, cache_ratio,
     creation_ratio, creation_5m_ratio, creation_1h_ratio, image_ratio, audio_price (USD per million), group_ratio.
+    Each step is a column of its own, so that a row computes it once.
     """
     anthropic = F.col("anthropic")
     split = (F.col("creation_5m") > 0) | (F.col("creation_1h") > 0)
@@ -113,18 +113,25 @@ def text_quota(use_price: Column, surcharge: Column, multiplier: Column) -> Colu
     base = tokens("prompt") - F.when(anthropic, zero).otherwise(tokens("cache") + tokens("cache_creation")) - tokens("image")
     base = base - F.when(F.col("audio_price") > 0, tokens("audio")).otherwise(zero)
     rest = F.greatest(tokens("cache_creation") - tokens("creation_5m") - tokens("creation_1h"), zero)
-    parts = rest.cast("decimal(15,0)") * factor("creation_ratio") + tokens("creation_5m") * factor("creation_5m_ratio") + tokens("creation_1h") * factor("creation_1h_ratio")
+    parts = rest.cast("decimal(15,0)") * factor("creation_ratio")
+    parts = parts + tokens("creation_5m") * factor("creation_5m_ratio") + tokens("creation_1h") * factor("creation_1h_ratio")
     creation = F.when(anthropic & split, parts).otherwise(tokens("cache_creation") * factor("creation_ratio"))
-    priced = F.greatest(base, zero).cast("decimal(18,0)") * factor(F.lit(1)) + tokens("cache") * factor("cache_ratio") + tokens("image") * factor("image_ratio") + creation + tokens("completion") * factor("completion_ratio")
-    both = factor("model_ratio") * factor("group_ratio")
-    audio = F.when(F.col("audio_price") > 0, (factor("audio_price") * tokens("audio")).cast("decimal(26,8)") * (factor("group_ratio") * F.lit(QUOTA_PER_UNIT / 1_000_000).cast("decimal(4,3)")).cast("decimal(12,6)")).otherwise(F.lit(0))
-    by_ratio = (priced.cast("decimal(26,8)") * both.cast("decimal(12,6)") + audio) * factor(multiplier) + surcharge
-    by_price = factor("model_price") * F.lit(QUOTA_PER_UNIT).cast("decimal(7,0)") * factor("group_ratio") * factor(multiplier) + surcharge
-    total = F.when(use_price, by_price.cast("double")).when((both != 0) & (by_ratio <= 0), F.lit(1.0)).otherwise(by_ratio.cast("double"))
-    found = quota_rounded(total)
-    billable = (F.col("prompt") + F.col("completion") > 0) | (surcharge != 0) | use_price
-    value = F.when(~billable, 0).when((both != 0) & (found["value"] == 0), 1).otherwise(found["value"])
-    return F.struct(value.cast("bigint").alias("value"), F.when(billable, found["kind"]).alias("kind"))
+    priced = F.greatest(base, zero).cast("decimal(18,0)") * factor(F.lit(1)) + tokens("cache") * factor("cache_ratio")
+    priced = priced + tokens("image") * factor("image_ratio") + creation + tokens("completion") * factor("completion_ratio")
+    per_token = (factor("group_ratio") * F.lit(QUOTA_PER_UNIT / 1_000_000).cast("decimal(4,3)")).cast("decimal(12,6)")
+    audio = F.when(F.col("audio_price") > 0, (factor("audio_price") * tokens("audio")).cast("decimal(26,8)") * per_token).otherwise(F.lit(0))
+    by_price = factor("model_price") * F.lit(QUOTA_PER_UNIT).cast("decimal(7,0)") * factor("group_ratio") * F.col("x_times")
+    steps = [
+        {"x_times": factor(multiplier), "x_extra": surcharge, "x_fixed": use_price, "x_both": factor("model_ratio") * factor("group_ratio"), "x_priced": priced.cast("decimal(26,8)"), "x_audio": audio},
+        {"x_by_ratio": ((F.col("x_priced") * F.col("x_both").cast("decimal(12,6)") + F.col("x_audio")) * F.col("x_times") + F.col("x_extra")).cast("double"), "x_by_price": (by_price + F.col("x_extra")).cast("double")},
+        {"x_total": F.round(F.when(F.col("x_fixed"), F.col("x_by_price")).when((F.col("x_both") != 0) & (F.col("x_by_ratio") <= 0), 1.0).otherwise(F.col("x_by_ratio")))},
+        {"x_found": clamped(F.col("x_total"), INT32_MIN, INT32_MAX), "x_billable": (F.col("prompt") + F.col("completion") > 0) | (F.col("x_extra") != 0)},
+    ]
+    out = rows
+    for step in steps:
+        out = out.withColumns(step)
+    value = F.when(~F.col("x_billable"), 0).when((F.col("x_both") != 0) & (F.col("x_found.value") == 0), 1).otherwise(F.col("x_found.value"))
+    return out.select(*rows.columns, value.cast("bigint").alias("priced_quota"), F.when(F.col("x_billable"), F.col("x_found.kind")).alias("priced_kind"))
 
 
 def audio_quota() -> Column:
@@ -218,17 +225,59 @@ def inferred_creation() -> Column:
     return F.when(F.col("creation_ratio") == 1, 0).when(value.isNull() | found["kind"].isNotNull(), -1).otherwise(found["value"])
 
 
-def rerate(logs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Logs with the quota that prices give, its difference from the charged one, and the clamp kind."""
-    rows = with_prices(logs, prices)
-    configured = F.lit(None).cast("double")
-    none = F.lit(0)
-    rows = rows.withColumns({
-        "completion_ratio": completion_ratio(F.col("price_name"), configured)["ratio"], "prompt": F.col("prompt_tokens"), "completion": F.col("completion_tokens"), "cache": none, "cache_creation": none, "creation_5m": none, "creation_1h": none, "image": none, "audio": none, "anthropic": F.lit(False),
-        "cache_ratio": F.lit(DEFAULT_CACHE), "creation_ratio": F.lit(DEFAULT_CREATION), "creation_5m_ratio": F.lit(DEFAULT_CREATION), "creation_1h_ratio": F.lit(DEFAULT_CREATION), "image_ratio": F.lit(1.0), "audio_price": F.lit(0.0), "group_ratio": F.lit(1.0),
-    })
-    rows = rows.withColumn("priced", text_quota(F.col("model_price").isNotNull(), F.lit(0).cast("decimal(20,6)"), F.lit(1.0)))
-    return rows.select("id", "model_name", "quota", F.col("priced.value").alias("expected"), (F.col("priced.value") - F.col("quota")).alias("delta"), F.col("priced.kind").alias("kind"))
+#: Keys of the usage detail in a log's ``other``, and what a 1-hour cache write costs over a 5-minute one.
+DETAIL = {
+    "cache": "cache_tokens", "cache_creation": "cache_creation_tokens", "creation_5m": "cache_creation_tokens_5m", "creation_1h": "cache_creation_tokens_1h",
+    "image": "image_output", "audio": "audio_input_token_count",
+}
+HOUR_CREATION = 6 / 3.75
+
+
+def usage_detail(logs: DataFrame) -> DataFrame:
+    """Logs with prompt, completion, the tokens of DETAIL (0 where ``other`` has none), anthropic and tool_calls."""
+    schema = ", ".join(f"{k} bigint" for k in DETAIL.values()) + ", claude boolean, tool_surcharges array<struct<name string, count bigint, price double>>"
+    rows = logs.withColumn("detail", F.from_json("other", schema))
+    found = {c: F.coalesce(F.col(f"detail.{k}"), F.lit(0)) for c, k in DETAIL.items()}
+    found |= {"prompt": F.col("prompt_tokens"), "completion": F.col("completion_tokens"), "anthropic": F.coalesce("detail.claude", F.lit(False)), "tool_calls": F.col("detail.tool_surcharges")}
+    return rows.withColumns(found).drop("detail")
+
+
+def priced_names(names: DataFrame, prices: DataFrame, tools: DataFrame) -> DataFrame:
+    """One row for each distinct model_name, with all that its price depends on, so that no rule runs on a log row.
+
+    ``prices`` (model, model_ratio, model_price, completion_ratio, cache_ratio, creation_ratio, image_ratio,
+    audio_price) is looked up under the normalised name. tool_prices: price by tool, that of the longest prefix.
+    """
+    distinct = names.select("model_name").distinct().withColumn("price_name", lookup_name(F.col("model_name")))
+    known = distinct.join(prices.withColumnRenamed("model", "price_name"), "price_name", "left")
+    known = with_completion_ratio(known, "price_name", F.col("completion_ratio"))
+    defaults = {"model_ratio": DEFAULT_RATIO, "cache_ratio": DEFAULT_CACHE, "creation_ratio": DEFAULT_CREATION, "image_ratio": 1.0, "audio_price": 0.0}
+    filled = {c: F.coalesce(F.col(c), F.lit(x)) for c, x in defaults.items()}
+    creation = filled["creation_ratio"]
+    known = known.select("model_name", "model_price", F.col("ratio").alias("completion_ratio"), *(c.alias(k) for k, c in filled.items()), creation.alias("creation_5m_ratio"), (creation * HOUR_CREATION).alias("creation_1h_ratio"))
+    hit = distinct.select("model_name").join(tools, F.col("model_name").startswith(F.col("prefix")))
+    best = hit.groupBy("model_name", "tool").agg(F.max_by("price", F.length("prefix")).alias("price"))
+    by_tool = best.groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("tool", "price"))).alias("tool_prices"))
+    return known.join(by_tool, "model_name", "left")
+
+
+def tool_quota() -> Column:
+    """Quota of a row's tool_calls at its tool_prices and group_ratio; calls without count or price cost nothing."""
+    cost = lambda t: F.coalesce(F.try_element_at("tool_prices", t["name"]), F.lit(0.0)) * F.greatest(t["count"], F.lit(0))
+    dollars = F.aggregate(F.coalesce("tool_calls", F.array()), F.lit(0.0), lambda a, t: a + F.coalesce(cost(t), F.lit(0.0)))
+    return (dollars / 1000 * F.col("group_ratio") * QUOTA_PER_UNIT).cast("decimal(20,6)")
+
+
+def rerate(logs: DataFrame, prices: DataFrame, groups: DataFrame, special: DataFrame, tools: DataFrame) -> DataFrame:
+    """Logs with the quota that today's prices give, its difference from the charged one, and the clamp kind.
+
+    Token detail and tool calls come from ``other``; logs have user_group beside their columns. Prices, completion
+    rules and tool prices are resolved on distinct names and joined by equality.
+    """
+    rows = with_group_ratio(usage_detail(logs), groups, special)
+    rows = rows.join(priced_names(logs, prices, tools), "model_name")
+    rows = with_text_quota(rows, F.col("model_price").isNotNull(), tool_quota(), F.lit(1.0))
+    return rows.select("id", "model_name", "quota", F.col("priced_quota").alias("expected"), (F.col("priced_quota") - F.col("quota")).alias("delta"), F.col("priced_kind").alias("kind"))
 
 
 #: Columns of the price sheet and the ratios that multiply the base price.

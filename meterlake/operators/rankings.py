@@ -97,7 +97,7 @@ def dense_grid(rows: DataFrame, time: str, name: str, values: list[str], step: i
     short = span.where((F.col("n") < least) & (F.col("n") > 0)).select(F.explode(steps).alias(time))
     long = axis.join(F.broadcast(span.where(F.col("n") >= least)), F.lit(True)).select(time)
     names = rows.select(name).distinct()
-    grid = short.unionByName(long).join(F.broadcast(names), F.lit(True))  # axis points times names, both folded before
+    grid = short.unionByName(long).join(names, F.lit(True))  # the result's own size: the optimiser picks the side to send
     sums = rows.groupBy(time, name).agg(*(F.sum(v).alias(v) for v in values))
     return grid.join(sums, [time, name], "left").select(time, name, *(F.coalesce(v, F.lit(0)).alias(v) for v in values))
 

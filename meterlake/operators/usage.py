@@ -133,6 +133,29 @@ def groups_of_models(abilities: DataFrame) -> DataFrame:
     return abilities.where("enabled").groupBy("model").agg(F.array_sort(F.collect_set("group")).alias("groups"))
 
 
+def endpoints_of_models(abilities: DataFrame, channels: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(model, endpoints): endpoint types of the channels that serve a model, each once, the preferred one first.
+
+    ``endpoints``: channel_type, position, endpoint. They come in the order of the lowest channel, then position.
+    """
+    types = channels.select(F.col("id").alias("channel_id"), F.col("type").alias("channel_type"))
+    served = abilities.where("enabled").select("model", "channel_id").distinct().join(types, "channel_id").join(endpoints, "channel_type")
+    first = served.groupBy("model", "endpoint").agg(F.min(F.struct("channel_id", "position")).alias("place"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "endpoint")))
+    return first.groupBy("model").agg(F.transform(listed, lambda x: x["endpoint"]).alias("endpoints"))
+
+
+def channels_by_type(channels: DataFrame) -> DataFrame:
+    """(type, channels, tags): channels and distinct tags that are not empty."""
+    return channels.groupBy("type").agg(F.count("*").alias("channels"), F.count_distinct(F.nullif(F.col("tag"), F.lit(""))).alias("tags"))
+
+
+def models_of_vendors(models: DataFrame, vendors: DataFrame) -> DataFrame:
+    """(vendor_id, models) of every vendor, 0 for those without models."""
+    counts = models.groupBy("vendor_id").agg(F.count("*").alias("models"))
+    return vendors.select(F.col("id").alias("vendor_id")).join(counts, "vendor_id", "left").select("vendor_id", F.coalesce("models", F.lit(0)).alias("models"))
+
+
 def upsert_add(state: DataFrame, delta: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """The counter table after adding deltas: existing and new rows are summed by key."""
     return state.unionByName(delta).groupBy(*keys).agg(*(F.sum(m).alias(m) for m in measures))

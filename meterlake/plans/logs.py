@@ -70,16 +70,62 @@ def f13_search_tasks(spark, sf_dir):
     return L.search_tasks(S.tasks(spark, sf_dir), action="extend", users=[1, 2, 3, 5, 8, 13, 21, 34, 55, 89], start=700_000_000).groupBy("status").agg(F.count("*").alias("tasks"))
 
 
-@query(S.with_(S.AUDITS) + "SELECT event_id, actor_role, token_ref, CAST(NULL AS VARCHAR) AS other FROM audits WHERE actor_role IN ('common', 'admin') AND category = 'login' AND token_ref <> 'ref-2'")
+def scoped_audits(spark, sf_dir):
+    """Audit rows with every scope in ``other`` for most events, and without any for the rest."""
+    i, u = F.col("event_id"), F.col("user_id")
+    scopes = F.concat(F.lit('{"root_info": {"r": 1}, "n": 123456789012345678901, "audit_info": {"u": "x y"}, "admin_info": {"i": '), i.cast("string"), F.lit("}}"))
+    rows = S.audits(spark, sf_dir).withColumn("other", F.when(i % 4 > 0, scopes).otherwise(F.col("other")))
+    return rows.withColumns({"username": S.text("user-", u), "request_id": S.text("r", i)})
+
+
+SCOPED = """scoped AS (SELECT * REPLACE (CASE WHEN event_id % 4 > 0
+    THEN '{"root_info": {"r": 1}, "n": 123456789012345678901, "audit_info": {"u": "x y"}, "admin_info": {"i": ' || event_id || '}}' ELSE other END AS other),
+  'user-' || user_id AS username, 'r' || event_id AS request_id FROM audits)"""
+ADMIN_SEES = """CASE WHEN event_id % 4 > 0 THEN '{"admin_info":{"i":' || event_id || '},"audit_info":{"u":"x y"},"n":123456789012345678901}' ELSE other END"""
+USER_SEES = """CASE WHEN event_id % 4 > 0 THEN '{"n":123456789012345678901}' ELSE other END"""
+
+
+@query(S.with_(S.AUDITS, SCOPED) + f"""SELECT event_id, actor_role, token_ref, {ADMIN_SEES} AS other FROM scoped
+  WHERE actor_role IN ('common', 'admin') AND category = 'login' AND token_ref <> 'ref-2' AND created_at BETWEEN {START} AND {NOW} AND success""")
 def f14_search_audits(spark, sf_dir):
-    return L.search_audits(S.audits(spark, sf_dir), "admin", category="login", not_token="ref-2").select("event_id", "actor_role", "token_ref", "other")
+    found = L.search_audits(scoped_audits(spark, sf_dir), "admin", category="login", not_token="ref-2", start=START, end=NOW, success=True)
+    return found.select("event_id", "actor_role", "token_ref", "other")
+
+
+@query(S.with_(S.AUDITS, SCOPED) + "SELECT event_id, other FROM scoped WHERE username = 'user-7' AND token_ref = 'ref-2' UNION ALL SELECT event_id, other FROM scoped WHERE request_id = 'r77'")
+def f14_root_view(spark, sf_dir):
+    rows = scoped_audits(spark, sf_dir)
+    found = L.search_audits(rows, "root", username="user-7", token="ref-2").unionByName(L.search_audits(rows, "root", request_id="r77"))
+    return found.select("event_id", "other")
+
+
+@query(S.with_(S.AUDITS, SCOPED) + f"""SELECT event_id, created_at, {USER_SEES} AS other, (SELECT count(*) FROM scoped WHERE user_id = 8) AS total
+  FROM scoped WHERE user_id = 8 ORDER BY created_at DESC, event_id DESC LIMIT 20 OFFSET 5""")
+def f14_own_view(spark, sf_dir):
+    found = L.search_audits(scoped_audits(spark, sf_dir), "root", self_view=True, user_id=8)
+    return L.page_with_total(found, [F.desc("created_at"), F.desc("event_id")], 20, 5).select("event_id", "created_at", "other", "total")
+
+
+def described_models(spark, sf_dir):
+    k = F.col("p_partkey")
+    return S.table(spark, sf_dir, "part").select(
+        k.alias("id"), F.col("p_name").alias("model_name"), F.col("p_type").alias("description"), F.col("p_brand").alias("tags"), (k % 20 + 1).alias("vendor_id"),
+        F.when(k % 5 == 0, 2).otherwise(1).alias("status"), (k % 3).cast("int").alias("sync_official"),
+    )
 
 
 @query("SELECT p_partkey AS id, p_name AS model_name FROM part JOIN supplier ON p_partkey % 20 + 1 = s_suppkey WHERE (p_name LIKE '%1%' OR p_type LIKE '%1%' OR p_brand LIKE '%1%') AND contains(s_name, '#000000001')")
 def f15_search_models(spark, sf_dir):
-    m = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("model_name"), F.col("p_type").alias("description"), F.col("p_brand").alias("tags"), (F.col("p_partkey") % 20 + 1).alias("vendor_id"))
     v = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return L.search_models(m, v, keyword="1", vendor="#000000001").select("id", "model_name")
+    return L.search_models(described_models(spark, sf_dir), v, keyword="1", vendor="#000000001").select("id", "model_name")
+
+
+@query("""WITH f AS (SELECT p_partkey AS id, p_name AS model_name FROM part WHERE (p_name LIKE '%2%' OR p_type LIKE '%2%' OR p_brand LIKE '%2%') AND p_partkey % 20 + 1 = 3 AND p_partkey % 5 <> 0 AND p_partkey % 3 = 1)
+  SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY id DESC LIMIT 10 OFFSET 2""")
+def f15_models_page(spark, sf_dir):
+    v = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    found = L.search_models(described_models(spark, sf_dir), v, keyword="2", vendor="3", status=1, sync_official=1)
+    return L.page_with_total(found.select("id", "model_name"), [F.desc("id")], 10, 2)
 
 
 @query(LOG + f"SELECT created_at >= {NOW - 10 * 86400} AS kept, count(*) AS rows FROM logs GROUP BY 1")

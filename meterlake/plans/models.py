@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterlake.operators import models as C
+from meterlake.operators import models as C, usage as U
 from meterlake.plans import query
 from meterlake.sources import samples as S
 
@@ -15,11 +15,11 @@ def rules(spark, sf_dir):
     """Name rules from parts: brands cut to prefixes, suffixes and infixes."""
     k = F.col("p_partkey")
     pattern = F.when(k % 4 == 0, F.col("p_brand")).when(k % 4 == 1, F.substring("p_brand", 1, 7)).when(k % 4 == 3, F.expr("substring(p_brand, 7, 1)")).otherwise(F.lit("#1"))
-    return S.table(spark, sf_dir, "part").where(k <= 12).select(k.alias("id"), (k % 4).cast("int").alias("name_rule"), pattern.alias("pattern"), F.when(k % 5 == 0, 2).otherwise(1).alias("status"))
+    return S.table(spark, sf_dir, "part").select(k.alias("id"), (k % 4).cast("int").alias("name_rule"), pattern.alias("pattern"), F.when(k % 5 == 0, 2).otherwise(1).alias("status"))
 
 
 RULES = """rules AS (SELECT p_partkey AS id, CAST(p_partkey % 4 AS INTEGER) AS name_rule, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN substring(p_brand, 1, 7) WHEN 3 THEN substring(p_brand, 7, 1) ELSE '#1' END AS pattern,
-  CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS status FROM part WHERE p_partkey <= 12)"""
+  CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS status FROM part)"""
 MATCH = "CASE name_rule WHEN 0 THEN model = pattern WHEN 1 THEN starts_with(model, pattern) WHEN 3 THEN ends_with(model, pattern) ELSE contains(model, pattern) END"
 RESOLVED = f"""hits AS (SELECT model, r.*, row_number() OVER (PARTITION BY model ORDER BY CASE name_rule WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END, id) AS n FROM (SELECT DISTINCT model FROM abilities) JOIN rules r ON {MATCH}), resolved AS (SELECT * FROM hits WHERE n = 1)"""
 
@@ -34,9 +34,9 @@ def j6_connections(spark, sf_dir):
     return C.connections(S.abilities(spark, sf_dir), S.channels(spark, sf_dir)).select("model", "channel_id", "name", "type")
 
 
-@query(A + "SELECT DISTINCT model FROM abilities WHERE enabled AND model NOT IN (SELECT p_brand FROM part WHERE p_partkey <= 12)")
+@query(A + "SELECT DISTINCT model FROM abilities WHERE enabled AND model NOT IN (SELECT p_brand FROM part WHERE substring(p_brand, 7, 1) <> '3')")
 def j7_missing_models(spark, sf_dir):
-    meta = S.table(spark, sf_dir, "part").where("p_partkey <= 12").select(F.col("p_brand").alias("model"))
+    meta = S.table(spark, sf_dir, "part").where("substring(p_brand, 7, 1) != '3'").select(F.col("p_brand").alias("model"))
     return C.missing_models(S.abilities(spark, sf_dir), meta)
 
 
@@ -163,32 +163,69 @@ def c10_rule_states(spark, sf_dir):
     return C.rule_states(rules(spark, sf_dir), states(spark, sf_dir))
 
 
-CATALOG = """best AS (SELECT model, max(model_price) AS mp, max(model_ratio) AS mr FROM prices GROUP BY 1), cat AS (SELECT a.model, list_sort(list(DISTINCT "group")) AS groups, 'vendor-' || substring(a.model, 7, 1) AS vendor, any_value(mp) AS price, CASE WHEN any_value(mp) IS NULL THEN COALESCE(any_value(mr), 37.5) END AS ratio, any_value(mp) IS NOT NULL AS by_price FROM abilities a LEFT JOIN best b ON a.model = b.model WHERE enabled AND a.model NOT LIKE '%5' GROUP BY a.model)"""
+CATALOG = f"""best AS (SELECT model, max(model_price) AS mp, max(model_ratio) AS mr, max(completion_ratio) AS cr, max(cache_ratio) AS car FROM prices GROUP BY 1),
+  cat AS (SELECT a.model, list_sort(list(DISTINCT "group")) AS groups, COALESCE(any_value(endpoints), []) AS endpoints, 'vendor-' || substring(a.model, 7, 1) AS vendor,
+    'about ' || reverse(a.model) AS description, 'Tag-' || right(a.model, 1) || ', all' AS tags, any_value(mp) AS price,
+    CASE WHEN any_value(mp) IS NULL THEN COALESCE(any_value(mr), 37.5) END AS ratio, CASE WHEN any_value(mp) IS NULL THEN COALESCE(any_value(cr), 1.0) END AS completion_ratio,
+    any_value(car) AS cache_ratio, CASE WHEN a.model LIKE '%2' THEN CAST(1.25 AS DOUBLE) END AS creation_ratio, CAST(NULL AS DOUBLE) AS image_ratio,
+    CASE WHEN a.model LIKE '%3' THEN CAST(8 AS DOUBLE) END AS audio_ratio, CASE WHEN a.model LIKE '%3' THEN CAST(2 AS DOUBLE) END AS audio_completion_ratio, any_value(mp) IS NOT NULL AS by_price
+  FROM abilities a LEFT JOIN best b ON a.model = b.model LEFT JOIN model_endpoints e ON e.model = a.model WHERE enabled AND a.model NOT LIKE '%5' GROUP BY a.model)"""
+LISTED = S.with_(S.ABILITIES, S.CHANNELS, S.ENDPOINTS, S.MODEL_ENDPOINTS, S.PRICES, CATALOG)
 
 
-def catalog(spark, sf_dir):
-    a, p = S.abilities(spark, sf_dir), S.prices(spark, sf_dir)
-    best = p.groupBy("model").agg(F.max("model_price").alias("model_price"), F.max("model_ratio").alias("model_ratio"))
-    meta = a.select("model").distinct().select("model", F.concat(F.lit("vendor-"), F.expr("substring(model, 7, 1)")).alias("vendor"), F.when(F.col("model").endswith("5"), 2).otherwise(1).alias("status"))
-    return C.price_list(a, best, meta)
+def model_endpoints(spark, sf_dir):
+    return U.endpoints_of_models(S.abilities(spark, sf_dir), S.channels(spark, sf_dir), S.endpoints(spark, sf_dir))
 
 
-@query(S.with_(S.ABILITIES, S.PRICES, CATALOG) + "SELECT * FROM cat")
+def catalog(spark, sf_dir):
+    a, model = S.abilities(spark, sf_dir), F.col("model")
+    best = S.prices(spark, sf_dir).groupBy("model").agg(*(F.max(c).alias(c) for c in ("model_price", "model_ratio", "completion_ratio", "cache_ratio")))
+    audio = lambda x: F.when(model.endswith("3"), F.lit(x))
+    best = best.withColumns({"creation_ratio": F.when(model.endswith("2"), 1.25), "image_ratio": F.lit(None).cast("double"), "audio_ratio": audio(8.0), "audio_completion_ratio": audio(2.0)})
+    meta = a.select("model").distinct().select(
+        "model", F.concat(F.lit("vendor-"), F.expr("substring(model, 7, 1)")).alias("vendor"), F.when(model.endswith("5"), 2).otherwise(1).alias("status"),
+        F.concat(F.lit("about "), F.reverse("model")).alias("description"), F.concat(F.lit("Tag-"), F.expr("right(model, 1)"), F.lit(", all")).alias("tags"),
+    )
+    return C.price_list(a, best, meta, model_endpoints(spark, sf_dir))
+
+
+@query(LISTED + "SELECT * FROM cat")
 def c11_price_list(spark, sf_dir):
     return catalog(spark, sf_dir)
 
 
-@query(S.with_(S.ABILITIES, S.PRICES, CATALOG) + "SELECT model, price, ratio FROM cat WHERE (contains(lower(model), 'd#2') OR contains(lower(vendor), 'd#2')) AND list_contains(groups, 'g1') AND by_price")
+@query(LISTED + "SELECT model, price, ratio FROM cat WHERE (contains(lower(model), 'd#2') OR contains(lower(vendor), 'd#2') OR contains(lower(tags), 'd#2') OR contains(lower(description), 'd#2')) AND list_contains(groups, 'g1') AND by_price")
 def c12_search(spark, sf_dir):
     return C.search_catalog(catalog(spark, sf_dir), keyword="D#2", group="g1", by_price=True, sort="price").select("model", "price", "ratio")
 
 
+@query(LISTED + "SELECT model, ratio, tags FROM cat WHERE contains(lower(description), '2#d') AND list_contains(endpoints, 'chat') AND tags LIKE 'Tag-2%' AND vendor = 'vendor-1' OR contains(lower(tags), 'tag-4') AND vendor = 'vendor-2'")
+def c12_filters(spark, sf_dir):
+    listed = catalog(spark, sf_dir)
+    by_description = C.search_catalog(listed, keyword="2#D", endpoint="chat", tag="TAG-2", vendor="vendor-1", sort="-price")
+    return by_description.unionByName(C.search_catalog(listed, keyword="tag-4", vendor="vendor-2")).select("model", "ratio", "tags")
+
+
 @query("SELECT DISTINCT trim(tag) AS tag FROM (SELECT unnest(regexp_split_to_array(lower(p_type || ', ' || p_brand || ';' || p_name || '|x'), '[,;|\\s]+')) AS tag FROM part) WHERE trim(tag) <> ''")
 def c13_tags(spark, sf_dir):
     rows = S.table(spark, sf_dir, "part").select(F.concat("p_type", F.lit(", "), "p_brand", F.lit(";"), "p_name", F.lit("|x")).alias("tags"))
     return C.distinct_tags(rows, "tags")
 
 
-@query(S.with_(S.ABILITIES, RULES) + f", h AS (SELECT id, model, \"group\", channel_id FROM (SELECT id, name_rule, pattern FROM rules) r LEFT JOIN (SELECT model, \"group\", channel_id FROM abilities WHERE enabled) ON {MATCH}) SELECT id, list_sort(COALESCE(list(DISTINCT model) FILTER (model IS NOT NULL), [])) AS names, count(DISTINCT model) AS matched, list_sort(COALESCE(list(DISTINCT \"group\") FILTER (model IS NOT NULL), [])) AS groups, count(DISTINCT channel_id) AS channels FROM h GROUP BY 1")
+@query(LISTED + f""", {RULES}, conns AS (SELECT model, "group", channel_id, name, type FROM abilities JOIN channels ON channel_id = channels.id WHERE enabled AND channels.status = 1),
+  names AS (SELECT DISTINCT model FROM conns), hits AS (SELECT r.id, model FROM rules r JOIN names ON {MATCH}),
+  h AS (SELECT hits.id, conns.* FROM hits JOIN conns USING (model)),
+  g AS (SELECT id, list_sort(list(DISTINCT model)) AS models, list_sort(list(DISTINCT "group")) AS groups FROM h GROUP BY 1),
+  b AS (SELECT id, list_sort(list({{'name': name, 'type': type}})) AS bound FROM (SELECT DISTINCT id, channel_id, name, type FROM h) GROUP BY 1),
+  e AS (SELECT id, list_sort(list(DISTINCT endpoint)) AS endpoints FROM (SELECT hits.id, unnest(endpoints) AS endpoint FROM hits JOIN cat USING (model)) GROUP BY 1),
+  t AS (SELECT hits.id, list_sort(list(DISTINCT CASE WHEN by_price THEN 1 ELSE 0 END)) AS quota_types FROM hits JOIN cat USING (model) GROUP BY 1),
+  conf AS (SELECT DISTINCT c.id AS channel_id, trim(m) AS model FROM (SELECT id, unnest(string_split(models, ',')) AS m FROM configured_channels) c WHERE trim(m) <> ''),
+  n AS (SELECT r.id, count(DISTINCT channel_id) AS n FROM rules r JOIN conf ON {MATCH} GROUP BY 1)
+  SELECT r.id, CASE WHEN name_rule = 0 THEN [] ELSE COALESCE(models, []) END AS names, CASE WHEN name_rule = 0 THEN 0 ELSE COALESCE(len(models), 0) END AS matched, COALESCE(groups, []) AS groups,
+    list_transform(COALESCE(bound, []), lambda x: x.name || ':' || x.type) AS bound_channels, COALESCE(endpoints, []) AS endpoints, COALESCE(quota_types, []) AS quota_types, COALESCE(n, 0) AS configured_channels
+  FROM rules r LEFT JOIN g USING (id) LEFT JOIN b USING (id) LEFT JOIN e USING (id) LEFT JOIN t USING (id) LEFT JOIN n USING (id)""".replace("configured_channels) c", "(SELECT s_suppkey - 1 AS id, 'Brand#' || (1 + s_suppkey % 5) || (1 + s_suppkey % 3) || ',, Brand#' || (1 + s_suppkey % 4) || '2' AS models FROM supplier)) c"))
 def c14_enriched_rules(spark, sf_dir):
-    return C.enriched_rules(rules(spark, sf_dir), S.abilities(spark, sf_dir))
+    k = F.col("id") + 1
+    channels = S.channels(spark, sf_dir).withColumn("models", S.text("Brand#", 1 + k % 5, 1 + k % 3, ",, Brand#", 1 + k % 4, "2"))
+    found = C.enriched_rules(rules(spark, sf_dir), S.abilities(spark, sf_dir), channels, catalog(spark, sf_dir))
+    return found.withColumn("bound_channels", F.transform("bound_channels", lambda c: F.concat(c["name"], F.lit(":"), c["type"].cast("string"))))

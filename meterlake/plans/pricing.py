@@ -30,7 +30,7 @@ def m1_m2_completion_ratios(spark, sf_dir):
     # rules run on distinct names
     names = named(spark, sf_dir).groupBy("model_name").agg(F.count("*").alias("rows")).withColumn("price_name", M.lookup_name(F.col("model_name")))
     configured = F.when(F.col("model_name").contains("/") | (F.length("model_name") % 2 == 0), F.lit(7.5))
-    return names.withColumn("found", M.completion_ratio(F.col("price_name"), configured)).select("model_name", "price_name", "rows", "found.ratio", "found.locked")
+    return M.with_completion_ratio(names, "price_name", configured).select("model_name", "price_name", "rows", "ratio", "locked")
 
 
 @query(S.with_(S.LOGS) + """SELECT id, "group", CASE WHEN user_id % 5 = 0 AND "group" = 'vip' THEN 0.5 WHEN "group" = 'vip' THEN 0.75 WHEN "group" = 'default' THEN 1.5 ELSE 1.0 END AS group_ratio FROM logs""")
@@ -64,7 +64,8 @@ def m4_m6_text_quota(spark, sf_dir):
     i = F.col("id")
     extra = (i % 2 * F.lit(0.25)).cast("decimal(20,6)")
     ratios = F.create_map(F.lit("size"), F.lit(3.0), F.lit("none"), F.lit(1.0), F.lit("bad"), F.lit(-2.0), F.lit("half"), F.lit(0.5))
-    return usage(spark, sf_dir).select("id", M.text_quota(i % 10 == 7, extra, M.other_multiplier(ratios))["value"].alias("quota"))
+    priced = M.with_text_quota(usage(spark, sf_dir), i % 10 == 7, extra, M.other_multiplier(ratios))
+    return priced.select("id", F.col("priced_quota").alias("quota"))
 
 
 @query("""SELECT event_id AS id, CASE WHEN event_id % 8 * event_id % 4 <> -1 THEN CASE WHEN (event_id % 8) * (event_id % 4) = 0 THEN CAST(0 AS BIGINT) ELSE CAST(greatest(round((event_id % 400 + event_id % 70 * CAST(4 AS DOUBLE) + event_id % 50 * CAST(2 AS DOUBLE) + event_id % 20 * CAST(1 AS DOUBLE)) * CAST(event_id % 8 * 0.25 AS DOUBLE) * CAST(event_id % 4 * 0.5 AS DOUBLE)),
@@ -134,18 +135,50 @@ def m14_inferred_creation(spark, sf_dir):
     return rows.withColumn("cost", cost).select("id", M.inferred_creation().cast("bigint").alias("creation"))
 
 
-@query(S.with_(S.LOGS, S.PRICES) + """, best AS (SELECT model, max(model_ratio) AS mr, max(model_price) AS mp FROM prices GROUP BY 1), l AS (SELECT *, 'Brand#' || (1 + id % 5) || (1 + id % 4) AS m FROM logs),
-  e AS (SELECT l.id, m, quota, CASE WHEN prompt_tokens + completion_tokens = 0 AND mp IS NULL THEN 0 WHEN mp IS NOT NULL THEN 10000 ELSE CAST(round((prompt_tokens + completion_tokens) * COALESCE(mr, 37.5)) AS BIGINT) END AS expected FROM l LEFT JOIN best ON m = model)
-  SELECT id, m AS model_name, quota, CAST(expected AS BIGINT) AS expected, CAST(expected - quota AS BIGINT) AS delta, CAST(NULL AS VARCHAR) AS kind FROM e""")
+#: Logs whose model is a brand for every other row and one of NAMES for the rest, with usage detail in ``other``.
+RERATED = f"""l AS (SELECT id, user_id, quota, "group", CASE WHEN id % 2 = 0 THEN 'Brand#' || (1 + id % 5) || (1 + id % 4)
+    ELSE CASE id % {len(NAMES)} {' '.join(f'WHEN {k} THEN ' + repr(n) for k, n in enumerate(NAMES))} END END AS model_name,
+  prompt_tokens AS prompt, completion_tokens AS completion, id % 300 AS cache, id % 90 AS creation, id % 40 AS c5, id % 60 AS c1, id % 50 AS image,
+  id % 30 AS audio, id % 3 = 0 AS claude, CASE WHEN id % 7 = 0 THEN id % 4 ELSE 0 END AS calls FROM logs),
+best AS (SELECT model, max(model_ratio) AS mr, max(model_price) AS mp, max(completion_ratio) AS cr, max(cache_ratio) AS car,
+  CASE WHEN model LIKE '%1' THEN CAST(4 AS DOUBLE) END AS ap FROM prices GROUP BY 1),
+j AS (SELECT l.*, COALESCE(mr, 37.5) AS mr, mp, COALESCE(car, 1.0) AS car, COALESCE(ap, 0.0) AS ap,
+  CASE WHEN contains({LOOKUP}, '/') AND cr IS NOT NULL THEN cr WHEN {LOCKS} THEN {RULES} ELSE COALESCE(cr, {RULES}) END AS cr,
+  CASE WHEN u."group" = 'auto' AND l."group" = 'vip' THEN 0.5 WHEN l."group" = 'vip' THEN 0.75 WHEN l."group" = 'default' THEN 1.5 ELSE 1.0 END AS gr
+  FROM l LEFT JOIN best ON {LOOKUP} = model LEFT JOIN users u ON u.id = l.user_id),
+p AS (SELECT *, greatest(0, prompt - CASE WHEN claude THEN 0 ELSE cache + creation END - image - CASE WHEN ap > 0 THEN audio ELSE 0 END) + cache * car + image
+    + CASE WHEN claude AND (c5 > 0 OR c1 > 0) THEN greatest(creation - c5 - c1, 0) * CAST(1.25 AS DOUBLE) + c5 * CAST(1.25 AS DOUBLE) + c1 * CAST(2 AS DOUBLE)
+      ELSE creation * CAST(1.25 AS DOUBLE) END + completion * cr AS priced,
+  CASE WHEN starts_with(model_name, 'gpt-') THEN 4.0 ELSE 2.0 END * calls / 1000 * gr * 500000 AS extra FROM j),
+t AS (SELECT *, CASE WHEN mp IS NOT NULL THEN CAST(mp AS DOUBLE) * 500000 * gr + extra ELSE priced * mr * gr + ap * audio * gr * CAST(0.5 AS DOUBLE) + extra END AS total FROM p)"""
+
+
+@query(S.with_(S.LOGS, S.PRICES, S.USERS, RERATED) + """, e AS (SELECT *, CASE WHEN prompt + completion = 0 AND extra = 0 THEN 0
+    WHEN mr * gr <> 0 AND round(total) <= 0 THEN 1 ELSE CAST(round(CAST(total AS DOUBLE)) AS BIGINT) END AS expected FROM t)
+  SELECT id, model_name, quota, CAST(expected AS BIGINT) AS expected, CAST(expected - quota AS BIGINT) AS delta, CAST(NULL AS VARCHAR) AS kind FROM e""")
 def j12_m15_rerate(spark, sf_dir):
-    best = S.prices(spark, sf_dir).groupBy("model").agg(F.max("model_ratio").alias("model_ratio"), F.max("model_price").alias("model_price"))
-    rows = S.logs(spark, sf_dir).withColumn("model_name", S.text("Brand#", 1 + F.col("id") % 5, 1 + F.col("id") % 4))
-    return M.rerate(rows, best)
-
-
-@query(S.with_(S.LOGS) + "SELECT id, CASE WHEN quota % 97 > 0 AND round(CAST(quota % 97 AS DOUBLE) / 500000 * 10000) / 10000 < 0.0001 THEN CAST(0.0001 AS DOUBLE) ELSE round(CAST(quota % 97 AS DOUBLE) / 500000 * 10000) / 10000 END AS tiny, round(CAST(quota AS DOUBLE) / 500000 * 10000) / 10000 AS usd FROM logs WHERE quota >= 25000")
+    i, none = F.col("id"), F.lit(None).cast("double")
+    best = S.prices(spark, sf_dir).groupBy("model").agg(*(F.max(c).alias(c) for c in ("model_ratio", "model_price", "completion_ratio", "cache_ratio")))
+    best = best.withColumns({"creation_ratio": none, "image_ratio": none, "audio_price": F.when(F.col("model").endswith("1"), 4.0)})
+    calls = F.array(F.struct(F.lit("search").alias("name"), (i % 4).alias("count"), F.lit(1.0).alias("price")))
+    detail = F.struct(
+        (i % 300).alias("cache_tokens"), (i % 90).alias("cache_creation_tokens"), (i % 40).alias("cache_creation_tokens_5m"), (i % 60).alias("cache_creation_tokens_1h"),
+        (i % 50).alias("image_output"), (i % 30).alias("audio_input_token_count"), (i % 3 == 0).alias("claude"), F.when(i % 7 == 0, calls).alias("tool_surcharges"),
+    )
+    own = F.element_at(F.array(*map(F.lit, NAMES)), (i % len(NAMES) + 1).cast("int"))
+    name = F.when(i % 2 == 0, S.text("Brand#", 1 + i % 5, 1 + i % 4)).otherwise(own)
+    logs = S.logs(spark, sf_dir).withColumns({"model_name": name, "other": F.to_json(detail)})
+    logs = logs.join(S.users(spark, sf_dir).select(F.col("id").alias("user_id"), F.col("group").alias("user_group")), "user_id", "left")
+    groups = S.logs(spark, sf_dir).where("`group` != ''").select("group").distinct().withColumn("ratio", F.when(F.col("group") == "vip", 0.75).otherwise(1.5))
+    special = groups.where("`group` = 'vip'").select(F.lit("auto").alias("user_group"), "group", F.lit(0.5).alias("ratio"))
+    tools = spark.createDataFrame([("search", "", 2.0), ("search", "gpt-", 4.0)], "tool string, prefix string, price double")
+    return M.rerate(logs, best, groups, special, tools)
+
+
+@query(S.with_(S.LOGS) + """SELECT id, CASE WHEN quota % 97 > 0 AND round(CAST(quota % 97 AS DOUBLE) / 500000 * 10000) / 10000 < 0.0001 THEN CAST(0.0001 AS DOUBLE) ELSE round(CAST(quota % 97 AS DOUBLE) / 500000 * 10000) / 10000 END AS tiny,
+  CASE WHEN quota > 0 AND round(CAST(quota AS DOUBLE) / 500000 * 10000) / 10000 < 0.0001 THEN CAST(0.0001 AS DOUBLE) ELSE round(CAST(quota AS DOUBLE) / 500000 * 10000) / 10000 END AS usd FROM logs""")
 def m16_usd(spark, sf_dir):
-    return S.logs(spark, sf_dir).where("quota >= 25000").select("id", usd(F.col("quota") % 97).alias("tiny"), usd(F.col("quota")).alias("usd"))
+    return S.logs(spark, sf_dir).select("id", usd(F.col("quota") % 97).alias("tiny"), usd(F.col("quota")).alias("usd"))
 
 
 @query(S.with_(S.PRICES) + """, k AS (SELECT model || upstream AS model, 'input' AS kind, model_ratio * 2 * 0.5 AS usd FROM prices UNION ALL SELECT model || upstream, 'output', model_ratio * 2 * 0.5 * completion_ratio FROM prices UNION ALL SELECT model || upstream, 'cache', model_ratio * 2 * 0.5 * cache_ratio FROM prices

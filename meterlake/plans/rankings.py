@@ -79,9 +79,9 @@ def w8_chart_keys(spark, sf_dir):
 GRID = "SELECT bucket, model_name, CAST(COALESCE(sum(\"count\"), 0) AS BIGINT) AS \"count\", CAST(COALESCE(sum(quota), 0) AS BIGINT) AS quota FROM axis CROSS JOIN (SELECT DISTINCT model_name FROM r) LEFT JOIN r USING (bucket, model_name) GROUP BY ALL"
 
 
-@query(WITH + f", r AS (SELECT created_at // 86400 * 86400 AS bucket, model_name, \"count\", quota FROM cube WHERE user_id < 9), axis AS (SELECT DISTINCT bucket FROM r) {GRID}")
+@query(WITH + f", r AS (SELECT created_at // 86400 * 86400 AS bucket, model_name, \"count\", quota FROM cube), axis AS (SELECT DISTINCT bucket FROM r) {GRID}")
 def w9_dense_grid(spark, sf_dir):
-    rows = cube(spark, sf_dir).where("user_id < 9").select(U.bucket(86400).alias("bucket"), "model_name", "count", "quota")
+    rows = cube(spark, sf_dir).select(U.bucket(86400).alias("bucket"), "model_name", "count", "quota")
     return R.dense_grid(rows, "bucket", "model_name", ["count", "quota"], 86400)
 
 

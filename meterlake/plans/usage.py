@@ -108,7 +108,13 @@ def a12_model_buckets(spark, sf_dir):
 
 @query(S.with_(S.CHANNELS) + "SELECT type, count(*) AS channels, count(DISTINCT NULLIF(tag, '')) AS tags FROM channels GROUP BY 1")
 def a13_channels_by_type(spark, sf_dir):
-    return S.channels(spark, sf_dir).groupBy("type").agg(F.count("*").alias("channels"), F.count_distinct(F.nullif(F.col("tag"), F.lit(""))).alias("tags"))
+    return U.channels_by_type(S.channels(spark, sf_dir))
+
+
+@query("SELECT s_suppkey AS vendor_id, COALESCE(n, 0) AS models FROM supplier LEFT JOIN (SELECT p_partkey % 37 * 3 AS vendor_id, count(*) AS n FROM part GROUP BY 1) ON vendor_id = s_suppkey")
+def a13_models_of_vendors(spark, sf_dir):
+    models = S.table(spark, sf_dir, "part").select((F.col("p_partkey") % 37 * 3).alias("vendor_id"))
+    return U.models_of_vendors(models, S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 @query(S.with_(S.LOGS) + "SELECT type, max(id) AS last_id, min(id) AS first_id, arg_max(username, id) AS last_username, arg_min(username, id) AS first_username FROM logs GROUP BY 1")
@@ -153,6 +159,11 @@ def a20_groups_of_models(spark, sf_dir):
     return U.groups_of_models(S.abilities(spark, sf_dir))
 
 
+@query(S.with_(S.ABILITIES, S.CHANNELS, S.ENDPOINTS, S.MODEL_ENDPOINTS) + "SELECT * FROM model_endpoints")
+def a20_endpoints_of_models(spark, sf_dir):
+    return U.endpoints_of_models(S.abilities(spark, sf_dir), S.channels(spark, sf_dir), S.endpoints(spark, sf_dir))
+
+
 @query(WITH + f", old AS (SELECT * FROM cube WHERE channel_id < 5), new AS (SELECT * FROM cube WHERE channel_id > 2) SELECT user_id, username, model_name, created_at, use_group, token_id, channel_id, node_name, {SUMS} FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY ALL")
 def s6_upsert_add(spark, sf_dir):
     c = cube(spark, sf_dir)

@@ -96,6 +96,20 @@ ABILITIES = """abilities AS (SELECT 'g' || (p_size % 3) AS "group", p_brand AS m
   FROM part GROUP BY 1, 2, 3)"""
 
 
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoint types that a channel type serves, in order of preference, from nations."""
+    k = F.col("n_nationkey").cast("bigint")
+    listed = F.array(F.when(k % 2 == 0, "chat").otherwise("messages"), F.when(k % 3 == 0, "embeddings"), F.when(k % 4 == 1, "chat"))
+    rows = table(spark, sf_dir, "nation").select(k.alias("channel_type"), F.posexplode(listed).alias("position", "endpoint"))
+    return rows.where("endpoint is not null")
+
+
+ENDPOINTS = """endpoints AS (SELECT CAST(n_nationkey AS BIGINT) AS channel_type, 0 AS position, CASE WHEN n_nationkey % 2 = 0 THEN 'chat' ELSE 'messages' END AS endpoint FROM nation
+  UNION ALL SELECT n_nationkey, 1, 'embeddings' FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_nationkey, 2, 'chat' FROM nation WHERE n_nationkey % 4 = 1)"""
+MODEL_ENDPOINTS = """first_endpoints AS (SELECT a.model, e.endpoint, min((channel_id, position)) AS place FROM (SELECT DISTINCT model, channel_id FROM abilities WHERE enabled) a
+  JOIN channels c ON c.id = a.channel_id JOIN endpoints e ON e.channel_type = c.type GROUP BY 1, 2), model_endpoints AS (SELECT model, list(endpoint ORDER BY place, endpoint) AS endpoints FROM first_endpoints GROUP BY 1)"""
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("id"), F.col("c_name").alias("username"), F.lower(F.substring("c_mktsegment", 1, 4)).alias("group"))
 

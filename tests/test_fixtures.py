@@ -142,9 +142,23 @@ TOKENS = dict(prompt=1000, completion=200, cache=100, cache_creation=50, creatio
 
 
 def test_text_quota_with_split_cache(spark):
-    quota = pricing.text_quota(F.lit(False), F.lit(0).cast("decimal(20,6)"), F.lit(1.0))
-    assert one(spark, quota, **TOKENS, **PRICED, anthropic=True)["value"] == 1488
-    assert one(spark, quota, **(TOKENS | dict(prompt=0, completion=0, cache=0, cache_creation=0, creation_5m=0, creation_1h=0)), **PRICED, anthropic=True)["value"] == 0
+    def quota(fixed=False, extra=0, **change):
+        row = TOKENS | PRICED | dict(anthropic=True) | change
+        frame = spark.createDataFrame([tuple(row.values())], list(row))
+        return pricing.with_text_quota(frame, F.lit(fixed), F.lit(extra).cast("decimal(20,6)"), F.lit(1.0)).first()["priced_quota"]
+
+    none = dict.fromkeys(TOKENS, 0)
+    assert quota() == 1488
+    # without tokens only tool calls cost, whatever the price mode
+    assert quota(**none) == 0 and quota(**none, fixed=True, model_price=0.02) == 0 and quota(**none, extra=7) == 7
+    assert quota(fixed=True, model_price=0.02, extra=7) == 10_007
+
+
+def test_text_quota_computes_each_step_once(spark):
+    row = TOKENS | PRICED | dict(anthropic=True, ratios={"size": 3.0})
+    frame = spark.createDataFrame([tuple(row.values())] * 2, list(row)).repartition(2)
+    priced = pricing.with_text_quota(frame, F.lit(False), F.lit(0).cast("decimal(20,6)"), pricing.other_multiplier(F.col("ratios")))
+    assert priced._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
 
 
 def test_tiers(spark):
@@ -161,7 +175,8 @@ def test_lookup_names(spark):
 
 
 def test_completion_ratio_rules(spark):
-    got = lambda name, c: tuple(one(spark, pricing.completion_ratio(F.col("x"), F.lit(c).cast("double")), x=name))
+    names = lambda name: spark.createDataFrame([(name,)], "x string")
+    got = lambda name, c: tuple(pricing.with_completion_ratio(names(name), "x", F.lit(c).cast("double")).select("ratio", "locked").first())
     assert got("a/b", 7.0) == (7.0, False) and got("gpt-5-mini", 7.0) == (8.0, True) and got("gpt-5.5", 7.0) == (7.0, False)
     assert got("gpt-3.5-turbo", None) == (2.0, False) and got("gpt-4-1106", None) == (3.0, True) and got("unknown", None) == (1.0, False)
 
