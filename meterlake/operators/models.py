@@ -11,18 +11,21 @@ from meterlake.functions.scalars import rounded
 
 #: Name rules in their order of precedence.
 EXACT, PREFIX, CONTAINS, SUFFIX = 0, 1, 2, 3
+PATTERN = ["name_rule", "pattern"]
 PRECEDENCE = {EXACT: 0, PREFIX: 1, SUFFIX: 2, CONTAINS: 3}
 TOLERANCE = 1e-9
 FIELDS = ("model_ratio", "completion_ratio", "cache_ratio", "model_price")
 
 
 def rule_hits(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """(model, rule columns) for each distinct name and rule that fits it.
+    """(model, name_rule, pattern) for each distinct name and each distinct pattern that fits it; rules of one pattern
+    have the same names.
 
     Exact, prefix and suffix rules join by equality, the latter two on every beginning and end of a name; only
     ``contains`` rules meet names in a loop.
     """
     distinct = names.select("model").distinct()
+    rules = rules.select(*PATTERN).distinct()
     of = lambda rule: rules.where(F.col("name_rule") == rule)
     size = F.explode(F.sequence(F.lit(1), F.length("model")))
     begins = distinct.where("model != ''").withColumn("size", size).withColumn("pattern", F.expr("left(model, size)")).drop("size")
@@ -32,14 +35,15 @@ def rule_hits(names: DataFrame, rules: DataFrame) -> DataFrame:
         found = found.unionByName(pieces.join(of(rule), "pattern"))
     # an empty pattern fits every name
     loose = rules.where((F.col("name_rule") == CONTAINS) | ((F.col("name_rule") != EXACT) & (F.col("pattern") == "")))
-    return found.unionByName(distinct.join(loose, F.contains("model", "pattern")))
+    return found.unionByName(distinct.join(loose, F.contains("model", "pattern"))).select("model", *PATTERN)
 
 
 def resolve_metadata(names: DataFrame, rules: DataFrame) -> DataFrame:
     """(model, rule_id, ...) of the rule row that describes each distinct name: exact, prefix, suffix, contains; then
     the lowest id."""
     order = F.element_at(F.create_map(*(F.lit(x) for p in PRECEDENCE.items() for x in p)), F.col("name_rule"))
-    hit = rule_hits(names, rules).withColumn("place", F.struct(order.alias("o"), F.col("id").alias("i")))
+    first = rules.groupBy(*PATTERN).agg(F.min_by(F.struct(*rules.columns), "id").alias("rule")).select("rule.*")
+    hit = rule_hits(names, rules).join(first, PATTERN).withColumn("place", F.struct(order.alias("o"), F.col("id").alias("i")))
     return hit.groupBy("model").agg(F.min_by(F.struct(*rules.columns), "place").alias("rule")).select("model", F.col("rule.id").alias("rule_id"), "rule.*").drop("id")
 
 
@@ -206,12 +210,13 @@ def name_states(names: DataFrame, resolved: DataFrame, reachable: DataFrame) ->
 
 def rule_states(rules: DataFrame, states: DataFrame) -> DataFrame:
     """(id, matched, state) of each rule: hidden or visible if all its names are, partial if some are visible."""
-    hit = rule_hits(states, rules).select("id", "model").join(states, "model")
-    hit = rules.select("id", "status").join(hit, "id", "left")
-    counts = hit.groupBy("id", "status").agg(F.count("model").alias("matched"), F.count_if(F.col("state") == "visible").alias("visible"), F.count_if(F.col("state") == "hidden").alias("hidden"))
+    hit = rule_hits(states, rules).join(states, "model")
+    counts = hit.groupBy(*PATTERN).agg(F.count("model").alias("matched"), F.count_if(F.col("state") == "visible").alias("visible"), F.count_if(F.col("state") == "hidden").alias("hidden"))
+    counts = rules.select("id", "status", *PATTERN).join(counts, PATTERN, "left")
+    matched = F.coalesce("matched", F.lit(0))
     empty = F.when(F.col("status") != 1, "hidden").otherwise("unavailable")
-    state = F.when(F.col("matched") == 0, empty).when(F.col("hidden") == F.col("matched"), "hidden").when(F.col("visible") == F.col("matched"), "visible").when(F.col("visible") > 0, "partial").otherwise("unavailable")
-    return counts.select("id", "matched", state.alias("state"))
+    state = F.when(matched == 0, empty).when(F.col("hidden") == matched, "hidden").when(F.col("visible") == matched, "visible").when(F.col("visible") > 0, "partial").otherwise("unavailable")
+    return counts.select("id", matched.alias("matched"), state.alias("state"))
 
 
 #: Ratios that a price list shows beside the model ratio.
@@ -282,16 +287,16 @@ def enriched_rules(rules: DataFrame, abilities: DataFrame, channels: DataFrame,
         F.collect_set("group").alias("groups"), F.collect_set(F.struct("channel_id", F.col("channel_name").alias("name"), F.col("channel_type").alias("type"))).alias("channels"))
     quota = F.when(F.col("by_price"), 1).when(F.col("by_price").isNotNull(), 0)
     served = served.join(catalog.select("model", "endpoints", quota.alias("quota_type")), "model", "left")
-    hit = rules.select("id", "name_rule").join(rule_hits(served, rules).select("id", "model").join(served, "model"), "id", "left")
+    hit = rule_hits(served, rules).join(served, "model")
     merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     listed = F.col("name_rule") != EXACT
-    found = hit.groupBy("id", "name_rule").agg(
+    found = hit.groupBy(*PATTERN).agg(
         F.collect_set("model").alias("all_names"), merged("groups").alias("groups"), merged("channels").alias("channels"), merged("endpoints").alias("endpoints"), F.collect_set("quota_type").alias("quota_types"))
     configured = channels.select(F.explode(split_list("models")).alias("model"), F.col("id").alias("channel_id"))
-    counts = rule_hits(configured, rules).select("id", "model").join(configured, "model").groupBy("id").agg(F.count_distinct("channel_id").alias("configured_channels"))
-    names = F.when(listed, F.array_sort("all_names")).otherwise(F.array().cast("array<string>"))
+    counts = rule_hits(configured, rules).join(configured, "model").groupBy(*PATTERN).agg(F.count_distinct("channel_id").alias("configured_channels"))
     bound = F.array_sort(F.transform("channels", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"))))
-    return found.join(counts, "id", "left").select(
-        "id", names.alias("names"), F.size(names).cast("bigint").alias("matched"), F.array_sort("groups").alias("groups"), bound.alias("bound_channels"),
-        F.array_sort("endpoints").alias("endpoints"), F.array_sort("quota_types").alias("quota_types"), F.coalesce("configured_channels", F.lit(0)).alias("configured_channels"),
-    )
+    columns = {"names": F.when(listed, F.array_sort("all_names")), "bound_channels": bound, **{c: F.array_sort(c) for c in ("groups", "endpoints", "quota_types")}}
+    found = found.select(*PATTERN, *(c.alias(k) for k, c in columns.items()))
+    out = rules.select("id", *PATTERN).join(found, PATTERN, "left").join(counts, PATTERN, "left")
+    filled = {k: F.coalesce(k, F.array().cast(found.schema[k].dataType)) for k in columns}
+    return out.select("id", *(c.alias(k) for k, c in filled.items()), F.size(filled["names"]).cast("bigint").alias("matched"), F.coalesce("configured_channels", F.lit(0)).alias("configured_channels"))
