@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.operators import usage as U
-from meterlake.plans import query
+from meterlake.plans import NOW, query
 from meterlake.plans.health import COUNTERS
 from meterlake.plans.usage import CUBE
 from meterlake.sources import logs as L
@@ -22,6 +23,8 @@ def folder(spark) -> str:
     """A new folder where the cluster's executors and driver can both read."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -101,14 +104,25 @@ def r5_sliding_counts(spark, sf_dir):
     return R.sliding_counts(S.logs(spark, sf_dir), 43_200).select("id", "recent")
 
 
-@query()
+@query(LOG.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT user_id, id, created_at, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS n FROM logs),
+  s AS (SELECT user_id, id, created_at, n, true AS accepted, [created_at] AS times FROM r WHERE n = 1
+    UNION ALL SELECT user_id, id, created_at, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, created_at) ELSE live END
+    FROM (SELECT r.*, list_filter(s.times, lambda x: r.created_at - x < 86400) AS live FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))
+  SELECT user_id, id, created_at, accepted FROM s""")
 def r6_admission(spark, sf_dir):
-    """No oracle: each decision depends on those before it; a test holds it against a plain loop."""
+    """Each decision depends on those before it: the oracle walks each user's requests in turn."""
     return R.replay_admission(S.logs(spark, sf_dir), 3, 86_400)
 
 
+def last_log(spark, sf_dir):
+    """One log of token 1 long after all others, whose window stays open: it lets the windows before it close."""
+    rows = S.logs(spark, sf_dir)
+    return rows.where("token_id = 1").orderBy("id").limit(1).withColumn("created_at", F.lit(NOW + 100 * 86_400).cast("bigint"))
+
+
 @query(LOG + f""", c AS (SELECT token_id, created_at // 86400 * 86400 AS bucket, count(*) AS requests, count(*) FILTER (type = 2) AS consumes, CAST(COALESCE(sum(quota) FILTER (type = 2), 0) AS BIGINT) AS quota, count(*) FILTER (type = 5) AS errors, CAST(0 AS BIGINT) AS saturated_rows, CAST(0 AS BIGINT) AS saturated_quota FROM logs WHERE token_id > 0 GROUP BY 1, 2)
-  SELECT * FROM c WHERE bucket + 86400 <= (SELECT max(created_at) FROM logs WHERE token_id > 0)""")
+  SELECT * FROM c""")
 def r7_abuse_windows(spark, sf_dir):
-    stream, path = replayed(spark, S.logs(spark, sf_dir))
-    return drained(R.abuse_windows(stream, 86_400), path)
+    """Five batches with rows of all times: the allowance covers the whole month, so that no late log is lost."""
+    stream, path = replayed(spark, S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), parts=5, batches=5)
+    return drained(R.abuse_windows(stream, 86_400, "40 days"), path)

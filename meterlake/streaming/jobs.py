@@ -12,11 +12,12 @@ from meterlake.operators import usage as U
 from meterlake.sources.logs import decode_json, write_logs
 
 
-def upsert_cube(batch: DataFrame, path: str) -> None:
+def upsert_cube(batch: DataFrame, path: str, batch_id: int, writer: str = "") -> None:
     """Adds a batch's cube rows to the table at ``path``, day by day; late rows land in their old hour.
 
-    Only the day partitions that the batch touches are rewritten. They are staged beside the table first, since a
-    partition can't be overwritten while it is read.
+    Only the day partitions that the batch touches are rewritten, and each keeps the batch and the writer that last
+    did so: a day that has the batch already is left alone when the batch is replayed. Days are staged beside the table
+    first, since a partition can't be overwritten while it is read. A table has one writer at a time.
     """
     spark = batch.sparkSession
     day = F.expr("created_at div 86400")
@@ -24,22 +25,28 @@ def upsert_cube(batch: DataFrame, path: str) -> None:
     days = [r[0] for r in delta.select("day").distinct().collect()]  # a batch touches few days
     if not days:
         return
+    marks = {"batch": F.lit(batch_id).cast("bigint"), "writer": F.lit(writer)}
     try:
-        state = spark.read.parquet(path).where(F.col("day").isin(days)).select(*delta.columns)
+        state = spark.read.parquet(path).where(F.col("day").isin(days)).select(*delta.columns, *marks)
     except Exception as missing:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
             raise
-        state = delta.limit(0)
-    total = U.upsert_add(state, delta, [*U.CUBE_KEY, "day"], U.MEASURES)
-    staged = f"{path.rstrip('/')}.staged"
+        state = delta.limit(0).withColumns(marks)
+    done = state.where((F.col("writer") == writer) & (F.col("batch") >= batch_id)).select("day").distinct().collect()
+    left = [d for d in days if d not in {r[0] for r in done}]
+    if not left:
+        return
+    fresh = lambda df: df.where(F.col("day").isin(left)).select(*delta.columns)
+    total = U.upsert_add(fresh(state), fresh(delta), [*U.CUBE_KEY, "day"], U.MEASURES).withColumns(marks)
+    staged = f"{path.rstrip('/')}.staged/{writer or 'cube'}-{batch_id}"
     total.write.mode("overwrite").parquet(staged)
     spark.read.schema(total.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def stream_cube(logs: DataFrame, path: str) -> DataStreamWriter:
-    """The hourly cube of a log stream, kept at ``path``. At least once: a batch that fails after its write counts twice
-    unless ``batch_ids`` of the caller prevents it."""
-    return logs.writeStream.foreachBatch(lambda batch, _: upsert_cube(batch, path))
+def stream_cube(logs: DataFrame, path: str, writer: str = "") -> DataStreamWriter:
+    """The hourly cube of a log stream, kept at ``path``. A replayed batch counts once; a stream that starts over with a new
+    checkpoint needs a ``writer`` name of its own."""
+    return logs.writeStream.foreachBatch(lambda batch, batch_id: upsert_cube(batch, path, batch_id, writer))
 
 
 def perf_buckets(samples: DataFrame, size: int = 60, late: str = "0 seconds") -> DataFrame:
@@ -169,8 +176,9 @@ def stream_logs(lines: DataFrame, path: str, dropped: Callable[[int], None] | No
     return lines.writeStream.foreachBatch(write)
 
 
-def abuse_windows(logs: DataFrame, window: int, late: str = "0 seconds") -> DataFrame:
-    """Window counts of tokens as a tumbling stream, emitted when complete; feeds abuse.baselines batch by batch."""
+def abuse_windows(logs: DataFrame, window: int, late: str = "1 hour") -> DataFrame:
+    """Window counts of tokens as a tumbling stream, emitted once ``late`` has passed since the window's end by the newest
+    log's time; feeds abuse.baselines batch by batch. A log that comes later than that is in no window."""
     timed = logs.where("token_id > 0").withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", late)
     consume = F.col("type") == 2
     clamp = consume & F.coalesce(F.col("other").contains('"quota_saturation":'), F.lit(False))

@@ -372,3 +372,40 @@ def test_vendors_are_read_whole(spark, tmp_path):
     spark.createDataFrame(suppliers, "s_suppkey bigint, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
     meta, vendors = rankings.vendors(spark, str(tmp_path))
     assert sorted((r["model_name"], r["vendor_id"]) for r in meta.collect()) == [("model-1", 61), ("model-2", 1002)] and vendors.count() == 4
+
+
+def test_replayed_batch_counts_once(spark, tmp_path):
+    from meterlake.operators import usage as U
+    from meterlake.sources import samples as S
+
+    logs, path = S.logs(spark, "/root/testdata/sf0.001"), str(tmp_path / "cube")
+    first, second = logs.where("id % 2 = 0"), logs.where("id % 2 = 1")
+    for batch_id, batch in ((0, first), (1, second), (1, second), (0, first)):
+        jobs.upsert_cube(batch, path, batch_id)
+    want = U.hourly_cube(logs).agg(F.sum("count"), F.sum("quota")).first()
+    assert spark.read.parquet(path).agg(F.sum("count"), F.sum("quota")).first() == want
+    # another writer starts to count its batches from 0
+    jobs.upsert_cube(first, path, 0, "second")
+    assert spark.read.parquet(path).agg(F.sum("count")).first()[0] == want[0] + U.hourly_cube(first).agg(F.sum("count")).first()[0]
+
+
+def test_kafka_source_options():
+    from meterlake.sources import logs as L
+
+    class Reader:
+        def __init__(self):
+            self.found = {}
+
+        def format(self, name):
+            self.found["format"] = name
+            return self
+
+        def option(self, key, value):
+            self.found[key] = value
+            return self
+
+        def load(self):
+            return self.found
+
+    session = type("Session", (), {"readStream": Reader()})()
+    assert L.kafka_lines(session, "a:9092,b:9092", "logs") == {"format": "kafka", "kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "logs", "startingOffsets": "earliest"}
