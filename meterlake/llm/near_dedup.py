@@ -129,6 +129,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = scratch.keep(held.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "minima"), "marks")
     scratch.drop(held)
     stars = _stars(source, shared, marks, scratch, threshold, shingle)
+    scratch.only(ids, stars)
     classes = reps.join(stars, reps["rep"] == stars["node"], "left").select(*equal, F.coalesce("component_id", "rep").alias("component_id"))
     found = ids.join(classes, equal, "left")
     alone = F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")), F.col("id"))

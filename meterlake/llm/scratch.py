@@ -24,7 +24,7 @@ class Scratch:
             top = tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("spark.checkpoint.dir", top)
         self.spark, self.top = spark, f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.tables = 0, []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns the written table."""
@@ -33,10 +33,17 @@ class Scratch:
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch_path = path
+        self.tables.append(table)
         return table
 
+    def only(self, *needed: DataFrame) -> None:
+        """Deletes all tables written here but those that a result still reads."""
+        paths = {t._scratch_path for t in needed}
+        self.drop(*(t for t in self.tables if t._scratch_path not in paths))
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step and no result reads."""
         for table in tables:
+            self.tables = [t for t in self.tables if t is not table]
             where = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
