@@ -122,14 +122,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ids = scratch.keep(signed.select("id", *equal), "ids")
     linkable = "n_shingles > 0 and id is not null"
     # one representative for each distinct set: the least id; wide tables go as soon as narrower ones replace them
-    reps = ids.where(linkable).groupBy(*equal).agg(F.min("id").alias("rep"))
+    # (written, so that joins with it are plain ones, whose large partitions Spark can split)
+    reps = scratch.keep(ids.where(linkable).groupBy(*equal).agg(F.min("id").alias("rep")), "distinct")
     held = scratch.keep(signed.where(linkable).join(reps, equal).where("id = rep").dropDuplicates(["rep", *equal]).select("rep", "bands", "minima"), "reps")
     scratch.drop(signed)
     shared = scratch.keep(_buckets(held), "buckets")
     marks = scratch.keep(held.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "minima"), "marks")
     scratch.drop(held)
     stars = _stars(source, shared, marks, scratch, threshold, shingle)
-    scratch.only(ids, stars)
+    scratch.only(ids, reps, stars)
     classes = reps.join(stars, reps["rep"] == stars["node"], "left").select(*equal, F.coalesce("component_id", "rep").alias("component_id"))
     found = ids.join(classes, equal, "left")
     alone = F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")), F.col("id"))
