@@ -336,8 +336,8 @@ def test_cube_keeps_late_rows(spark, tmp_path):
     schema = source.SCHEMA
     row = lambda i, t: (i, 1, t, 2, "c", "u", "t", "m", 10, 1, 2, 3, True, 9, 4, "g", "ip", str(i), "", "{}")
     path = str(tmp_path / "cube")
-    for batch in ([row(1, 90_000), row(2, 3_700)], [row(3, 3_800)], [row(4, 200_000)]):
-        jobs.upsert_cube(spark.createDataFrame(batch, schema), path)
+    for batch_id, batch in enumerate(([row(1, 90_000), row(2, 3_700)], [row(3, 3_800)], [row(4, 200_000)])):
+        jobs.upsert_cube(spark.createDataFrame(batch, schema), path, batch_id)
     got = sorted((r["created_at"], r["count"], r["quota"]) for r in spark.read.parquet(path).collect())
     assert got == [(3_600, 2, 20), (90_000, 1, 10), (198_000, 1, 10)]
 
