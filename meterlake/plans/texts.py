@@ -11,11 +11,49 @@ from meterlake.sources import samples as S
 WORDS = ["idiot", "worthless", "clown", "pathetic"]
 
 
-@query()
+def _ranges(ranges):
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+def _count(text, pattern):
+    return f"len(regexp_extract_all({text}, '{pattern}'))"
+
+
+def _tokens(provider):
+    return f"ceil({' + '.join(f'{w} * {kind}_n' for kind, w in T.WEIGHTS[provider].items())})::BIGINT"
+
+
+#: ideographs and emoji make room for a sign that no class has, so that they part runs of letters and digits
+TOKENS = f"""
+WITH parts AS (
+  SELECT doc_id, COALESCE(source, '') AS source, COALESCE(text, '') AS body,
+    regexp_replace(body, '[{_ranges(T.CJK_RANGES + T.EMOJI_RANGES)}]', chr(1), 'g') AS runs,
+    regexp_replace(body, '[{_ranges(T.CJK_RANGES + T.EMOJI_RANGES)}\\pL\\pN\\pZ\\t\\n\\v\\f\\r\\x{{85}}]', '', 'g') AS signs
+  FROM documents),
+counts AS (
+  SELECT doc_id, source,
+    {_count("body", "[\\t\\n]")} AS newline_n, {_count("body", "[\\v\\f\\r\\x{85}\\pZ]")} AS space_n,
+    {_count("body", f"[{_ranges(T.CJK_RANGES)}]")} AS cjk_n, {_count("body", f"[{_ranges(T.EMOJI_RANGES)}]")} AS emoji_n,
+    {_count("runs", "\\pL+")} AS word_n, {_count("runs", "\\pN+")} AS number_n,
+    {_count("signs", f"[{T.MATH}{_ranges(T.MATH_RANGES)}]")} AS math_n,
+    {_count("signs", "@")} AS at_n, {_count("signs", f"[{T.URL}]")} AS url_n,
+    length(signs) - math_n - at_n - url_n AS symbol_n
+  FROM parts)
+SELECT doc_id, CASE WHEN contains(lower(source), 'gemini') THEN {_tokens("gemini")} ELSE {_tokens("claude")} END AS claude,
+  {_tokens("gemini")} AS gemini, {_tokens("openai")} AS openai
+FROM counts"""
+
+
+@query(TOKENS)
 def t1_t2_token_estimates(spark, sf_dir):
-    """No oracle: classes of characters in order; a test holds it against a plain loop."""
-    docs = S.table(spark, sf_dir, "documents").withColumn("provider", T.provider_of(F.concat(F.lit("claude-"), "source")))
-    return docs.select("doc_id", T.estimate_tokens("text", "provider").alias("claude"), T.estimate_tokens("text", F.lit("gemini")).alias("gemini"), T.estimate_tokens("text", F.lit("openai")).alias("openai"))
+    name = F.concat(F.lit("claude-"), F.coalesce("source", F.lit("")))
+    docs = S.table(spark, sf_dir, "documents").withColumn("provider", T.provider_of(name))
+    return docs.select(
+        "doc_id",
+        T.estimate_tokens("text", "provider").alias("claude"),
+        T.estimate_tokens("text", F.lit("gemini")).alias("gemini"),
+        T.estimate_tokens("text", F.lit("openai")).alias("openai"),
+    )
 
 
 @query(f"SELECT doc_id, list_sort(list_filter({WORDS}, lambda w: contains(lower(text), w))) AS words FROM documents WHERE len(list_filter({WORDS}, lambda w: contains(lower(text), w))) > 0")
