@@ -34,32 +34,49 @@ def replayed(spark, rows: DataFrame, parts: int = 4, batches: int = 1) -> tuple[
     """(stream, folder): ``rows`` as a file stream of one batch or several."""
     path = folder(spark)
     rows.repartition(parts).write.parquet(f"{path}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-parts // batches)).parquet(f"{path}/in"), path
+    return spark.readStream.schema(rows.schema).option(
+        "maxFilesPerTrigger", -(-parts // batches)
+    ).parquet(f"{path}/in"), path
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """All that a stream emits, as a table; the stream ends when its input does."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option(
+        "checkpointLocation", f"{path}/checkpoint"
+    ).trigger(availableNow=True)
     writer.format("parquet").option("path", f"{path}/out").start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query(LOG + ", good AS (SELECT * FROM logs WHERE id % 10 <> 0) SELECT type, count(*) AS rows, CAST(sum(quota) AS BIGINT) AS quota, CAST(sum(channel_id) AS BIGINT) AS channels, (SELECT count(*) FROM logs WHERE id % 10 = 0) AS bad FROM good GROUP BY 1")
+@query(LOG + """, good AS (SELECT * FROM logs WHERE id % 10 <> 0)
+  SELECT type, count(*) AS rows, CAST(sum(quota) AS BIGINT) AS quota, CAST(sum(channel_id) AS BIGINT) AS channels,
+  (SELECT count(*) FROM logs WHERE id % 10 = 0) AS bad FROM good GROUP BY 1""")
 def s2_decode(spark, sf_dir):
     """Every tenth line is broken."""
-    lines = L.encode_json(S.logs(spark, sf_dir).where("id % 10 != 0")).unionByName(S.logs(spark, sf_dir).where("id % 10 = 0").select(F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "quota')).alias("value")))
+    lines = L.encode_json(S.logs(spark, sf_dir).where("id % 10 != 0")).unionByName(
+        S.logs(spark, sf_dir).where("id % 10 = 0").select(
+            F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "quota')).alias("value")
+        )
+    )
     good, bad = L.decode_json(lines)
-    return good.groupBy("type").agg(F.count("*").alias("rows"), F.sum("quota").alias("quota"), F.sum("channel_id").alias("channels")).join(F.broadcast(bad.agg(F.count("*").alias("bad"))), F.lit(True))
+    return good.groupBy("type").agg(
+        F.count("*").alias("rows"), F.sum("quota").alias("quota"), F.sum("channel_id").alias("channels")
+    ).join(F.broadcast(bad.agg(F.count("*").alias("bad"))), F.lit(True))
 
 
-@query(LOG + "SELECT strftime(make_timestamp(created_at * 1000000), '%Y%m') AS yyyymm, count(*) AS rows, count(DISTINCT request_id) AS ids, CAST(sum(prompt_tokens) AS BIGINT) AS prompt FROM logs GROUP BY 1")
+@query(LOG + """SELECT strftime(make_timestamp(created_at * 1000000), '%Y%m') AS yyyymm, count(*) AS rows,
+  count(DISTINCT request_id) AS ids, CAST(sum(prompt_tokens) AS BIGINT) AS prompt FROM logs GROUP BY 1""")
 def s1_s3_s4_stream_sink(spark, sf_dir):
     """Lines as a stream, decoded, written to month partitions, and read back."""
     path = folder(spark)
     L.encode_json(S.logs(spark, sf_dir)).repartition(4).write.text(f"{path}/in")
-    R.stream_logs(L.file_lines(spark, f"{path}/in"), f"{path}/logs").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    R.stream_logs(
+        L.file_lines(spark, f"{path}/in"), f"{path}/logs"
+    ).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     rows = L.read_logs(spark, f"{path}/logs", start=1, end=2_000_000_000)
-    return rows.groupBy(F.date_format(F.timestamp_seconds("created_at"), "yyyyMM").alias("yyyymm")).agg(F.count("*").alias("rows"), F.count_distinct("request_id").alias("ids"), F.sum("prompt_tokens").alias("prompt"))
+    return rows.groupBy(F.date_format(F.timestamp_seconds("created_at"), "yyyyMM").alias("yyyymm")).agg(
+        F.count("*").alias("rows"), F.count_distinct("request_id").alias("ids"), F.sum("prompt_tokens").alias("prompt")
+    )
 
 
 @query(S.with_(S.LOGS, CUBE) + "SELECT * FROM cube")
@@ -69,21 +86,33 @@ def r1_stream_cube(spark, sf_dir):
     path = folder(spark)
     rows.repartition(2).write.parquet(f"{path}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    R.stream_cube(stream, f"{path}/cube").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    R.stream_cube(stream, f"{path}/cube").option(
+        "checkpointLocation", f"{path}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/cube").select(*U.CUBE_KEY, *U.MEASURES)
 
 
-@query(S.with_(S.SAMPLES, COUNTERS) + "SELECT * FROM counters WHERE bucket_ts + 300 <= (SELECT max(ts) FROM samples WHERE model <> '')")
+@query(S.with_(S.SAMPLES, COUNTERS) + """SELECT * FROM counters WHERE bucket_ts + 300 <= (SELECT max(ts) FROM samples
+  WHERE model <> '')""")
 def r2_perf_buckets(spark, sf_dir):
     """Only complete buckets are emitted: those that end by the last sample's time."""
     stream, path = replayed(spark, S.samples(spark, sf_dir))
     return drained(R.perf_buckets(stream, 300), path)
 
 
-@query(LOG + """, u AS (SELECT 'rule-' || (channel_id % 2) AS rule, "group" AS grp, 'key-' || user_id AS key, created_at AS ts, CASE WHEN id % 3 = 0 THEN id % 70 ELSE 0 END AS cached, prompt_tokens AS p, completion_tokens AS c, CASE WHEN id % 4 = 0 THEN '' WHEN user_id % 5 = 0 AND id % 2 = 1 THEN 'b' ELSE 'a' END AS mode FROM logs WHERE type = 2),
-  g AS (SELECT *, CASE WHEN ts - lag(ts) OVER k < 36000 THEN 0 ELSE 1 END AS new FROM u WINDOW k AS (PARTITION BY rule, grp, key ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY rule, grp, key ORDER BY ts) AS n FROM g)
-  SELECT rule, grp AS "group", key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS total_uses, count(*) FILTER (cached > 0) AS hits, CAST(sum(cached) AS BIGINT) AS cached_tokens, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens, CAST(sum(p + c) AS BIGINT) AS total_tokens,
-  CASE WHEN count(DISTINCT NULLIF(mode, '')) > 1 THEN 'mixed' ELSE COALESCE(max(NULLIF(mode, '')), '') END AS mode FROM s GROUP BY rule, grp, key, n""")
+@query(LOG + """, u AS (SELECT 'rule-' || (channel_id % 2) AS rule, "group" AS grp, 'key-' || user_id AS key,
+  created_at AS ts, CASE WHEN id % 3 = 0 THEN id % 70 ELSE 0 END AS cached, prompt_tokens AS p,
+  completion_tokens AS c, CASE WHEN id % 4 = 0 THEN '' WHEN user_id % 5 = 0 AND id % 2 = 1 THEN 'b'
+  ELSE 'a' END AS mode FROM logs WHERE type = 2),
+  g AS (SELECT *, CASE WHEN ts - lag(ts) OVER k < 36000 THEN 0 ELSE 1 END AS new
+  FROM u WINDOW k AS (PARTITION BY rule, grp, key ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY rule,
+  grp, key ORDER BY ts) AS n FROM g)
+  SELECT rule, grp AS "group", key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS total_uses,
+  count(*) FILTER (cached > 0) AS hits, CAST(sum(cached) AS BIGINT) AS cached_tokens,
+  CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens,
+  CAST(sum(p + c) AS BIGINT) AS total_tokens,
+  CASE WHEN count(DISTINCT NULLIF(mode, '')) > 1 THEN 'mixed' ELSE COALESCE(max(NULLIF(mode, '')), '') END AS mode
+  FROM s GROUP BY rule, grp, key, n""")
 def r3_cache_sessions(spark, sf_dir):
     i, u = F.col("id"), F.col("user_id")
     uses = S.logs(spark, sf_dir).where("type = 2").select(S.text("rule-", F.col("channel_id") % 2).alias("rule"), "group", S.text("key-", u).alias("key"), F.col("created_at").alias("ts"), F.when(i % 3 == 0, i % 70).otherwise(0).alias("cached_tokens"), F.lit(0).alias("hit_tokens"),
@@ -96,18 +125,24 @@ def r4_without_repeats(spark, sf_dir):
     """Every third record is delivered twice; the four batches hold rows of all times, so that later ones come late."""
     rows = S.logs(spark, sf_dir)
     stream, path = replayed(spark, rows.unionByName(rows.where("id % 3 = 0")), batches=4)
-    return drained(R.without_repeats(stream), path).groupBy("type").agg(F.count("*").alias("rows"), F.sum("quota").alias("quota"))
+    return drained(R.without_repeats(stream), path).groupBy("type").agg(
+        F.count("*").alias("rows"), F.sum("quota").alias("quota")
+    )
 
 
-@query(LOG + "SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY created_at RANGE BETWEEN 43199 PRECEDING AND CURRENT ROW) AS recent FROM logs")
+@query(LOG + """SELECT id, count(*) OVER (PARTITION BY user_id
+  ORDER BY created_at RANGE BETWEEN 43199 PRECEDING AND CURRENT ROW) AS recent FROM logs""")
 def r5_sliding_counts(spark, sf_dir):
     return R.sliding_counts(S.logs(spark, sf_dir), 43_200).select("id", "recent")
 
 
-@query(LOG.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT user_id, id, created_at, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS n FROM logs),
+@query(LOG.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT user_id, id, created_at,
+  row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS n FROM logs),
   s AS (SELECT user_id, id, created_at, n, true AS accepted, [created_at] AS times FROM r WHERE n = 1
-    UNION ALL SELECT user_id, id, created_at, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, created_at) ELSE live END
-    FROM (SELECT r.*, list_filter(s.times, lambda x: r.created_at - x < 86400) AS live FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))
+    UNION ALL SELECT user_id, id, created_at, n, len(live) < 3, CASE
+    WHEN len(live) < 3 THEN list_append(live, created_at) ELSE live END
+    FROM (SELECT r.*, list_filter(s.times, lambda x: r.created_at - x < 86400) AS live FROM s
+    JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))
   SELECT user_id, id, created_at, accepted FROM s""")
 def r6_admission(spark, sf_dir):
     """Each decision depends on those before it: the oracle walks each user's requests in turn."""
@@ -117,10 +152,15 @@ def r6_admission(spark, sf_dir):
 def last_log(spark, sf_dir):
     """One log of token 1 long after all others, whose window stays open: it lets the windows before it close."""
     rows = S.logs(spark, sf_dir)
-    return rows.where("token_id = 1").orderBy("id").limit(1).withColumn("created_at", F.lit(NOW + 100 * 86_400).cast("bigint"))
+    return rows.where("token_id = 1").orderBy("id").limit(1).withColumn(
+        "created_at", F.lit(NOW + 100 * 86_400).cast("bigint")
+    )
 
 
-@query(LOG + f""", c AS (SELECT token_id, created_at // 86400 * 86400 AS bucket, count(*) AS requests, count(*) FILTER (type = 2) AS consumes, CAST(COALESCE(sum(quota) FILTER (type = 2), 0) AS BIGINT) AS quota, count(*) FILTER (type = 5) AS errors, CAST(0 AS BIGINT) AS saturated_rows, CAST(0 AS BIGINT) AS saturated_quota FROM logs WHERE token_id > 0 GROUP BY 1, 2)
+@query(LOG + f""", c AS (SELECT token_id, created_at // 86400 * 86400 AS bucket, count(*) AS requests,
+  count(*) FILTER (type = 2) AS consumes, CAST(COALESCE(sum(quota) FILTER (type = 2), 0) AS BIGINT) AS quota,
+  count(*) FILTER (type = 5) AS errors, CAST(0 AS BIGINT) AS saturated_rows, CAST(0 AS BIGINT) AS saturated_quota
+  FROM logs WHERE token_id > 0 GROUP BY 1, 2)
   SELECT * FROM c""")
 def r7_abuse_windows(spark, sf_dir):
     """Five batches with rows of all times: the allowance covers the whole month, so that no late log is lost."""

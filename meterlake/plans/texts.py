@@ -56,18 +56,24 @@ def t1_t2_token_estimates(spark, sf_dir):
     )
 
 
-@query(f"SELECT doc_id, list_sort(list_filter({WORDS}, lambda w: contains(lower(text), w))) AS words FROM documents WHERE len(list_filter({WORDS}, lambda w: contains(lower(text), w))) > 0")
+@query(f"""SELECT doc_id, list_sort(list_filter({WORDS}, lambda w: contains(lower(text), w))) AS words FROM documents
+  WHERE len(list_filter({WORDS}, lambda w: contains(lower(text), w))) > 0""")
 def t3_sensitive_words(spark, sf_dir):
-    found = S.table(spark, sf_dir, "documents").select("doc_id", F.array_sort(T.sensitive_words("text", WORDS)).alias("words"))
+    found = S.table(spark, sf_dir, "documents").select(
+        "doc_id", F.array_sort(T.sensitive_words("text", WORDS)).alias("words")
+    )
     return found.where(F.size("words") > 0)
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(text, '{'|'.join(WORDS)}', '**###**', 'gi')) AS digest FROM documents")
 def t4_replace_words(spark, sf_dir):
-    return S.table(spark, sf_dir, "documents").withColumn("new", T.replace_words("text", WORDS)).select("doc_id", F.md5("new.text").alias("digest"))
+    return S.table(spark, sf_dir, "documents").withColumn("new", T.replace_words("text", WORDS)).select(
+        "doc_id", F.md5("new.text").alias("digest")
+    )
 
 
-@query(f"SELECT conv_id, bool_or(h) AS flagged, min(turn) FILTER (h) AS first_turn, count(*) FILTER (h) AS hits FROM (SELECT *, regexp_matches(lower(text), '{'|'.join(WORDS)}') AS h FROM conversations) GROUP BY 1")
+@query(f"""SELECT conv_id, bool_or(h) AS flagged, min(turn) FILTER (h) AS first_turn, count(*) FILTER (h) AS hits
+  FROM (SELECT *, regexp_matches(lower(text), '{'|'.join(WORDS)}') AS h FROM conversations) GROUP BY 1""")
 def t5_conversations(spark, sf_dir):
     return T.scan_conversations(S.table(spark, sf_dir, "conversations"), WORDS)
 
@@ -75,4 +81,6 @@ def t5_conversations(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE sha256(c_name) END AS fingerprint FROM customer")
 def t6_fingerprints(spark, sf_dir):
     secret = F.when(F.col("c_custkey") % 7 == 0, "  ").otherwise(F.concat("c_name", F.lit(" \n")))
-    return S.table(spark, sf_dir, "customer").withColumn("secret", secret).select("c_custkey", T.fingerprint("secret").alias("fingerprint"))
+    return S.table(spark, sf_dir, "customer").withColumn("secret", secret).select(
+        "c_custkey", T.fingerprint("secret").alias("fingerprint")
+    )

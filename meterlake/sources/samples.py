@@ -60,7 +60,8 @@ def volume_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VOLUME = """volume_logs AS (SELECT l_orderkey * 8 + l_linenumber AS id, o_custkey AS user_id,
-  CAST(floor(epoch(l_shipdate)) AS BIGINT) + l_linenumber * 3600 AS created_at, CASE WHEN l_returnflag = 'R' THEN 6 ELSE 2 END AS type,
+  CAST(floor(epoch(l_shipdate)) AS BIGINT) + l_linenumber * 3600 AS created_at, CASE WHEN l_returnflag = 'R' THEN 6
+  ELSE 2 END AS type,
   'user-' || o_custkey AS username, p_type AS model_name, CAST(floor(l_extendedprice) AS BIGINT) AS quota,
   CAST(floor(l_quantity) AS BIGINT) * 10 AS prompt_tokens, CAST(floor(l_quantity) AS BIGINT) AS completion_tokens,
   l_suppkey % 11 AS channel_id, l_suppkey AS token_id, o_orderpriority AS "group"
@@ -78,8 +79,10 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CHANNELS = """channels AS (SELECT s_suppkey - 1 AS id, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END AS name, CAST(s_nationkey AS BIGINT) AS type,
-  CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 1 END AS status, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'tag-' || (s_suppkey % 6) END AS tag,
+CHANNELS = """channels AS (SELECT s_suppkey - 1 AS id, CASE WHEN s_suppkey % 5 = 0 THEN ''
+  ELSE s_name END AS name, CAST(s_nationkey AS BIGINT) AS type,
+  CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 1 END AS status, CASE WHEN s_suppkey % 3 = 0 THEN ''
+  ELSE 'tag-' || (s_suppkey % 6) END AS tag,
   'model-' || (s_suppkey % 9) || ',model-' || (s_suppkey % 7) || ',,model-' || (s_suppkey % 4) AS models,
   'default,vip-' || (s_suppkey % 3) AS groups, s_suppkey % 3 AS priority, s_suppkey % 4 * 10 AS weight FROM supplier)"""
 
@@ -104,10 +107,15 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("endpoint is not null")
 
 
-ENDPOINTS = """endpoints AS (SELECT CAST(n_nationkey AS BIGINT) AS channel_type, 0 AS position, CASE WHEN n_nationkey % 2 = 0 THEN 'chat' ELSE 'messages' END AS endpoint FROM nation
-  UNION ALL SELECT n_nationkey, 1, 'embeddings' FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_nationkey, 2, 'chat' FROM nation WHERE n_nationkey % 4 = 1)"""
-MODEL_ENDPOINTS = """first_endpoints AS (SELECT a.model, e.endpoint, min((channel_id, position)) AS place FROM (SELECT DISTINCT model, channel_id FROM abilities WHERE enabled) a
-  JOIN channels c ON c.id = a.channel_id JOIN endpoints e ON e.channel_type = c.type GROUP BY 1, 2), model_endpoints AS (SELECT model, list(endpoint ORDER BY place, endpoint) AS endpoints FROM first_endpoints GROUP BY 1)"""
+ENDPOINTS = """endpoints AS (SELECT CAST(n_nationkey AS BIGINT) AS channel_type, 0 AS position, CASE
+  WHEN n_nationkey % 2 = 0 THEN 'chat' ELSE 'messages' END AS endpoint FROM nation
+  UNION ALL SELECT n_nationkey, 1, 'embeddings' FROM nation WHERE n_nationkey % 3 = 0 UNION ALL
+  SELECT n_nationkey, 2, 'chat' FROM nation WHERE n_nationkey % 4 = 1)"""
+MODEL_ENDPOINTS = """first_endpoints AS (SELECT a.model, e.endpoint, min((channel_id, position)) AS place
+  FROM (SELECT DISTINCT model, channel_id FROM abilities WHERE enabled) a
+  JOIN channels c ON c.id = a.channel_id JOIN endpoints e ON e.channel_type = c.type
+  GROUP BY 1, 2), model_endpoints AS (SELECT model, list(endpoint ORDER BY place, endpoint) AS endpoints
+  FROM first_endpoints GROUP BY 1)"""
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +131,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where(k % 9 != 0).select((k - 1).alias("id"), text("tok-", k).alias("name"), (k - 1).alias("user_id"))
 
 
-TOKENS = "tokens AS (SELECT c_custkey - 1 AS id, 'tok-' || c_custkey AS name, c_custkey - 1 AS user_id FROM customer WHERE c_custkey % 9 <> 0)"
+TOKENS = """tokens AS (SELECT c_custkey - 1 AS id, 'tok-' || c_custkey AS name, c_custkey - 1 AS user_id
+  FROM customer WHERE c_custkey % 9 <> 0)"""
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +147,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SAMPLES = """samples AS (SELECT CASE WHEN event_id % 50 = 0 THEN '' ELSE 'model-' || (event_id % 23) END AS model,
   CASE WHEN user_id % 3 = 0 THEN '' ELSE 'g' || (user_id % 3) END AS "group", CAST(floor(epoch(ts)) AS BIGINT) AS ts,
-  event_id % 5000 - 20 AS latency_ms, event_id % 900 - 5 AS ttft_ms, event_id % 2 = 0 AS has_ttft, event_type <> 'error' AS success,
+  event_id % 5000 - 20 AS latency_ms, event_id % 900 - 5 AS ttft_ms, event_id % 2 = 0 AS has_ttft,
+  event_type <> 'error' AS success,
   event_id % 251 AS output_tokens, event_id % 3000 AS generation_ms FROM events)"""
 
 
@@ -154,11 +164,17 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TASKS = """tasks AS (SELECT o_orderkey AS id, 'task-' || o_orderkey AS task_id, lower(substring(o_orderpriority, 3, 4)) AS platform, o_custkey AS user_id, o_orderkey % 20 AS channel_id, o_orderkey % 90 AS token_id,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'generate' ELSE 'extend' END AS action, CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'P' THEN 'FAILURE' ELSE 'IN_PROGRESS' END AS status,
-  CASE o_orderstatus WHEN 'O' THEN '50%' ELSE '100%' END AS progress, CAST(floor(o_totalprice) AS BIGINT) AS quota, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS submit_time,
-  CAST(floor(epoch(o_orderdate)) AS BIGINT) + o_orderkey % 30 AS start_time, CASE o_orderstatus WHEN 'O' THEN 0 ELSE CAST(floor(epoch(o_orderdate)) AS BIGINT) + o_orderkey % 5000 END AS finish_time,
-  o_orderkey % 4000 AS total_tokens, CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE CAST(floor(o_totalprice * (o_orderkey % 5) / 3) AS BIGINT) END AS actual_quota, 'model-' || (o_orderkey % 23) AS model_name FROM orders)"""
+TASKS = """tasks AS (SELECT o_orderkey AS id, 'task-' || o_orderkey AS task_id, lower(substring(o_orderpriority, 3,
+  4)) AS platform, o_custkey AS user_id, o_orderkey % 20 AS channel_id, o_orderkey % 90 AS token_id,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'generate' ELSE 'extend' END AS action, CASE o_orderstatus WHEN 'F' THEN 'SUCCESS'
+  WHEN 'P' THEN 'FAILURE' ELSE 'IN_PROGRESS' END AS status,
+  CASE o_orderstatus WHEN 'O' THEN '50%' ELSE '100%' END AS progress, CAST(floor(o_totalprice) AS BIGINT) AS quota,
+  CAST(floor(epoch(o_orderdate)) AS BIGINT) AS submit_time,
+  CAST(floor(epoch(o_orderdate)) AS BIGINT) + o_orderkey % 30 AS start_time, CASE o_orderstatus WHEN 'O' THEN 0
+  ELSE CAST(floor(epoch(o_orderdate)) AS BIGINT) + o_orderkey % 5000 END AS finish_time,
+  o_orderkey % 4000 AS total_tokens, CASE WHEN o_orderkey % 11 = 0 THEN -1
+  ELSE CAST(floor(o_totalprice * (o_orderkey % 5) / 3) AS BIGINT) END AS actual_quota,
+  'model-' || (o_orderkey % 23) AS model_name FROM orders)"""
 
 
 def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +187,12 @@ def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-AUDITS = """audits AS (SELECT event_id, user_id, CASE user_id % 7 WHEN 0 THEN 'root' WHEN 1 THEN 'admin' ELSE 'common' END AS actor_role, CAST(floor(epoch(ts)) AS BIGINT) AS created_at,
-  CASE WHEN event_id % 3 = 0 THEN 'access_token' ELSE 'login' END AS category, event_type AS action, 'ref-' || (user_id % 5) AS token_ref,
-  '10.1.' || (user_id % 9) || '.' || (event_id % 200) AS ip, event_type <> 'error' AS success, props AS other FROM events)"""
+AUDITS = """audits AS (SELECT event_id, user_id, CASE user_id % 7 WHEN 0 THEN 'root' WHEN 1 THEN 'admin'
+  ELSE 'common' END AS actor_role, CAST(floor(epoch(ts)) AS BIGINT) AS created_at,
+  CASE WHEN event_id % 3 = 0 THEN 'access_token' ELSE 'login' END AS category, event_type AS action,
+  'ref-' || (user_id % 5) AS token_ref,
+  '10.1.' || (user_id % 9) || '.' || (event_id % 200) AS ip, event_type <> 'error' AS success, props AS other
+  FROM events)"""
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,10 +205,17 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SUBSCRIPTIONS = """subscriptions AS (SELECT o_orderkey AS id, o_custkey AS user_id, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS plan_id, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS start_time,
-  CAST(floor(epoch(o_orderdate)) AS BIGINT) + (o_orderkey % 200 + 1) * 86400 AS end_time, CASE WHEN o_orderkey % 5 = 0 THEN 'cancelled' ELSE 'active' END AS status, CAST(floor(o_totalprice) AS BIGINT) AS amount_used,
-  CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'monthly' END AS reset_period, CAST(floor(epoch(o_orderdate)) AS BIGINT) + 86400 AS next_reset_time, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS last_reset_time,
-  o_orderkey % 2 = 0 AS allow_overflow, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'up-' || (o_orderkey % 4) END AS upgrade_group, CASE WHEN o_orderkey % 6 = 0 THEN 'down-' || (o_orderkey % 5) ELSE '' END AS downgrade_group, 'prev-' || (o_orderkey % 3) AS prev_group FROM orders)"""
+SUBSCRIPTIONS = """subscriptions AS (SELECT o_orderkey AS id, o_custkey AS user_id, CAST(substring(o_orderpriority,
+  1, 1) AS INTEGER) AS plan_id, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS start_time,
+  CAST(floor(epoch(o_orderdate)) AS BIGINT) + (o_orderkey % 200 + 1) * 86400 AS end_time, CASE
+  WHEN o_orderkey % 5 = 0 THEN 'cancelled' ELSE 'active' END AS status,
+  CAST(floor(o_totalprice) AS BIGINT) AS amount_used,
+  CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly'
+  ELSE 'monthly' END AS reset_period, CAST(floor(epoch(o_orderdate)) AS BIGINT) + 86400 AS next_reset_time,
+  CAST(floor(epoch(o_orderdate)) AS BIGINT) AS last_reset_time,
+  o_orderkey % 2 = 0 AS allow_overflow, CASE WHEN o_orderkey % 4 = 0 THEN ''
+  ELSE 'up-' || (o_orderkey % 4) END AS upgrade_group, CASE WHEN o_orderkey % 6 = 0 THEN 'down-' || (o_orderkey % 5)
+  ELSE '' END AS downgrade_group, 'prev-' || (o_orderkey % 3) AS prev_group FROM orders)"""
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,8 +225,11 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(F.when(k % 9 == 0, F.lit(None)).otherwise(k % 5 + F.lit(0.5))).alias("model_ratio"), F.min((k % 3 + 1).cast("double")).alias("completion_ratio"), F.min(F.when(k % 2 == 0, F.lit(0.25))).alias("cache_ratio"), F.max(F.when(k % 40 == 0, F.lit(0.02))).alias("model_price"))
 
 
-PRICES = """prices AS (SELECT p_brand AS model, 'up-' || (p_size % 4) AS upstream, min(CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 5 + CAST(0.5 AS DOUBLE) END) AS model_ratio,
-  min(CAST(p_partkey % 3 + 1 AS DOUBLE)) AS completion_ratio, min(CASE WHEN p_partkey % 2 = 0 THEN CAST(0.25 AS DOUBLE) END) AS cache_ratio, max(CASE WHEN p_partkey % 40 = 0 THEN CAST(0.02 AS DOUBLE) END) AS model_price
+PRICES = """prices AS (SELECT p_brand AS model, 'up-' || (p_size % 4) AS upstream, min(CASE
+  WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 5 + CAST(0.5 AS DOUBLE) END) AS model_ratio,
+  min(CAST(p_partkey % 3 + 1 AS DOUBLE)) AS completion_ratio, min(CASE
+  WHEN p_partkey % 2 = 0 THEN CAST(0.25 AS DOUBLE) END) AS cache_ratio, max(CASE
+  WHEN p_partkey % 40 = 0 THEN CAST(0.02 AS DOUBLE) END) AS model_price
   FROM part GROUP BY 1, 2)"""
 
 
