@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterlake.llm import langid, licenses, lm_scoring, merkle, mixing, near_dedup, packing, quality_model, quality_rules, secrets, url_filter, vector_dedup
+from meterlake.llm import collocations, langid, licenses, lm_scoring, merkle, mixing, near_dedup, packing, quality_model, quality_rules, secrets, url_filter, vector_dedup
 from meterlake.llm.words import held_out
 
 
@@ -54,6 +54,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(_table(spark, sf_dir, "documents"))
 
@@ -63,8 +67,8 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_quality_model, op4_license_scan, op5_mixing, op6_quality_rules, op7_vector_dedup, op8_language_id, op9_url_filter, op10_near_dedup, op12_merkle_manifest, op13_secrets)}
+    return {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_quality_model, op4_license_scan, op5_mixing, op6_quality_rules, op7_vector_dedup, op8_language_id, op9_url_filter, op10_near_dedup, op11_collocations, op12_merkle_manifest, op13_secrets)}
 
 
 def oracle_sql() -> dict:
-    return {"op5_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL, "op7_vector_dedup": vector_dedup.SQL, "op10_near_dedup": near_dedup.SQL, "op12_merkle_manifest": merkle.SQL}
+    return {"op5_mixing": mixing.SQL, "op6_quality_rules": quality_rules.SQL, "op7_vector_dedup": vector_dedup.SQL, "op10_near_dedup": near_dedup.SQL, "op11_collocations": collocations.SQL, "op12_merkle_manifest": merkle.SQL}

@@ -71,8 +71,8 @@ def chunks(bounds: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def split(column: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """Words of every row of ``column``; ``lower`` turns A-Z into a-z first."""
+def split(column: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Iterator[Words]:
+    """Words of every row of ``column``; ``lower`` turns A-Z into a-z first, ``space`` marks the bytes between words."""
     bounds, data = text_bytes(column)
     powers = inverses = np.ones(0, U64)
     for low, high in chunks(bounds):
@@ -82,7 +82,7 @@ def split(column: pa.Array, lower: bool = False) -> Iterator[Words]:
         n = len(part)
         if len(powers) < n:
             powers, inverses = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(n, x, U64)])) for x in (BASE, BASE_INVERSE))
-        inside = ~SPACE[part]
+        inside = ~space[part]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
