@@ -63,14 +63,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trigger[first[value % SPACING == 0]] = True
             opens = np.concatenate([[True], part.doc[1:] != part.doc[:-1]])
             begin = np.flatnonzero(trigger | opens)
-            # long stretches without a trigger are cut at fixed lengths
-            pieces = -(-np.diff(begin, append=n) // MOST_WORDS)
+            # long stretches without a trigger are cut at fixed lengths, where OVERLAP words follow at least
+            pieces = np.maximum(1, -(-(np.diff(begin, append=n) - OVERLAP) // MOST_WORDS))
             place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             begin = np.repeat(begin, pieces) + place * MOST_WORDS
             last = np.concatenate([part.doc[begin[1:]] != part.doc[begin[:-1]], [True]])
-            until = np.append(begin[1:], n)
-            ends = np.cumsum(part.per_row())[part.doc[begin]]
-            end = np.where(last, until, np.minimum(until + OVERLAP, ends))
+            end = np.append(begin[1:], n) + np.where(last, 0, OVERLAP)
             size = part.end[end - 1] - part.start[begin]
             lang = batch.column(0).take(pa.array(part.row + part.doc[begin]))
             yield pa.RecordBatch.from_arrays([lang, pa.array(last), _strings(gathered(part.data, part.start[begin], size), size)], names=["lang", "last", "chunk"])
