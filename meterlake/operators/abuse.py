@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlake.functions.scalars import ratio
 from meterlake.operators.logs import saturated
@@ -63,7 +63,11 @@ def baselines(counts: DataFrame, first: int, current: int, s: Settings = Setting
         F.coalesce(F.sum(F.when(before, F.col("consumes"))), F.lit(0)).alias("base_consumes"), F.coalesce(F.sum(F.when(before, F.col("errors"))), F.lit(0)).alias("base_errors"), F.sum("saturated_rows").alias("excluded_rows"))
     spine = F.array(*(F.lit(first + k * s.window).cast("bigint") for k in range(s.baseline)))
     dense = lambda of: F.transform(spine, lambda b: F.coalesce(F.try_element_at(F.col("windows"), b)[of], F.lit(0)))
-    rows = rows.withColumns({"base_requests": dense("r"), "base_quota": dense("q")}).drop("windows")
+    return measured(rows.withColumns({"base_requests": dense("r"), "base_quota": dense("q")}).drop("windows"), s)
+
+
+def measured(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Adds the medians of base_requests and base_quota, and whether too few baseline windows had requests."""
     passed = F.size(F.filter("base_requests", lambda r: r >= s.gate_requests)) >= s.gate_windows
     return rows.withColumns({"median_requests": median(F.col("base_requests")), "median_quota": median(F.col("base_quota")), "gated": ~passed})
 
@@ -75,16 +79,21 @@ def median(values):
     return (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2
 
 
-def spike_findings(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(token_id, rule, severity, current, baseline, ratio, direction, excluded_rows) of the window rules."""
+def spikes(s: Settings = Settings()) -> Column:
+    """Array of (rule, severity, current, baseline): the window rules that a row of ``baselines`` breaks."""
     rate, base = ratio(F.col("errors"), F.col("consumes") + F.col("errors")), ratio(F.col("base_errors"), F.col("base_consumes") + F.col("base_errors"))
     rules = [
         ("consume_spike", "high", F.col("quota").cast("double"), F.col("median_quota"), (F.col("quota") >= s.consume_ratio * F.col("median_quota")) & (F.col("quota") >= s.least_quota)),
         ("request_spike", "medium", F.col("requests").cast("double"), F.col("median_requests"), (F.col("requests") >= s.request_ratio * F.col("median_requests")) & (F.col("requests") >= s.least_requests)),
         ("error_rate_spike", "high", rate, base, (F.col("base_errors") > 0) & (rate >= s.error_ratio * base) & (F.col("errors") >= s.least_errors)),
     ]
-    found = F.filter(F.array(*(F.when(hit, F.struct(F.lit(n).alias("rule"), F.lit(v).alias("severity"), now.alias("current"), then.alias("baseline"))) for n, v, now, then, hit in rules)), lambda x: x.isNotNull())
-    hits = rows.where("not gated").select("token_id", "excluded_rows", F.inline(found))
+    each = (F.when(hit & ~F.col("gated"), F.struct(F.lit(n).alias("rule"), F.lit(v).alias("severity"), now.alias("current"), then.alias("baseline"))) for n, v, now, then, hit in rules)
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+
+def spike_findings(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(token_id, rule, severity, current, baseline, ratio, direction, excluded_rows) of the window rules."""
+    hits = rows.select("token_id", "excluded_rows", F.inline(spikes(s)))
     return hits.select("token_id", "rule", "severity", "current", "baseline", ratio(F.col("current"), F.col("baseline")).alias("ratio"), F.lit("up").alias("direction"), "excluded_rows")
 
 

@@ -9,7 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.operators import usage as U
-from meterlake.plans import NOW, query
+from meterlake.operators.logs import with_owner
+from meterlake.plans import NOW, START, query
+from meterlake.plans import abuse as P
 from meterlake.plans.health import COUNTERS
 from meterlake.plans.usage import CUBE
 from meterlake.sources import logs as L
@@ -166,3 +168,66 @@ def r7_abuse_windows(spark, sf_dir):
     """Five batches with rows of all times: the allowance covers the whole month, so that no late log is lost."""
     stream, path = replayed(spark, S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), parts=5, batches=5)
     return drained(R.abuse_windows(stream, 86_400, "40 days"), path)
+
+
+def in_time(spark, rows: DataFrame, parts: int, late: int) -> tuple[DataFrame, str]:
+    """(stream, folder): ``rows`` in batches by time, but for every third one of the last ``late`` seconds before a batch
+    ends, which comes with the next batch."""
+    path, width = folder(spark), -(-(NOW + 86_400 - START) // parts)
+    place = F.expr(f"(created_at - {START}) div {width}")
+    delayed = (F.col("id") % 3 == 0) & ((F.col("created_at") - START) % width >= width - late)
+    rows = rows.withColumn("batch", F.least(F.when(delayed, place + 1).otherwise(place), F.lit(parts)))
+    for k in range(parts + 1):  # files are read in the order in which they were written
+        rows.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    schema = rows.drop("batch").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def with_rocks(spark, run):
+    """Runs a stream with the state store that keyed state needs."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        return run()
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+D = P.DAYS
+#: the rules of each day with requests: every day of the month is the current one in turn
+EVERY_DAY = f"""counts AS (SELECT token_id, created_at // 86400 * 86400 AS bucket, count(*) AS requests,
+  count(*) FILTER (type = 2) AS consumes, CAST(COALESCE(sum(quota) FILTER (type = 2), 0) AS BIGINT) AS quota,
+  count(*) FILTER (type = 5) AS errors FROM logs WHERE token_id > 0 GROUP BY 1, 2),
+  base AS (SELECT n.token_id, n.bucket, median(COALESCE(b.requests, 0)) AS median_requests,
+  median(COALESCE(b.quota, 0)) AS median_quota, count(*) FILTER (b.requests >= {D.gate_requests}) < {D.gate_windows} AS gated,
+  CAST(COALESCE(sum(b.consumes), 0) AS BIGINT) AS base_consumes, CAST(COALESCE(sum(b.errors), 0) AS BIGINT) AS base_errors
+  FROM counts n CROSS JOIN range(1, 7) s(k) LEFT JOIN counts b
+  ON b.token_id = n.token_id AND b.bucket = n.bucket - k * 86400 GROUP BY 1, 2),
+  joined AS (SELECT * FROM base JOIN counts USING (token_id, bucket)),
+  {P.SPIKES.replace("SELECT token_id,", "SELECT token_id, bucket,")},
+  used AS (SELECT token_id, model_name, created_at // 86400 * 86400 AS bucket, min(created_at) AS first_at, count(*) AS n
+  FROM logs WHERE token_id > 0 AND model_name <> '' GROUP BY 1, 2, 3),
+  totals AS (SELECT n.token_id, n.bucket, sum(b.n) AS total FROM (SELECT DISTINCT token_id, bucket FROM used) n
+  JOIN used b ON b.token_id = n.token_id AND b.bucket <= n.bucket AND b.bucket >= n.bucket + 86400 - {D.lookback}
+  GROUP BY 1, 2),
+  fresh AS (SELECT * FROM used u JOIN totals USING (token_id, bucket) WHERE total >= {D.gate_requests} AND NOT EXISTS (
+  SELECT 1 FROM used b WHERE b.token_id = u.token_id AND b.model_name = u.model_name AND b.bucket < u.bucket
+  AND b.bucket >= u.bucket + 86400 - {D.lookback})),
+  found AS (SELECT token_id, bucket, rule, severity, current, baseline, COALESCE(current / NULLIF(baseline, 0), 0) AS ratio,
+  'up' AS direction, NULL AS model_name, CAST(NULL AS BIGINT) AS first_at FROM f
+  UNION ALL SELECT token_id, bucket, 'new_model', 'medium', NULL, NULL, NULL, 'new', model_name, first_at FROM fresh)"""
+
+
+@query(S.with_(S.LOGS, EVERY_DAY, S.TOKENS, S.USERS) + """SELECT token_id, bucket, rule, severity, current, baseline, ratio,
+  direction, model_name, first_at, tokens.name AS token_name, users.username AS owner_name FROM found
+  LEFT JOIN tokens ON token_id = tokens.id LEFT JOIN users ON tokens.user_id = users.id""")
+def r7_abuse_findings(spark, sf_dir):
+    """All days' findings as a stream of six batches with late logs, at the allowance of an hour, and their owners."""
+    stream, path = in_time(spark, S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), 5, 3_000)
+    found = with_rocks(spark, lambda: drained(R.stream_findings(stream, D), path))
+    owned = with_owner(found, S.tokens(spark, sf_dir), S.users(spark, sf_dir))
+    return owned.select("token_id", "bucket", "rule", "severity", "current", "baseline", "ratio", "direction", "model_name", "first_at", "token_name", "owner_name")

@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
+from meterlake.functions.scalars import ratio
+from meterlake.operators import abuse as A
 from meterlake.operators import usage as U
+from meterlake.operators.logs import saturated
 from meterlake.sources.logs import decode_json, write_logs
 
 
@@ -186,3 +189,97 @@ def abuse_windows(logs: DataFrame, window: int, late: str = "1 hour") -> DataFra
         F.count("*").alias("requests"), F.count_if(consume).alias("consumes"), F.coalesce(F.sum(F.when(consume, F.col("quota"))), F.lit(0)).alias("quota"), F.count_if(F.col("type") == 5).alias("errors"),
         F.count_if(clamp).alias("saturated_rows"), F.coalesce(F.sum(F.when(clamp, F.col("quota"))), F.lit(0)).alias("saturated_quota"))
     return counts.select("token_id", F.unix_seconds("w.start").alias("bucket"), *counts.columns[2:])
+
+
+#: Columns of a closed window and those before it.
+RECENT = {
+    **dict.fromkeys(("token_id", "bucket", "requests", "quota", "consumes", "errors", "base_consumes", "base_errors", "excluded_rows"), "bigint"),
+    **dict.fromkeys(("base_requests", "base_quota"), "array<bigint>"), "fresh": "array<struct<model_name: string, first_at: bigint>>",
+}
+
+
+class RecentWindows(StatefulProcessor):
+    """The last windows of a token as its state; each closed window gives one row with those before it.
+
+    Rows come as sums of (window, model), all of a window at once and windows in order. Two rings are kept: the sums of
+    the baseline's windows, and the models used in the lookback. A timer clears them when both have run out.
+    """
+
+    def __init__(self, s: A.Settings):
+        self.s = s
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.windows = handle.getListState("windows", "bucket bigint, requests bigint, quota bigint, consumes bigint, errors bigint, saturated bigint")
+        self.uses = handle.getListState("uses", "bucket bigint, model string, requests bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        s, found = self.s, []
+        part = pd.concat(list(rows))
+        windows = list(self.windows.get()) if self.windows.exists() else []
+        uses = list(self.uses.get()) if self.uses.exists() else []
+        for bucket, own in part.groupby("bucket", sort=True):
+            end = bucket + s.window
+            first, lookback = bucket - s.baseline * s.window, A.bounds(end, s)[3]
+            sums = own[["requests", "quota", "consumes", "errors", "saturated_rows"]].sum()
+            now = (int(bucket), *(int(x) for x in sums))
+            windows = [w for w in windows if w[0] >= first]
+            uses = [u for u in uses if u[0] >= lookback]
+            named = own[(own["model_name"] != "") & own["model_name"].notna()]
+            total = sum(u[2] for u in uses) + int(named["requests"].sum())
+            before = {u[1] for u in uses}
+            fresh = [(m, int(t)) for m, t in zip(named["model_name"], named["first_at"], strict=True) if m not in before]
+            at = {w[0]: w for w in windows}
+            dense = [at.get(first + k * s.window, (0,) * 6) for k in range(s.baseline)]
+            found.append((
+                key[0], now[0], now[1], now[2], now[3], now[4], sum(w[3] for w in windows), sum(w[4] for w in windows),
+                now[5] + sum(w[5] for w in windows), [w[1] for w in dense], [w[2] for w in dense],
+                [{"model_name": m, "first_at": t} for m, t in sorted(fresh)] if total >= s.gate_requests else [],
+            ))
+            windows.append(now)
+            uses += [(int(bucket), m, int(n)) for m, n in zip(named["model_name"], named["requests"], strict=True)]
+        self.windows.put(windows)
+        self.uses.put(uses) if uses else self.uses.clear()
+        self.handle.registerTimer((windows[-1][0] + s.window + max(s.lookback, s.baseline * s.window)) * 1000)
+        yield pd.DataFrame(found, columns=list(RECENT))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        windows = list(self.windows.get()) if self.windows.exists() else []
+        keep = max(self.s.lookback, self.s.baseline * self.s.window) + self.s.window
+        if windows and (windows[-1][0] + keep) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.windows.clear()
+            self.uses.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def recent_windows(logs: DataFrame, s: A.Settings = A.Settings(), late: str = "1 hour") -> DataFrame:
+    """A row for each token and closed window with requests: the columns of abuse.baselines before the medians, and
+    ``fresh``, the models that the token first used in it by the lookback.
+
+    Sums of (token, window, model) are made first, so that a busy token's logs are added up where they are read; a
+    window closes ``late`` after its end by the newest log's time, and later logs are in no window. Needs the RocksDB
+    state store. The lookback must be a whole number of windows.
+    """
+    if s.lookback % s.window or s.most_span % s.window:
+        raise ValueError("the lookback and its limit must be whole numbers of windows")
+    timed = logs.where("token_id > 0").withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", late)
+    consume = F.col("type") == 2
+    clamp = consume & F.coalesce(saturated(), F.lit(False))
+    sums = timed.groupBy(F.col("token_id").cast("bigint").alias("token_id"), "model_name", F.window("at", f"{s.window} seconds").alias("w")).agg(
+        F.count("*").alias("requests"), F.coalesce(F.sum(F.when(consume & ~clamp, F.col("quota"))), F.lit(0)).cast("bigint").alias("quota"), F.count_if(consume).alias("consumes"),
+        F.count_if(F.col("type") == 5).alias("errors"), F.count_if(clamp).alias("saturated_rows"), F.min("created_at").alias("first_at"))
+    rows = sums.select("token_id", "model_name", F.unix_seconds("w.start").alias("bucket"), *sums.columns[3:], "w")
+    return rows.groupBy("token_id").transformWithStateInPandas(RecentWindows(s), ", ".join(f"{name} {kind}" for name, kind in RECENT.items()), "append", "eventTime")
+
+
+def stream_findings(logs: DataFrame, s: A.Settings = A.Settings(), late: str = "1 hour") -> DataFrame:
+    """(token_id, bucket, rule, severity, current, baseline, ratio, direction, excluded_rows, model_name, first_at):
+    the findings of each window as it closes, those of abuse.detect right after the window's end."""
+    rows = A.measured(recent_windows(logs, s, late), s)
+    number, none = F.lit(None).cast("double"), F.lit(None)
+    spiked = F.transform(A.spikes(s), lambda x: F.struct(x["rule"].alias("rule"), x["severity"].alias("severity"), x["current"].alias("current"), x["baseline"].alias("baseline"), ratio(x["current"], x["baseline"]).alias("ratio"), F.lit("up").alias("direction"), F.col("excluded_rows").alias("excluded_rows"), none.cast("string").alias("model_name"), none.cast("bigint").alias("first_at")))
+    fresh = F.transform("fresh", lambda x: F.struct(F.lit("new_model").alias("rule"), F.lit("medium").alias("severity"), number.alias("current"), number.alias("baseline"), number.alias("ratio"), F.lit("new").alias("direction"), none.cast("bigint").alias("excluded_rows"), x["model_name"].alias("model_name"), x["first_at"].alias("first_at")))
+    return rows.select("token_id", "bucket", F.inline(F.concat(spiked, fresh)))
