@@ -162,29 +162,31 @@ def tool_surcharges(priced: DataFrame, *keys: str) -> DataFrame:
     return lines.groupBy(*keys).agg(F.sum("calls").alias("calls"), rounded(F.sum(cost), 4).alias("surcharge"))
 
 
-def token_parts(used: set[str]) -> dict[str, Column]:
-    """Columns p, c, len, cr, cc, cc1h, img, img_cr, ai, img_o, ao for tiered prices that use the variables ``used``.
+def token_parts(used: set[str] | Column) -> dict[str, Column]:
+    """Columns p, c, len, cr, cc, cc1h, img, img_cr, ai, img_o, ao for tiered prices that use the variables ``used``: the
+    same ones for all rows, or a column of arrays.
 
     From prompt, completion, cache, cache_creation, creation_5m, creation_1h, image, cached_image (null: unknown),
     cached_text, cached_audio, audio, image_out, audio_out and anthropic. Priced sub-categories leave the rest; a
     breakdown of cached tokens that can't be true is not used; nothing is negative.
     """
     d = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    uses = lambda v: F.array_contains(used, v) if isinstance(used, Column) else F.lit(v in used)
     anthropic, p, c = F.col("anthropic"), d("prompt"), d("completion")
     cc, cc1h = F.when(anthropic, d("creation_5m")).otherwise(d("cache_creation")), F.when(anthropic, d("creation_1h")).otherwise(0.0)
     ci = F.col("cached_image")
     left = d("cache") - ci
     fits = ci.isNotNull() & (ci >= 0) & (d("cache") >= ci) & (d("image") >= ci) & (d("cache") <= p) & (d("image") <= p - left)
     fits = fits & (d("cached_text") >= 0) & (d("cached_text") <= left) & (d("cached_audio") >= 0) & (d("cached_audio") <= left - d("cached_text"))
-    split = F.coalesce(fits, F.lit(False)) & ~anthropic & F.lit("img_cr" in used)
+    split = F.coalesce(fits, F.lit(False)) & ~anthropic & uses("img_cr")
     img_cr = F.when(split, ci.cast("double")).otherwise(0.0)
     cr, img, ai, img_o, ao = d("cache") - img_cr, d("image") - img_cr, d("audio"), d("image_out"), d("audio_out")
     outside, outside_c = p, c
     for name, value in (("cr", cr), ("cc", cc), ("cc1h", cc1h), ("img", img), ("img_cr", img_cr), ("ai", ai)):
-        outside = outside - value if name in used else outside
+        outside = outside - F.when(uses(name), value).otherwise(0.0)
     for name, value in (("img_o", img_o), ("ao", ao)):
-        outside_c = outside_c - value if name in used else outside_c
-    inside = p if "cr" in used else p + cr
+        outside_c = outside_c - F.when(uses(name), value).otherwise(0.0)
+    inside = F.when(uses("cr"), p).otherwise(p + cr)
     zero = F.lit(0.0)
     return {
         "p": F.greatest(zero, F.when(anthropic, inside).otherwise(outside)), "c": F.greatest(zero, F.when(anthropic, c).otherwise(outside_c)), "len": F.when(anthropic, p + cr + cc + cc1h).otherwise(p),
@@ -214,6 +216,59 @@ def tier_quota(tiers: list[dict], group_ratio: Column, estimated_tier: Column) -
     return F.struct(quota["value"].alias("value"), quota["kind"].alias("kind"), found["tier"].alias("tier"), (found["tier"] != estimated_tier).alias("crossed"))
 
 
+#: Tiers of a model as data: the first one counts whose conditions all hold. It has a price a request (USD) in ``fixed``,
+#: or prices of variables (USD per million).
+TIERS = "array<struct<name:string,conditions:array<struct<variable:string,op:string,value:double>>,fixed:double,prices:array<struct<variable:string,price:double>>>>"
+
+
+def tier_variables(tiers: Column) -> Column:
+    """Array of the variables that a column of tiers names."""
+    empty = F.array().cast("array<string>")
+    each = F.transform(tiers, lambda t: F.concat(F.coalesce(t["conditions"]["variable"], empty), F.coalesce(t["prices"]["variable"], empty)))
+    return F.array_distinct(F.flatten(each))
+
+
+def matched_tier(tiers: Column, values: Column) -> Column:
+    """The first tier whose conditions hold for a map of variables (missing ones are 0); null without one."""
+    of = lambda c: F.coalesce(F.try_element_at(values, c["variable"]), F.lit(0.0))
+
+    def holds(c):
+        value, op = of(c), c["op"]
+        found = F.when(op == "<", value < c["value"]).when(op == "<=", value <= c["value"]).when(op == ">", value > c["value"])
+        return F.coalesce(found.when(op == ">=", value >= c["value"]).when(op == "==", value == c["value"]), F.lit(False))
+
+    none = F.array().cast("array<struct<variable:string,op:string,value:double>>")
+    return F.try_element_at(F.filter(tiers, lambda t: F.forall(F.coalesce(t["conditions"], none), holds)), F.lit(1))
+
+
+def tier_cost(tier: Column, values: Column) -> Column:
+    """Cost of a matched tier in millionths of a USD."""
+    each = lambda x: F.coalesce(x["price"] * F.try_element_at(values, x["variable"]), F.lit(0.0))
+    prices = F.coalesce(tier["prices"], F.array().cast("array<struct<variable:string,price:double>>"))
+    return F.coalesce(tier["fixed"] * 1_000_000, F.aggregate(prices, F.lit(0.0), lambda a, x: a + each(x)))
+
+
+def with_tier_quota(rows: DataFrame, surcharge: Column) -> DataFrame:
+    """Adds tier, tier_quota and tier_kind to rows of tiered billing, by the tiers in column ``tiers``.
+
+    Variables are ``billing_tokens`` where the log kept them, else the token parts. Cost by group ratio and surcharge
+    are rounded once and saturated. A row without tiers, or that no tier fits, has nulls.
+    """
+    parts = token_parts(F.col("x_used"))
+    own = F.create_map(*(x for name, value in parts.items() for x in (F.lit(name), value)))
+    steps = [
+        {"x_used": tier_variables(F.col("tiers"))},
+        {"x_values": F.when(F.col("tiers").isNotNull(), F.coalesce("billing_tokens", own))},
+        {"x_tier": F.when(F.col("tiers").isNotNull(), matched_tier(F.col("tiers"), F.col("x_values")))},
+        {"x_quota": quota_rounded(tier_cost(F.col("x_tier"), F.col("x_values")) / 1_000_000 * QUOTA_PER_UNIT * F.col("group_ratio") + surcharge.cast("double"))},
+    ]
+    out = rows
+    for step in steps:
+        out = out.withColumns(step)
+    fits = F.col("x_tier").isNotNull()
+    return out.select(*rows.columns, F.col("x_tier.name").alias("tier"), F.when(fits, F.col("x_quota.value")).cast("bigint").alias("tier_quota"), F.when(fits, F.col("x_quota.kind")).alias("tier_kind"))
+
+
 def inferred_creation() -> Column:
     """Cache-creation tokens that explain a reported cost; -1 if out of range, 0 if they cost what input costs.
 
@@ -228,33 +283,46 @@ def inferred_creation() -> Column:
 #: Keys of the usage detail in a log's ``other``, and what a 1-hour cache write costs over a 5-minute one.
 DETAIL = {
     "cache": "cache_tokens", "cache_creation": "cache_creation_tokens", "creation_5m": "cache_creation_tokens_5m", "creation_1h": "cache_creation_tokens_1h",
-    "image": "image_output", "audio": "audio_input_token_count",
+    "image": "image_output", "audio": "audio_input_token_count", "audio_out": "audio_output",
 }
 HOUR_CREATION = 6 / 3.75
+#: Keys of other ratios in ``other``, and the billing mode of tiers.
+RATIO_KEYS, TIERED = ("n", "seconds", "size"), "tiered_expr"
 
 
-def usage_detail(logs: DataFrame) -> DataFrame:
-    """Logs with prompt, completion, the tokens of DETAIL (0 where ``other`` has none), anthropic and tool_calls."""
+def usage_detail(logs: DataFrame, ratio_keys: tuple[str, ...] = RATIO_KEYS) -> DataFrame:
+    """Logs with prompt, completion, the tokens of DETAIL (0 where ``other`` has none), anthropic, tool_calls, tiered
+    (whether tiers billed it), estimated_tier, billing_tokens (null where not kept), cached_image and multiplier, the
+    product of the ratios under ``ratio_keys``."""
     schema = ", ".join(f"{k} bigint" for k in DETAIL.values()) + ", claude boolean, tool_surcharges array<struct<name string, count bigint, price double>>"
+    schema += ", billing_mode string, matched_tier string, billing_tokens map<string, double>, image_cache_tokens bigint, " + ", ".join(f"`{k}` double" for k in ratio_keys)
     rows = logs.withColumn("detail", F.from_json("other", schema))
     found = {c: F.coalesce(F.col(f"detail.{k}"), F.lit(0)) for c, k in DETAIL.items()}
     found |= {"prompt": F.col("prompt_tokens"), "completion": F.col("completion_tokens"), "anthropic": F.coalesce("detail.claude", F.lit(False)), "tool_calls": F.col("detail.tool_surcharges")}
-    return rows.withColumns(found).drop("detail")
+    found |= {"tiered": F.coalesce(F.col("detail.billing_mode") == TIERED, F.lit(False)), "estimated_tier": F.col("detail.matched_tier"), "billing_tokens": F.col("detail.billing_tokens")}
+    found |= {"cached_image": F.col("detail.image_cache_tokens")} | {c: F.lit(0) for c in ("cached_text", "cached_audio", "image_out")}
+    ratios = F.create_map(*(x for k in ratio_keys for x in (F.lit(k), F.col(f"detail.`{k}`")))) if ratio_keys else F.lit(None).cast("map<string, double>")
+    return rows.withColumns(found | {"multiplier": other_multiplier(ratios)}).drop("detail")
 
 
-def priced_names(names: DataFrame, prices: DataFrame, tools: DataFrame) -> DataFrame:
+def priced_names(names: DataFrame, prices: DataFrame, tools: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
     """One row for each distinct model_name, with all that its price depends on, so that no rule runs on a log row.
 
     ``prices`` (model, model_ratio, model_price, completion_ratio, cache_ratio, creation_ratio, image_ratio,
-    audio_price) is looked up under the normalised name. tool_prices: price by tool, that of the longest prefix.
+    audio_price) is looked up under the normalised name, and so is ``tiers`` (model, tiers). tool_prices: price by tool,
+    that of the longest prefix.
     """
     distinct = names.select("model_name").distinct().withColumn("price_name", lookup_name(F.col("model_name")))
     known = distinct.join(prices.withColumnRenamed("model", "price_name"), "price_name", "left")
+    if tiers is None:
+        known = known.withColumn("tiers", F.lit(None).cast(TIERS))
+    else:
+        known = known.join(tiers.select(F.col("model").alias("price_name"), F.col("tiers").cast(TIERS).alias("tiers")), "price_name", "left")
     known = with_completion_ratio(known, "price_name", F.col("completion_ratio"))
     defaults = {"model_ratio": DEFAULT_RATIO, "cache_ratio": DEFAULT_CACHE, "creation_ratio": DEFAULT_CREATION, "image_ratio": 1.0, "audio_price": 0.0}
     filled = {c: F.coalesce(F.col(c), F.lit(x)) for c, x in defaults.items()}
     creation = filled["creation_ratio"]
-    known = known.select("model_name", "model_price", F.col("ratio").alias("completion_ratio"), *(c.alias(k) for k, c in filled.items()), creation.alias("creation_5m_ratio"), (creation * HOUR_CREATION).alias("creation_1h_ratio"))
+    known = known.select("model_name", "model_price", "tiers", F.col("ratio").alias("completion_ratio"), *(c.alias(k) for k, c in filled.items()), creation.alias("creation_5m_ratio"), (creation * HOUR_CREATION).alias("creation_1h_ratio"))
     hit = distinct.select("model_name").join(tools, F.col("model_name").startswith(F.col("prefix")))
     best = hit.groupBy("model_name", "tool").agg(F.max_by("price", F.length("prefix")).alias("price"))
     by_tool = best.groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("tool", "price"))).alias("tool_prices"))
@@ -268,16 +336,26 @@ def tool_quota() -> Column:
     return (dollars / 1000 * F.col("group_ratio") * QUOTA_PER_UNIT).cast("decimal(20,6)")
 
 
-def rerate(logs: DataFrame, prices: DataFrame, groups: DataFrame, special: DataFrame, tools: DataFrame) -> DataFrame:
+def rerate(logs: DataFrame, prices: DataFrame, groups: DataFrame, special: DataFrame, tools: DataFrame, tiers: DataFrame | None = None, ratio_keys: tuple[str, ...] = RATIO_KEYS) -> DataFrame:
     """Logs with the quota that today's prices give, its difference from the charged one, and the clamp kind.
 
-    Token detail and tool calls come from ``other``; logs have user_group beside their columns. Prices, completion
-    rules and tool prices are resolved on distinct names and joined by equality.
+    ``mode``: how it was priced. Logs that tiers billed go by the tiers of their model (``tier``; ``crossed``: another
+    one than the log names), where it still has some; the others by price or ratio, times the log's other ratios.
+    ``cache_write``: tokens written to caches. Token detail, ratios and tool calls come from ``other``; logs have
+    user_group beside their columns. Prices, tiers, completion rules and tool prices are resolved on distinct names and
+    joined by equality.
     """
-    rows = with_group_ratio(usage_detail(logs), groups, special)
-    rows = rows.join(priced_names(logs, prices, tools), "model_name")
-    rows = with_text_quota(rows, F.col("model_price").isNotNull(), tool_quota(), F.lit(1.0))
-    return rows.select("id", "model_name", "quota", F.col("priced_quota").alias("expected"), (F.col("priced_quota") - F.col("quota")).alias("delta"), F.col("priced_kind").alias("kind"))
+    rows = with_group_ratio(usage_detail(logs, ratio_keys), groups, special)
+    rows = rows.join(priced_names(logs, prices, tools, tiers), "model_name").withColumn("surcharge", tool_quota())
+    rows = rows.withColumn("tiers", F.when(F.col("tiered"), F.col("tiers")))
+    rows = with_text_quota(rows, F.col("model_price").isNotNull(), F.col("surcharge"), F.col("multiplier"))
+    rows = with_tier_quota(rows, F.col("surcharge"))
+    by_tier = F.col("tier_quota").isNotNull()
+    expected = F.coalesce("tier_quota", "priced_quota")
+    return rows.select(
+        "id", "model_name", "quota", F.when(by_tier, "tier").when(F.col("model_price").isNotNull(), "price").otherwise("ratio").alias("mode"), expected.alias("expected"), (expected - F.col("quota")).alias("delta"),
+        F.when(by_tier, F.col("tier_kind")).otherwise(F.col("priced_kind")).alias("kind"), "tier", (F.col("tier") != F.col("estimated_tier")).alias("crossed"), creation_total().alias("cache_write"),
+    )
 
 
 #: Columns of the price sheet and the ratios that multiply the base price.

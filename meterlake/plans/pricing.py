@@ -261,11 +261,13 @@ RERATED = f"""l AS (SELECT id, user_id, quota, "group", CASE WHEN id % 2 = 0 THE
     model_name,
   prompt_tokens AS prompt, completion_tokens AS completion, id % 300 AS cache, id % 90 AS creation, id % 40 AS c5,
   id % 60 AS c1, id % 50 AS image,
+  id % 5 < 2 AS tiered, CASE WHEN id % 11 = 0 THEN 2.5 ELSE 1.0 END * CASE WHEN id % 13 = 0 THEN 0.5 ELSE 1.0 END AS times,
   id % 30 AS audio, id % 3 = 0 AS claude, CASE WHEN id % 7 = 0 THEN id % 4 ELSE 0 END AS calls FROM logs),
 best AS (SELECT model, max(model_ratio) AS mr, max(model_price) AS mp, max(completion_ratio) AS cr,
   max(cache_ratio) AS car,
   CASE WHEN model LIKE '%1' THEN CAST(4 AS DOUBLE) END AS ap FROM prices GROUP BY 1),
-j AS (SELECT l.*, COALESCE(mr, 37.5) AS mr, mp, COALESCE(car, 1.0) AS car, COALESCE(ap, 0.0) AS ap,
+j AS (SELECT l.*, CAST(COALESCE(mr, 1.0) AS DOUBLE) AS tr, CASE WHEN tiered AND ends_with(model, '2') THEN 2
+  WHEN tiered AND ends_with(model, '3') THEN 3 END AS plan, COALESCE(mr, 37.5) AS mr, mp, COALESCE(car, 1.0) AS car, COALESCE(ap, 0.0) AS ap,
   CASE WHEN contains({LOOKUP}, '/') AND cr IS NOT NULL THEN cr WHEN {LOCKS} THEN {RULES}
   ELSE COALESCE(cr, {RULES}) END AS cr,
   CASE WHEN u."group" = 'auto' AND l."group" = 'vip' THEN 0.5 WHEN l."group" = 'vip' THEN 0.75
@@ -277,17 +279,28 @@ p AS (SELECT *, greatest(0, prompt - CASE WHEN claude THEN 0 ELSE cache + creati
     0) * CAST(1.25 AS DOUBLE) + c5 * CAST(1.25 AS DOUBLE) + c1 * CAST(2 AS DOUBLE)
       ELSE creation * CAST(1.25 AS DOUBLE) END + completion * cr AS priced,
   CASE WHEN starts_with(model_name, 'gpt-') THEN 4.0 ELSE 2.0 END * calls / 1000 * gr * 500000 AS extra FROM j),
-t AS (SELECT *, CASE WHEN mp IS NOT NULL THEN CAST(mp AS DOUBLE) * 500000 * gr + extra
-  ELSE priced * mr * gr + ap * audio * gr * CAST(0.5 AS DOUBLE) + extra END AS total FROM p)"""
-
-
-@query(S.with_(S.LOGS, S.PRICES, S.USERS, RERATED) + """, e AS (SELECT *, CASE WHEN prompt + completion = 0
-  AND extra = 0 THEN 0
+v AS (SELECT *, CASE WHEN claude THEN prompt + cache + c5 + c1 ELSE prompt END AS len,
+  CASE WHEN plan = 3 THEN CASE WHEN claude THEN prompt + cache ELSE prompt END WHEN claude THEN prompt
+  ELSE greatest(prompt - cache - audio, 0) END AS tp FROM p),
+w AS (SELECT *, CASE WHEN plan = 2 AND len <= 400 THEN 'short' WHEN plan = 2 THEN 'long'
+  WHEN plan = 3 AND completion < 100 AND len < 600 THEN 'request' WHEN plan = 3 THEN 'rest' END AS tier FROM v),
+t AS (SELECT *, CASE tier WHEN 'short' THEN tp * tr + completion * tr * 4 + cache * tr / 4
+  WHEN 'long' THEN tp * tr * 2 + completion * tr * 8 + audio * tr WHEN 'request' THEN CAST(976.5625 AS DOUBLE)
+  WHEN 'rest' THEN tp * tr + completion * tr END AS cost,
+  CASE WHEN mp IS NOT NULL THEN CAST(mp AS DOUBLE) * 500000 * gr * times + extra
+  ELSE (priced * mr * gr + ap * audio * gr * CAST(0.5 AS DOUBLE)) * times + extra END AS total FROM w)"""
+
+
+@query(S.with_(S.LOGS, S.PRICES, S.USERS, RERATED) + """, e AS (SELECT *, CASE WHEN tier IS NOT NULL
+  THEN CAST(round(CAST(cost / 1000000 * 500000 * gr + extra AS DOUBLE)) AS BIGINT) WHEN prompt + completion = 0 AND extra = 0 THEN 0
     WHEN mr * gr <> 0 AND round(total) <= 0 THEN 1 ELSE CAST(round(CAST(total AS DOUBLE)) AS BIGINT) END AS expected
     FROM t)
-  SELECT id, model_name, quota, CAST(expected AS BIGINT) AS expected, CAST(expected - quota AS BIGINT) AS delta,
-  CAST(NULL AS VARCHAR) AS kind FROM e""")
+  SELECT id, model_name, quota, CASE WHEN tier IS NOT NULL THEN 'tier' WHEN mp IS NOT NULL THEN 'price' ELSE 'ratio' END AS mode,
+  CAST(expected AS BIGINT) AS expected, CAST(expected - quota AS BIGINT) AS delta, CAST(NULL AS VARCHAR) AS kind, tier,
+  CASE WHEN tiered THEN tier <> 'long' END AS crossed,
+  CASE WHEN c5 + c1 > 0 THEN greatest(creation, c5 + c1) ELSE creation END AS cache_write FROM e""")
 def j12_m15_rerate(spark, sf_dir):
+    """Three kinds of billing: by ratio, by price, and by each model's own tiers."""
     i, none = F.col("id"), F.lit(None).cast("double")
     best = S.prices(spark, sf_dir).groupBy("model").agg(
         *(F.max(c).alias(c) for c in ("model_ratio", "model_price", "completion_ratio", "cache_ratio"))
@@ -299,7 +312,16 @@ def j12_m15_rerate(spark, sf_dir):
     detail = F.struct(
         (i % 300).alias("cache_tokens"), (i % 90).alias("cache_creation_tokens"), (i % 40).alias("cache_creation_tokens_5m"), (i % 60).alias("cache_creation_tokens_1h"),
         (i % 50).alias("image_output"), (i % 30).alias("audio_input_token_count"), (i % 3 == 0).alias("claude"), F.when(i % 7 == 0, calls).alias("tool_surcharges"),
+        F.when(i % 5 < 2, M.TIERED).alias("billing_mode"), F.when(i % 5 < 2, "long").alias("matched_tier"), F.when(i % 11 == 0, 2.5).alias("seconds"), F.when(i % 13 == 0, 0.5).alias("size"),
     )
+    ratio = F.coalesce("model_ratio", F.lit(1.0))
+    price = lambda **by: F.array(*(F.struct(F.lit(v).alias("variable"), (ratio * x).alias("price")) for v, x in by.items()))
+    when = lambda *cs: F.array(*(F.struct(F.lit(v).alias("variable"), F.lit(op).alias("op"), F.lit(float(x)).alias("value")) for v, op, x in cs))
+    tier = lambda name, conditions, fixed, prices: F.struct(F.lit(name).alias("name"), conditions.alias("conditions"), F.lit(fixed).cast("double").alias("fixed"), prices.alias("prices"))
+    always, free = F.lit(None).cast("array<struct<variable:string,op:string,value:double>>"), F.lit(None).cast("array<struct<variable:string,price:double>>")
+    two = F.array(tier("short", when(("len", "<=", 400)), None, price(p=1, c=4, cr=0.25)), tier("long", always, None, price(p=2, c=8, ai=1)))
+    three = F.array(tier("request", when(("c", "<", 100), ("len", "<", 600)), 0.0009765625, free), tier("rest", always, None, price(p=1, c=1)))
+    tiers = best.select("model", F.when(F.col("model").endswith("2"), two).when(F.col("model").endswith("3"), three).alias("tiers"))
     own = F.element_at(F.array(*map(F.lit, NAMES)), (i % len(NAMES) + 1).cast("int"))
     name = F.when(i % 2 == 0, S.text("Brand#", 1 + i % 5, 1 + i % 4)).otherwise(own)
     logs = S.logs(spark, sf_dir).withColumns({"model_name": name, "other": F.to_json(detail)})
@@ -317,7 +339,7 @@ def j12_m15_rerate(spark, sf_dir):
     tools = spark.createDataFrame(
         [("search", "", 2.0), ("search", "gpt-", 4.0)], "tool string, prefix string, price double"
     )
-    return M.rerate(logs, best, groups, special, tools)
+    return M.rerate(logs, best, groups, special, tools, tiers)
 
 
 @query(S.with_(S.LOGS) + """SELECT id, CASE WHEN quota % 97 > 0 AND round(CAST(quota % 97 AS DOUBLE) / 500000 *

@@ -169,6 +169,47 @@ def test_tiers(spark):
     assert (got["tier"], got["value"], got["crossed"]) == ("long_context", round((300_000 * 3 + 10_000 * 11.25) / 1e6 * 500_000), True)
 
 
+def half_up(x):
+    return int(x + 0.5)
+
+
+def rerated(spark, rows, tiers):
+    """rows: (model, prompt, completion, other); one group, no tool prices but search's."""
+    logs = spark.createDataFrame([(k, m, 0, p, c, json.dumps(o) if o is not None else None, "g", "u") for k, (m, p, c, o) in enumerate(rows)], "id bigint, model_name string, quota bigint, prompt_tokens bigint, completion_tokens bigint, other string, `group` string, user_group string")
+    prices = spark.createDataFrame([("m", 1.0, None, 2.0, None, None, None, None), ("fixed", None, 0.5, None, None, None, None, None)], "model string, model_ratio double, model_price double, completion_ratio double, cache_ratio double, creation_ratio double, image_ratio double, audio_price double")
+    groups, special = spark.createDataFrame([("g", 0.5)], "`group` string, ratio double"), spark.createDataFrame([], "user_group string, `group` string, ratio double")
+    tools = spark.createDataFrame([("search", "", 10.0)], "tool string, prefix string, price double")
+    found = pricing.rerate(logs, prices, groups, special, tools, spark.createDataFrame(tiers, f"model string, tiers {pricing.TIERS}"))
+    return [(r["mode"], r["expected"], r["tier"], r["crossed"], r["kind"], r["cache_write"]) for r in found.orderBy("id").collect()]
+
+
+def test_rerate_by_each_kind_of_billing(spark):
+    tiers = [
+        ("m", [("small", [("len", "<=", 1000.0), ("c", "<", 100.0)], None, [("p", 2.0), ("c", 8.0), ("cr", 0.5)]), ("cheap", [("p", "==", 5000.0)], 0.25, None), ("large", None, None, [("p", 4.0), ("c", 16.0)])]),
+        ("narrow", [("only", [("img", ">", 3.0)], 1.0, None)]),
+        ("fixed", [("flat", [], 10_000.0, None)]),
+    ]
+    t = {"billing_mode": "tiered_expr", "matched_tier": "small"}
+    got = rerated(spark, [
+        ("m", 1000, 10, None), ("m", 1000, 10, {"seconds": 4, "size": 1.5, "n": -2}), ("fixed", 10, 10, {"n": 3}),
+        ("m", 900, 50, t | {"cache_tokens": 100, "seconds": 4}), ("m", 5000, 50, t), ("m", 900, 100, t | {"tool_surcharges": [{"name": "search", "count": 2, "price": 1}]}),
+        ("narrow", 10, 10, t), ("other", 10, 0, t), ("fixed", 1, 1, t), ("m", 0, 0, t | {"billing_tokens": {"p": 3000.0, "len": 3000.0, "c": 1000.0}}),
+        ("m", 10, 0, t | {"claude": True, "cache_creation_tokens": 5, "cache_creation_tokens_5m": 4, "cache_creation_tokens_1h": 3}),
+    ], tiers)
+    assert got[0] == ("ratio", 510, None, None, None, 0)
+    assert got[1] == ("ratio", 510 * 6, None, None, None, 0)  # ratios that are not positive don't count
+    assert got[2] == ("price", 375_000, None, None, None, 0)
+    # p leaves out the cached tokens, which have a price of their own; other ratios don't multiply tiers
+    assert got[3] == ("tier", half_up((800 * 2 + 50 * 8 + 100 * 0.5) / 1e6 * 500_000 * 0.5), "small", False, None, 0)
+    assert got[4] == ("tier", 62_500, "cheap", True, None, 0)
+    assert got[5] == ("tier", half_up((900 * 4 + 100 * 16) / 1e6 * 500_000 * 0.5 + 10 * 2 / 1000 * 0.5 * 500_000), "large", True, None, 0)
+    # no tier fits, or the model has none: as by ratio
+    assert got[6][0] == got[7][0] == "ratio" and got[6][2] is None and got[7][1] == half_up(10 * 37.5 * 0.5)
+    assert got[8] == ("tier", 2147483647, "flat", True, "overflow", 0)
+    assert got[9] == ("tier", half_up((3000 * 4 + 1000 * 16) / 1e6 * 500_000 * 0.5), "large", True, None, 0)
+    assert got[10][5] == 7 and got[10][2] == "small"
+
+
 def test_lookup_names(spark):
     for name, want in (("gpt-4-gizmo-g-1", "gpt-4-gizmo-*"), ("gemini-2.5-flash-lite-thinking-8", "gemini-2.5-flash-lite-thinking-*"), ("gemini-2.5-pro", "gemini-2.5-pro"), ("gpt-4o-gizmo-x", "gpt-4o-gizmo-*")):
         assert one(spark, pricing.lookup_name(F.col("x")), x=name) == want
