@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: States, nearest to the root first, whose transitions are tabled whole; the others' are hashed, with failure links.
-TABLED = 2048
+#: Transitions that are tabled whole, for the states nearest to the root; the others' are hashed, with failure links.
+CELLS = 1 << 22
 #: Bytes that one walk covers; texts are cut into so many, and walks of one batch go in step.
 STRETCH = 512
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -15,7 +15,7 @@ class Automaton:
     """Finds all occurrences of some words, overlapping and nested ones too, in UTF-8.
 
     States are numbered by depth. ``fail`` is the longest proper suffix that is a state, ``ending`` the next word on
-    that chain. Its size is that of the words, some 30 bytes a byte, besides 2 MB of tabled transitions.
+    that chain. Bytes that no word has are alike. Its size is some 60 bytes a byte of the words, and 16 MB for tables.
     """
 
     def __init__(self, words: list[str]):
@@ -27,8 +27,14 @@ class Automaton:
         self._links()
 
     def _trie(self, data: list[bytes]) -> None:
-        """All words go down one byte at a time; equal (state, byte) pairs of a depth share a state."""
+        """All words go down one byte at a time; equal (state, kind of byte) pairs of a depth share a state."""
         whole = np.frombuffer(b"".join(data), np.uint8)
+        own = np.unique(whole)
+        #: 1, 2, ... for the bytes of words, 0 for all others
+        self.kinds = np.zeros(256, np.int64)
+        self.kinds[own] = np.arange(1, len(own) + 1)
+        self.width = len(own) + 1
+        whole = self.kinds[whole]
         starts = np.cumsum(self.sizes) - self.sizes
         at = np.zeros(len(data), np.int64)
         keys, self.depths, count = [], [0, 1], 1
@@ -39,7 +45,7 @@ class Automaton:
             count += len(key)
             keys.append(key)
             self.depths.append(count)
-        #: the word that ends at a state, -1 without one; the (state, byte) pairs that lead to states 1, 2, ...
+        #: the word that ends at a state, -1 without one; the (state, kind) pairs that lead to states 1, 2, ...
         self.word = np.full(count, -1, np.int64)
         self.word[at] = np.arange(len(data))
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -59,9 +65,9 @@ class Automaton:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * MULTIPLIER >> self.shift).astype(np.int64)
 
-    def _child(self, states: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+    def _child(self, states: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """The state after a byte, -1 if the trie has none."""
-        keys = states << 8 | bytes_
+        keys = states << 8 | kinds
         slot = self._slot(keys)
         found = self.slots[slot]
         out = np.where(found == keys, self.values[slot], -1)
@@ -78,46 +84,41 @@ class Automaton:
         count = len(self.word)
         self.fail = np.zeros(count, np.int64)
         self.ending = np.full(count, -1, np.int64)
-        tabled = min(TABLED, count)
-        self.table = np.zeros((tabled, 256), np.int32)
-        self.tabled = 0
+        tabled = min(max(1, CELLS // self.width), count)
+        table = np.zeros((tabled, self.width), np.int64)
+        self.flat, self.tabled, every = table.ravel(), 0, np.arange(self.width)
         for low, high in zip(self.depths[:-1], self.depths[1:], strict=True):
             states = np.arange(low, high)
             if low:
-                parent, byte = self.keys[states - 1] >> 8, self.keys[states - 1] & 255
+                parent, kind = self.keys[states - 1] >> 8, self.keys[states - 1] & 255
                 # what the parent's failure leads to; for the root's children that is the root
-                self.fail[states] = np.where(parent == 0, 0, self._step(self.fail[parent], byte))
+                self.fail[states] = np.where(parent == 0, 0, self._step(self.fail[parent], kind))
                 own = self.fail[states]
                 self.ending[states] = np.where(self.word[own] >= 0, own, self.ending[own])
             rows = states[states < tabled]
             if len(rows):  # a tabled row is that of its failure, but for its own children
                 if low:
-                    self.table[rows] = self.table[self.fail[rows]]
-                mine = self._child(np.repeat(rows, 256), np.tile(np.arange(256), len(rows)))
-                mine = mine.reshape(len(rows), 256)
-                self.table[rows] = np.where(mine >= 0, mine, self.table[rows])
+                    table[rows] = table[self.fail[rows]]
+                own = self._child(np.repeat(rows, self.width), np.tile(every, len(rows))).reshape(len(rows), self.width)
+                table[rows] = np.where(own >= 0, own, table[rows])
                 self.tabled = int(rows[-1]) + 1
-        self.flat = self.table.ravel()
+        self.flat = table.astype(np.int32).ravel()
         self.hit = (self.word >= 0) | (self.ending >= 0)
 
-    def _step(self, states: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+    def _step(self, states: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """The state of each walk after a byte: failures are followed until a state has the byte, or is tabled."""
-        flat = self.table.ravel() if not hasattr(self, "flat") else self.flat
-        if self.tabled == len(self.word):
-            return flat[states << 8 | bytes_].astype(np.int64)
-        out = np.zeros(len(states), np.int64)
-        near = states < self.tabled
-        out[near] = flat[states[near] << 8 | bytes_[near]]
-        left = np.flatnonzero(~near)
-        now, byte = states[left], bytes_[left]
+        far = states >= self.tabled
+        left = np.flatnonzero(far)
+        out = self.flat[np.where(far, 0, states) * self.width + kinds if len(left) else states * self.width + kinds].astype(np.int64)
+        now, kind = states[left], kinds[left]
         while len(left):
-            child = self._child(now, byte)
+            child = self._child(now, kind)
             found = child >= 0
             out[left[found]] = child[found]
-            left, now, byte = left[~found], self.fail[now[~found]], byte[~found]
+            left, now, kind = left[~found], self.fail[now[~found]], kind[~found]
             near = now < self.tabled
-            out[left[near]] = flat[now[near] << 8 | byte[near]]
-            left, now, byte = left[~near], now[~near], byte[~near]
+            out[left[near]] = self.flat[now[near] * self.width + kind[near]]
+            left, now, kind = left[~near], now[~near], kind[~near]
         return out
 
     def matches(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,10 +139,10 @@ class Automaton:
         order = np.argsort(start - end, kind="stable")
         text, begin, start, length = text[order], begin[order], start[order], (end - start)[order]
         active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # walks that are longer than a step
-        state = np.zeros(len(text), np.int64)
+        state, kinds = np.zeros(len(text), np.int64), self.kinds.astype(np.uint8)[data]
         walks, places, states = [], [], []
         for j, m in enumerate(active):
-            now = self._step(state[:m], data[start[:m] + j].astype(np.int64))
+            now = self._step(state[:m], kinds[start[:m] + j].astype(np.int64))
             state[:m] = now
             hit = np.flatnonzero(self.hit[now])
             if len(hit):

@@ -1,14 +1,16 @@
-"""Token estimates, blocked words and fingerprints. Text runs in Arrow batches, one matcher a batch."""
+"""Token estimates, blocked words and fingerprints. Words are sought by one automaton, for all texts of a batch."""
 
 from __future__ import annotations
 
-import math
-import re
-import unicodedata
+from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meterlake.operators.automaton import Automaton, lowered
+
 #: Weights of each provider.
 WEIGHTS = {
     "gemini": {"word": 1.15, "number": 2.8, "cjk": 0.68, "symbol": 0.38, "math": 1.05, "url": 1.2, "at": 2.5, "emoji": 1.08, "newline": 1.15, "space": 0.2},
@@ -23,71 +25,86 @@ EMOJI_RANGES = ((0x1F300, 0x1F9FF), (0x2600, 0x27BF), (0x1FA00, 0x1FAFF))
 CJK_RANGES = ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0x20000, 0x323AF))
 
 
-def character_class(c: str) -> str:
-    """newline, space, cjk, emoji, word, number, math, at, url or symbol; the first that fits."""
-    n, category = ord(c), unicodedata.category(c)
-    within = lambda ranges: any(a <= n <= b for a, b in ranges)
-    if c in "\t\n\v\f\r \x85\xa0" or category in ("Zs", "Zl", "Zp"):
-        return "newline" if c in "\n\t" else "space"
-    if within(CJK_RANGES):
-        return "cjk"
-    if within(EMOJI_RANGES):
-        return "emoji"
-    if category[0] in "LN":
-        return "number" if category[0] == "N" else "word"
-    if c in MATH or within(MATH_RANGES):
-        return "math"
-    return "at" if c == "@" else "url" if c in URL else "symbol"
-
-
 def provider_of(model: Column) -> Column:
     name = F.lower(model)
     return F.when(name.contains("gemini"), "gemini").when(name.contains("claude"), "claude").otherwise("openai")
 
 
+def _set(*parts) -> str:
+    """A pattern of one character of some ranges and letters."""
+    ranges = (r for part in parts for r in (part if isinstance(part, tuple) else [(ord(c), ord(c)) for c in part]))
+    return "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges) + "]"
+
+
+NEWLINE, SPACE = r"[\t\n]", r"[\x0B\f\r\x{85}\p{Z}]"
+
+
+def class_counts(text: Column) -> dict[str, Column]:
+    """Characters of each class of WEIGHTS, runs of letters and runs of digits counting once. The first class that fits
+    counts: white space, ideographs, emoji, letters and digits, mathematics, @, signs of URLs, other symbols."""
+    body = F.coalesce(text, F.lit(""))
+    own = _set(CJK_RANGES, EMOJI_RANGES)
+    # ideographs and emoji make room for a sign without a class, so that they part runs of letters and of digits
+    runs = F.regexp_replace(body, own, "\x01")
+    signs = F.regexp_replace(body, rf"[{own}{NEWLINE}{SPACE}\p{{L}}\p{{N}}]", "")
+    count = lambda of, pattern: F.regexp_count(of, F.lit(pattern))
+    found = {
+        "newline": count(body, NEWLINE), "space": count(body, SPACE), "cjk": count(body, _set(CJK_RANGES)), "emoji": count(body, _set(EMOJI_RANGES)),
+        "word": count(runs, r"\p{L}+"), "number": count(runs, r"\p{N}+"), "math": count(signs, _set(MATH, MATH_RANGES)), "at": count(signs, "@"), "url": count(signs, _set(URL)),
+    }
+    return found | {"symbol": F.length(signs) - found["math"] - found["at"] - found["url"]}
+
+
 def estimate_tokens(text: str, column: Column | str) -> Column:
-    """Estimated tokens of a text for the provider named in ``column``; runs of letters or of digits count once. Null
-    and empty texts have 0."""
+    """Estimated tokens of a text for the provider named in ``column``. Null and empty texts have 0."""
+    provider = F.col(column) if isinstance(column, str) else column
 
-    @F.pandas_udf("bigint")
-    def run(texts: pd.Series, providers: pd.Series) -> pd.Series:
-        classes: dict[str, str] = {}
+    def weight(kind):
+        of = lambda name: F.lit(Decimal(str(WEIGHTS[name][kind])))
+        return F.when(provider == "gemini", of("gemini")).when(provider == "claude", of("claude")).otherwise(of("openai")).cast("decimal(4,2)")
 
-        def one(t, provider):
-            if not t:
-                return 0
-            counts, last = dict.fromkeys(WEIGHTS["openai"], 0), ""
-            for c in t:
-                kind = classes.get(c) or classes.setdefault(c, character_class(c))
-                if kind != last or kind not in ("word", "number"):
-                    counts[kind] += 1
-                last = kind
-            w = WEIGHTS.get(provider, WEIGHTS["openai"])
-            # at 9 digits: sums of decimals carry dust that must not reach the ceiling
-            return math.ceil(round(sum(w[k] * n for k, n in counts.items()), 9))
+    total = sum((count.cast("decimal(12,0)") * weight(kind) for kind, count in class_counts(F.col(text)).items()), F.lit(0))
+    return F.ceil(total).cast("bigint")
 
-        return pd.Series([one(t, p) for t, p in zip(texts, providers, strict=True)], dtype="int64")
 
-    return run(F.col(text), F.col(column) if isinstance(column, str) else column)
+#: Bytes of texts that are walked together.
+WALKED = 1 << 23
 
 
-def _pattern(words: list[str]) -> re.Pattern | None:
-    words = sorted({w.strip().lower() for w in words} - {""}, key=lambda w: (-len(w), w))
-    return re.compile("|".join(map(re.escape, words))) if words else None
+def _occurrences(automaton: Automaton, texts: pd.Series) -> Iterator[tuple]:
+    """(first row, data, bounds, text, begin, word) of runs of rows: all occurrences in their lower-cased texts, in order of
+    text and place, longer words first."""
+    low, rows = 0, [t if isinstance(t, str) else None for t in texts]
+    while low < len(rows):
+        high, size = low, 0
+        while high < len(rows) and (size < WALKED or high == low):
+            size += len(rows[high] or "")
+            high += 1
+        data, bounds = lowered(rows[low:high])
+        text, begin, word = automaton.matches(data, bounds)
+        order = np.lexsort((word, -automaton.sizes[word], begin, text))
+        yield low, data, bounds, text[order], begin[order], word[order]
+        low = high
+
+
+def _automaton(words: list[str]) -> Automaton:
+    return Automaton([w.strip().lower() for w in words])
 
 
 def sensitive_words(text: str, words: list[str], first_only: bool = False) -> Column:
     """Blocked words found anywhere in the lower-cased text: each once, in order of place; or only the first."""
-    known = sorted({w.strip().lower() for w in words} - {""})
+    automaton = _automaton(words)
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            low = (t or "").lower()
-            hits = sorted((low.find(w), -len(w), w) for w in known if w in low)
-            return [h[2] for h in hits][: 1 if first_only else None]
-
-        return texts.map(one)
+        out: list[list[str]] = [[] for _ in range(len(texts))]
+        for row, _, _, of, _, word in _occurrences(automaton, texts):
+            _, one = np.unique(of * len(automaton.words) + word, return_index=True)
+            one.sort()
+            for k, w in zip(of[one].tolist(), word[one].tolist(), strict=True):
+                if not first_only or not out[row + k]:
+                    out[row + k].append(automaton.words[w])
+        return pd.Series(out)
 
     return run(F.col(text))
 
@@ -97,25 +114,29 @@ def replace_words(text: str, words: list[str], mask: str = "**###**") -> Column:
 
     A character that lower-cases to two (U+0130) is replaced whole if a match holds a part of it.
     """
+    automaton = _automaton(words)
+
+    def replaced(t: str, data: np.ndarray, begin: np.ndarray, word: np.ndarray) -> tuple[str, list[str]]:
+        # the character of the lower-cased text that each byte belongs to, and that of the text it comes from
+        char = np.cumsum((data & 0xC0) != 0x80) - 1
+        place = range(len(t)) if char[-1] + 1 == len(t) else [k for k, c in enumerate(t) for _ in c.lower()]
+        out, hits, at, free = [], [], 0, 0
+        for b, w in zip(begin.tolist(), word.tolist(), strict=True):
+            if b >= free:  # the first one at a place is the longest
+                free = b + int(automaton.sizes[w])
+                out += [t[at : place[char[b]]], mask]
+                hits.append(automaton.words[w])
+                at = place[char[free - 1]] + 1
+        return "".join([*out, t[at:]]), list(dict.fromkeys(hits))
 
     @F.pandas_udf("text string, hits array<string>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        pattern = _pattern(words)
-
-        def one(t):
-            low = t.lower() if t else ""
-            if not pattern:
-                return t, []
-            # the character of the text that each character of ``low`` comes from
-            place = range(len(low)) if len(low) == len(t or "") else [k for k, c in enumerate(t) for _ in c.lower()]
-            out, hits, at = [], [], 0
-            for m in pattern.finditer(low):
-                out += [t[at : place[m.start()]], mask]
-                hits.append(m.group())
-                at = place[m.end() - 1] + 1
-            return "".join([*out, t[at:]]) if t else t, list(dict.fromkeys(hits))
-
-        return pd.DataFrame([one(t) for t in texts], columns=["text", "hits"])
+        out = [(t if isinstance(t, str) else None, []) for t in texts]
+        for row, data, bounds, of, begin, word in _occurrences(automaton, texts):
+            for k in np.unique(of):
+                own = slice(*np.searchsorted(of, [k, k + 1]))
+                out[row + k] = replaced(out[row + k][0], data[bounds[k] : bounds[k + 1]], begin[own] - bounds[k], word[own])
+        return pd.DataFrame(out, columns=["text", "hits"])
 
     return run(F.col(text))
 

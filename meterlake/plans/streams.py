@@ -127,7 +127,10 @@ def r4_without_repeats(spark, sf_dir):
     """Every third record is delivered twice; the four batches hold rows of all times, so that later ones come late."""
     rows = S.logs(spark, sf_dir)
     stream, path = replayed(spark, rows.unionByName(rows.where("id % 3 = 0")), batches=4)
-    return drained(R.without_repeats(stream), path).groupBy("type").agg(
+    R.without_repeats(stream, f"{path}/logs").option(
+        "checkpointLocation", f"{path}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return L.read_logs(spark, f"{path}/logs").groupBy("type").agg(
         F.count("*").alias("rows"), F.sum("quota").alias("quota")
     )
 

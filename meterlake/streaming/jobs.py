@@ -12,7 +12,7 @@ from meterlake.functions.scalars import ratio
 from meterlake.operators import abuse as A
 from meterlake.operators import usage as U
 from meterlake.operators.logs import saturated
-from meterlake.sources.logs import decode_json, write_logs
+from meterlake.sources.logs import append_new, decode_json, write_logs
 
 
 def upsert_cube(batch: DataFrame, path: str, batch_id: int, writer: str = "") -> None:
@@ -20,7 +20,8 @@ def upsert_cube(batch: DataFrame, path: str, batch_id: int, writer: str = "") ->
 
     Only the day partitions that the batch touches are rewritten, and each keeps the batch and the writer that last
     did so: a day that has the batch already is left alone when the batch is replayed. Days are staged beside the table
-    first, since a partition can't be overwritten while it is read. A table has one writer at a time.
+    first, since a partition can't be overwritten while it is read, and the staged rows are deleted when they are in the
+    table. A table has one writer at a time.
     """
     spark = batch.sparkSession
     day = F.expr("created_at div 86400")
@@ -44,6 +45,8 @@ def upsert_cube(batch: DataFrame, path: str, batch_id: int, writer: str = "") ->
     staged = f"{path.rstrip('/')}.staged/{writer or 'cube'}-{batch_id}"
     total.write.mode("overwrite").parquet(staged)
     spark.read.schema(total.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.staged")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stream_cube(logs: DataFrame, path: str, writer: str = "") -> DataStreamWriter:
@@ -84,12 +87,10 @@ def cache_sessions(uses: DataFrame, ttl: int, late: str | None = None) -> DataFr
     return out.withColumn("mode", mode).select("rule", "group", "key", F.unix_seconds("w.start").alias("first_seen"), "last_seen", "total_uses", "hits", "cached_tokens", "prompt_tokens", "completion_tokens", "total_tokens", "mode")
 
 
-def without_repeats(logs: DataFrame) -> DataFrame:
-    """A log stream without redelivered records: one row per request_id, however late it comes.
-
-    All ids seen stay in the stream's state, which grows with them; RocksDB holds it outside the heap.
-    """
-    return logs.dropDuplicates(["request_id"])
+def without_repeats(logs: DataFrame, path: str, late: int = 3_600) -> DataStreamWriter:
+    """Writes a log stream to the table at ``path`` without redelivered records: one row per request_id, however late it
+    comes. The table itself says which ids came before; see ``append_new``."""
+    return logs.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, late))
 
 
 def sliding_counts(rows: DataFrame, seconds: int, key: str = "user_id") -> DataFrame:

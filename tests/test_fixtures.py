@@ -1,7 +1,9 @@
 """Exact values for operators whose semantics have corners."""
 
 import json
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,15 +325,32 @@ def test_settlement_signs(spark):
 
 
 # texts
+def character_class(c: str) -> str:
+    """newline, space, cjk, emoji, word, number, math, at, url or symbol; the first that fits."""
+    n, category = ord(c), unicodedata.category(c)
+    within = lambda ranges: any(a <= n <= b for a, b in ranges)
+    if c in "\t\n\v\f\r \x85\xa0" or category in ("Zs", "Zl", "Zp"):
+        return "newline" if c in "\n\t" else "space"
+    if within(texts.CJK_RANGES):
+        return "cjk"
+    if within(texts.EMOJI_RANGES):
+        return "emoji"
+    if category[0] in "LN":
+        return "number" if category[0] == "N" else "word"
+    if c in texts.MATH or within(texts.MATH_RANGES):
+        return "math"
+    return "at" if c == "@" else "url" if c in texts.URL else "symbol"
+
+
 def test_token_estimates_against_a_loop(spark):
-    samples = ["Hello, world 42!", "abc123 x@y.z/q?a=1", "日本語 テスト\n\t", "∑ ≤ 😀", "", None, "a" * 5000]
+    samples = ["Hello, world 42!", "abc123 x@y.z/q?a=1", "日本語 テスト\n\t", "∑ ≤ 😀", "", None, "a" * 5000, "a1b22c ３４Ⅷ²x\u0301\u00a0\u2028\x85\x0b\r𝒜𠀀〇々ａ@@#;&-!𝔸1😀2é✂x"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "i int, text string")
     got = [r["n"] for r in frame.select("i", texts.estimate_tokens("text", F.lit("openai")).alias("n")).orderBy("i").collect()]
     w, want = texts.WEIGHTS["openai"], []
     for t in samples:
         total, last = 0.0, ""
         for c in t or "":
-            k = texts.character_class(c)
+            k = character_class(c)
             total += 0 if k == last and k in ("word", "number") else w[k]
             last = k
         want.append(-int(-round(total, 9) // 1))
@@ -394,18 +413,6 @@ def test_admission_on_a_stream(spark, tmp_path):
     assert order(spark.read.parquet(str(tmp_path / "out"))) == order(jobs.replay_admission(frame, 3, 60))
 
 
-def test_late_rows_are_not_repeats(spark, tmp_path):
-    batches = [[("a", 100_000), ("b", 100_001), ("a", 100_000)], [("c", 90_000), ("a", 100_000), ("d", 200_000)], [("e", 1), ("c", 90_000)]]
-    schema = "request_id string, created_at bigint"
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        writer = jobs.without_repeats(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
-        writer.trigger(availableNow=True).start().awaitTermination()
-    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert sorted(got) == [("a", 100_000), ("b", 100_001), ("c", 90_000), ("d", 200_000), ("e", 1)]
-
-
 def test_vendors_are_read_whole(spark, tmp_path):
     from meterlake.plans import rankings
 
@@ -450,3 +457,70 @@ def test_kafka_source_options():
 
     session = type("Session", (), {"readStream": Reader()})()
     assert L.kafka_lines(session, "a:9092,b:9092", "logs") == {"format": "kafka", "kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "logs", "startingOffsets": "earliest"}
+
+
+# words by automaton
+def naive_words(text, words):
+    low = text.lower()
+    known = sorted({w.strip().lower() for w in words} - {""})
+    found = [h[2] for h in sorted((low.find(w), -len(w), w) for w in known if w in low)]
+    place = [k for k, c in enumerate(text) for _ in c.lower()]
+    out, hits, at, k = [], [], 0, 0
+    while k < len(low):
+        w = max((w for w in known if low.startswith(w, k)), key=len, default=None)
+        if w:
+            out += [text[at : place[k]], "#"]
+            hits.append(w)
+            k += len(w)
+            at = place[k - 1] + 1
+        else:
+            k += 1
+    return found, "".join([*out, text[at:]]), list(dict.fromkeys(hits))
+
+
+@pytest.mark.parametrize("cells", [1, 100, 1 << 22])
+def test_words_of_an_automaton_against_a_naive_scan(spark, monkeypatch, cells):
+    """Nested, overlapping and long words, in texts that are walked in many stretches."""
+    from meterlake.operators import automaton
+
+    monkeypatch.setattr(automaton, "CELLS", cells)
+    monkeypatch.setattr(automaton, "STRETCH", 16)
+    monkeypatch.setattr(texts, "WALKED", 2_000)
+    rng = np.random.default_rng(3)
+    letters = list("aabbcé A\u0130ſ日")
+    make = lambda n: "".join(rng.choice(letters, int(n)))
+    words = [make(n) for n in rng.integers(1, 6, 40)] + ["a" * k for k in range(4, 9)] + ["ab" * 30, " Bad ", "", "  "]
+    bodies = [make(n) for n in rng.integers(0, 400, 60)] + ["a" * 500, "ab" * 200, "BAD", "", None]
+    frame = spark.createDataFrame([(b,) for b in bodies], "text string")
+    both = frame.select("text", texts.sensitive_words("text", words).alias("found"), texts.sensitive_words("text", words, True).alias("one"), texts.replace_words("text", words, "#").alias("r"))
+    for r in both.collect():
+        found, text, hits = naive_words(r["text"] or "", words)
+        assert r["found"] == found and r["one"] == found[:1]
+        assert (r["r"]["text"] or "", r["r"]["hits"]) == (text, hits)
+
+
+def test_wide_dictionaries_cost_as_much_as_small_ones():
+    import time
+
+    from meterlake.operators.automaton import Automaton, lowered
+
+    import duckdb
+
+    bodies = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    data, bounds = lowered(bodies)
+    vocabulary = sorted({w for t in bodies for w in t.lower().split()})
+    took = []
+    for count in (100, 100_000):
+        made = Automaton([f"{a}{b}" for far in range(1, 40) for a, b in zip(vocabulary, vocabulary[far * 97 :], strict=False)][:count])
+        times = []
+        for _ in range(5):
+            began = time.perf_counter()
+            made.matches(data, bounds)
+            times.append(time.perf_counter() - began)
+        took.append(min(times))
+    assert len(made.words) > 90_000 and took[1] < 2 * took[0]
+
+
+def test_token_estimates_run_without_python(spark):
+    frame = spark.createDataFrame([("x",)], "text string").select(texts.estimate_tokens("text", F.lit("claude")))
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from meterlake.operators import abuse
+from meterlake.sources import logs as source
 from meterlake.streaming import jobs
 
 LOG = "id bigint, token_id bigint, created_at bigint, type int, quota bigint, model_name string, other string"
@@ -53,3 +54,77 @@ def test_logs_beyond_the_allowance_are_in_no_window(spark, tmp_path):
     got = streamed(spark, batches, LOG, tmp_path, lambda logs: jobs.recent_windows(logs, SETTINGS))
     assert sorted((r["bucket"], r["requests"]) for r in got) == [(0, 1), (18_600, 1), (19_800, 1)]
     assert [len(r["base_requests"]) for r in got] == [SETTINGS.baseline] * 3
+
+
+def request(k, at, user=1, name=None):
+    return (k, user, at, 2, "c", "u", "t", "m", 10, 1, 2, 3, True, 9, 4, "g", "ip", f"r{k}" if name is None else name, "", "{}")
+
+
+def test_no_late_original_is_lost_and_no_late_repeat_kept(spark, tmp_path):
+    """Ten batches: new logs, logs of long ago, and repeats of both from the same batch and from any batch before."""
+    rng, sent, batches, state = np.random.default_rng(2), [], [], []
+    for b in range(10):
+        new = [request(b * 100 + k, 1_700_000_000 + b * 1_000 + k) for k in range(20)]
+        new += [request(b * 100 + k, 1_690_000_000 + int(rng.integers(0, 9_000_000))) for k in range(50, 60)]
+        new += [request(b * 100 + 70, 1_700_000_000 + b, name="")]
+        again = [sent[int(i)] for i in rng.integers(0, len(sent), 15)] if sent else []
+        batches.append(new + again + new[:3])
+        sent += new
+    for rows in batches:
+        spark.createDataFrame(rows, source.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(source.SCHEMA).parquet(f"{tmp_path}/in")
+        run = jobs.without_repeats(stream, f"{tmp_path}/logs").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        run.awaitTermination()
+        state.append(sum(op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]))
+    got = source.read_logs(spark, f"{tmp_path}/logs")
+    assert sorted(r["id"] for r in got.collect()) == sorted(r[0] for r in sent) and set(state) == {0}
+    source.append_new(spark.createDataFrame(batches[4], source.SCHEMA), f"{tmp_path}/logs")  # a batch that is run again
+    assert source.read_logs(spark, f"{tmp_path}/logs").count() == len(sent)
+    source.append_new(spark.createDataFrame([], source.SCHEMA), f"{tmp_path}/logs")
+
+
+def scanned(frame):
+    """Rows that a query's scan gives to the filter behind it."""
+    frame.collect()
+    plan, found = frame._jdf.queryExecution().executedPlan(), []
+    todo = [plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return sum(found)
+
+
+def test_a_user_and_day_read_few_row_groups(spark, tmp_path, monkeypatch):
+    """A month of 400 users, one with a third of all rows, in ten files of some ten row groups each."""
+    rows = spark.range(60_000).selectExpr("id", "if(id % 3 = 0, 7L, pmod(xxhash64(id), 400)) as user_id", "1704067200 + pmod(xxhash64(id, 1), 30 * 86400) as created_at", "cast(uuid() as string) as request_id")
+    others = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in source.SCHEMA}
+    rows = rows.select(*(F.col(c) if c in rows.columns else x for c, x in others.items()))
+    rows.write.parquet(f"{tmp_path}/raw")
+    rows = spark.read.parquet(f"{tmp_path}/raw")
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("parquet.block.size")
+    conf.set("parquet.block.size", "65536"), conf.set("parquet.block.size.row.check.min", "100"), conf.set("parquet.page.size.row.check.min", "100")
+    try:
+        source.write_logs(rows, f"{tmp_path}/logs", file_rows=6_000)
+    finally:
+        conf.unset("parquet.block.size") if before is None else conf.set("parquet.block.size", before)
+    day = 1_704_067_200 + 86_400 * 11
+    quiet = rows.where(F.col("created_at").between(day, day + 86_399) & (F.col("user_id") != 7)).orderBy("id").first()["user_id"]
+    for user in (7, quiet):
+        own = source.read_logs(spark, f"{tmp_path}/logs", day, day + 86_399).where(F.col("user_id") == user)
+        want = rows.where((F.col("user_id") == user) & F.col("created_at").between(day, day + 86_399)).count()
+        assert own.count() == want > 0 and scanned(own.select("id")) < 6_000
+    one = rows.where("id = 777").first()["request_id"]
+    single = source.read_logs(spark, f"{tmp_path}/logs").where(F.col("request_id") == one)
+    assert single.count() == 1 and scanned(single.select("id")) < 20_000
+    files = source.read_logs(spark, f"{tmp_path}/logs").select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files) >= 10 and max(r["count"] for r in files) < 9_000
+
+
+def test_staged_days_are_deleted(spark, tmp_path):
+    path = str(tmp_path / "cube")
+    for k in range(2):
+        jobs.upsert_cube(spark.createDataFrame([request(k, 90_000 + k)], source.SCHEMA), path, k)
+    assert not (tmp_path / "cube.staged").exists() and spark.read.parquet(path).agg(F.sum("count")).first()[0] == 2
