@@ -1,11 +1,12 @@
 """License scans: MinHash retrieval of templates over overlapping text windows, then exact shingle containment.
 
-A document's word shingles are cut into blocks of 2**k shingles, and two neighbouring blocks make a window, so that
-windows overlap by half and any run of up to 2**k + 1 shingles lies whole inside one. Templates are looked up among
-windows of the smallest k that fits them. A band is one minimum: a window of at most 2**(k + 1) shingles that holds
-MIN_CONTAINMENT of a template over half as long as a block shares each minimum with a chance over 1/8, so BANDS
-bands miss it with a chance of (7/8)**BANDS < 2e-4; a full copy with under (3/4)**BANDS < 1e-8. A shared minimum is a
-shared shingle, so nearly every retrieved template is there, and the exact check is rarely in vain.
+A document's word shingles are cut, from its first one, into blocks of 2**k shingles, and two neighbouring blocks make
+a window, so that windows overlap by half. Templates are looked up among windows of the smallest k that fits them. A
+band is one minimum, and a window's minimum is the lesser one of its blocks'. A document that holds MIN_CONTAINMENT of
+a template in a stretch of twice its shingles has the template's least shingle there with that chance, and it is the
+least of its block too with a chance over 1/3, as a block has at most twice the template's shingles: so BANDS bands miss
+the document with a chance under (3/4)**BANDS = 1e-8. A shared minimum is a shared shingle, so nearly every retrieved
+template is there, and the exact check is rarely in vain. All of it looks at one document, whatever rows share a batch.
 """
 
 from __future__ import annotations
@@ -79,45 +80,70 @@ class Templates:
         #: (band, template) of each shingle size and level
         self.minima = {(size, level): np.array([[(self.shingles[k] * a + b).min() for k in own] for a, b in self.odd]) for size, of in self.levels.items() for level, own in of.items()}
 
-    def candidates(self, size: int, value: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, begin, end): shingle ranges of windows that share a minimum with a template."""
+    def candidates(self, size: int, value: np.ndarray, begins: np.ndarray) -> set[tuple[int, int]]:
+        """(document, template): pairs with a window that shares a minimum with the template. ``begins``: the place of
+        each document's first shingle; every document has one."""
         levels = self.levels[size]
-        found: set[tuple[int, int, int]] = set()
+        # of each level: the document of each block, and where the pairs of blocks of the level before begin
+        counts, of, pairs = np.diff(begins, append=len(value)), [], [begins[:0]]
+        of.append(np.repeat(np.arange(len(counts)), counts))
+        for _ in range(max(levels)):
+            first, counts = np.cumsum(counts) - counts, -(-counts // 2)
+            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            of.append(np.repeat(np.arange(len(counts)), counts))
+            pairs.append(np.repeat(first, counts) + 2 * place)
+        found: set[tuple[int, int]] = set()
         for band, (a, b) in enumerate(self.odd):
             least = value * a + b
             for level in range(max(levels) + 1):
                 if level:
-                    least = np.append(least, np.uint64(2**64 - 1)) if len(least) % 2 else least
-                    least = np.minimum(least[::2], least[1::2])
+                    least = np.minimum.reduceat(least, pairs[level])
                 # windows of one shingle agree in all bands or none
                 if level in levels and (level or not band):
                     own = self.minima[size, level][band]
                     hit = np.flatnonzero(np.isin(least, own))
-                    # a block's minimum is that of the windows with either neighbour, if it is the lesser one
                     at, which = np.nonzero(least[hit][:, None] == own[None, :])
-                    begin, end = np.maximum(0, (hit - (level > 0)) << level), np.minimum(len(value), (hit + 1 + (level > 0)) << level)
-                    found |= {(levels[level][t], int(begin[h]), int(end[h])) for h, t in zip(at, which, strict=True)}
-        return sorted(found)
+                    found |= {(int(of[level][hit[h]]), levels[level][t]) for h, t in zip(at, which, strict=True)}
+        return found
+
+
+def best_window(at: np.ndarray, value: np.ndarray, width: int) -> tuple[int, int]:
+    """(distinct values, first place) of the stretch of ``width`` places that has most of the values at places ``at``;
+    the first of equal ones."""
+    inside: dict[int, int] = {}
+    best, low = (0, 0), 0
+    places, values = at.tolist(), value.tolist()
+    for place, v in zip(places, values, strict=True):
+        inside[v] = inside.get(v, 0) + 1
+        while place - places[low] >= width:
+            inside[values[low]] -= 1
+            if not inside[values[low]]:
+                del inside[values[low]]
+            low += 1
+        if len(inside) > best[0]:
+            best = len(inside), places[low]
+    return best
 
 
 def _scan(templates: Templates, least: float):
     def compute(column):
         out = []
         for part in W.split(plain(column)):
-            best: dict[tuple[int, int], tuple[float, int]] = {}
+            found = []
             for size in templates.levels:
                 first, value = W.windows(part, size)
+                if not len(value):
+                    continue
                 doc = part.doc[first]
-                for t, low, high in templates.candidates(size, value) if len(value) else ():
-                    own, shingles = value[low:high], templates.shingles[t]
+                begins = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                ends = np.append(begins[1:], len(value))
+                for d, t in templates.candidates(size, value, begins):
+                    own, shingles = value[begins[d] : ends[d]], templates.shingles[t]
                     at = np.flatnonzero(np.isin(own, shingles))
-                    for d in np.unique(doc[low + at]):
-                        mine = at[doc[low + at] == d]
-                        share = len(np.unique(own[mine])) / len(shingles)
-                        if share >= least:
-                            best[int(d), t] = min(best.get((int(d), t), (0.0, 0)), (-share, int(first[low + mine[0]])))
-            begins = np.concatenate([[0], np.cumsum(part.per_row())])
-            out += [(part.row + d, templates.names[t], -share, at - int(begins[d])) for (d, t), (share, at) in sorted(best.items())]
+                    shared, place = best_window(at, own[at], 2 * len(shingles))
+                    if shared >= least * len(shingles):
+                        found.append((part.row + int(doc[begins[d]]), t, shared / len(shingles), place))
+            out += [(row, templates.names[t], share, place) for row, t, share, place in sorted(found)]
         return out
 
     return compute
@@ -126,12 +152,12 @@ def _scan(templates: Templates, least: float):
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, least: float = MIN_CONTAINMENT, bands: int = BANDS) -> DataFrame:
     """doc_id, license, containment, first_word: one row for each row and template that it holds.
 
-    ``containment``: the largest share, ``least`` at least, of the template's distinct five-word shingles in one
-    window; ``first_word``: index of the first shared word there, over words of letters, digits, inner dots and
-    hyphens. A template of fewer words is one shingle. A notice that other words are spread over, so that no window
-    of twice its length holds that share, is not found. A-Z and other marks don't count. Null, empty and unlicensed
-    texts give no row; rows that repeat an id give theirs each; an empty table gives an empty one. Templates are a
-    parameter of fixed size and travel with the task.
+    ``containment``: the largest share, ``least`` at least, of the template's distinct five-word shingles in a stretch
+    of twice as many shingles of the text; ``first_word``: index of the first shared word of the first such stretch,
+    over words of letters, digits, inner dots and hyphens. A template of fewer words is one shingle. A notice that
+    other words are spread over, so that no such stretch holds that share, is not found. A-Z and other marks don't
+    count. Null, empty and unlicensed texts give no row; rows that repeat an id give theirs each; an empty table gives
+    an empty one. Templates are a parameter of fixed size and travel with the task.
     """
     known = Templates(templates, bands)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("body"))

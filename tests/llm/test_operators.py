@@ -439,6 +439,48 @@ def test_license_scan_against_containment(real):
                 assert len(own & set(grams)) >= 0.75 * len(own)
 
 
+def best_stretch(w, t):
+    """The largest share of a template's shingles in any stretch of twice as many, and the first word of the first one."""
+    n = min(5, len(t))
+    own = {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    best = (0, 0)
+    for i in range(max(1, len(grams))):
+        part = grams[i : i + 2 * len(own)]
+        shared = len(own.intersection(part))
+        if shared > best[0]:
+            best = shared, i + next(k for k, g in enumerate(part) if g in own)
+    return best[0] / len(own), best[1]
+
+
+def test_split_notices_do_not_depend_on_their_batch(spark, monkeypatch):
+    """Notices in two pieces with gaps of 0 to 3 lengths: the same rows in 1, 3 and as many partitions as texts, those of
+    the best stretch of every text, whatever texts are hashed together."""
+    rng = np.random.default_rng(9)
+    split = lambda t: [w for part in words.split(licenses.plain(pa.array([t]))) for w in [bytes(part.data[s:e]).decode() for s, e in zip(part.start, part.end, strict=True)]]
+    known = {name: split(t) for name, t in licenses.TEMPLATES}
+    rows = []
+    for _ in range(16):
+        for name, w in known.items():
+            cut, gap = int(rng.integers(0, len(w) + 1)), int(rng.integers(0, 3 * len(w) + 1))
+            noise = [f"n{k}" for k in rng.integers(0, 900, int(rng.integers(0, 120)))]
+            filler = [f"g{k}" for k in rng.integers(0, 900, gap)]
+            rows.append((len(rows), " ".join(noise + w[:cut] + filler + w[cut:] + noise[:7])))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (0, rows[0][1])]
+    want = []
+    for i, t in rows:
+        for name, w in known.items():
+            share, first = best_stretch(split(t or ""), w) if t else (0, 0)
+            if share >= 0.75:
+                want.append((i, name, share, first))
+    for parts, chunk in ((1, 1 << 20), (3, 1_000), (len(rows), 1 << 20)):
+        monkeypatch.setattr(words.chunks, "__defaults__", (chunk,))
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts).withColumn("license", F.lit("clash"))
+        assert sorted(tuple(r) for r in licenses.license_scan(docs).collect()) == sorted(want), parts
+    assert 100 < len(want) < 16 * 13 * 3
+    assert licenses.license_scan(docs.limit(0)).collect() == []
+
+
 # 5 and 1: mixing and packing
 def test_mixing_targets_and_cuts(docs):
     got = mixing.mix(docs).collect()
