@@ -6,6 +6,7 @@ No stage reads the result of another one except through ``docs``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterlake.llm import langid, mixing, near_dedup, packing, quality_rules
@@ -27,32 +28,33 @@ def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
 
 
-def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with stage_key, a long of its own for each row: its file's place among the files and its place in the file.
+def keyed(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``key``, a long for each row: a 64-bit hash of its file and its place in the file.
 
-    Both stay the same however often and in whatever splits the table is read. Frames that are not a stored table are
-    stored first.
+    It stays the same however often and in whatever splits the table is read, and no list of files is gathered. Two
+    given rows share a key with a chance of 2**-64. Frames that are not read from files are stored first.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = Scratch(spark, "keyed").keep(docs, "docs")
-    path = F.col("_metadata.file_path")
-    files = sorted(r[0] for r in docs.select(path).distinct().collect())
-    if not files:
-        return docs.withColumn("stage_key", F.lit(None).cast("bigint"))
-    places = F.broadcast(spark.createDataFrame(list(enumerate(files)), "file_place bigint, stage_file string"))  # a row a file
-    rows = docs.select(*docs.columns, path.alias("stage_path"), F.col("_metadata.row_index").alias("stage_row"))
-    key = F.shiftleft("file_place", 40) + F.col("stage_row")
-    return rows.join(places, F.col("stage_path") == F.col("stage_file")).select(*docs.columns, key.alias("stage_key"))
+    try:
+        place = docs.metadataColumn("_metadata")
+        rows = docs.select(*docs.columns, F.xxhash64(place["file_path"], place["row_index"]).alias(key))
+        return rows if rows.schema else docs
+    except AnalysisException:
+        return keyed(spark, Scratch(spark, "keyed").keep(docs, "docs"), key)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near-duplicates, that of the least id; rows that share an id are compared by their
-    texts like any others, and rows without an id stay."""
-    rows = keyed(spark, docs)
-    found = near_dedup.near_duplicates(rows.where("doc_id is not null"), doc_id="stage_key").select(F.col("doc_id").alias("stage_key"), "component_id")
-    least = found.join(rows.select("doc_id", "stage_key"), "stage_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "stage_key")).alias("row"))
-    kept = Scratch(spark, "kept").keep(least.select("row.stage_key"), "keys")
-    return rows.where("doc_id is not null").join(kept, "stage_key", "left_semi").unionByName(rows.where("doc_id is null")).select(*docs.columns)
+    """Keeps one row of each group of near-duplicates, that of the least id, of none only where no row of the group has
+    one; rows that share an id, or have none, are compared by their texts like any others."""
+    key = "stage_key"
+    while key in docs.columns:
+        key += "_"
+    rows = keyed(spark, docs, key)
+    found = near_dedup.near_duplicates(rows, doc_id=key).select(F.col("doc_id").alias("stage_row"), "component_id")
+    ids = rows.select(F.col(key).alias("stage_own"), F.col("doc_id").alias("stage_id"))
+    first = F.min(F.struct(F.col("stage_id").isNull(), "stage_id", "stage_own")).alias("row")
+    least = found.join(ids, F.col("stage_row") == F.col("stage_own")).groupBy("component_id").agg(first)
+    kept = Scratch(spark, "kept").keep(least.select(F.col("row.stage_own").alias(key)), "keys")
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
