@@ -99,14 +99,16 @@ def test_rows_without_ids_are_compared(spark, docs_schema, tmp_path):
 
 
 def test_keys_over_many_files(spark, docs_schema, tmp_path):
-    """A thousand files: keys are distinct, the same at every read, and nothing is gathered from the table."""
+    """A thousand files: keys are distinct and the same at every read, in whatever splits."""
     rows = spark.range(4_000).selectExpr("id as doc_id", "string(id) as text", "'en' as lang", "'s' as source", "1L as n_chars")
     rows.repartition(1_000).write.parquet(str(tmp_path / "docs"))
-    docs = spark.read.parquet(str(tmp_path / "docs"))
-    first = {(r["doc_id"], r["k"]) for r in corpus_pipeline.keyed(spark, docs, "k").collect()}
-    again = corpus_pipeline.keyed(spark, docs.repartition(7), "k")
-    assert len({k for _, k in first}) == 4_000 == len(first) and len(docs.inputFiles()) == 1_000
-    assert first == {(r["doc_id"], r["k"]) for r in again.collect()}
+    docs = corpus_pipeline.keyed(spark, spark.read.parquet(str(tmp_path / "docs")), "k")
+    first = {(r["doc_id"], r["k"]) for r in docs.collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    again = {(r["doc_id"], r["k"]) for r in docs.repartition(7).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({k for _, k in first}) == 4_000 and first == again
 
 
 def test_every_operator_has_a_query():
