@@ -6,7 +6,6 @@ No stage reads the result of another one except through ``docs``.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterlake.llm import langid, mixing, near_dedup, packing, quality_rules
@@ -29,17 +28,12 @@ def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keyed(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with ``key``, a long for each row: a 64-bit hash of its file and its place in the file.
+    """``docs`` as a stored table with ``key``, a long of its own for each row.
 
-    It stays the same however often and in whatever splits the table is read, and no list of files is gathered. Two
-    given rows share a key with a chance of 2**-64. Frames that are not read from files are stored first.
+    Being stored, the keys stay the same however often and in whatever splits the table is read, and no list of files
+    is gathered for them.
     """
-    try:
-        place = docs.metadataColumn("_metadata")
-        rows = docs.select(*docs.columns, F.xxhash64(place["file_path"], place["row_index"]).alias(key))
-        return rows if rows.schema else docs
-    except AnalysisException:
-        return keyed(spark, Scratch(spark, "keyed").keep(docs, "docs"), key)
+    return Scratch(spark, "keyed").keep(docs.withColumn(key, F.monotonically_increasing_id()), "docs")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
