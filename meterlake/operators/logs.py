@@ -116,6 +116,53 @@ def page(logs: DataFrame, limit: int, offset: int = 0, columnar: bool = False) -
     return numbered.where(F.col("display_id") > offset)
 
 
+def deep_page(logs: DataFrame, offset: int, limit: int, cells: int = 4_096, rows: int = 100_000) -> DataFrame:
+    """The page that ``page`` gives, for any offset: what lies before it is counted, not sorted.
+
+    While more than ``rows`` rows are left to skip, a histogram of ``cells`` equal ranges of created_at, within one second
+    of id, tells the range where the page begins, which is then divided again. A pass brings at most cells + 1 counts
+    to the driver. At last only the rows from that range on are read, down to a range where the page is known to end,
+    and a top-k of at most ``rows`` + ``limit`` of them is taken. Null times and ids come last. Only rows that share
+    both time and id can make it longer. An offset past the end gives an empty page.
+    """
+    before, within, inside, older, same, floor = 0, logs, F.lit(True), F.lit(False), F.lit(True), None
+    for column in ("created_at", "id"):
+        if offset - before <= rows:
+            break
+        low, high = within.agg(F.min(column), F.max(column)).first()
+        below, value = F.lit(False), None
+        while offset - before > rows and low is not None and value is None:
+            width = (high - low) // cells + 1
+            cell = F.coalesce(F.expr(f"({high} - `{column}`) div {width}"), F.lit(cells + 1))
+            found, total = None, before
+            for number, n in sorted(map(tuple, within.groupBy(cell.alias("cell")).count().collect())):
+                total += n
+                if found is None and total > offset:
+                    found, before = number, total - n
+                if column == "created_at" and total >= offset + limit and number <= cells:
+                    floor = high - number * width - width + 1
+                    break
+            if found is None:
+                return page(logs.limit(0), limit)
+            if found > cells:  # nulls, the last of all
+                low, below = None, F.lit(False)
+                break
+            high = high - found * width
+            low = max(low, high - width + 1)
+            within, below = within.where(F.col(column).between(low, high)), (F.col(column) < low) | F.col(column).isNull()
+            value = low if low == high else None
+        older = older | (same & below)
+        inside = same & (F.col(column).isNull() if low is None else F.col(column).between(low, high))
+        if low is None:
+            within = within.where(F.col(column).isNull())
+        elif value is None:
+            break
+        same = inside
+    wanted = logs.where(inside | older)
+    wanted = wanted if floor is None else wanted.where(F.col("created_at") >= floor)
+    return page(wanted, limit, offset - before).withColumn("display_id", F.col("display_id") + before)
+
+
 def page_after(logs: DataFrame, created_at: int, id: int, limit: int) -> DataFrame:
     """The page after a row, by key: deep pages cost as much as the first."""
     before = (F.col("created_at") < created_at) | ((F.col("created_at") == created_at) & (F.col("id") < id))

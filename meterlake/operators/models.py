@@ -13,29 +13,57 @@ from meterlake.functions.scalars import rounded
 EXACT, PREFIX, CONTAINS, SUFFIX = 0, 1, 2, 3
 PATTERN = ["name_rule", "pattern"]
 PRECEDENCE = {EXACT: 0, PREFIX: 1, SUFFIX: 2, CONTAINS: 3}
+#: Characters of the pieces by which names are indexed.
+GRAM = 3
 TOLERANCE = 1e-9
 FIELDS = ("model_ratio", "completion_ratio", "cache_ratio", "model_price")
 
 
+def pieces(column: str, size: int) -> Column:
+    """The distinct pieces of ``size`` characters of a text; the empty piece is in every text, the empty one too."""
+    starts = F.sequence(F.lit(1), F.length(column) - size + 1)
+    cut = F.transform(starts, lambda i: F.substring(F.col(column), i, F.lit(size)))
+    return F.when(F.length(column) >= size, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text, pattern) for each distinct text and each distinct pattern that it contains; nulls fit nothing.
+
+    An inverted index answers: patterns under GRAM characters are looked up among the pieces of their size, longer ones
+    meet only the texts that hold the rarest of their grams, and are then compared whole. All joins are by equality.
+    """
+    texts = texts.select("text").where("text is not null").distinct()
+    patterns = patterns.select("pattern").where("pattern is not null").distinct()
+    short = texts.select("text", F.explode(F.concat(*(pieces("text", k) for k in range(GRAM)))).alias("pattern"))
+    short = short.join(patterns.where(F.length("pattern") < GRAM), "pattern")
+    grams = texts.select("text", F.explode(pieces("text", GRAM)).alias("gram"))
+    held = patterns.select("pattern", F.explode(pieces("pattern", GRAM)).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no text holds comes first, so that its pattern meets none
+    rarest = held.join(often, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    long = grams.join(rarest, "gram").where(F.contains("text", "pattern"))
+    return short.select("text", "pattern").unionByName(long.select("text", "pattern"))
+
+
 def rule_hits(names: DataFrame, rules: DataFrame) -> DataFrame:
     """(model, name_rule, pattern) for each distinct name and each distinct pattern that fits it; rules of one pattern
     have the same names.
 
-    Exact, prefix and suffix rules join by equality, the latter two on every beginning and end of a name; only
-    ``contains`` rules meet names in a loop.
+    All rules join by equality: prefix and suffix rules on every beginning and end of a name, the empty one included,
+    ``contains`` rules as in ``containing``.
     """
-    distinct = names.select("model").distinct()
+    distinct = names.select("model").where("model is not null").distinct()
     rules = rules.select(*PATTERN).distinct()
     of = lambda rule: rules.where(F.col("name_rule") == rule)
-    size = F.explode(F.sequence(F.lit(1), F.length("model")))
-    begins = distinct.where("model != ''").withColumn("size", size).withColumn("pattern", F.expr("left(model, size)")).drop("size")
-    ends = distinct.where("model != ''").withColumn("size", size).withColumn("pattern", F.expr("right(model, size)")).drop("size")
+    size = F.explode(F.sequence(F.lit(0), F.length("model")))
+    sized = distinct.withColumn("size", size)
+    begins = sized.withColumn("pattern", F.expr("left(model, size)")).drop("size")
+    ends = sized.withColumn("pattern", F.expr("right(model, size)")).drop("size")
     found = distinct.withColumn("pattern", F.col("model")).join(of(EXACT), "pattern")
-    for pieces, rule in ((begins, PREFIX), (ends, SUFFIX)):
-        found = found.unionByName(pieces.join(of(rule), "pattern"))
-    # an empty pattern fits every name
-    loose = rules.where((F.col("name_rule") == CONTAINS) | ((F.col("name_rule") != EXACT) & (F.col("pattern") == "")))
-    return found.unionByName(distinct.join(loose, F.contains("model", "pattern"))).select("model", *PATTERN)
+    for ends_of, rule in ((begins, PREFIX), (ends, SUFFIX)):
+        found = found.unionByName(ends_of.join(of(rule), "pattern"))
+    held = containing(distinct.select(F.col("model").alias("text")), of(CONTAINS)).withColumnRenamed("text", "model")
+    return found.unionByName(held.withColumn("name_rule", F.lit(CONTAINS))).select("model", *PATTERN)
 
 
 def resolve_metadata(names: DataFrame, rules: DataFrame) -> DataFrame:
@@ -49,9 +77,10 @@ def resolve_metadata(names: DataFrame, rules: DataFrame) -> DataFrame:
 
 def default_vendor(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """(model, vendor): the longest pattern in the lower-cased name, then the first by alphabet; no row without one."""
-    distinct = names.select("model").distinct()
-    hit = distinct.join(patterns, F.contains(F.lower("model"), F.lower("pattern")))
-    return hit.groupBy("model").agg(F.min_by("vendor", F.struct(-F.length("pattern"), "pattern")).alias("vendor"))
+    distinct = names.select("model", F.lower("model").alias("text")).distinct()
+    lowered = patterns.withColumn("own", F.col("pattern")).withColumn("pattern", F.lower("pattern"))
+    hit = containing(distinct, lowered).join(lowered, "pattern").join(distinct, "text")
+    return hit.groupBy("model").agg(F.min_by("vendor", F.struct(-F.length("own"), "own")).alias("vendor"))
 
 
 def enabled_abilities(abilities: DataFrame, channels: DataFrame) -> DataFrame:
@@ -193,12 +222,29 @@ def weight_shares(tiers: DataFrame, smoothing: int = 0) -> DataFrame:
 
 
 def weighted_pick(requests: DataFrame, shares: DataFrame, draw: Column) -> DataFrame:
-    """Requests with the first channel (by id) whose cumulative share exceeds the draw, from 0 to 1 exclusive."""
-    tier = Window.partitionBy("group", "model").orderBy("channel_id")
-    ranges = shares.withColumn("high", F.sum("share").over(tier.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lead("channel_id").over(tier).isNull())
-    ranges = ranges.select("group", "model", "channel_id", (F.col("high") - F.col("share")).alias("low"), F.when(F.col("last"), F.lit(2.0)).otherwise(F.col("high")).alias("high"))
-    rows = requests.withColumn("draw", draw).join(ranges, ["group", "model"])
-    return rows.where((F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))).drop("low", "high")
+    """Requests with the first channel (by id) whose cumulative share exceeds the draw, from 0 to 1 exclusive; the last
+    channel if rounding leaves none. Requests without a draw or a route are left out.
+
+    A group and model has one row with its channels and cumulative shares as arrays, so a request meets one row, and
+    halves the array until the channel is found.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("channel_id", "share")))
+    routes = shares.groupBy("group", "model").agg(listed.alias("listed"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("highs"))
+    highs = F.aggregate("listed", start, lambda a, x: F.struct((a["sum"] + x["share"]).alias("sum"), F.concat(a["highs"], F.array(a["sum"] + x["share"])).alias("highs")), lambda a: a["highs"])
+    routes = routes.select("group", "model", F.col("listed.channel_id").alias("__channels"), highs.alias("__highs"))
+    rows = requests.withColumn("draw", draw).where("draw is not null").join(routes, ["group", "model"])
+
+    def halved(a, _):
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        over = F.get("__highs", middle) > F.col("draw")
+        busy = a["low"] < a["high"]
+        return F.struct(F.when(busy & ~over, middle + 1).otherwise(a["low"]).alias("low"), F.when(busy & over, middle).otherwise(a["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size("__highs"))))
+    ends = F.struct(F.lit(0).alias("low"), (F.size("__highs") - 1).alias("high"))
+    place = F.aggregate(steps, ends, halved, lambda a: a["low"])
+    return rows.withColumn("channel_id", F.get("__channels", place)).drop("__channels", "__highs")
 
 
 def name_states(names: DataFrame, resolved: DataFrame, reachable: DataFrame) -> DataFrame:

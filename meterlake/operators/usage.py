@@ -129,6 +129,20 @@ def models_of_groups(abilities: DataFrame) -> DataFrame:
     return abilities.where("enabled").select("group", "model").distinct()
 
 
+def distinct_sketches(rows: DataFrame, keys: list[str], value: str, bits: int = 15) -> DataFrame:
+    """(keys, created_at, sketch): a sketch of the distinct values of each hour, to be stored with the hourly rows.
+
+    A sketch has at most 2**bits bytes, and few values take few. Nulls are not counted.
+    """
+    return rows.groupBy(*keys, hour().alias("created_at")).agg(F.hll_sketch_agg(value, bits).alias("sketch"))
+
+
+def distinct_counts(sketches: DataFrame, keys: list[Column | str]) -> DataFrame:
+    """(keys, total): distinct values over all hours of each key, from sketches merged where they lie first; the standard
+    error is 0.6 % for 15 bits."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("total"))
+
+
 def groups_of_models(abilities: DataFrame) -> DataFrame:
     return abilities.where("enabled").groupBy("model").agg(F.array_sort(F.collect_set("group")).alias("groups"))
 

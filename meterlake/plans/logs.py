@@ -231,6 +231,14 @@ def s12_page(spark, sf_dir):
     return L.page(S.logs(spark, sf_dir), 20, 40).select("display_id", "id", "created_at")
 
 
+@query(LOG + """SELECT display_id, id, created_at FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC,
+  id DESC) AS display_id, count(*) OVER () AS n FROM logs) WHERE display_id > n * 4 // 5 AND display_id <= n * 4 // 5 + 50""")
+def s12_deep_page(spark, sf_dir):
+    """A page that begins after four fifths of all logs, found by ranges of 100 rows."""
+    logs = S.logs(spark, sf_dir)
+    return L.deep_page(logs, logs.count() * 4 // 5, 50, 256, 100).select("display_id", "id", "created_at")
+
+
 @query(LOG + f"""SELECT id, created_at FROM logs WHERE created_at < {NOW - 86400} OR (created_at = {NOW - 86400}
   AND id < 500) ORDER BY created_at DESC, id DESC LIMIT 25""")
 def s12_page_after(spark, sf_dir):

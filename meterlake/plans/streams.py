@@ -102,7 +102,7 @@ def r2_perf_buckets(spark, sf_dir):
     return drained(R.perf_buckets(stream, 300), path)
 
 
-@query(LOG + """, u AS (SELECT 'rule-' || (channel_id % 2) AS rule, "group" AS grp, 'key-' || user_id AS key,
+SESSIONS = """, u AS (SELECT 'rule-' || (channel_id % 2) AS rule, "group" AS grp, 'key-' || user_id AS key,
   created_at AS ts, CASE WHEN id % 3 = 0 THEN id % 70 ELSE 0 END AS cached, prompt_tokens AS p,
   completion_tokens AS c, CASE WHEN id % 4 = 0 THEN '' WHEN user_id % 5 = 0 AND id % 2 = 1 THEN 'b'
   ELSE 'a' END AS mode FROM logs WHERE type = 2),
@@ -114,12 +114,28 @@ def r2_perf_buckets(spark, sf_dir):
   CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens,
   CAST(sum(p + c) AS BIGINT) AS total_tokens,
   CASE WHEN count(DISTINCT NULLIF(mode, '')) > 1 THEN 'mixed' ELSE COALESCE(max(NULLIF(mode, '')), '') END AS mode
-  FROM s GROUP BY rule, grp, key, n""")
-def r3_cache_sessions(spark, sf_dir):
+  FROM s GROUP BY rule, grp, key, n"""
+
+
+def cache_uses(logs: DataFrame) -> DataFrame:
     i, u = F.col("id"), F.col("user_id")
-    uses = S.logs(spark, sf_dir).where("type = 2").select(S.text("rule-", F.col("channel_id") % 2).alias("rule"), "group", S.text("key-", u).alias("key"), F.col("created_at").alias("ts"), F.when(i % 3 == 0, i % 70).otherwise(0).alias("cached_tokens"), F.lit(0).alias("hit_tokens"),
-                                                          F.col("prompt_tokens").alias("prompt"), F.col("completion_tokens").alias("completion"), F.lit(0).alias("total"), F.when(i % 4 == 0, "").when((u % 5 == 0) & (i % 2 == 1), "b").otherwise("a").alias("mode"))
-    return R.cache_sessions(uses, 36_000)
+    return logs.where("type = 2").select(S.text("rule-", F.col("channel_id") % 2).alias("rule"), "group", S.text("key-", u).alias("key"), F.col("created_at").alias("ts"), F.when(i % 3 == 0, i % 70).otherwise(0).alias("cached_tokens"), F.lit(0).alias("hit_tokens"),
+        F.col("prompt_tokens").alias("prompt"), F.col("completion_tokens").alias("completion"), F.lit(0).alias("total"), F.when(i % 4 == 0, "").when((u % 5 == 0) & (i % 2 == 1), "b").otherwise("a").alias("mode"))
+
+
+@query(LOG + SESSIONS)
+def r3_cache_sessions(spark, sf_dir):
+    return R.cache_sessions(cache_uses(S.logs(spark, sf_dir)), 36_000)
+
+
+@query(LOG + SESSIONS)
+def r3_stream_sessions(spark, sf_dir):
+    """The same sessions from a stream of six batches with late uses, at an allowance of an hour; sessions go on over
+    batches, and one more use, of user 0 long after, lets all others end."""
+    last = last_log(spark, sf_dir).withColumns({"user_id": F.lit(0).cast("bigint"), "type": F.lit(2)})
+    rows = S.logs(spark, sf_dir)
+    stream, path = in_time(spark, rows.unionByName(last.select(*(F.col(c).cast(rows.schema[c].dataType) for c in rows.columns))), 5, 3_000)
+    return drained(R.cache_sessions(cache_uses(stream), 36_000, "1 hour"), path)
 
 
 @query(LOG + "SELECT type, count(*) AS rows, CAST(sum(quota) AS BIGINT) AS quota FROM logs GROUP BY 1")
@@ -141,6 +157,14 @@ def r5_sliding_counts(spark, sf_dir):
     return R.sliding_counts(S.logs(spark, sf_dir), 43_200).select("id", "recent")
 
 
+@query(LOG + """, w AS (SELECT user_id, created_at // 10800 * 10800 - k * 10800 AS start FROM logs, range(4) r(k))
+  SELECT user_id, start, count(*) AS recent FROM w GROUP BY 1, 2""")
+def r5_stream_counts(spark, sf_dir):
+    """Windows of twelve hours that begin every three, from six batches with late logs."""
+    stream, path = in_time(spark, S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), 5, 3_000)
+    return drained(R.stream_sliding_counts(stream, 43_200, 10_800, "1 hour"), path)
+
+
 @query(LOG.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT user_id, id, created_at,
   row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS n FROM logs),
   s AS (SELECT user_id, id, created_at, n, true AS accepted, [created_at] AS times FROM r WHERE n = 1

@@ -196,6 +196,17 @@ def a19_models_of_groups(spark, sf_dir):
     return U.models_of_groups(S.abilities(spark, sf_dir))
 
 
+@query(S.with_(S.LOGS) + """SELECT model_name, created_at // 86400 AS day, count(DISTINCT user_id) AS users, true AS near
+  FROM logs GROUP BY 1, 2""")
+def a19_rolled_up_counts(spark, sf_dir):
+    """Users of each model and day by hourly sketches, beside the exact number: within 2 per cent of it."""
+    logs, day = S.logs(spark, sf_dir), F.expr("created_at div 86400").alias("day")
+    rolled = U.distinct_counts(U.distinct_sketches(logs, ["model_name"], "user_id"), ["model_name", day])
+    exact = logs.groupBy("model_name", day).agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("total") - F.col("users")) <= F.col("users") * 0.02
+    return exact.join(rolled, ["model_name", "day"]).select("model_name", "day", "users", near.alias("near"))
+
+
 @query(
     S.with_(
         S.ABILITIES

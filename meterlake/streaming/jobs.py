@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
@@ -93,24 +96,45 @@ def without_repeats(logs: DataFrame, path: str, late: int = 3_600) -> DataStream
     return logs.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, late))
 
 
-def sliding_counts(rows: DataFrame, seconds: int, key: str = "user_id") -> DataFrame:
-    """Each row with the requests of its key in the last ``seconds`` (age n excluded), itself and equal times included."""
-    recent = Window.partitionBy(key).orderBy("created_at").rangeBetween(-(seconds - 1), 0)
-    return rows.withColumn("recent", F.count("*").over(recent))
+def blocked(rows: DataFrame, size: int, halo: int = 0) -> DataFrame:
+    """(key, at, row, block, own) of rows (key, at, row): blocks of ``size`` seconds by the time that they begin with.
+
+    The last ``halo`` seconds of a block are in the next one too, without ``row`` and with own = false; ``halo`` is at
+    most ``size``. Rows without a time share a block that is null.
+    """
+    place = F.pmod(F.col("at"), F.lit(size))
+    block = F.col("at") - place
+    both = F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + size).alias("block"), F.lit(False).alias("own")))
+    blocks = F.when(place >= size - halo, both).otherwise(F.slice(both, 1, 1))
+    return rows.select("*", F.inline(blocks)).withColumn("row", F.when(F.col("own"), F.col("row")))
+
+
+def sliding_counts(rows: DataFrame, seconds: int, key: str = "user_id", blocks: int = 8) -> DataFrame:
+    """Each row with the requests of its key in the last ``seconds`` (age n excluded), itself and equal times included.
+
+    A key's time is cut into blocks of ``blocks`` times ``seconds``, each with the last window of the block before, so
+    that a busy key is counted by many tasks. Rows without a time count those of their key that have none either.
+    """
+    keyed = rows.select(F.col(key).alias("key"), F.col("created_at").cast("bigint").alias("at"), F.struct(*rows.columns).alias("row"))
+    near = Window.partitionBy("key", "block").orderBy("at").rangeBetween(-(seconds - 1), 0)
+    counted = blocked(keyed, blocks * seconds, seconds - 1).withColumn("recent", F.count("*").over(near))
+    return counted.where("own").select(*(F.col("row")[c].alias(c) for c in rows.columns if c != "recent"), "recent")
 
 
 def stream_sliding_counts(rows: DataFrame, seconds: int, slide: int, late: str = "0 seconds", key: str = "user_id") -> DataFrame:
+    """Requests of each key in windows of ``seconds`` that begin every ``slide``, once ``late`` has passed since their end.
+    Sums are made before the shuffle, so a busy key sends a row a window and task."""
     timed = rows.withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", late)
     counts = timed.groupBy(F.window("at", f"{seconds} seconds", f"{slide} seconds").alias("w"), key).agg(F.count("*").alias("recent"))
     return counts.select(key, F.unix_seconds("w.start").alias("start"), "recent")
 
 
-def _admitted(times, most: int, seconds: int, accepted: list[int]) -> list[bool]:
+def _admitted(times, most: int, seconds: int, accepted: deque[int]) -> list[bool]:
     """Which requests in time order are accepted; ``accepted`` holds the accepted times of the window and is updated."""
     out = []
     for t in times:
         while accepted and t - accepted[0] >= seconds:
-            accepted.pop(0)
+            accepted.popleft()
         ok = len(accepted) < most
         if ok:
             accepted.append(t)
@@ -118,27 +142,57 @@ def _admitted(times, most: int, seconds: int, accepted: list[int]) -> list[bool]
     return out
 
 
+def with_segments(rows: DataFrame, seconds: int, blocks: int = 64) -> DataFrame:
+    """Adds ``segment`` to rows (key, at, row): the time after its key's last pause of ``seconds`` or more.
+
+    Pauses are found in blocks of ``blocks`` times ``seconds`` of a key; what a block needs of those before it, their
+    last request and last pause, comes from a table of one row a block. So no task sees the whole of a busy key.
+    """
+    size = blocks * seconds
+    cut = rows.withColumn("block", F.col("at") - F.pmod(F.col("at"), F.lit(size)))
+    inner = Window.partitionBy("key", "block").orderBy("at")
+    own = cut.withColumn("gap", F.col("at") - F.lag("at").over(inner))
+    pause = F.when(F.col("gap") >= seconds, F.col("at"))
+    ends = own.groupBy("key", "block").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max(pause).alias("pause"))
+    blocked = Window.partitionBy("key").orderBy("block")
+    waited = F.col("first") - F.lag("last").over(blocked)
+    opened = F.when(waited.isNull() | (waited >= seconds), F.col("first"))
+    ends = ends.withColumn("opened", opened)
+    inherited = F.lag(F.coalesce("pause", "opened")).over(blocked)
+    ends = ends.withColumn("inherited", inherited)
+    ends = ends.withColumn("begin", F.coalesce("opened", F.last("inherited", True).over(blocked.rowsBetween(Window.unboundedPreceding, 0))))
+    marked = own.withColumn("own_pause", F.max(pause).over(inner.rangeBetween(Window.unboundedPreceding, 0)))
+    joined = marked.join(ends.select(F.col("key").alias("k"), F.col("block").alias("b"), "begin"), F.col("key").eqNullSafe(F.col("k")) & F.col("block").eqNullSafe(F.col("b")))
+    return joined.select("key", "at", "row", F.coalesce("own_pause", "begin").alias("segment"))
+
+
 def replay_admission(requests: DataFrame, most: int, seconds: int, key: str = "user_id", order: str = "id") -> DataFrame:
     """(key, order, created_at, accepted): accept while under ``most`` accepted ones lie in the last ``seconds``.
 
-    Decisions depend on earlier ones, so a key is one sequence. Its rows stream through in Arrow batches, in order;
-    the state is ``most`` times, so a hot key costs time, not memory.
+    Decisions depend on earlier ones, but none on those before a pause of ``seconds``: a key is cut there, and its
+    segments go to different tasks. A segment's rows stream through in Arrow batches, in order; the state is ``most``
+    times. A key that never pauses is one sequence, which costs time, not memory. Rows without a time are left out.
     """
-    columns = [key, order, "created_at"]
+    rows = requests.select(F.col(key).cast("bigint").alias("key"), F.col("created_at").cast("bigint").alias("at"), F.col(order).cast("bigint").alias("row")).where("at is not null")
+    rows = with_segments(rows, seconds).repartition("key", "segment").sortWithinPartitions("key", "segment", "at", "row")
     schema = f"{key} bigint, {order} bigint, created_at bigint, accepted boolean"
-    rows = requests.select(*(F.col(c).cast("bigint").alias(c) for c in columns)).repartition(key).sortWithinPartitions(key, "created_at", order)
 
     def run(batches):
-        now, accepted = None, []
+        now, accepted = None, deque()
         for batch in batches:
+            column, times = batch.column(0), batch.column(2).to_pylist()
+            keys, none, segments = column.fill_null(0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            new = (keys[1:] != keys[:-1]) | (none[1:] != none[:-1]) | (segments[1:] != segments[:-1])
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()] if times else []
             decided = []
-            for k, t in zip(batch[key], batch["created_at"], strict=True):
-                if k != now:
-                    now, accepted = k, []
-                decided += _admitted([t], most, seconds, accepted)
-            yield batch.assign(accepted=decided)
+            for low, high in zip(starts, [*starts[1:], len(times)], strict=False):
+                own = (keys[low], none[low], segments[low])
+                if own != now:
+                    now, accepted = own, deque()
+                decided += _admitted(times[low:high], most, seconds, accepted)
+            yield pa.RecordBatch.from_arrays([column, batch.column(3), batch.column(2), pa.array(decided, pa.bool_())], names=[key, order, "created_at", "accepted"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.select("key", "segment", "at", "row").mapInArrow(run, schema)
 
 
 class Admission(StatefulProcessor):
@@ -151,12 +205,12 @@ class Admission(StatefulProcessor):
         self.times = handle.getValueState("times", "times array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues):
-        accepted = list(self.times.get()[0]) if self.times.exists() else []
+        accepted = deque(self.times.get()[0] if self.times.exists() else [])
         for part in rows:
             part = part.sort_values(["created_at", "id"])
             decided = _admitted(list(part["created_at"]), self.most, self.seconds, accepted)
             yield pd.DataFrame({"user_id": part["user_id"].astype("int64"), "id": part["id"].astype("int64"), "created_at": part["created_at"].astype("int64"), "accepted": decided})
-        self.times.update((accepted,))
+        self.times.update((list(accepted),))
 
     def close(self) -> None:
         pass
