@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from meterlake.llm import words as W
 
 #: The labelled sample of a language: passages, and characters of a passage. All labelled texts are dealt into such
-#: passages from end to end, and the hash of text and place draws among all of them. Languages are the commonest ones.
-PASSAGES, PASSAGE, LANGUAGES = 16, 2_048, 100
+#: passages from end to end, and the hash of text and place draws among all of them. All labels are learned; more than
+#: LANGUAGES are an error. A language's automaton takes some 2 MB on the driver and in each task.
+PASSAGES, PASSAGE, LANGUAGES = 16, 2_048, 1_000
 #: Characters that are parsed in step, and those before them that lead a parse into the state of the whole text's one.
 BLOCK, WARM = 512, 64
 LOW = 2**32 - 1
@@ -217,8 +218,8 @@ def _parse(automaton, size: np.ndarray, place: np.ndarray, symbols: np.ndarray)
 def train(docs: DataFrame, text: str, lang: str, passages: int = PASSAGES, passage: int = PASSAGE, languages: int = LANGUAGES) -> dict[str, str]:
     """Reduced training text by language: at most ``passages`` of ``passage`` characters, drawn from all labelled texts.
 
-    A bounded sample: the driver gets at most ``passages`` * ``passage`` characters of each of the ``languages`` that
-    have most passages. Passages go by the hash of their text and their place in it, so the choice depends on contents
+    A bounded sample: the driver gets at most ``passages`` * ``passage`` characters of each language, and more than
+    ``languages`` labels are an error. Passages go by the hash of their text and their place in it, so the choice depends on contents
     only, and copies of a text count once.
     """
     labelled = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).cast("string").alias("of"), F.col(text).cast("string").alias("whole"), F.xxhash64(text).alias("hash"))
@@ -265,8 +266,8 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str
     """Adds lang_pred and score to ``docs``; one row per input row.
 
     ``training``: labelled rows with columns ``text`` and ``lang``; nulls in either teach nothing. The automata learn
-    from a bounded sample of it: at most ``passages`` passages of ``passage`` characters for each of the ``languages``
-    commonest labels. lang_pred is one of their values, `und` for null texts, texts without a letter, and where
+    from a bounded sample of it: at most ``passages`` passages of ``passage`` characters for each label; more than
+    ``languages`` labels are an error. lang_pred is one of their values, `und` for null texts, texts without a letter, and where
     nothing was learned; ties go to the first name. ``score``: share of the winner among exp(-SHARPNESS * phrases a
     letter), 0 for `und`. Texts are parsed whole. Columns of ``carry`` (None: all) stay unless a result has their
     name; repeated rows are judged each. An empty table gives an empty one.

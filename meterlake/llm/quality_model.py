@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
 
-#: Words of a passage; the bounded sample that the model learns from: labelled documents of each label, and passages of
-#: each, evenly spaced over its text. Scores come from all passages.
-PASSAGE, SAMPLE, SAMPLED = 48, 1_000, 64
+#: Words of a passage; the bounded sample that the model learns from: labelled documents of each label. Training and
+#: scores take all passages of a text.
+PASSAGE, SAMPLE = 48, 1_000
+#: Passages whose derivatives are computed at once; a longer text is taken whole.
+STEP = 16_384
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 24, 12, 120, 0.03, 1e-4
 #: score from which a document counts as good
 CUT = 0.3
@@ -98,13 +100,21 @@ class AttentionModel:
 
     def fit(self, row: np.ndarray, x: np.ndarray, label: np.ndarray) -> AttentionModel:
         """``row``: sorted bag of each passage, from 0; ``label``: 0 or 1 of each bag."""
-        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        bag = row
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        edges = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row))
+        parts, low = [], 0
+        while low < len(label):
+            high = max(low + 1, int(np.searchsorted(edges, edges[low] + STEP, "right")) - 1)
+            parts.append((low, high))
+            low = high
+        spans = [slice(edges[low], edges[high]) for low, high in parts]
+        self.mean = sum(x[own].sum(axis=0, dtype=np.float64) for own in spans) / len(x)
+        self.scale = np.sqrt(sum(((x[own] - self.mean) ** 2).sum(axis=0) for own in spans) / len(x)) + 1e-3
         p, m, v = self.p, {}, {}
-        xs = (x - self.mean) / self.scale
         for step in range(1, EPOCHS + 1):
-            grads = self.gradients(xs, starts, bag, label)
+            grads = dict.fromkeys(p, 0.0)
+            for (low, high), own in zip(parts, spans, strict=True):
+                part = self.gradients((x[own] - self.mean) / self.scale, edges[low:high] - own.start, row[own] - low, label[low:high])
+                grads = {k: d + part[k] * (high - low) / len(label) for k, d in grads.items()}
             for k, d in grads.items():
                 d = d + DECAY * p[k]
                 m[k] = 0.9 * m.get(k, 0) + 0.1 * d
@@ -122,8 +132,9 @@ def quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """Adds held_out, score and predicted to ``docs``; one row per input row.
 
     Learns from the labelled rows whose crc32(id as text) mod ``folds`` is not ``fold``: the ``sample`` ids of each
-    label that come first by hash, and SAMPLED passages of each (a bounded sample). Null labels and ids teach nothing; an
-    id with several labels teaches each; of rows that repeat an id, the text of the least hash teaches. score: near 1 if label 1 is likelier, 0.5 for all if nothing was learned; null and empty texts are
+    label that come first by hash (a bounded sample), and all passages of each; the driver holds some 8 bytes a word of
+    those. Null labels and ids teach nothing; an id with several labels teaches each; of rows that repeat an id, the
+    text of the least hash teaches. score: near 1 if label 1 is likelier, 0.5 for all if nothing was learned; null and empty texts are
     one passage of zeros. predicted: 1 if score >= 0.3. Columns of ``carry`` (None: all) stay unless a result has
     their name. An empty table gives an empty one.
     """
@@ -140,10 +151,6 @@ def quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     def features(batches):
         for batch in batches:
             row, x = passages(batch.column(1))
-            counts = np.bincount(row, minlength=batch.num_rows)
-            first = np.cumsum(counts) - counts
-            some = np.concatenate([f + np.unique(np.linspace(0, n - 1, min(n, SAMPLED)).astype(np.int64)) for f, n in zip(first, counts, strict=True)] or [np.zeros(0, np.int64)])
-            row, x = row[some], x[some]
             ids, label = batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([ids, label, pa.array(row), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["id", "label", "row", "x"])
 
@@ -152,7 +159,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     if found["label"].nunique() == 2:
         bag = found.groupby(["id", "label"], sort=True).ngroup().to_numpy()
         order = np.argsort(bag, kind="stable")
-        x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), -1).astype(np.float64)[order]
+        x = np.frombuffer(b"".join(found["x"].to_numpy()[order]), np.float32).reshape(len(found), -1)
         label_of = found["label"].to_numpy()[order][np.flatnonzero(np.append(True, np.diff(bag[order]) > 0))]
         model.fit(bag[order], x, label_of)
     else:

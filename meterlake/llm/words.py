@@ -134,20 +134,22 @@ def held_out(doc_id: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def first_by_hash(rows: DataFrame, group: str, place: str, count: int, groups: int = 100) -> DataFrame:
+def first_by_hash(rows: DataFrame, group: str, place: str, count: int, groups: int = 1_000) -> DataFrame:
     """Of each group the ``count`` rows that come first by ``place``, a 64-bit hash; equal hashes count once.
 
     A threshold from the number of distinct hashes leaves some four times as many rows before anything is shuffled,
-    so no group meets in one task as a whole. Null groups are left out, and so are groups beyond the ``groups`` that
-    have most hashes: the driver gets one number for each of those.
+    so no group meets in one task as a whole. Null groups are left out. The driver gets one number a group, and deals
+    them out again; more than ``groups`` groups are an error, as none is ever dropped.
     """
-    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.approx_count_distinct(place).alias("n"))
-    sizes = sizes.orderBy(F.desc("n"), group).limit(groups).collect()
-    keep = F.lit(False)
-    for r in sizes:
-        keep = keep | ((F.col(group) == r[group]) & (F.col(place) / 2.0**64 + 0.5 <= min(1.0, 4.0 * (count + 25) / max(1, r["n"]))))
+    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.approx_count_distinct(place).alias("__n"))
+    found = sizes.limit(groups + 1).collect()
+    if len(found) > groups:
+        raise ValueError(f"more than {groups} values of {group}")
+    share = F.least(F.lit(1.0), F.lit(4.0 * (count + 25)) / F.greatest(F.lit(1), F.col("__n")))
+    counted = rows.join(F.broadcast(rows.sparkSession.createDataFrame(found, sizes.schema)), group)
     others = [c for c in rows.columns if c not in (group, place)]
-    one = rows.where(keep).groupBy(group, place).agg(*([F.min(F.struct(*others)).alias("row")] if others else []))
+    kept = counted.where(F.col(place) / 2.0**64 + 0.5 <= share)
+    one = kept.groupBy(group, place).agg(*([F.min(F.struct(*others)).alias("row")] if others else []))
     ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(place))).where(F.col("rank") <= count)
     return ranked.select(group, place, *(f"row.{c}" for c in others))
 

@@ -319,12 +319,6 @@ def test_prediction_against_a_scan(real):
         assert got[r["doc_id"]][0] == want[0] and got[r["doc_id"]][1] == pytest.approx(want[1])
 
 
-def test_languages_are_bounded(spark):
-    rows = [(i, f"text number {i}", f"l{i % 30}") for i in range(300)] + [(900, "only once here", "rare")]
-    found = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "text", "lang", languages=30)
-    assert len(found) == 30 and "rare" not in found
-
-
 def test_language_of_sample(docs, real):
     marked = real.withColumn("held", words.held_out("doc_id", 4, 2))
     got = langid.identify(marked, marked.where("not held"))
@@ -334,6 +328,29 @@ def test_language_of_sample(docs, real):
     assert {r["lang_pred"] for r in langid.identify(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def labelled_words(spark, count):
+    """Texts of languages that share no word, of letters of their own order."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(count):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(25)]
+        rows += [(f"l{k:03d}", " ".join(rng.choice(own, 60))) for _ in range(4)]
+    return spark.createDataFrame([(i, t, of) for i, (of, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+
+
+def test_every_label_is_learned(spark):
+    rows = labelled_words(spark, 150)
+    got = langid.identify(rows.where("doc_id % 4 = 0"), rows.where("doc_id % 4 != 0"), passages=6, passage=500).collect()
+    assert len(got) == 150 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_labels_beyond_the_limit_are_an_error(spark):
+    rows = labelled_words(spark, 3).unionByName(spark.createDataFrame([(900, "only once here", "rare")], "doc_id bigint, text string, lang string"))
+    assert len(langid.train(rows, "text", "lang", languages=4)) == 4
+    with pytest.raises(ValueError, match="more than 2 values"):
+        langid.train(rows, "text", "lang", languages=2)
+
+
 # 3: quality classifier
 def test_classifier_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -372,6 +389,33 @@ def test_attention_model_against_loops_and_differences():
             assert gradients[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-8)
 
 
+def test_training_in_parts_equals_training_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    row = np.sort(np.append(rng.integers(0, 12, 70), np.arange(12)))
+    x, label = rng.normal(size=(len(row), quality_model.FEATURES)).astype(np.float32), (np.arange(12) % 2).astype(float)
+    whole = quality_model.AttentionModel().fit(row, x, label)
+    monkeypatch.setattr(quality_model, "STEP", 9)
+    parts = quality_model.AttentionModel().fit(row, x, label)
+    assert parts.scores(row, x) == pytest.approx(whole.scores(row, x), abs=1e-6)
+    assert whole.mean == pytest.approx(x.mean(axis=0, dtype=np.float64)) and whole.scale == pytest.approx(x.std(axis=0, dtype=np.float64) + 1e-3)
+
+
+def test_training_reads_all_passages_of_long_texts(spark, monkeypatch):
+    """Long texts differ in one passage at a random place, which 64 passages would mostly miss."""
+    rng, rows = np.random.default_rng(4), []
+    for k in range(60):
+        words = ["plain"] * (48 * 300)
+        at = 48 * int(rng.integers(0, 300))
+        words[at : at + 48] = (["GREAT"] if k % 2 else ["awful!!"]) * 48
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, fit = [], quality_model.AttentionModel.fit
+    monkeypatch.setattr(quality_model.AttentionModel, "fit", lambda self, row, x, label: (seen.append((len(x), len(label))), fit(self, row, x, label))[1])
+    got = quality_model.quality_model(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")).where("held_out").collect()
+    assert seen[0][0] == 300 * seen[0][1]
+    assert np.mean([(r["score"] > 0.5) == r["doc_id"] % 2 for r in got]) > 0.9
+
+
 def test_classifier_sees_words(spark):
     """Good and bad texts of words of one shape and length are told apart on other texts."""
     rng = np.random.default_rng(1)
