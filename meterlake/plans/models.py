@@ -248,21 +248,22 @@ def c9_weighted_pick(spark, sf_dir):
 
 
 STATES = """states AS (SELECT model, CASE WHEN status <> 1 THEN 'hidden' WHEN model IN (SELECT model FROM abilities
-  WHERE enabled AND channel_id < 4) THEN 'visible' ELSE 'unavailable' END AS state FROM (SELECT DISTINCT model
+  WHERE enabled AND channel_id IN (SELECT id FROM channels WHERE status = 1 AND tag = '')) THEN 'visible' ELSE 'unavailable' END AS state FROM (SELECT DISTINCT model
   FROM abilities) LEFT JOIN resolved USING (model))"""
 
 
 def states(spark, sf_dir):
     a = S.abilities(spark, sf_dir)
-    return C.name_states(a, C.resolve_metadata(a, rules(spark, sf_dir)), a.where("enabled and channel_id < 4"))
+    untagged = S.channels(spark, sf_dir).where("tag = ''")
+    return C.name_states(a, C.resolve_metadata(a, rules(spark, sf_dir)), C.connections(a, untagged))
 
 
-@query(S.with_(S.ABILITIES, RULES, RESOLVED, STATES) + "SELECT * FROM states")
+@query(S.with_(S.ABILITIES, S.CHANNELS, RULES, RESOLVED, STATES) + "SELECT * FROM states")
 def c10_name_states(spark, sf_dir):
     return states(spark, sf_dir)
 
 
-@query(S.with_(S.ABILITIES, RULES, RESOLVED, STATES) + f""", n AS (SELECT id, status, count(model) AS matched,
+@query(S.with_(S.ABILITIES, S.CHANNELS, RULES, RESOLVED, STATES) + f""", n AS (SELECT id, status, count(model) AS matched,
   count(*) FILTER (state = 'visible') AS visible, count(*) FILTER (state = 'hidden') AS hidden
   FROM (SELECT id, name_rule, pattern, status FROM rules) r LEFT JOIN states ON {MATCH} GROUP BY 1, 2)
   SELECT id, matched, CASE WHEN matched = 0 THEN CASE WHEN status <> 1 THEN 'hidden' ELSE 'unavailable' END

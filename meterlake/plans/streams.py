@@ -81,6 +81,28 @@ def s1_s3_s4_stream_sink(spark, sf_dir):
     )
 
 
+@query(LOG + """SELECT type, count(*) AS rows, CAST(sum(quota) AS BIGINT) AS quota,
+  (SELECT count(*) FROM logs WHERE id % 10 < 2) AS dropped FROM logs WHERE id % 10 > 1 GROUP BY 1""")
+def s3_kafka_records(spark, sf_dir):
+    """Records as a Kafka source gives them, in four batches: of every ten one has no value and one is cut off, and
+    both are counted as dropped."""
+    rows = S.logs(spark, sf_dir)
+    cut = F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "quota'))
+    values = L.encode_json(rows.where("id % 10 > 1")).unionByName(rows.where("id % 10 < 2").select(F.when(F.col("id") % 10 == 1, cut).alias("value")))
+    records = values.select(
+        F.lit(None).cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("logs").alias("topic"),
+        F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().alias("offset"), F.lit(NOW).cast("timestamp").alias("timestamp"), F.lit(0).alias("timestampType"),
+    )
+    stream, path = replayed(spark, records, batches=4)
+    dropped: list[int] = []
+    R.stream_logs(stream, f"{path}/logs", dropped.append).option(
+        "checkpointLocation", f"{path}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return L.read_logs(spark, f"{path}/logs").groupBy("type").agg(
+        F.count("*").alias("rows"), F.sum("quota").alias("quota"), F.lit(sum(dropped)).cast("bigint").alias("dropped")
+    )
+
+
 @query(S.with_(S.LOGS, CUBE) + "SELECT * FROM cube")
 def r1_stream_cube(spark, sf_dir):
     """The cube of four batches equals that of one."""
