@@ -1,6 +1,7 @@
 """Leaderboards of models and vendors, movers, histories, and chart series.
 
-Global windows run only over aggregated rows: one a model, vendor or user.
+Places in a list of any length come from ranges of it: each range is ordered on its own, and the counts of the ranges
+say where it begins. Global windows run only over lists of a fixed length.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from meterlake.functions.scalars import QUOTA_PER_UNIT, ratio, rounded
 
 
+#: Ranges that a list is cut into, and rows of the sample that sets their ends, a range.
+RANGES, EACH = 256, 16
+
+
 def growth(now: Column, before: Column) -> Column:
     """Per cent at 4 digits; 100 if it rose from nothing, 0 if it stayed nothing."""
     return F.when(before > 0, rounded((now - before).cast("double") / before * 100, 4)).when(now > 0, F.lit(100.0)).otherwise(F.lit(0.0))
@@ -30,25 +35,84 @@ def with_vendor(models: DataFrame, meta: DataFrame, vendors: DataFrame) -> DataF
     return models.join(m.drop("vendor_id"), "model_name", "left").withColumn("vendor", F.coalesce(empty("vendor_name"), empty("owner"), F.lit("Unknown"))).drop("vendor_name", "owner")
 
 
+def _cell(key: Column, ends: Column) -> Column:
+    """The range of ``key``: how many ends lie before it."""
+    return F.size(F.filter(ends, lambda end: end < key))
+
+
+def _counts(rows: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """(list, cell, n, upto): rows of each range of each list, and of it and all before it."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("list"), c.alias("cell")) for name, c in cells.items())))
+    counts = rows.select(each.alias("at")).groupBy("at.list", "at.cell").agg(F.count("*").alias("n"))
+    return counts.withColumn("upto", F.sum("n").over(Window.partitionBy("list").orderBy("cell")))  # RANGES rows
+
+
+def numbered(rows: DataFrame, orders: dict[str, list[Column]], ranges: int = RANGES) -> DataFrame:
+    """Adds for each of ``orders`` the number of the row, from 1, if rows are sorted by it, ascending, nulls first.
+
+    No task gets all rows: the ends of ``ranges`` ranges come from the rows whose hashes are least, so equal values are
+    cut by the columns that follow them. Rows that no column of an order tells apart have numbers in any order, and
+    share a range.
+    """
+    keys = {name: F.struct(*(c.alias(f"k{k}") for k, c in enumerate(by))) for name, by in orders.items()}
+    held = rows.withColumns({f"{name}_key": key for name, key in keys.items()})
+    parts = [f"{name}_key" for name in orders]
+    sample = held.select(*parts).orderBy(F.xxhash64(*parts), *parts).limit(ranges * EACH)
+    every = lambda name: F.filter(F.array_sort(F.collect_list(f"{name}_key")), lambda _, k: k % EACH == EACH - 1)
+    ends = sample.agg(*(every(name).alias(f"{name}_ends") for name in orders))  # one row
+    placed = held.join(F.broadcast(ends), F.lit(True))
+    placed = placed.withColumns({f"{name}_cell": _cell(F.col(f"{name}_key"), F.col(f"{name}_ends")) for name in orders})
+    counts = _counts(placed, {name: F.col(f"{name}_cell") for name in orders})
+    for name in orders:
+        cell = f"{name}_cell"
+        start = counts.where(F.col("list") == name).select(F.col("cell").alias(cell), (F.col("upto") - F.col("n")).alias("before"))
+        own = F.row_number().over(Window.partitionBy(cell).orderBy(f"{name}_key"))
+        # a row a range
+        placed = placed.join(F.broadcast(start), cell).withColumn(name, F.col("before") + own).drop("before")
+    return placed.select(*rows.columns, *orders)
+
+
+def _with_shares(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Adds the share of the tokens of all ``totals`` that have some, and the growth."""
+    all_tokens = totals.agg(F.sum(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("all_tokens"))  # one row
+    share = rounded(ratio(F.col("tokens"), F.col("all_tokens")), 4)
+    rows = rows.join(F.broadcast(all_tokens), F.lit(True))
+    return rows.withColumns({"share": share, "growth": growth(F.col("tokens"), F.col("previous"))}).drop("all_tokens")
+
+
+def _by(value: str, name: str) -> list[Column]:
+    return [F.negate(F.col(value)), F.col(name)]
+
+
 def ranked_models(totals: DataFrame) -> DataFrame:
     """All models with tokens now: rank, previous_rank (null if it had none), share and growth."""
-    place = F.row_number().over(Window.orderBy(F.desc("tokens"), "model_name"))
-    earlier = F.when(F.col("previous") > 0, F.row_number().over(Window.orderBy(F.desc("previous"), "model_name")))
-    rows = totals.withColumn("previous_rank", earlier).where("tokens > 0").withColumn("rank", place)
-    share = rounded(ratio(F.col("tokens"), F.sum("tokens").over(Window.partitionBy())), 4)
-    return rows.withColumns({"share": share, "growth": growth(F.col("tokens"), F.col("previous"))})
+    rows = numbered(totals, {"rank": _by("tokens", "model_name"), "previous_rank": _by("previous", "model_name")})
+    earlier = F.when(F.col("previous") > 0, F.col("previous_rank"))
+    return _with_shares(rows.withColumn("previous_rank", earlier).where("tokens > 0"), totals)
 
 
 def model_leaderboard(totals: DataFrame, limit: int = 20) -> DataFrame:
-    return ranked_models(totals).where(F.col("rank") <= limit)
+    """The first ``limit`` of the ranked models: a top-k, whose earlier ranks are counts of the models before each."""
+    top = totals.where("tokens > 0").orderBy(F.desc("tokens"), "model_name").limit(limit)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("tokens"), "model_name")))  # limit rows
+    key = F.struct(*_by("previous", "model_name"))
+    ends = F.broadcast(top.agg(F.array_sort(F.collect_list(key)).alias("ends")))  # one row
+    at = _cell(key, F.col("ends"))
+    # a model of the list is the last of its own range, so that as many are before it
+    counts = _counts(totals.where("previous > 0").join(ends, F.lit(True)), {"previous": at})
+    earlier = counts.select("cell", F.col("upto").alias("previous_rank"))
+    rows = top.join(ends, F.lit(True)).withColumn("cell", at).join(F.broadcast(earlier), "cell", "left")
+    rows = rows.withColumn("previous_rank", F.when(F.col("previous") > 0, F.col("previous_rank"))).drop("cell", "ends")
+    return _with_shares(rows, totals)
 
 
 def vendor_leaderboard(totals: DataFrame) -> DataFrame:
     """Vendors with tokens now, by tokens and name; ``totals`` has a vendor column."""
     top = F.min_by("model_name", F.struct(-F.col("tokens"), "model_name"))
-    rows = totals.groupBy("vendor").agg(F.sum("tokens").alias("tokens"), F.sum("previous").alias("previous"), F.count_if(F.col("tokens") > 0).alias("models_count"), top.alias("top_model")).where("tokens > 0")
-    share = rounded(ratio(F.col("tokens"), F.sum("tokens").over(Window.partitionBy())), 4)
-    return rows.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("tokens"), "vendor")), "share": share, "growth": growth(F.col("tokens"), F.col("previous"))})
+    sums = (F.sum(c).alias(c) for c in ("tokens", "previous"))
+    counted = F.count_if(F.col("tokens") > 0).alias("models_count")
+    rows = totals.groupBy("vendor").agg(*sums, counted, top.alias("top_model")).where("tokens > 0")
+    return _with_shares(numbered(rows, {"rank": _by("tokens", "vendor")}), rows)
 
 
 def movers(ranked: DataFrame, limit: int = 6) -> DataFrame:

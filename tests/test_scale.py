@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.operators import logs, models, usage
+from meterlake.operators import logs, models, rankings, usage
 from meterlake.plans.streams import with_rocks
 from meterlake.streaming import jobs
 
@@ -94,6 +94,44 @@ def test_a_page_at_a_million_takes_few_rows(spark):
     assert limit <= 100_010
 
 
+@pytest.mark.parametrize("ranges", [1, 4, 16])
+def test_numbers_of_rows_equal_a_sort(spark, ranges):
+    rng = random.Random(10)
+    rows = [(f"m{k}", rng.choice([0, 1, 1, 1, 7, rng.randrange(10**12)]), rng.choice([None, 0, 5, rng.randrange(99)])) for k in range(900)]
+    df = spark.createDataFrame([*rows, (None, 1, None), ("", 1, 0)], "name string, now long, then long")
+    got = rankings.numbered(df, {"a": [F.negate(F.col("now")), F.col("name")], "b": [F.col("then"), F.col("name")]}, ranges)
+    assert got.columns == ["name", "now", "then", "a", "b"]
+    found = [tuple(r) for r in got.collect()]
+    first = lambda x: (x is not None, x)  # noqa: E731  nulls first
+    for at, order in ((3, lambda r: (-r[1], first(r[0]))), (4, lambda r: (first(r[2]), first(r[0])))):
+        assert [r[at] for r in sorted(found, key=order)] == list(range(1, 903))
+    assert rankings.numbered(df.limit(0), {"a": [F.col("now")]}).count() == 0
+
+
+def test_a_third_of_all_names_with_one_value_is_many_ranges(spark):
+    df = spark.range(60_000).select(F.concat(F.lit("a-long-common-beginning-"), "id").alias("model_name"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("tokens"), F.lit(2).alias("previous"))
+    got = rankings.ranked_models(df.where("tokens > 0"))
+    assert "SinglePartition" not in "".join(x for x in plan_of(got).splitlines() if "rank#" in x)
+    numbers = got.agg(F.count_distinct("rank"), F.max("rank"), F.count_distinct("previous_rank"), F.max("previous_rank")).first()
+    assert tuple(numbers) == (60_000,) * 4
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = got.groupBy(F.spark_partition_id()).count().select("count").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r[0] for r in sizes) < 30_000
+
+
+def test_the_leaderboard_is_the_head_of_the_ranked_models(spark):
+    rng = random.Random(11)
+    rows = [(f"m{k}", rng.choice([0, 3, rng.randrange(50)]), rng.choice([0, 0, 3, rng.randrange(50)])) for k in range(300)]
+    df = spark.createDataFrame(rows, "model_name string, tokens long, previous long").where("tokens > 0 or previous > 0")
+    for limit in (1, 20, 1_000):
+        got, want = rankings.model_leaderboard(df, limit), rankings.ranked_models(df).where(F.col("rank") <= limit)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert rankings.model_leaderboard(df.limit(0)).count() == rankings.vendor_leaderboard(df.limit(0).withColumn("vendor", F.lit("v"))).count() == 0
+
+
 def requests(rng):
     """Half of the rows are of one user, in bursts with pauses."""
     rows = [(k, rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(400) + 5_000 * rng.randrange(-3, 40)) for k in range(3_000)]
