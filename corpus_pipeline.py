@@ -28,11 +28,15 @@ def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keyed(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` as a stored table with ``key``, a long of its own for each row.
+    """``docs`` with ``key``, a long of its own for each row that stays the same in whatever splits the table is read.
 
-    Being stored, the keys stay the same however often and in whatever splits the table is read, and no list of files
-    is gathered for them.
+    That is doc_id where each row has one and none repeats. Else the rows are stored once more with numbers, which
+    costs a copy of the texts.
     """
+    own = docs.withColumn(key, F.col("doc_id").try_cast("bigint"))
+    unfit = own.groupBy(key).agg(F.count("*").alias("rows_of_key")).where(F.col(key).isNull() | (F.col("rows_of_key") > 1))
+    if not unfit.limit(1).count():
+        return own
     return Scratch(spark, "keyed").keep(docs.withColumn(key, F.monotonically_increasing_id()), "docs")
 
 
