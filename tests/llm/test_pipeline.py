@@ -98,17 +98,27 @@ def test_rows_without_ids_are_compared(spark, docs_schema, tmp_path):
         assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted([("None", make(1)), ("5", make(2)), ("None", "None"), ("None", "")])
 
 
-def test_keys_over_many_files(spark, docs_schema, tmp_path):
-    """A thousand files: keys are distinct and the same at every read, in whatever splits."""
-    rows = spark.range(4_000).selectExpr("id as doc_id", "string(id) as text", "'en' as lang", "'s' as source", "1L as n_chars")
+@pytest.mark.parametrize("own", ["id", "id div 2", "nullif(id, 7)"])
+def test_keys_over_many_files(spark, docs_schema, tmp_path, own):
+    """A thousand files: keys are distinct and the same at every read, in whatever splits; ids serve if each row has its own."""
+    rows = spark.range(4_000).selectExpr(f"{own} as doc_id", "string(id) as text", "'en' as lang", "'s' as source", "1L as n_chars")
     rows.repartition(1_000).write.parquet(str(tmp_path / "docs"))
     docs = corpus_pipeline.keyed(spark, spark.read.parquet(str(tmp_path / "docs")), "k")
-    first = {(r["doc_id"], r["k"]) for r in docs.collect()}
+    first = {(r["text"], r["k"]) for r in docs.collect()}
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
-    again = {(r["doc_id"], r["k"]) for r in docs.repartition(7).collect()}
+    again = {(r["text"], r["k"]) for r in docs.repartition(7).collect()}
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len({k for _, k in first}) == 4_000 and first == again
+    assert docs.where("doc_id = k").count() == 4_000 or own != "id"
+
+
+def test_ids_and_stored_numbers_keep_the_same_rows(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, DATA).collect()}
+    stored = lambda spark, docs, key: corpus_pipeline.Scratch(spark, "keyed").keep(docs.withColumn(key, F.monotonically_increasing_id()), "docs")
+    monkeypatch.setattr(corpus_pipeline, "keyed", stored)
+    assert got == {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, DATA).collect()} and len(got) < docs.count()
 
 
 def test_every_operator_has_a_query():
