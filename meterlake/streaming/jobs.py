@@ -74,7 +74,8 @@ def perf_buckets(samples: DataFrame, size: int = 60, late: str = "0 seconds") ->
 
 
 def cache_sessions(uses: DataFrame, ttl: int, late: str | None = None) -> DataFrame:
-    """Cache statistics by rule, group and key over sessions that end ``ttl`` seconds after their last use.
+    """Cache statistics by rule, group and key over sessions that end ``ttl`` seconds after their last use: a use at that
+    very moment begins the next one.
 
     Columns: rule, group, key, ts, cached_tokens, hit_tokens, prompt, completion, total, mode ('' is none). Rows
     without rule or key are left out. ``late`` is the watermark of a stream.
@@ -83,7 +84,8 @@ def cache_sessions(uses: DataFrame, ttl: int, late: str | None = None) -> DataFr
     rows = rows if late is None else rows.withWatermark("at", late)
     modes = F.collect_set(F.nullif(F.col("mode"), F.lit("")))
     total = F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("prompt") + F.col("completion"))
-    out = rows.groupBy(F.session_window("at", f"{ttl} seconds").alias("w"), F.trim("rule").alias("rule"), F.trim("group").alias("group"), F.trim("key").alias("key")).agg(
+    # windows that touch are merged, so a gap is a microsecond short of ttl
+    out = rows.groupBy(F.session_window("at", f"{ttl * 1_000_000 - 1} microseconds").alias("w"), F.trim("rule").alias("rule"), F.trim("group").alias("group"), F.trim("key").alias("key")).agg(
         F.count("*").alias("total_uses"), F.count_if((F.col("cached_tokens") > 0) | (F.col("hit_tokens") > 0)).alias("hits"), F.sum("cached_tokens").alias("cached_tokens"), F.sum("prompt").alias("prompt_tokens"),
         F.sum("completion").alias("completion_tokens"), F.sum(total).alias("total_tokens"), F.max("ts").alias("last_seen"), modes.alias("modes"))
     mode = F.when(F.size("modes") > 1, "mixed").when(F.size("modes") == 1, F.col("modes")[0]).otherwise("")

@@ -128,3 +128,15 @@ def test_staged_days_are_deleted(spark, tmp_path):
     for k in range(2):
         jobs.upsert_cube(spark.createDataFrame([request(k, 90_000 + k)], source.SCHEMA), path, k)
     assert not (tmp_path / "cube.staged").exists() and spark.read.parquet(path).agg(F.sum("count")).first()[0] == 2
+
+
+USE = "rule string, `group` string, key string, ts bigint, cached_tokens int, hit_tokens int, prompt int, completion int, total int, mode string"
+
+
+def use(at, key="k"):
+    return ("r", "g", key, at, 0, 0, 1, 1, 0, "")
+
+
+def test_a_use_at_the_end_of_a_session_begins_another(spark):
+    got = jobs.cache_sessions(spark.createDataFrame([use(0), use(99), use(199), use(300)], USE), 100).collect()
+    assert sorted((r["first_seen"], r["last_seen"], r["total_uses"]) for r in got) == [(0, 99, 2), (199, 199, 1), (300, 300, 1)]
