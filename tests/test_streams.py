@@ -140,3 +140,9 @@ def use(at, key="k"):
 def test_a_use_at_the_end_of_a_session_begins_another(spark):
     got = jobs.cache_sessions(spark.createDataFrame([use(0), use(99), use(199), use(300)], USE), 100).collect()
     assert sorted((r["first_seen"], r["last_seen"], r["total_uses"]) for r in got) == [(0, 99, 2), (199, 199, 1), (300, 300, 1)]
+
+
+def test_a_streamed_use_at_the_end_of_a_session_begins_another(spark, tmp_path):
+    batches = [[use(0), use(99)], [use(199), use(300)], [use(9_000, "z")]]
+    got = streamed(spark, batches, USE, tmp_path, lambda uses: jobs.cache_sessions(uses, 100, "50 seconds"))
+    assert sorted((r["first_seen"], r["last_seen"], r["total_uses"]) for r in got) == [(0, 99, 2), (199, 199, 1), (300, 300, 1)]
