@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,13 +33,16 @@ def folder(spark) -> str:
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def replayed(spark, rows: DataFrame, parts: int = 4, batches: int = 1) -> tuple[DataFrame, str]:
-    """(stream, folder): ``rows`` as a file stream of one batch or several."""
+#: Rows of a replayed file: a batch has as many files as it takes, so that no task writes or reads more.
+REPLAYED_ROWS = 250_000
+
+
+def replayed(spark, rows: DataFrame, batches: int = 1) -> tuple[DataFrame, str]:
+    """(stream, folder): ``rows`` as a file stream of one batch or several, each with rows of all kinds."""
     path = folder(spark)
-    rows.repartition(parts).write.parquet(f"{path}/in")
-    return spark.readStream.schema(rows.schema).option(
-        "maxFilesPerTrigger", -(-parts // batches)
-    ).parquet(f"{path}/in"), path
+    files = -(-rows.count() // (batches * REPLAYED_ROWS)) or 1
+    rows.repartition(files * batches).write.parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in"), path
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -50,6 +54,16 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def in_turn(spark, batches: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that the stream ``make`` emits over batches that come one after the other: each is written by as many tasks as
+    read it, and taken as one batch by the stream, which stops when it has no more and goes on from its checkpoint."""
+    path = folder(spark)
+    for rows in batches:
+        rows.write.mode("append").parquet(f"{path}/in")
+        out = drained(make(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), path)
+    return out
+
+
 @query(LOG + """, good AS (SELECT * FROM logs WHERE id % 10 <> 0)
   SELECT type, count(*) AS rows, CAST(sum(quota) AS BIGINT) AS quota, CAST(sum(channel_id) AS BIGINT) AS channels,
   (SELECT count(*) FROM logs WHERE id % 10 = 0) AS bad FROM good GROUP BY 1""")
@@ -106,10 +120,7 @@ def s3_kafka_records(spark, sf_dir):
 @query(S.with_(S.LOGS, CUBE) + "SELECT * FROM cube")
 def r1_stream_cube(spark, sf_dir):
     """The cube of four batches equals that of one."""
-    rows = S.logs(spark, sf_dir)
-    path = folder(spark)
-    rows.repartition(2).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream, path = replayed(spark, S.logs(spark, sf_dir), batches=4)
     R.stream_cube(stream, f"{path}/cube").option(
         "checkpointLocation", f"{path}/checkpoint"
     ).trigger(availableNow=True).start().awaitTermination()
@@ -156,8 +167,8 @@ def r3_stream_sessions(spark, sf_dir):
     batches, and one more use, of user 0 long after, lets all others end."""
     last = last_log(spark, sf_dir).withColumns({"user_id": F.lit(0).cast("bigint"), "type": F.lit(2)})
     rows = S.logs(spark, sf_dir)
-    stream, path = in_time(spark, rows.unionByName(last.select(*(F.col(c).cast(rows.schema[c].dataType) for c in rows.columns))), 5, 3_000)
-    return drained(R.cache_sessions(cache_uses(stream), 36_000, "1 hour"), path)
+    batches = in_time(rows.unionByName(last.select(*(F.col(c).cast(rows.schema[c].dataType) for c in rows.columns))), 5, 3_000)
+    return in_turn(spark, batches, lambda logs: R.cache_sessions(cache_uses(logs), 36_000, "1 hour"))
 
 
 @query(LOG + "SELECT type, count(*) AS rows, CAST(sum(quota) AS BIGINT) AS quota FROM logs GROUP BY 1")
@@ -183,8 +194,8 @@ def r5_sliding_counts(spark, sf_dir):
   SELECT user_id, start, count(*) AS recent FROM w GROUP BY 1, 2""")
 def r5_stream_counts(spark, sf_dir):
     """Windows of twelve hours that begin every three, from six batches with late logs."""
-    stream, path = in_time(spark, S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), 5, 3_000)
-    return drained(R.stream_sliding_counts(stream, 43_200, 10_800, "1 hour"), path)
+    batches = in_time(S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), 5, 3_000)
+    return in_turn(spark, batches, lambda logs: R.stream_sliding_counts(logs, 43_200, 10_800, "1 hour"))
 
 
 @query(LOG.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT user_id, id, created_at,
@@ -214,22 +225,21 @@ def last_log(spark, sf_dir):
   FROM logs WHERE token_id > 0 GROUP BY 1, 2)
   SELECT * FROM c""")
 def r7_abuse_windows(spark, sf_dir):
-    """Five batches with rows of all times: the allowance covers the whole month, so that no late log is lost."""
-    stream, path = replayed(spark, S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), parts=5, batches=5)
-    return drained(R.abuse_windows(stream, 86_400, "40 days"), path)
+    """Five batches with rows of all times: the allowance covers the whole month, so that no late log is lost. The log
+    that lets all windows close comes after them, in a batch of its own."""
+    rows = S.logs(spark, sf_dir)
+    batches = [rows.where(F.pmod("id", F.lit(5)) == k) for k in range(5)]
+    return in_turn(spark, [*batches, last_log(spark, sf_dir)], lambda logs: R.abuse_windows(logs, 86_400, "40 days"))
 
 
-def in_time(spark, rows: DataFrame, parts: int, late: int) -> tuple[DataFrame, str]:
-    """(stream, folder): ``rows`` in batches by time, but for every third one of the last ``late`` seconds before a batch
-    ends, which comes with the next batch."""
-    path, width = folder(spark), -(-(NOW + 86_400 - START) // parts)
+def in_time(rows: DataFrame, parts: int, late: int) -> list[DataFrame]:
+    """``rows`` in batches by time, but for every third one of the last ``late`` seconds before a batch ends, which comes
+    with the next batch."""
+    width = -(-(NOW + 86_400 - START) // parts)
     place = F.expr(f"(created_at - {START}) div {width}")
     delayed = (F.col("id") % 3 == 0) & ((F.col("created_at") - START) % width >= width - late)
-    rows = rows.withColumn("batch", F.least(F.when(delayed, place + 1).otherwise(place), F.lit(parts)))
-    for k in range(parts + 1):  # files are read in the order in which they were written
-        rows.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    schema = rows.drop("batch").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+    batch = F.least(F.when(delayed, place + 1).otherwise(place), F.lit(parts))
+    return [rows.where(batch == k) for k in range(parts + 1)]
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -276,7 +286,7 @@ EVERY_DAY = f"""counts AS (SELECT token_id, created_at // 86400 * 86400 AS bucke
   LEFT JOIN tokens ON token_id = tokens.id LEFT JOIN users ON tokens.user_id = users.id""")
 def r7_abuse_findings(spark, sf_dir):
     """All days' findings as a stream of six batches with late logs, at the allowance of an hour, and their owners."""
-    stream, path = in_time(spark, S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), 5, 3_000)
-    found = with_rocks(spark, lambda: drained(R.stream_findings(stream, D), path))
+    batches = in_time(S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), 5, 3_000)
+    found = with_rocks(spark, lambda: in_turn(spark, batches, lambda logs: R.stream_findings(logs, D)))
     owned = with_owner(found, S.tokens(spark, sf_dir), S.users(spark, sf_dir))
     return owned.select("token_id", "bucket", "rule", "severity", "current", "baseline", "ratio", "direction", "model_name", "first_at", "token_name", "owner_name")
