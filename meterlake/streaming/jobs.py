@@ -255,70 +255,100 @@ RECENT = {
 }
 
 
+#: Groups of tokens that share a state; a stream that goes on from a checkpoint keeps its number.
+SHARDS = 256
+
+
 class RecentWindows(StatefulProcessor):
-    """The last windows of a token as its state; each closed window gives one row with those before it.
+    """The last windows of a shard's tokens as its state; each closed window gives one row with those before it.
 
-    Rows come as sums of (window, model), all of a window at once and windows in order. Two rings are kept: the sums of
-    the baseline's windows, and the models used in the lookback. A timer clears them when both have run out.
+    Rows come as sums of (window, model), all of a window at once and windows in order. Kept are the sums of the windows
+    that later ones may ask for, and when a token last used each model; what is older goes whenever the shard has new
+    windows, and all of it by a timer. All tokens of a shard are looked up together, in arrays.
     """
 
+    SUMS = ("token_id", "bucket", "requests", "quota", "consumes", "errors", "saturated_rows", "named")
+
     def __init__(self, s: A.Settings):
         self.s = s
+        #: seconds from the beginning of the lookback to the end of its window
+        self.back = -A.bounds(0, s)[3]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.windows = handle.getListState("windows", "bucket bigint, requests bigint, quota bigint, consumes bigint, errors bigint, saturated bigint")
-        self.uses = handle.getListState("uses", "bucket bigint, model string, requests bigint")
+        #: rows of SUMS; rows of (token, place in models, last bucket)
+        self.kept = handle.getValueState("kept", "windows binary, uses binary, models array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        s, found = self.s, []
-        part = pd.concat(list(rows))
-        windows = list(self.windows.get()) if self.windows.exists() else []
-        uses = list(self.uses.get()) if self.uses.exists() else []
-        for bucket, own in part.groupby("bucket", sort=True):
-            end = bucket + s.window
-            first, lookback = bucket - s.baseline * s.window, A.bounds(end, s)[3]
-            sums = own[["requests", "quota", "consumes", "errors", "saturated_rows"]].sum()
-            now = (int(bucket), *(int(x) for x in sums))
-            windows = [w for w in windows if w[0] >= first]
-            uses = [u for u in uses if u[0] >= lookback]
-            named = own[(own["model_name"] != "") & own["model_name"].notna()]
-            total = sum(u[2] for u in uses) + int(named["requests"].sum())
-            before = {u[1] for u in uses}
-            fresh = [(m, int(t)) for m, t in zip(named["model_name"], named["first_at"], strict=True) if m not in before]
-            at = {w[0]: w for w in windows}
-            dense = [at.get(first + k * s.window, (0,) * 6) for k in range(s.baseline)]
-            found.append((
-                key[0], now[0], now[1], now[2], now[3], now[4], sum(w[3] for w in windows), sum(w[4] for w in windows),
-                now[5] + sum(w[5] for w in windows), [w[1] for w in dense], [w[2] for w in dense],
-                [{"model_name": m, "first_at": t} for m, t in sorted(fresh)] if total >= s.gate_requests else [],
-            ))
-            windows.append(now)
-            uses += [(int(bucket), m, int(n)) for m, n in zip(named["model_name"], named["requests"], strict=True)]
-        self.windows.put(windows)
-        self.uses.put(uses) if uses else self.uses.clear()
-        self.handle.registerTimer((windows[-1][0] + s.window + max(s.lookback, s.baseline * s.window)) * 1000)
-        yield pd.DataFrame(found, columns=list(RECENT))
+        s = self.s
+        part = pd.concat(list(rows), ignore_index=True)
+        has = (part["model_name"] != "") & part["model_name"].notna()
+        named, part["named"] = part[has], part["requests"].where(has, 0)
+        new = part.groupby(["token_id", "bucket"], as_index=False)[list(self.SUMS[2:])].sum()
+        old, uses, models = self.kept.get() if self.kept.exists() else (b"", b"", [])
+        windows = np.concatenate([np.frombuffer(old, np.int64).reshape(-1, len(self.SUMS)), new[list(self.SUMS)].to_numpy(np.int64)])
+        windows = windows[np.lexsort((windows[:, 1], windows[:, 0]))]
+        last_uses = pd.DataFrame(np.frombuffer(uses, np.int64).reshape(-1, 3), columns=["token_id", "model_name", "bucket"])
+        last_uses["model_name"] = np.array(models, object)[last_uses["model_name"].to_numpy()] if len(last_uses) else last_uses["model_name"].astype(object)
+
+        # a place for each (token, window), far enough apart that no window before a token's first is another token's
+        token, bucket = windows[:, 0], windows[:, 1]
+        low, room = int(bucket.min()), max(s.baseline * s.window, self.back)
+        span = (int(bucket.max()) - low + room) // s.window + 2
+        code = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]]))
+        place = code * span + (bucket - low + room) // s.window
+        newest = pd.MultiIndex.from_arrays([token, bucket]).isin(pd.MultiIndex.from_frame(new[["token_id", "bucket"]]))
+        here = np.flatnonzero(newest)
+        asked = place[here, None] + np.arange(-s.baseline, 0)
+        at = np.minimum(np.searchsorted(place, asked), len(place) - 1)
+        before = np.where((place[at] == asked)[..., None], windows[at], 0)
+        sums = np.concatenate([[0], np.cumsum(windows[:, 7])])
+        total = sums[here + 1] - sums[np.searchsorted(place, place[here] + 1 - self.back // s.window)]
+
+        named = named.assign(new=True)[["token_id", "model_name", "bucket", "first_at", "new"]]
+        every = pd.concat([last_uses.assign(first_at=0, new=False), named]).sort_values(["token_id", "model_name", "bucket"], kind="stable")
+        since = every.groupby(["token_id", "model_name"])["bucket"].shift()
+        first = every[every["new"].astype(bool) & ~(since >= every["bucket"] + s.window - self.back)]
+        fresh: dict[tuple[int, int], list] = {}
+        for t, w, m, f in zip(first["token_id"].tolist(), first["bucket"].tolist(), first["model_name"].tolist(), first["first_at"].tolist(), strict=True):
+            fresh.setdefault((t, w), []).append({"model_name": m, "first_at": f})
+
+        now = windows[here]
+        out = pd.DataFrame(now[:, :6], columns=list(RECENT)[:6])
+        out["base_consumes"], out["base_errors"] = before[:, :, 4].sum(1), before[:, :, 5].sum(1)
+        out["excluded_rows"] = now[:, 6] + before[:, :, 6].sum(1)
+        out["base_requests"], out["base_quota"] = list(before[:, :, 2]), list(before[:, :, 3])
+        out["fresh"] = [fresh.get((t, w), []) if n >= s.gate_requests else [] for t, w, n in zip(now[:, 0].tolist(), now[:, 1].tolist(), total.tolist(), strict=True)]
+
+        end = int(bucket.max()) + s.window  # no later window begins before it
+        held = windows[bucket >= end - max(s.baseline * s.window, self.back - s.window)]
+        left = every[every["bucket"] >= end + s.window - self.back].drop_duplicates(["token_id", "model_name"], keep="last")
+        codes, names = pd.factorize(left["model_name"])
+        used = np.column_stack([left["token_id"].to_numpy(np.int64), codes.astype(np.int64), left["bucket"].to_numpy(np.int64)])
+        self.kept.update((np.ascontiguousarray(held).tobytes(), used.tobytes(), [str(m) for m in names]))
+        self.handle.registerTimer((end + room) * 1000)
+        yield out[list(RECENT)]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        windows = list(self.windows.get()) if self.windows.exists() else []
-        keep = max(self.s.lookback, self.s.baseline * self.s.window) + self.s.window
-        if windows and (windows[-1][0] + keep) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.windows.clear()
-            self.uses.clear()
+        if self.kept.exists():
+            windows = np.frombuffer(self.kept.get()[0], np.int64).reshape(-1, len(self.SUMS))
+            room = max(self.s.baseline * self.s.window, self.back)
+            if not len(windows) or (int(windows[:, 1].max()) + self.s.window + room) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.kept.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def recent_windows(logs: DataFrame, s: A.Settings = A.Settings(), late: str = "1 hour") -> DataFrame:
+def recent_windows(logs: DataFrame, s: A.Settings = A.Settings(), late: str = "1 hour", shards: int = SHARDS) -> DataFrame:
     """A row for each token and closed window with requests: the columns of abuse.baselines before the medians, and
     ``fresh``, the models that the token first used in it by the lookback.
 
     Sums of (token, window, model) are made first, so that a busy token's logs are added up where they are read; a
-    window closes ``late`` after its end by the newest log's time, and later logs are in no window. Needs the RocksDB
-    state store. The lookback must be a whole number of windows.
+    window closes ``late`` after its end by the newest log's time, and later logs are in no window. Tokens are dealt into
+    ``shards`` by a hash, so that state is read and written once a shard, not once a token. Needs the RocksDB state
+    store. The lookback must be a whole number of windows.
     """
     if s.lookback % s.window or s.most_span % s.window:
         raise ValueError("the lookback and its limit must be whole numbers of windows")
@@ -328,8 +358,9 @@ def recent_windows(logs: DataFrame, s: A.Settings = A.Settings(), late: str = "1
     sums = timed.groupBy(F.col("token_id").cast("bigint").alias("token_id"), "model_name", F.window("at", f"{s.window} seconds").alias("w")).agg(
         F.count("*").alias("requests"), F.coalesce(F.sum(F.when(consume & ~clamp, F.col("quota"))), F.lit(0)).cast("bigint").alias("quota"), F.count_if(consume).alias("consumes"),
         F.count_if(F.col("type") == 5).alias("errors"), F.count_if(clamp).alias("saturated_rows"), F.min("created_at").alias("first_at"))
-    rows = sums.select("token_id", "model_name", F.unix_seconds("w.start").alias("bucket"), *sums.columns[3:], "w")
-    return rows.groupBy("token_id").transformWithStateInPandas(RecentWindows(s), ", ".join(f"{name} {kind}" for name, kind in RECENT.items()), "append", "eventTime")
+    shard = F.pmod(F.xxhash64("token_id"), F.lit(shards)).alias("shard")
+    rows = sums.select(shard, "token_id", "model_name", F.unix_seconds("w.start").alias("bucket"), *sums.columns[3:], "w")
+    return rows.groupBy("shard").transformWithStateInPandas(RecentWindows(s), ", ".join(f"{name} {kind}" for name, kind in RECENT.items()), "append", "eventTime")
 
 
 def stream_findings(logs: DataFrame, s: A.Settings = A.Settings(), late: str = "1 hour") -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams over several batches against the batch operators on the same logs."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from meterlake.operators import abuse
@@ -146,3 +147,45 @@ def test_a_streamed_use_at_the_end_of_a_session_begins_another(spark, tmp_path):
     batches = [[use(0), use(99)], [use(199), use(300)], [use(9_000, "z")]]
     got = streamed(spark, batches, USE, tmp_path, lambda uses: jobs.cache_sessions(uses, 100, "50 seconds"))
     assert sorted((r["first_seen"], r["last_seen"], r["total_uses"]) for r in got) == [(0, 99, 2), (199, 199, 1), (300, 300, 1)]
+
+
+class Kept:
+    """A state and its handle in one, for a processor without a stream."""
+
+    def __init__(self):
+        self.value, self.writes = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        pass
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+
+def test_tokens_of_a_shard_give_the_rows_of_each_alone_with_one_state(spark):
+    rng = np.random.default_rng(8)
+    sums = pd.DataFrame({"token_id": rng.integers(1, 40, 3_000), "model_name": rng.choice(["a", "b", "", None, "z"], 3_000), "bucket": rng.integers(0, 60, 3_000) * 600})
+    sums = sums.groupby(["token_id", "model_name", "bucket"], dropna=False, as_index=False).size().drop(columns="size")
+    sums = sums.assign(**{c: rng.integers(0, 9, len(sums)) for c in ("requests", "quota", "consumes", "errors", "saturated_rows")}, first_at=sums["bucket"] + 5)
+
+    def fed(part):
+        kept, found = Kept(), []
+        processor = jobs.RecentWindows(SETTINGS)
+        processor.init(kept)
+        for low in range(0, 36_000, 9_000):
+            own = part[part["bucket"].between(low, low + 8_999)]
+            if len(own):
+                found += [f.astype(str) for f in processor.handleInputRows((0,), iter([own]), None)]
+        return kept.writes, sorted(map(tuple, pd.concat(found).to_numpy().tolist()))
+
+    writes, got = fed(sums)
+    assert writes == 4 and got == sorted(r for _, own in sums.groupby("token_id") for r in fed(own)[1])
