@@ -34,7 +34,7 @@ def folder(spark) -> str:
 
 
 #: Rows of a replayed file: a batch has as many files as it takes, so that no task writes or reads more.
-REPLAYED_ROWS = 250_000
+REPLAYED_ROWS = 100_000
 
 
 def replayed(spark, rows: DataFrame, batches: int = 1) -> tuple[DataFrame, str]:

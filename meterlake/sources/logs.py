@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -37,22 +38,29 @@ def read_logs(spark: SparkSession, path: str, start: int = 0, end: int = 0) -> D
 FILE_ROWS = 1_000_000
 
 
-def write_logs(logs: DataFrame, path: str, mode: str = "append", file_rows: int = FILE_ROWS) -> None:
-    """Appends logs in the fixed column order, one folder a month. A repeated write repeats rows and loses none.
+def write_logs(logs: DataFrame, path: str, mode: str = "append", file_rows: int = FILE_ROWS) -> int:
+    """Appends logs in the fixed column order, one folder a month, and returns their number. A repeated write repeats rows
+    and loses none.
 
     Rows are ranged by month, user and time (by a sample of them), so that files follow the volume, a busy user's rows
     go to several, and those of one user and day lie in few row groups, which the statistics of the others rule out. A
-    Bloom filter of request ids in each row group answers for single requests. ``logs`` is read three times: to count,
-    to sample and to write.
+    Bloom filter of request ids in each row group answers for single requests. ``logs`` is computed once and kept on the
+    executors' disks: to count, to sample and to write.
     """
     rows = logs.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in SCHEMA)).withColumn(MONTH, month())
     order = (MONTH, "user_id", "created_at")
-    files = -(-rows.count() // file_rows)
-    if not files:
-        return
-    bloom = {"parquet.bloom.filter.enabled#request_id": "true", "parquet.bloom.filter.expected.ndv#request_id": str(file_rows)}
-    ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    ranged.write.mode(mode).options(**bloom).option("maxRecordsPerFile", 2 * file_rows).partitionBy(MONTH).parquet(path)
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        total = rows.count()
+        files = -(-total // file_rows)
+        if not files:
+            return 0
+        bloom = {"parquet.bloom.filter.enabled#request_id": "true", "parquet.bloom.filter.expected.ndv#request_id": str(file_rows)}
+        ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+        ranged.write.mode(mode).options(**bloom).option("maxRecordsPerFile", 2 * file_rows).partitionBy(MONTH).parquet(path)
+        return total
+    finally:
+        rows.unpersist()
 
 
 def append_new(logs: DataFrame, path: str, late: int = 3_600, file_rows: int = FILE_ROWS) -> None:
@@ -70,9 +78,10 @@ def append_new(logs: DataFrame, path: str, late: int = 3_600, file_rows: int = F
         if newest is None:
             return
         recent = F.col("created_at") > newest - late
+        ends = [end(F.when(part, F.col("created_at"))) for part in (recent, ~recent) for end in (F.min, F.max)]
+        ends = rows.agg(*(x.alias(f"c{k}") for k, x in enumerate(ends))).first()
         found = []
-        for part in (rows.where(recent), rows.where(~recent)):
-            low, high = part.agg(F.min("created_at"), F.max("created_at")).first()
+        for part, low, high in ((rows.where(recent), *ends[:2]), (rows.where(~recent), *ends[2:])):
             if low is None:
                 continue
             try:

@@ -228,10 +228,9 @@ def stream_logs(lines: DataFrame, path: str, dropped: Callable[[int], None] | No
     counted and reported to ``dropped``."""
 
     def write(batch: DataFrame, _: int) -> None:
-        good, bad = decode_json(batch)
-        write_logs(good, path)
+        written = write_logs(decode_json(batch)[0], path)
         if dropped:
-            dropped(bad.count())
+            dropped(batch.count() - written)
 
     return lines.writeStream.foreachBatch(write)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meterlake.operators import abuse
 from meterlake.plans import NOW, START, streams
-from meterlake.sources import samples
+from meterlake.sources import logs, samples
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +23,23 @@ def test_the_last_log_closes_no_window_before_the_others_came(spark, tables):
     want = abuse.window_counts(samples.logs(spark, tables), START, NOW + 86_400, 86_400)
     assert sorted(r["requests"] for r in got.collect()) == sorted(r["requests"] for r in want.collect())
     assert got.select("token_id", "bucket", "requests", "quota").exceptAll(want.select("token_id", "bucket", "requests", "quota")).count() == 0
+
+
+def test_a_replayed_batch_has_files_by_its_rows(spark):
+    """No task reads more than a file holds, however many rows a batch has."""
+    rows = spark.range(8 * streams.REPLAYED_ROWS + 1)
+    _, path = streams.replayed(spark, rows, batches=4)
+    counts = [r["count"] for r in spark.read.parquet(f"{path}/in").groupBy(F.input_file_name()).count().collect()]
+    assert len(counts) == 12 and max(counts) <= streams.REPLAYED_ROWS
+
+
+def test_logs_are_decoded_once_to_be_written(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    logs.write_logs(samples.logs(spark, "/root/testdata/sf0.001").limit(500).transform(lambda r: r.mapInArrow(seen, r.schema)), str(tmp_path / "logs"))
+    assert read.value == 500 and logs.read_logs(spark, str(tmp_path / "logs")).count() == 500
