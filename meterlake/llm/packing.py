@@ -10,7 +10,7 @@ the cheapest packing of the shard stays.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm.mixing import n_words
 from meterlake.llm.scratch import Scratch
+from meterlake.llm.words import text_bytes
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Words of a shard; a shard has at most SHARD_ROWS documents on average.
 SHARD_WORDS, SHARD_ROWS = 4_000_000, 8_192
 #: Bytes of text of a shard where the sequences themselves are built.
 SHARD_BYTES = 8_000_000
+#: Bytes of sequences that leave a task at once.
+BATCH_BYTES = 1_000_000
 #: Between the pieces of a training sequence.
 SEPARATOR = "\n\n"
 FIELDS = "doc_id bigint, row bigint, piece int, start bigint, words bigint, bin_id bigint, bin_words bigint, capacity bigint, bin_offset bigint"
@@ -106,14 +109,15 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities
     return dealt.groupBy("shard").applyInPandas(packed, FIELDS)
 
 
-def _cuts(body: bytes, most: int) -> list[int]:
-    """Where each piece of ``most`` words begins in a text, and its end; white space goes with the word before it."""
-    if not body:
-        return [0, 0]
-    data = np.frombuffer(body, np.uint8)
+def _word_starts(bounds: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Where the words of texts data[bounds[k]:bounds[k + 1]] begin; none goes on into the next text."""
     word = (data != 32) & ((data < 9) | (data > 13))
-    starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
-    return [0, *starts[most::most].tolist(), len(body)]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begins = bounds[:-1][np.diff(bounds) > 0]
+    first[begins] = word[begins]
+    starts = np.flatnonzero(first)
+    return starts[np.searchsorted(starts, bounds[0]) :]
 
 
 def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = sequence_cost) -> DataFrame:
@@ -123,7 +127,8 @@ def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
     original with all its white space, so that the texts of a row's pieces (``row`` counts within bin_id >> 32), in
     order of start, give its text again. The training text of a bin is its pieces' texts, joined by ``SEPARATOR``.
     ``text``: the words alone, joined by one space, for use with word offsets.
-    Texts go to their shard once and are packed there. ``docs`` should be a stored table, so that a repeated task
+    Texts go to their shard once and are packed there; a task holds a shard's bytes once, beside the places of its
+    words, and hands the sequences on in small batches. ``docs`` should be a stored table, so that a repeated task
     numbers its rows alike. Cases as in ``pack``.
     """
     capacities = tuple(sorted(capacities))
@@ -132,29 +137,40 @@ def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
     (size,) = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
     shards = max(1, -(-size // SHARD_BYTES))
 
-    def packed(key, part):
-        ids = part["doc_id"].to_pylist()
-        bodies = [body.encode() for body in part["body"].to_pylist()]
-        words = [body.split() for body in bodies]
-        cuts = [_cuts(body, most) for body in bodies]
-        pieces = [(min(most, len(w) - at), row, at) for row, w in enumerate(words) for at in range(0, len(w), most)]
+    struct = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("offset", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("bin_id", pa.int64()), ("capacity", pa.int64()), ("n_words", pa.int64()), ("pieces", pa.list_(struct)), ("text", pa.string())])
+
+    def packed(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(parts)
+        ids, bodies = part["doc_id"], part["body"].combine_chunks()
+        del part
+        bounds, data = text_bytes(bodies)
+        data = data[: bounds[-1]]
+        starts = _word_starts(bounds, data)
+        first = np.searchsorted(starts, bounds)
+        pieces = [(min(most, n - at), row, at) for row, n in enumerate(np.diff(first).tolist()) for at in range(0, n, most)]
         pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
         bins, sizes = pack_shard([p[0] for p in pieces], capacities, cost)
         held: list[list] = [[] for _ in sizes]
         for b, piece in zip(bins, pieces, strict=True):
             held[b].append(piece)
-        listed, texts, counts = [], [], []
-        for own in held:
+        rows_out, bytes_out = [], 0
+        for b, own in enumerate(held):
             at, out, body = 0, [], []
             for n, row, start in own:
-                k = start // most
-                out.append({"doc_id": ids[row], "row": row, "start": start, "words": n, "offset": at, "text": bodies[row][cuts[row][k] : cuts[row][k + 1]].decode()})
-                body += words[row][start : start + n]
+                # white space goes with the word before it, that before the first word with that one
+                low = starts[first[row] + start] if start else bounds[row]
+                high = starts[first[row] + start + n] if first[row] + start + n < first[row + 1] else bounds[row + 1]
+                piece = data[low:high].tobytes()
+                out.append({"doc_id": ids[row].as_py(), "row": row, "start": start, "words": n, "offset": at, "text": piece.decode()})
+                body += piece.split()
                 at += n
-            listed.append(out), counts.append(at), texts.append(b" ".join(body).decode())
-        names = [(key[0].as_py() << 32) + b for b in range(len(sizes))]
-        struct = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("offset", pa.int64()), ("text", pa.string())])
-        return pa.table({"bin_id": pa.array(names, pa.int64()), "capacity": pa.array(sizes, pa.int64()), "n_words": pa.array(counts, pa.int64()), "pieces": pa.array(listed, pa.list_(struct)), "text": pa.array(texts, pa.string())})
+                bytes_out += 2 * len(piece)
+            rows_out.append({"bin_id": (key[0].as_py() << 32) + b, "capacity": sizes[b], "n_words": at, "pieces": out, "text": b" ".join(body).decode()})
+            if bytes_out >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows_out, schema)
+                rows_out, bytes_out = [], 0
+        yield pa.RecordBatch.from_pylist(rows_out, schema)
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(packed, "bin_id bigint, capacity bigint, n_words bigint, pieces array<struct<doc_id bigint, row bigint, start bigint, words bigint, offset bigint, text string>>, text string")

@@ -632,6 +632,28 @@ def test_sequences_keep_white_space(docs):
     assert sorted(got) == sorted((r["doc_id"] or -1, r["text"]) for r in docs.collect() if tokens(r["text"]))
 
 
+def test_sequences_leave_a_task_in_small_batches(spark, monkeypatch):
+    """A shard's sequences are never one batch, nor all of its words objects: a task's memory is a few times its bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    kept = {}
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInArrow", lambda self, run, schema: kept.setdefault("run", run))
+    frame = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    packing.sequences(frame, capacities=(64, 256))
+    body = "".join(f"\u00e9{k % 97} \t" for k in range(1_000))
+    part = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1_000), pa.int64()), "body": pa.array([body] * 1_000)})
+    tracemalloc.start()
+    rows, words, most = 0, 0, 0
+    for batch in kept["run"]((pa.scalar(3, pa.int64()),), iter([part])):
+        rows, words, most = rows + 1, words + sum(batch.column("n_words").to_pylist()), max(most, batch.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == 1_000_000 and rows > 5 and most < 3 * packing.BATCH_BYTES
+    assert peak < 8 * part.nbytes
+
+
 # 9: URLs
 def test_url_rules(spark):
     urls = ["https://A.Example.org/en/1x?q", "http://x.org", "http://x.org/", "ftp://b.com/fr/1#t", "no scheme/com/fr/", None, "http://notcom/fr/", "http://b.com/de/", "http://example.org/es/1", "a://b://c/", "http://org/x"]
