@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterlake.operators.automaton import Automaton, lowered
@@ -67,24 +68,28 @@ def estimate_tokens(text: str, column: Column | str) -> Column:
     return F.ceil(total).cast("bigint")
 
 
-#: Bytes of texts that are walked together.
-WALKED = 1 << 23
+#: Bytes of texts that are walked together, and are Python's strings at once.
+WALKED = 1 << 21
 
 
-def _occurrences(automaton: Automaton, texts: pd.Series) -> Iterator[tuple]:
-    """(first row, data, bounds, text, begin, word) of runs of rows: all occurrences in their lower-cased texts, in order of
-    text and place, longer words first."""
-    low, rows = 0, [t if isinstance(t, str) else None for t in texts]
-    while low < len(rows):
-        high, size = low, 0
-        while high < len(rows) and (size < WALKED or high == low):
-            size += len(rows[high] or "")
-            high += 1
-        data, bounds = lowered(rows[low:high])
-        text, begin, word = automaton.matches(data, bounds)
-        order = np.lexsort((word, -automaton.sizes[word], begin, text))
-        yield low, data, bounds, text[order], begin[order], word[order]
-        low = high
+def _parts(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """The texts of Arrow batches in runs of about WALKED bytes: rows of a batch are bounded, their bytes are not."""
+    for texts in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + WALKED, side="right")))
+            yield texts.slice(low, high - low).to_pylist()
+            low = high
+
+
+def _occurrences(automaton: Automaton, texts: list[str | None]) -> tuple:
+    """(data, bounds, text, begin, word): all occurrences in the lower-cased texts, in order of text and place, longer words
+    first."""
+    data, bounds = lowered(texts)
+    text, begin, word = automaton.matches(data, bounds)
+    order = np.lexsort((word, -automaton.sizes[word], begin, text))
+    return data, bounds, text[order], begin[order], word[order]
 
 
 def _automaton(words: list[str]) -> Automaton:
@@ -95,16 +100,17 @@ def sensitive_words(text: str, words: list[str], first_only: bool = False) -> Co
     """Blocked words found anywhere in the lower-cased text: each once, in order of place; or only the first."""
     automaton = _automaton(words)
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        out: list[list[str]] = [[] for _ in range(len(texts))]
-        for row, _, _, of, _, word in _occurrences(automaton, texts):
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _parts(batches):
+            out: list[list[str]] = [[] for _ in texts]
+            _, _, of, _, word = _occurrences(automaton, texts)
             _, one = np.unique(of * len(automaton.words) + word, return_index=True)
             one.sort()
             for k, w in zip(of[one].tolist(), word[one].tolist(), strict=True):
-                if not first_only or not out[row + k]:
-                    out[row + k].append(automaton.words[w])
-        return pd.Series(out)
+                if not first_only or not out[k]:
+                    out[k].append(automaton.words[w])
+            yield pa.array(out, pa.list_(pa.string()))
 
     return run(F.col(text))
 
@@ -129,14 +135,15 @@ def replace_words(text: str, words: list[str], mask: str = "**###**") -> Column:
                 at = place[char[free - 1]] + 1
         return "".join([*out, t[at:]]), list(dict.fromkeys(hits))
 
-    @F.pandas_udf("text string, hits array<string>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = [(t if isinstance(t, str) else None, []) for t in texts]
-        for row, data, bounds, of, begin, word in _occurrences(automaton, texts):
-            for k in np.unique(of):
+    @F.arrow_udf("text string, hits array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _parts(batches):
+            hits: list[list[str]] = [[] for _ in texts]
+            data, bounds, of, begin, word = _occurrences(automaton, texts)
+            for k in np.unique(of).tolist():
                 own = slice(*np.searchsorted(of, [k, k + 1]))
-                out[row + k] = replaced(out[row + k][0], data[bounds[k] : bounds[k + 1]], begin[own] - bounds[k], word[own])
-        return pd.DataFrame(out, columns=["text", "hits"])
+                texts[k], hits[k] = replaced(texts[k], data[bounds[k] : bounds[k + 1]], begin[own] - bounds[k], word[own])
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(hits, pa.list_(pa.string()))], names=["text", "hits"])
 
     return run(F.col(text))
 

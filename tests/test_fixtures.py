@@ -372,6 +372,29 @@ def test_word_replacement_where_lower_case_is_longer(spark):
         assert r["r"]["text"] == cases[r["text"]] and bool(r["r"]["hits"]) == bool(r["found"])
 
 
+def test_word_search_holds_few_texts_at_once(spark, monkeypatch):
+    """However large the rows of a batch are, some MB of them are Python's strings at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    kept = []
+    for name in ("arrow_udf", "pandas_udf"):
+        monkeypatch.setattr(texts.F, name, lambda kind: lambda run: kept.append(run) or (lambda column: None))
+    texts.replace_words("text", ["bad", "badger"]), texts.sensitive_words("text", ["bad", "badger"])
+    batch = pa.array([None, "", *["some plain text, " * 12_000 + "Bad"] * 200, "bad"])
+    for run, first in zip(kept, ({"text": None, "hits": []}, []), strict=True):
+        tracemalloc.start()
+        sizes, rows = [], []
+        for part in run(iter([batch, batch[:2], batch[:0]])):
+            sizes.append(len(part))
+            rows += part[:1].to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows[0] == first and sum(sizes) == len(batch) + 2 and max(sizes) <= 12
+        assert peak < batch.nbytes < 60_000_000
+
+
 # streams
 def test_admission_against_a_loop(spark):
     rows = [(u, i, (i * 7919) % 500) for u in (1, 2) for i in range(200)]
