@@ -713,6 +713,28 @@ def test_url_verdicts_against_plain_models(spark):
     assert url_filter.url_filter(frame.limit(0)).count() == 0
 
 
+def test_url_models_learn_from_all_urls(spark):
+    """More URLs of a verdict than a model once took, all of which count; rules that fit every URL give the threshold."""
+    urls = [f"http://{k * 7919 % 10_007}.org/{k % 10}" for k in range(9_000)] + [f"http://{k}.com/de/" for k in range(5)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: r["lm_score"] for r in url_filter.url_filter(frame, order=2).collect()}
+    want = url_filter.Ratio(urls[:9_000], urls[9_000:], 2)(pa.array(urls))
+    assert [got[i] for i in range(len(urls))] == pytest.approx(want.tolist())
+
+
+def test_best_cut_against_all_cuts(spark):
+    rng = np.random.default_rng(3)
+    for good, bad in ((rng.normal(1, 1, 300).round(1), rng.normal(0, 1, 200).round(1)), ([3.0], [1.0, 2.0]), ([1.0], [1.0])):
+        rows = [(float(x), True) for x in good] + [(float(x), False) for x in bad]
+        got = url_filter.best_cut(spark.createDataFrame(rows, "score double, good boolean"), 4)
+        cuts = sorted({x for x, _ in rows})
+        right = [sum(x >= c for x in good) * len(bad) + sum(x < c for x in bad) * len(good) for c in cuts]
+        best = [k for k, r in enumerate(right) if r == max(right)]
+        low = best[len(best) // 2]
+        assert got == pytest.approx((cuts[low] + cuts[max(0, low - 1)]) / 2)
+    assert url_filter.best_cut(spark.createDataFrame([(1.0, True)], "score double, good boolean")) == 0
+
+
 def test_calibration_separates():
     good, bad = [f"http://good.net/page/{i}" for i in range(200)], [f"http://casino.net/win/{i}" for i in range(200)]
     ratio, cut = url_filter.Ratio(good, bad), url_filter.calibrated(good, bad)
