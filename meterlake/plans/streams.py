@@ -54,13 +54,20 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def in_turn(spark, batches: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All that the stream ``make`` emits over batches that come one after the other: each is written by as many tasks as
-    read it, and taken as one batch by the stream, which stops when it has no more and goes on from its checkpoint."""
+def in_turn(spark, rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that the stream ``make`` emits over ``rows``, whose column ``batch`` deals them into batches that come one after
+    the other. All are written in one pass, by as many tasks as read them; the stream takes a batch whole, stops when it
+    has no more, and goes on from its checkpoint when the next one has come."""
     path = folder(spark)
-    for rows in batches:
-        rows.write.mode("append").parquet(f"{path}/in")
-        out = drained(make(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), path)
+    rows.write.partitionBy("batch").parquet(f"{path}/written")
+    schema, at = rows.drop("batch").schema, spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at(f"{path}/in"))
+    out = spark.createDataFrame([], make(spark.readStream.schema(schema).parquet(f"{path}/written")).schema)
+    written = {s.getPath().getName() for s in files.listStatus(at(f"{path}/written"))}
+    for k in sorted(int(name[6:]) for name in written if re.fullmatch(r"batch=\d+", name)):
+        files.rename(at(f"{path}/written/batch={k}"), at(f"{path}/in/{k}"))
+        out = drained(make(spark.readStream.schema(schema).parquet(f"{path}/in/*")), path)
     return out
 
 
@@ -167,8 +174,8 @@ def r3_stream_sessions(spark, sf_dir):
     batches, and one more use, of user 0 long after, lets all others end."""
     last = last_log(spark, sf_dir).withColumns({"user_id": F.lit(0).cast("bigint"), "type": F.lit(2)})
     rows = S.logs(spark, sf_dir)
-    batches = in_time(rows.unionByName(last.select(*(F.col(c).cast(rows.schema[c].dataType) for c in rows.columns))), 5, 3_000)
-    return in_turn(spark, batches, lambda logs: R.cache_sessions(cache_uses(logs), 36_000, "1 hour"))
+    timed = in_time(rows.unionByName(last.select(*(F.col(c).cast(rows.schema[c].dataType) for c in rows.columns))), 5, 3_000)
+    return in_turn(spark, timed, lambda logs: R.cache_sessions(cache_uses(logs), 36_000, "1 hour"))
 
 
 @query(LOG + "SELECT type, count(*) AS rows, CAST(sum(quota) AS BIGINT) AS quota FROM logs GROUP BY 1")
@@ -194,8 +201,8 @@ def r5_sliding_counts(spark, sf_dir):
   SELECT user_id, start, count(*) AS recent FROM w GROUP BY 1, 2""")
 def r5_stream_counts(spark, sf_dir):
     """Windows of twelve hours that begin every three, from six batches with late logs."""
-    batches = in_time(S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), 5, 3_000)
-    return in_turn(spark, batches, lambda logs: R.stream_sliding_counts(logs, 43_200, 10_800, "1 hour"))
+    logs = S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)).select("id", "user_id", "created_at")
+    return in_turn(spark, in_time(logs, 5, 3_000), lambda logs: R.stream_sliding_counts(logs, 43_200, 10_800, "1 hour"))
 
 
 @query(LOG.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT user_id, id, created_at,
@@ -228,18 +235,18 @@ def r7_abuse_windows(spark, sf_dir):
     """Five batches with rows of all times: the allowance covers the whole month, so that no late log is lost. The log
     that lets all windows close comes after them, in a batch of its own."""
     rows = S.logs(spark, sf_dir)
-    batches = [rows.where(F.pmod("id", F.lit(5)) == k) for k in range(5)]
-    return in_turn(spark, [*batches, last_log(spark, sf_dir)], lambda logs: R.abuse_windows(logs, 86_400, "40 days"))
+    dealt = rows.withColumn("batch", F.pmod("id", F.lit(5)).cast("int")).unionByName(last_log(spark, sf_dir).withColumn("batch", F.lit(5)))
+    return in_turn(spark, dealt, lambda logs: R.abuse_windows(logs, 86_400, "40 days"))
 
 
-def in_time(rows: DataFrame, parts: int, late: int) -> list[DataFrame]:
-    """``rows`` in batches by time, but for every third one of the last ``late`` seconds before a batch ends, which comes
-    with the next batch."""
+def in_time(rows: DataFrame, parts: int, late: int) -> DataFrame:
+    """``rows`` with ``batch``, by time, but for every third one of the last ``late`` seconds before a batch ends, which
+    comes with the next batch."""
     width = -(-(NOW + 86_400 - START) // parts)
     place = F.expr(f"(created_at - {START}) div {width}")
     delayed = (F.col("id") % 3 == 0) & ((F.col("created_at") - START) % width >= width - late)
     batch = F.least(F.when(delayed, place + 1).otherwise(place), F.lit(parts))
-    return [rows.where(batch == k) for k in range(parts + 1)]
+    return rows.withColumn("batch", F.when(batch < 0, 0).otherwise(batch).cast("int"))
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -286,7 +293,7 @@ EVERY_DAY = f"""counts AS (SELECT token_id, created_at // 86400 * 86400 AS bucke
   LEFT JOIN tokens ON token_id = tokens.id LEFT JOIN users ON tokens.user_id = users.id""")
 def r7_abuse_findings(spark, sf_dir):
     """All days' findings as a stream of six batches with late logs, at the allowance of an hour, and their owners."""
-    batches = in_time(S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), 5, 3_000)
-    found = with_rocks(spark, lambda: in_turn(spark, batches, lambda logs: R.stream_findings(logs, D)))
+    timed = in_time(S.logs(spark, sf_dir).unionByName(last_log(spark, sf_dir)), 5, 3_000)
+    found = with_rocks(spark, lambda: in_turn(spark, timed, lambda logs: R.stream_findings(logs, D)))
     owned = with_owner(found, S.tokens(spark, sf_dir), S.users(spark, sf_dir))
     return owned.select("token_id", "bucket", "rule", "severity", "current", "baseline", "ratio", "direction", "model_name", "first_at", "token_name", "owner_name")

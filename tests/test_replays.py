@@ -43,3 +43,23 @@ def test_logs_are_decoded_once_to_be_written(spark, tmp_path):
 
     logs.write_logs(samples.logs(spark, "/root/testdata/sf0.001").limit(500).transform(lambda r: r.mapInArrow(seen, r.schema)), str(tmp_path / "logs"))
     assert read.value == 500 and logs.read_logs(spark, str(tmp_path / "logs")).count() == 500
+
+
+def test_batches_in_turn_are_read_once_and_all_taken(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 600, 1, 3).withColumn("batch", (F.col("id") % 4).cast("int"))
+    count = lambda logs: logs.where("id % 2 = 0")
+    got = streams.in_turn(spark, rows.mapInArrow(seen, rows.schema), count)
+    assert read.value == 600 and sorted(r["id"] for r in got.collect()) == list(range(0, 600, 2))
+    assert streams.in_turn(spark, rows.limit(0), count).count() == 0
+
+
+def test_logs_before_the_first_batch_come_with_it(spark):
+    rows = spark.createDataFrame([(1, START - 5 * 86_400), (2, START), (3, NOW + 99 * 86_400)], "id bigint, created_at bigint")
+    assert [r["batch"] for r in streams.in_time(rows, 5, 3_000).orderBy("id").collect()] == [0, 0, 5]
