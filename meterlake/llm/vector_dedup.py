@@ -3,8 +3,12 @@
 Unit vectors with cosine >= t lie within r = sqrt(2 - 2 t). Pivots split the space into cells of nearest pivots. A
 vector x of cell p can have a partner in cell q only if |x - q| <= |x - p| + 2 r (triangle inequality); in Euclidean
 space the distance to the plane between p and q, (x.p - x.q) / |p - q| <= r, is the sharper form, and sets which cells
-get a copy of x. Cells then join independently: each counts the partners of its own vectors among all it holds. Large
-cells are split into pairs of blocks of bounded size. Equal vectors are one vector with a weight.
+get a copy of x. A link of two cells is found in the later one, which alone gets copies of the other's vectors. Cells
+join independently, in pairs of blocks of bounded size. Equal vectors are one vector with a weight.
+
+Vectors without structure go to every later cell, so a vector is sent once a cell and once a block that its cell meets.
+Cells and blocks are as large as memory allows, but never so large that few tasks have all the work: the number of
+copies stays the same up to PARTS * CELL vectors, and grows with the number of vectors over CELL from there on.
 """
 
 from __future__ import annotations
@@ -12,13 +16,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from meterlake.llm.components import components
 from meterlake.llm.scratch import Scratch
 
 #: Vectors of a cell to aim at, the most pivots (a bound of what the driver holds), and vectors of a block.
-CELL, MOST_PIVOTS, BLOCK = 4_096, 512, 4_096
+CELL, MOST_PIVOTS, BLOCK = 32_768, 512, 32_768
+#: Cells that smaller tables have at least, for as many vectors of a cell.
+PARTS, LEAST_CELL = 8, 1_024
+#: Most bytes of a block and of a batch of copies, in double precision; products held at once; links joined at once.
+BLOCK_BYTES, DEALT_BYTES, PRODUCTS, LINKS = 1 << 25, 1 << 23, 1 << 21, 1 << 20
 #: Slack of a replication bound, far over the rounding of double precision.
 NEAR = 1e-9
 
@@ -50,7 +58,7 @@ def cells_of(x: np.ndarray, centres: np.ndarray, r: float) -> tuple[np.ndarray,
     """(home, vector x cell: whether the cell gets the vector)."""
     dots = x @ centres.T
     home = dots.argmax(axis=1)
-    gap = np.linalg.norm(centres[home][:, None, :] - centres[None, :, :], axis=2) if len(centres) <= 16 else np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))[home]
+    gap = (np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2) if len(centres) <= 16 else np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)))[home]
     return home, dots[np.arange(len(x)), home][:, None] - dots <= (r + NEAR) * gap + NEAR
 
 
@@ -69,13 +77,26 @@ def _roots(n: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
 
 
 def range_join(left: np.ndarray, right: np.ndarray, threshold: float, step: int = 256):
-    """Slices of (row of left, row of right) with cosine >= threshold in double precision, for unit vectors."""
+    """Slices of (row of left, row of right) with cosine >= threshold in double precision, for unit vectors.
+
+    Products are made in single precision, at most PRODUCTS at once; those within its error of the threshold again.
+    """
     a, b, slack = left.astype(np.float32), right.astype(np.float32), single_slack(left.shape[1])
+    wide = max(1, PRODUCTS // step)
+    many = max(1, PRODUCTS // (8 * left.shape[1]))
     for k in range(0, len(a), step):
-        i, j = np.nonzero(a[k : k + step] @ b.T >= threshold - slack)
-        i += k
-        sure = np.einsum("ij,ij->i", left[i], right[j]) >= threshold
-        yield i[sure], j[sure]
+        for m in range(0, len(b), wide):
+            dots = a[k : k + step] @ b[m : m + wide].T
+            i, j = np.nonzero(dots >= threshold - slack)
+            if not len(i):
+                continue
+            sure = dots[i, j] >= threshold + slack
+            i, j = i + k, j + m
+            near = np.flatnonzero(~sure)
+            for n in range(0, len(near), many):
+                some = near[n : n + many]
+                sure[some] = np.einsum("ij,ij->i", left[i[some]], right[j[some]]) >= threshold
+            yield i[sure], j[sure]
 
 
 def vector_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, cell: int = CELL, block: int = BLOCK) -> DataFrame:
@@ -88,6 +109,8 @@ def vector_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str =
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "vectors")
+    given = table.schema[embedding].dataType
+    single = isinstance(given, T.ArrayType) and given.elementType == T.FloatType()
     rows = table.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     ok = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = scratch.keep(rows.withColumn("ok", F.coalesce(ok, F.lit(False))), "rows")
@@ -95,7 +118,7 @@ def vector_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str =
     groups = scratch.keep(rows.where("ok").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "groups")
     found = []
     for (width,) in groups.select(F.size("v")).distinct().collect():
-        found.append(_links(groups.where(F.size("v") == width), scratch, threshold, cell, block))
+        found.append(_links(groups.where(F.size("v") == width), width, scratch, threshold, cell, block, single))
     partners = edges = None
     for links, joined in found:
         partners, edges = (links, joined) if partners is None else (partners.unionAll(links), edges.unionAll(joined))
@@ -111,44 +134,85 @@ def vector_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str =
     return out.select(F.col("id").alias("vec_id"), F.coalesce(F.col("partners") - 1, F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(groups: DataFrame, scratch: Scratch, threshold: float, cell: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """((rep, partners) with weights and itself counted, to be summed; (u, v) that join what links)."""
+def _links(groups: DataFrame, width: int, scratch: Scratch, threshold: float, cell: int, block: int, single: bool) -> tuple[DataFrame, DataFrame]:
+    """((rep, partners) with weights and itself counted, to be summed; (u, v) that join what links).
+
+    ``single``: the components fit single precision, in which vectors are sent then.
+    """
     n, r = groups.count(), float(np.sqrt(2 - 2 * threshold))
+    fair = max(LEAST_CELL, -(-n // PARTS))
+    cell, block = min(cell, fair), max(1, min(block, fair, BLOCK_BYTES // (8 * width)))
     count = int(min(MOST_PIVOTS, max(1, n // cell)))
     sample = groups.orderBy(F.xxhash64("rep"), "rep").limit(8 * count).select("v").collect()
     centres = pivots(units(np.array([s["v"] for s in sample])), count, 2 * r)
+    kind, rows_dealt = np.dtype(np.float32 if single else np.float64), max(1, DEALT_BYTES // (8 * width))
 
-    def deal(batches):
+    def placed(batches, foreign):
+        """(rows, vectors, home, vector x cell: whether the cell gets the vector) of bounded parts of ``batches``: its home
+        does and, if ``foreign``, the later cells in which it can have a partner."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = units(batch.column(0).values.to_numpy().reshape(batch.num_rows, -1) if not batch.column(0).offset else np.array(batch.column(0).to_pylist()))
-            home, gets = cells_of(x, centres, r)
-            i, c = np.nonzero(gets)
-            data = pa.array([v.tobytes() for v in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c), batch.column(1).take(pa.array(i)), batch.column(2).take(pa.array(i)), pa.array(home[i] == c), data.take(pa.array(i))], names=["cell", "rep", "weight", "home", "x"])
-
-    dealt = scratch.keep(groups.select("v", "rep", "weight").mapInArrow(deal, "cell bigint, rep bigint, weight bigint, home boolean, x binary"), "dealt")
-    sizes = dealt.groupBy("cell").agg((F.count_if("home")).alias("own"), F.count("*").alias("held"))  # a row a pivot
-    sizes = sizes.select("cell", F.ceil(F.col("own") / block).cast("int").alias("lefts"), F.ceil(F.col("held") / block).cast("int").alias("rights"))
-    placed = dealt.join(F.broadcast(sizes), "cell")
+            for low in range(0, batch.num_rows, rows_dealt):
+                part = batch.slice(low, rows_dealt)
+                v = part.column(0).flatten().to_numpy().reshape(-1, width)
+                home, gets = cells_of(units(v), centres, r)
+                held = gets & (np.arange(len(centres)) > home[:, None]) if foreign else np.zeros_like(gets)
+                held[np.arange(len(home)), home] = True
+                yield part, v, home, held
+
+    def measure(batches):
+        own, held = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+        for _, _, home, gets in placed(batches, True):
+            own, held = own + np.bincount(home, minlength=len(centres)), held + gets.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres))), pa.array(own), pa.array(held)], names=["cell", "own", "held"])
+
+    def deal(foreign):
+        def run(batches):
+            for part, v, home, gets in placed(batches, foreign):
+                x = v.astype(kind)
+                for c in np.flatnonzero(gets.any(axis=0)).tolist():
+                    at = np.flatnonzero(gets[:, c])
+                    rows = pa.array(at)
+                    data = pa.array([x[k].tobytes() for k in at.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c)), part.column(1).take(rows), part.column(2).take(rows), pa.array(home[at] == c), data], names=["cell", "rep", "weight", "home", "x"])
+
+        return groups.select("v", "rep", "weight").mapInArrow(run, "cell bigint, rep bigint, weight bigint, home boolean, x binary")
+
+    sizes = groups.select("v", "rep", "weight").mapInArrow(measure, "cell bigint, own bigint, held bigint").groupBy("cell").agg(F.sum("own").alias("own"), F.sum("held").alias("held")).where("own > 0")  # a row a pivot
+    sizes = scratch.keep(sizes.select("cell", F.ceil(F.col("own") / block).cast("int").alias("lefts"), F.ceil(F.col("held") / block).cast("int").alias("rights")), "sizes")
     mix = F.xxhash64("rep")
-    left = placed.where("home").withColumn("i", F.pmod(mix, F.col("lefts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
-    right = placed.where("lefts > 0").withColumn("j", F.pmod(mix, F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
-    of = lambda side, name: side.select(F.col("cell").alias(f"{name}_cell"), F.col("i").cast("int").alias(f"{name}_i"), F.col("j").cast("int").alias(f"{name}_j"), F.col("rep").alias("rep"), F.col("weight").alias("weight"), F.col("x").alias("x")).groupBy(f"{name}_cell", f"{name}_i", f"{name}_j")
+    left = deal(False).join(F.broadcast(sizes), "cell").withColumn("i", F.pmod(mix, F.col("lefts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
+    right = deal(True).join(F.broadcast(sizes), "cell").withColumn("j", F.pmod(mix, F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
+    of = lambda side, name: side.select(F.col("cell").alias(f"{name}_cell"), F.col("i").cast("int").alias(f"{name}_i"), F.col("j").cast("int").alias(f"{name}_j"), "rep", "weight", "home", "x").groupBy(f"{name}_cell", f"{name}_i", f"{name}_j")
 
     def join(key, a, b):
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": np.zeros(0, np.int64), "partners": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        x, y = (np.frombuffer(b"".join(p["x"]), np.float64).reshape(len(p), -1) for p in (a, b))
-        weight = b["weight"].to_numpy()
+        x, y = (units(np.frombuffer(b"".join(p["x"]), kind).reshape(len(p), -1)) for p in (a, b))
+        weight_a, weight_b, foreign = a["weight"].to_numpy(), b["weight"].to_numpy(), ~b["home"].to_numpy(bool)
         names, place = np.unique(np.concatenate([a["rep"], b["rep"]]), return_inverse=True)
         of_a, of_b = place[: len(a)], place[len(a) :]
-        partners, label = np.zeros(len(names), np.int64), np.arange(len(names))
+        of_x, of_y, label = np.zeros(len(a)), np.zeros(len(b)), np.arange(len(names))
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def linked():
+            # each run keeps one link a node to what it joined so far
+            rows, columns = (np.concatenate(z) for z in zip(*waiting, (np.arange(len(names)), label), strict=True))
+            waiting.clear()
+            return _roots(len(names), rows, columns)
+
         for i, j in range_join(x, y, threshold):
-            partners += np.bincount(of_a[i], weight[j], minlength=len(names)).astype(np.int64)
-            # each slice keeps one link a node to what it joined so far
-            label = _roots(len(names), np.concatenate([of_a[i], np.arange(len(names))]), np.concatenate([of_b[j], label]))
+            of_x += np.bincount(i, weight_b[j], minlength=len(a))
+            # a pair of two cells is met here alone, one of the same cell in both orders
+            other = foreign[j]
+            of_y += np.bincount(j[other], weight_a[i[other]], minlength=len(b))
+            apart = of_a[i] != of_b[j]
+            if apart.any():
+                waiting.append((of_a[i[apart]], of_b[j[apart]]))
+                if sum(len(w[0]) for w in waiting) >= LINKS:
+                    label = linked()
+        if waiting:
+            label = linked()
+        partners = np.bincount(of_a, of_x, minlength=len(names)).astype(np.int64) + np.bincount(of_b, of_y, minlength=len(names)).astype(np.int64)
         some = (partners > 0) | (label != np.arange(len(names)))
         return pd.DataFrame({"rep": names[some], "partners": partners[some], "root": names[label[some]]})
 

@@ -150,6 +150,51 @@ def test_vectors_against_all_pairs(spark):
     assert vector_dedup.vector_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_are_sent_in_bounded_batches_and_as_often_at_any_size(spark, monkeypatch):
+    """Vectors without structure: the copies that a task makes at once are bounded, and a vector has no more copies where
+    there are more of them."""
+    monkeypatch.setattr(vector_dedup, "DEALT_BYTES", 100 * 8 * 16)
+    monkeypatch.setattr(vector_dedup, "LEAST_CELL", 100)
+    sent, dealt, before = [], spark.sparkContext.accumulator(0), type(spark.range(0)).mapInArrow
+
+    def dealing(frame, function, schema):
+        def run(batches):
+            for batch in function(batches):
+                if batch.schema.names[-1] == "x":
+                    assert batch.num_rows <= 100
+                    dealt.add(batch.num_rows)
+                yield batch
+
+        return before(frame, run, schema)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", dealing)
+    rng = np.random.default_rng(7)
+    for n in (2_000, 8_000):
+        x = rng.normal(size=(n, 16)).astype(np.float32)
+        x[-50:] = x[:50] * 2 + np.float32(0.01)
+        frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+        was = dealt.value
+        got = vector_dedup.vector_duplicates(frame).collect()
+        sent.append((dealt.value - was) / n)
+        u = vector_dedup.units(x)
+        near = u @ u.T >= 0.9
+        label = vector_dedup._roots(n, *np.nonzero(near))
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(k, int(near[k].sum() - 1), int(label[k])) for k in range(n)]
+    assert 2 < sent[0] and sent[1] < 1.2 * sent[0]
+
+
+def test_links_of_a_dense_group_are_joined_in_parts(monkeypatch):
+    """Products in tiles and links close to the threshold, against all pairs."""
+    monkeypatch.setattr(vector_dedup, "PRODUCTS", 256)
+    rng = np.random.default_rng(4)
+    x = vector_dedup.units(rng.normal(size=(70, 6)) * 0.3 + 1)
+    exact = np.einsum("ik,jk->ij", x, x)
+    for threshold in (0.9, float(exact[3, 5]), float(np.median(exact))):
+        slices = list(vector_dedup.range_join(x, x, threshold, 16))
+        assert max(len(i) for i, _ in slices) <= 256
+        assert {(i, j) for a, b in slices for i, j in zip(a.tolist(), b.tolist(), strict=True)} == set(zip(*(k.tolist() for k in np.nonzero(exact >= threshold)), strict=True))
+
+
 def test_vectors_of_extreme_scale_and_width(spark):
     rows = [(1, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [1e200, 2e200]), (4, [-1e300, 1e-300])]
     got = vector_dedup.vector_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
