@@ -767,6 +767,22 @@ def test_url_models_learn_from_all_urls(spark):
     assert [got[i] for i in range(len(urls))] == pytest.approx(want.tolist())
 
 
+def test_no_url_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Small as they are here, only the grams of two and three bytes meet broadcasts, of shorter ones."""
+    plans, keep = {}, scratch.Scratch.keep
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def kept(self, df, name):
+        plans[name] = plan(df)
+        return keep(self, df, name)
+
+    monkeypatch.setattr(scratch.Scratch, "keep", kept)
+    urls = [f"https://{h}/{p}/{k}" for h, p in (("a.com", "fr"), ("b.com", "de"), ("c.net", "x")) for k in range(20)]
+    plans["out"] = plan(url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")))
+    assert {"wanted", "level7", "scores", "counts", "out"} <= {name for name, text in plans.items() if "Join" in text}
+    assert {name for name, text in plans.items() if "Broadcast" in text} <= {"level2", "level3"}
+
+
 def test_best_cut_against_all_cuts(spark):
     rng = np.random.default_rng(3)
     for good, bad in ((rng.normal(1, 1, 300).round(1), rng.normal(0, 1, 200).round(1)), ([3.0], [1.0, 2.0]), ([1.0], [1.0])):
