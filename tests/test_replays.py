@@ -1,10 +1,11 @@
 """Queries that replay samples as streams, over tables of several files."""
 
+import duckdb
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from meterlake.operators import abuse
-from meterlake.plans import NOW, START, streams
+from meterlake.plans import NOW, SQL, START, streams
 from meterlake.sources import logs, samples
 
 
@@ -25,6 +26,19 @@ def test_the_last_log_closes_no_window_before_the_others_came(spark, tables):
     assert got.select("token_id", "bucket", "requests", "quota").exceptAll(want.select("token_id", "bucket", "requests", "quota")).count() == 0
 
 
+def test_findings_of_logs_without_token_one_are_whole(spark, tmp_path):
+    """Whichever tokens have logs, the last days' windows close."""
+    con = duckdb.connect()
+    for name, key in (("events", "user_id"), ("customer", "c_custkey")):
+        rows = samples.table(spark, "/root/testdata/sf0.001", name)
+        rows.withColumn(key, F.col(key) + 1_000).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(SQL["r7_abuse_findings"])
+    columns = [c[0] for c in want.description]
+    got = streams.r7_abuse_findings(spark, str(tmp_path))
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(str(Row(**dict(zip(columns, r, strict=True)))) for r in want.fetchall())
+
+
 def test_a_replayed_batch_has_files_by_its_rows(spark):
     """No task reads more than a file holds, however many rows a batch has."""
     rows = spark.range(8 * streams.REPLAYED_ROWS + 1)
